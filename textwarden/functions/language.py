@@ -97,8 +97,11 @@ def ballot(hits: str, script: str, profile: Mapping[str, Sequence[str]]) -> Colu
             lang,
         )
         for lang in SCRIPT_LANGUAGES
+        if lang not in profile
     ]
     voted, other = f"array({', '.join(marker)})", f"array({', '.join(by_script)})"
+    if not (marker and by_script):
+        return F.expr(voted if marker else other)
     return F.expr(f"if({script} is null, {voted}, concat({voted}, {other}))")
 
 

@@ -37,14 +37,18 @@ def logit_milli(hits: str, bias: int, weights: Mapping[str, int]) -> Column:
     )
 
 
-def label_scores(hits: str, model: config.LinearModel) -> dict[str, Column]:
-    """Unrounded score per label; labels are independent (no softmax)."""
+def label_logits(hits: str, model: config.LinearModel) -> dict[str, Column]:
     return {
-        label: sigmoid(logit_milli(hits, model.bias[label], model.weights.get(label, {})) / 1000.0)
+        label: logit_milli(hits, model.bias[label], model.weights.get(label, {})) / 1000.0
         for label in model.labels
     }
 
 
+def label_scores(hits: str, model: config.LinearModel) -> dict[str, Column]:
+    """Unrounded score per label; labels are independent (no softmax)."""
+    return {label: sigmoid(logit) for label, logit in label_logits(hits, model).items()}
+
+
 def pick_label(scores: Column, label: str = TOXIC) -> Column:
     """Score of a label in a map, compared without case; 0.0 when it is missing."""
     found = F.map_filter(scores, lambda name, _: F.lower(name) == label.lower())

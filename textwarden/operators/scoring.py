@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,19 +27,20 @@ def score_columns(
     model: config.LinearModel = config.DEFAULT_MODEL,
     max_tokens: int | None = None,
     prefix: str = "score_",
+    activation: Callable[[Column], Column] = S.sigmoid,
 ) -> DataFrame:
     """Add one unrounded score column per label, computed inside the row.
 
     No join and no shuffle, so it works the same on a stream. The whole text counts unless
-    ``max_tokens`` asks for a model's token limit.
+    ``max_tokens`` asks for a model's token limit. ``activation`` turns a logit into a score.
     """
     vocabulary = model.vocabulary
     if len(vocabulary) > MAX_LITERAL_WORDS:
         raise ValueError(f"more than {MAX_LITERAL_WORDS} words: use score_by_join")
     out = df.withColumn("_tokens", X.tokens(F.col(text), max_tokens))
     out = out.withColumn("_hits", keep("_tokens", vocabulary))
-    scores = S.label_scores("_hits", model)
-    out = out.withColumns({prefix + label: score for label, score in scores.items()})
+    logits = S.label_logits("_hits", model)
+    out = out.withColumns({prefix + label: activation(logit) for label, logit in logits.items()})
     return out.drop("_tokens", "_hits")
 
 
