@@ -11,21 +11,22 @@ from textwarden.operators.evaluate import ratio, with_metrics
 
 
 def pair_results(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
-    """Join two result tables on their row key: ``key, expected, predicted_a, predicted_b``.
+    """Join two stored result tables on their row key: ``key, expected, predicted_a, predicted_b``.
 
-    Results belong together by key, not by position. Only the key and the flags move.
+    Results belong together by key, not by position; ``key`` must identify a row. Only key and
+    flags move. Scorers run over the same texts need no join: give both flags in one pass.
     """
     a = first.select(key, "expected", F.col("predicted").alias("predicted_a"))
     b = second.select(key, F.col("predicted").alias("predicted_b"))
     return a.join(b, key)
 
 
-def ensemble(paired: DataFrame) -> DataFrame:
+def ensemble(paired: DataFrame, first: str = "predicted_a", second: str = "predicted_b") -> DataFrame:
     """Confusion counts and metrics of both scorers, of "both agree" and of "either".
 
     All four are counted in one pass over the paired rows.
     """
-    a, b = F.col("predicted_a") == 1, F.col("predicted_b") == 1
+    a, b = F.col(first) == 1, F.col(second) == 1
     rules = {"first": a, "second": b, "both": a & b, "either": a | b}
     truth = F.col("expected") == 1
     columns = []
@@ -48,61 +49,66 @@ def ensemble(paired: DataFrame) -> DataFrame:
     return with_metrics(row.select(F.inline(F.array(*points))))
 
 
-def _better(a: Column, b: Column, names: tuple[str, str], lower: bool = False) -> Column:
-    first, second = (a < b, b < a) if lower else (a > b, b > a)
-    return F.when(first, names[0]).when(second, names[1]).otherwise("-")
+MEASURES = (
+    # measure, whether the smaller value is the better one (None: no winner)
+    ("accuracy", False),
+    ("false_positives", True),
+    ("false_negatives", True),
+    ("toxic_avg_score", None),
+    ("clean_avg_score", True),
+    ("separation", False),
+)
 
 
-def compare_models(results: Mapping[str, DataFrame]) -> DataFrame:
+def compare_models(df: DataFrame, models: Mapping[str, tuple[str, str]]) -> DataFrame:
     """Two scorers, measure by measure: ``metric, <first>, <second>, winner``.
 
-    The class means show whether toxic texts score above clean ones (``separation``: 1 if so,
-    0 if inverted).
+    ``models`` gives each scorer's columns for prediction and score; both are measured in one
+    pass. ``separation`` is 1 if toxic texts score above clean ones on average, else 0.
     """
-    if len(results) != 2:
+    if len(models) != 2:
         raise ValueError("compare exactly two scorers")
-    names = tuple(results)
-    tagged = [
-        df.select(F.lit(name).alias("model"), "expected", "predicted", "score")
-        for name, df in results.items()
-    ]
-    truth, hit = F.col("expected") == 1, F.col("predicted") == 1
-    per_model = (
-        tagged[0]
-        .unionByName(tagged[1])
-        .groupBy("model")
-        .agg(
-            F.count_if(truth == hit).alias("_right"),
-            F.count("*").alias("_total"),
-            F.count_if(hit & ~truth).cast("double").alias("false_positives"),
-            F.count_if(~hit & truth).cast("double").alias("false_negatives"),
-            F.avg(F.when(truth, F.col("score"))).alias("_toxic"),
-            F.avg(F.when(~truth, F.col("score"))).alias("_clean"),
+    truth = F.col("expected") == 1
+    sums = []
+    for i, (predicted, score) in enumerate(models.values()):
+        hit = F.col(predicted) == 1
+        sums += [
+            F.count_if(truth == hit).alias(f"right_{i}"),
+            F.count_if(hit & ~truth).alias(f"fp_{i}"),
+            F.count_if(~hit & truth).alias(f"fn_{i}"),
+            F.avg(F.when(truth, F.col(score))).alias(f"toxic_{i}"),
+            F.avg(F.when(~truth, F.col(score))).alias(f"clean_{i}"),
+        ]
+    row = df.agg(F.count("*").alias("total"), *sums)
+
+    def value(measure: str, i: int) -> Column:
+        return {
+            "accuracy": F.round(ratio(F.col(f"right_{i}"), F.col("total")), 4),
+            "false_positives": F.col(f"fp_{i}").cast("double"),
+            "false_negatives": F.col(f"fn_{i}").cast("double"),
+            "toxic_avg_score": F.round(f"toxic_{i}", 4),
+            "clean_avg_score": F.round(f"clean_{i}", 4),
+            "separation": (F.col(f"toxic_{i}") > F.col(f"clean_{i}")).cast("double"),
+        }[measure]
+
+    first, second = models
+    lines = []
+    for measure, smaller_wins in MEASURES:
+        a, b = value(measure, 0), value(measure, 1)
+        if smaller_wins is None:
+            winner = F.lit("-")
+        else:
+            ahead, behind = (a < b, b < a) if smaller_wins else (a > b, b > a)
+            winner = F.when(ahead, first).when(behind, second).otherwise("-")
+        lines.append(
+            F.struct(
+                F.lit(measure).alias("metric"),
+                a.alias(first),
+                b.alias(second),
+                winner.alias("winner"),
+            )
         )
-    )
-    measures = per_model.select(
-        "model",
-        F.round(ratio(F.col("_right"), F.col("_total")), 4).alias("accuracy"),
-        "false_positives",
-        "false_negatives",
-        F.round("_toxic", 4).alias("toxic_avg_score"),
-        F.round("_clean", 4).alias("clean_avg_score"),
-        (F.col("_toxic") > F.col("_clean")).cast("double").alias("separation"),
-    )
-    long = measures.unpivot(
-        "model", [c for c in measures.columns if c != "model"], "metric", "value"
-    )
-    a, b = F.col(names[0]), F.col(names[1])
-    lower_wins = F.col("metric").isin("false_positives", "false_negatives", "clean_avg_score")
-    winner = F.when(lower_wins, _better(a, b, names, lower=True)).when(
-        F.col("metric") == "toxic_avg_score", "-"
-    )
-    return (
-        long.groupBy("metric")
-        .pivot("model", list(names))
-        .agg(F.first("value"))
-        .withColumn("winner", winner.otherwise(_better(a, b, names)))
-    )
+    return row.select(F.inline(F.array(*lines)))
 
 
 def append_rows(base: DataFrame, extra: DataFrame) -> DataFrame:

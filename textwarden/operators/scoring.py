@@ -107,7 +107,8 @@ def token_weights(
 ) -> DataFrame:
     """Smoothed log-odds of every token: ``tok, n_toxic, n_clean, w_milli``.
 
-    A token counts once per text. The class sizes enter as a scalar subquery, not as a join.
+    A token counts once per text. The class sizes enter as a scalar subquery,
+    not as a join.
     """
     seen = df.select(truth, F.explode(F.array_distinct(X.tokens(F.col(text)))).alias("tok"))
     per_token = (
@@ -119,11 +120,13 @@ def token_weights(
         .where(F.col("n_toxic") + F.col("n_clean") >= min_docs)
     )
 
-    def total(value: int):
-        return df.select(F.count_if(F.col(truth) == value)).scalar()
-
-    toxic_odds = (F.col("n_toxic") + 0.5) / (total(1) - F.col("n_toxic") + 0.5)
-    clean_odds = (F.col("n_clean") + 0.5) / (total(0) - F.col("n_clean") + 0.5)
+    totals = df.select(
+        F.struct(
+            F.count_if(F.col(truth) == 1).alias("toxic"), F.count_if(F.col(truth) == 0).alias("clean")
+        )
+    ).scalar()
+    toxic_odds = (F.col("n_toxic") + 0.5) / (totals["toxic"] - F.col("n_toxic") + 0.5)
+    clean_odds = (F.col("n_clean") + 0.5) / (totals["clean"] - F.col("n_clean") + 0.5)
     weight = F.round(F.ln(toxic_odds / clean_odds) * 1000).cast("bigint")
     return per_token.withColumn("w_milli", weight)
 

@@ -539,6 +539,12 @@ def sql() -> dict[str, str]:
             counts AS (SELECT model, {COUNTS} FROM ev GROUP BY model)""",
             f"SELECT *, {METRICS} FROM counts",
         ),
+        "paired_results": q(
+            moderated(LABELLED),
+            """SELECT expected, (greatest(toxic, not_toxic) >= threshold_used)::INT AS predicted_a,
+                (verdict = 'toxic')::INT AS predicted_b, count(*) AS n
+            FROM rows JOIN src USING (k) GROUP BY ALL""",
+        ),
         "model_compare": q(
             f"""{moderated(LABELLED)},
             a AS ({per_model} FROM (SELECT expected, greatest(toxic, not_toxic) AS score,

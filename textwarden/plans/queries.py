@@ -46,31 +46,40 @@ def labelled(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("expected"))
 
 
-def _predict(df: DataFrame, rule: str = "toxic_label") -> DataFrame:
-    moderated = moderation.moderate(df, rule=rule, keep_scores=True)
-    scores = {"toxic": F.col("score_toxic"), "not_toxic": F.col("score_not_toxic")}
-    shown = S.max_score(scores) if rule == "max_label" else scores["toxic"]
+def _predict(df: DataFrame) -> DataFrame:
+    """Moderate once and decide twice: by the toxic label and by the best of all labels."""
+    moderated = moderation.moderate(df, keep_scores=True)
+    best = F.coalesce(F.greatest("score_toxic", "score_not_toxic"), F.lit(0.0))
     return moderated.withColumns(
         {
             "predicted": (F.col("verdict") == "toxic").cast("int"),
-            "score": F.coalesce(shown, F.lit(0.0)),
+            "score": F.coalesce("score_toxic", F.lit(0.0)),
+            "predicted_max": F.coalesce(best >= F.col("threshold_used"), F.lit(False)).cast("int"),
+            "score_max": best,
             "preview": T.preview(F.col("text"), 55),
         }
     )
 
 
-def evaluated(
-    spark: SparkSession, folder: str, rule: str = "toxic_label", keep: tuple[str, ...] = ()
-) -> DataFrame:
+def evaluated(spark: SparkSession, folder: str, *keep: str) -> DataFrame:
+    """Labelled documents with prediction and score, plus the columns asked for."""
     return evaluate.attach_truth(
         documents(spark, folder),
         labelled(spark, folder),
-        lambda df: _predict(df, rule),
+        _predict,
         "doc_id",
         ["doc_id", "lang", "predicted", "score", *keep],
     )
 
 
+def by_max_label(spark: SparkSession, folder: str) -> DataFrame:
+    """The same documents, decided by the best of all labels."""
+    rows = evaluated(spark, folder, "predicted_max", "score_max")
+    return rows.drop("predicted", "score").withColumnsRenamed(
+        {"predicted_max": "predicted", "score_max": "score"}
+    )
+
+
 def learned_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled documents under a keyword model learned from the same labels (a fit, not a test)."""
     truth = labelled(spark, folder)
@@ -553,7 +562,7 @@ def q_score_gap(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_false_positives(spark: SparkSession, folder: str) -> DataFrame:
-    rows = evaluate.false_positives(evaluated(spark, folder, "max_label"))
+    rows = evaluate.false_positives(by_max_label(spark, folder))
     return rows.select("doc_id", "lang", F.round("score", 4).alias("score"))
 
 
@@ -563,7 +572,7 @@ def q_false_negatives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_misclassified(spark: SparkSession, folder: str) -> DataFrame:
-    rows = evaluated(spark, folder, keep=("preview",))
+    rows = evaluated(spark, folder, "preview")
     wrong = evaluate.misclassified(rows.withColumnRenamed("preview", "text"))
     return wrong.select(
         "doc_id", "lang", "expected_label", "predicted_label", F.col("text").alias("preview")
@@ -575,14 +584,21 @@ def q_edge_kinds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_ensemble(spark: SparkSession, folder: str) -> DataFrame:
-    first = evaluated(spark, folder, "max_label")
-    second = evaluated(spark, folder)
-    return compare.ensemble(compare.pair_results(first, second, "doc_id"))
+    both = evaluated(spark, folder, "predicted_max")
+    return compare.ensemble(both, "predicted_max", "predicted")
+
+
+def q_paired_results(spark: SparkSession, folder: str) -> DataFrame:
+    """Two result tables made apart, paired by document, and how often they agree."""
+    paired = compare.pair_results(by_max_label(spark, folder), evaluated(spark, folder), "doc_id")
+    return paired.groupBy("expected", "predicted_a", "predicted_b").agg(F.count("*").alias("n"))
 
 
 def q_model_compare(spark: SparkSession, folder: str) -> DataFrame:
+    both = evaluated(spark, folder, "predicted_max", "score_max")
     return compare.compare_models(
-        {"max_label": evaluated(spark, folder, "max_label"), "toxic_label": evaluated(spark, folder)}
+        both,
+        {"max_label": ("predicted_max", "score_max"), "toxic_label": ("predicted", "score")},
     )
 
 
