@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textwarden import config
 from textwarden.functions import language as L
 from textwarden.functions import text as T
+from textwarden.util import settle
 
 Profile = Mapping[str, Sequence[str]]
 
@@ -41,10 +42,11 @@ def detect_language(
     it is, without mapping, while ``language_raw`` still shows what was detected.
     """
     out = with_ballot(df, text, profile).withColumn("_best", L.leader(F.col("_ballot")))
+    out = settle(out.drop("_ballot"), "_best")
     out = out.withColumn("language_raw", L.winner(F.col("_best")))
     detected = L.supported_language(F.col("language_raw"), settings)
     language = detected if given is None else F.coalesce(F.col(given), detected)
-    return out.withColumn("language", language).drop("_ballot", "_best")
+    return out.withColumn("language", language).drop("_best")
 
 
 def detect_with_confidence(
@@ -58,9 +60,10 @@ def detect_with_confidence(
 
     Confidence is a language's share of all votes.
     """
+    voted = with_ballot(df, text, profile)
+    found = voted.withColumn("all_candidates", L.candidates(F.col("_ballot"), settings))
     return (
-        with_ballot(df, text, profile)
-        .withColumn("all_candidates", L.candidates(F.col("_ballot"), settings))
+        settle(found.drop("_ballot"), "all_candidates")
         .withColumn("_best", F.try_element_at("all_candidates", F.lit(1)))
         .withColumn("detected_raw", F.coalesce(F.col("_best.lang"), F.lit(config.UNKNOWN_LANGUAGE)))
         .withColumn("detected_mapped", L.supported_language(F.col("detected_raw"), settings))

@@ -12,6 +12,7 @@ from textwarden.functions import language as L
 from textwarden.functions import score as S
 from textwarden.functions import text as T
 from textwarden.operators.language import Profile
+from textwarden.util import settle
 
 RULES = ("toxic_label", "max_label", "any_label")
 
@@ -35,29 +36,38 @@ def _limits(value: Mapping[str, float] | str | Column | None) -> Column | None:
     return F.col(value) if isinstance(value, str) else value
 
 
-def prepare(
+def read_text(
     df: DataFrame,
     text: str,
-    *,
-    cleaned: Column,
     model: config.LinearModel,
     profile: Profile,
     max_tokens: int | None,
+    min_words: int,
 ) -> DataFrame:
-    """Add the cleaned text and what later steps read from its tokens.
+    """Add all that needs the text itself: ``_blank, _best, _x_<label>, warnings``.
 
     The tokens are walked through once; what remains are marker words and scored words.
     """
+    out = df.withColumn("_stripped", T.strip(F.col(text)))
+    out = out.withColumn("_cleaned", T.collapse_repeats(F.col("_stripped")))
+    out = out.withColumn("_tokens", T.tokens(F.col("_cleaned")))
     wanted = tuple(sorted({*L.markers(profile), *model.vocabulary}))
-    out = df.withColumn("_cleaned", cleaned).withColumn("_tokens", T.tokens(F.col("_cleaned")))
     known = {
         "_known": L.keep("_tokens", wanted),
         "_script": L.script_votes(F.col("_cleaned"), F.col("_tokens")),
     }
-    if max_tokens is None:
-        return out.withColumns(known).withColumn("_scored", F.col("_known"))
-    first = f"slice(_tokens, 1, {int(max_tokens)})"
-    return out.withColumns({**known, "_scored": L.keep(first, model.vocabulary)})
+    scored = "_known"
+    if max_tokens is not None:
+        scored = "_scored"
+        known[scored] = L.keep(f"slice(_tokens, 1, {int(max_tokens)})", model.vocabulary)
+    logits = S.label_logits(scored, model)
+    found = {
+        "_blank": F.col("_stripped") == "",
+        "_best": L.leader(L.ballot("_known", "_script", profile)),
+        "warnings": T.warnings(F.col("_stripped"), min_words),
+        **{f"_x_{label}": logit for label, logit in logits.items()},
+    }
+    return settle(out.withColumns(known).withColumns(found), *found)
 
 
 def moderate(
@@ -86,18 +96,9 @@ def moderate(
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}, not {rule!r}")
-    out = df.withColumn("_stripped", T.strip(F.col(text)))
-    out = prepare(
-        out,
-        text,
-        cleaned=T.collapse_repeats(F.col("_stripped")),
-        model=model,
-        profile=profile,
-        max_tokens=max_tokens,
-    )
-    blank = F.col("_stripped") == ""
+    out = read_text(df, text, model, profile, max_tokens, settings.min_words)
+    blank = F.col("_blank")
 
-    out = out.withColumn("_best", L.leader(L.ballot("_known", "_script", profile)))
     detected = F.when(blank, config.UNKNOWN_LANGUAGE).otherwise(L.winner(F.col("_best")))
     out = out.withColumn("language_raw", detected)
     mapped = L.supported_language(F.col("language_raw"), settings)
@@ -107,7 +108,7 @@ def moderate(
     own = S.threshold_for(F.col("language"), settings)
     given = _option(threshold)
     limit = own if given is None else F.coalesce(given, own)
-    scores = S.label_scores("_scored", model)
+    scores = {label: S.sigmoid(F.col(f"_x_{label}")) for label in model.labels}
     out = out.withColumns(
         {
             "threshold_used": F.when(~blank, limit),
@@ -135,7 +136,6 @@ def moderate(
                 S.categories(score, flagged)
             ),
             "confidence": F.when(blank, 0.0).otherwise(F.round(S.max_score(score), 4)),
-            "warnings": T.warnings(F.col("_stripped"), settings.min_words),
         }
     )
     extra = [f"score_{label}" for label in model.labels] if keep_scores else []
@@ -163,6 +163,7 @@ def moderate_safe(
     scores = S.label_scores("_hits", model)
     best = S.max_score(scores) if label is None else scores[label]
     out = out.withColumn("max_score", F.when(F.col("_long"), F.round(best, 4)).otherwise(0.0))
+    out = settle(out.drop("_words", "_hits"), "_long", "max_score")
     verdict, certainty = S.route(F.col("max_score"))
     return out.withColumns(
         {

@@ -14,7 +14,7 @@ from textwarden import config
 from textwarden.functions import score as S
 from textwarden.functions import text as X
 from textwarden.functions.language import keep
-from textwarden.util import BROADCAST_ROWS, lookup_join
+from textwarden.util import BROADCAST_ROWS, lookup_join, settle
 
 MAX_LITERAL_WORDS = 5_000
 """Vocabulary up to which weights travel inside the query; larger ones are joined."""
@@ -40,8 +40,8 @@ def score_columns(
     out = df.withColumn("_tokens", X.tokens(F.col(text), max_tokens))
     out = out.withColumn("_hits", keep("_tokens", vocabulary))
     logits = S.label_logits("_hits", model)
-    out = out.withColumns({prefix + label: activation(logit) for label, logit in logits.items()})
-    return out.drop("_tokens", "_hits")
+    scores = {prefix + label: activation(logit) for label, logit in logits.items()}
+    return settle(out.withColumns(scores).drop("_tokens", "_hits"), *scores)
 
 
 def weight_table(spark, model: config.LinearModel = config.DEFAULT_MODEL) -> DataFrame:

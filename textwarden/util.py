@@ -72,6 +72,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(df: DataFrame, *names: str) -> DataFrame:
+    """Put computed columns behind a one-row generator.
+
+    Spark moves a later filter on a column below the projection that computes it and then
+    evaluates the expression in both places, again for every column it is made of. Below a
+    generator it cannot look, so such filters read the finished values; filters on the other
+    columns still reach the scan.
+    """
+    others = [name for name in df.columns if name not in names]
+    return df.select(*others, F.inline(F.array(F.struct(*names))))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread an input that was read in fewer splits than there are cores.
 
