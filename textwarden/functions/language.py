@@ -63,13 +63,16 @@ def devanagari_language(text: Column) -> Column:
 
 
 def script_votes(text: Column, tokens: Column) -> Column:
-    """Struct of the two script votes; the token pass only runs where such letters occur."""
+    """Struct of the two script votes; the token pass only runs where such letters occur.
+
+    Comparing lengths first spares plain ASCII texts the search for them.
+    """
 
     def count(pattern: str) -> Column:
         return F.size(F.filter(tokens, lambda t: t.rlike(pattern)))
 
     return F.when(
-        text.rlike(OTHER_SCRIPTS),
+        (F.octet_length(text) > F.char_length(text)) & text.rlike(OTHER_SCRIPTS),
         F.struct(
             count(ARABIC_TOKEN).alias("arabic"),
             arabic_script_language(text).alias("arabic_lang"),

@@ -116,8 +116,11 @@ def learn_profile(
     """Most frequent tokens per language, without tokens all languages rank: ``lang, tok, n, rank``.
 
     Word counts are summed map-side. The ``rank <= top`` filter lets Spark keep only each
-    task's best tokens before the shuffle, so the size of a language does not matter.
+    task's best tokens before the shuffle, so the size of a language does not matter. Spark
+    does so for up to 1,000 ranks.
     """
+    if top > 1_000:
+        raise ValueError("top must not exceed 1000")
     counts = (
         df.select(lang, F.explode(T.tokens(F.col(text))).alias("tok"))
         .groupBy(lang, "tok")

@@ -196,19 +196,6 @@ def trained_scores(df: DataFrame, fitted, text: str = "text", out: str = "score_
 Predictor = Callable[[pd.Series], pd.DataFrame]
 
 
-def _predict_rows(predict: Predictor, texts: pd.Series, labels: Sequence[str]) -> pd.DataFrame:
-    """Predict one by one after a failed batch, so that an error stays with its own row."""
-
-    def one(text: str) -> dict:
-        try:
-            row = predict(pd.Series([text])).iloc[0]
-            return {**{label: float(row[label]) for label in labels}, "error": None}
-        except Exception as problem:
-            return {**dict.fromkeys(labels), "error": f"{type(problem).__name__}: {problem}"}
-
-    return pd.DataFrame([one(text) for text in texts], index=texts.index)
-
-
 def model_scores(
     df: DataFrame,
     factory: Callable[[], Predictor],
@@ -228,22 +215,33 @@ def model_scores(
         + [T.StructField("error", T.StringType())]
     )
 
+    # Both functions are local, so that they are sent to the workers whole and a worker need
+    # not have this package installed.
+    def one_by_one(predict: Predictor, texts: pd.Series) -> pd.DataFrame:
+        """After a failed batch: an error stays with its own row."""
+        rows = []
+        for text in texts:
+            try:
+                row = predict(pd.Series([text])).iloc[0]
+                rows.append({**{label: float(row[label]) for label in labels}, "error": None})
+            except Exception as problem:
+                rows.append({"error": f"{type(problem).__name__}: {problem}"})
+        return pd.DataFrame(rows, index=texts.index, columns=[*labels, "error"])
+
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         predict = factory()
         for texts in batches:
-            wanted = texts.notna() & (texts.str.strip() != "")
-            result = pd.DataFrame({label: float("nan") for label in labels}, index=texts.index)
-            result["error"] = None
-            if wanted.any():
-                chosen = texts[wanted]
+            result = pd.DataFrame(index=texts.index, columns=[*labels, "error"], dtype=object)
+            chosen = texts[texts.notna() & (texts.str.strip() != "")]
+            if len(chosen):
                 try:
-                    rows = predict(chosen)[labels].astype("float64").set_index(chosen.index)
-                    rows["error"] = None
+                    rows = predict(chosen)[labels].set_axis(chosen.index, axis=0).assign(error=None)
                 except Exception:
-                    rows = _predict_rows(predict, chosen, labels)
-                result.loc[wanted, [*labels, "error"]] = rows[[*labels, "error"]]
+                    rows = one_by_one(predict, chosen)
+                result.loc[chosen.index] = rows
             result[labels] = result[labels].astype("float64")
+            result["error"] = result["error"].where(result["error"].notna(), None)
             yield result
 
     out = df.withColumn("_model", run(F.col(text)))

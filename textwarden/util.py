@@ -13,6 +13,7 @@ BROADCAST_ROWS = 1_000_000
 """Most rows a narrow (a few numbers or one word) table may have to be broadcast."""
 
 SALTS = 64
+TASKS_PER_CORE = 4
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -88,7 +89,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Spread an input that was read in fewer splits than there are cores.
 
     A small file with a single row group is one split, and its texts would be worked off by
-    one core. Inputs with enough splits, as any large table has, pass unchanged.
+    one core. Inputs with enough splits, as any large table has, pass unchanged. Several tasks
+    per core even out long and short texts.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(TASKS_PER_CORE * cores) if df.rdd.getNumPartitions() < cores else df
