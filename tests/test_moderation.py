@@ -11,6 +11,7 @@ from textwarden.operators.moderation import (
     moderate,
     moderate_batches,
     moderate_safe,
+    observe_run,
 )
 
 DETECT = [
@@ -249,6 +250,15 @@ def test_batches_keep_order_and_add_up(spark):
     assert summary["flagged_count"] + summary["clean_count"] == summary["total_texts"]
 
 
+def test_run_counts_come_with_the_write(spark):
+    rows = moderate(frame(spark, ["You are an idiot", "Have a wonderful day!", "   "]))
+    observed, observation = observe_run(rows)
+    observed.write.format("noop").mode("overwrite").save()
+    assert observation.get == {
+        "total_texts": 3, "flagged_count": 1, "clean_count": 2, "skipped_count": 1
+    }
+
+
 def test_display_rows(spark):
     rows = display_rows(moderate(frame(spark, ["x" * 81, "   "]))).collect()
     assert (rows[0]["text"], rows[0]["threshold"]) == ("x" * 80 + "...", "0.5")

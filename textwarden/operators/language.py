@@ -113,7 +113,7 @@ def lookup_threshold(
 def learn_profile(
     df: DataFrame, text: str = "text", lang: str = "lang", top: int = 15, min_docs: int = 1
 ) -> DataFrame:
-    """Most frequent tokens per language, without tokens all languages rank: ``lang, tok, n, rank``.
+    """Most frequent tokens per language, without tokens ranked in all languages: ``lang, tok, n, rank``.
 
     Word counts are summed map-side. The ``rank <= top`` filter lets Spark keep only each
     task's best tokens before the shuffle, so the size of a language does not matter. Spark
@@ -130,12 +130,11 @@ def learn_profile(
     order = Window.partitionBy(lang).orderBy(F.desc("n"), "tok")
     ranked = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     # From here on there are at most ``top`` rows per language.
-    spread_of = Window.partitionBy("tok")
-    langs = F.size(F.collect_set(lang).over(Window.partitionBy()))
+    languages = df.select(F.count_distinct(lang)).scalar()
+    shared_by = F.count("*").over(Window.partitionBy("tok"))
     return (
-        ranked.withColumn("_langs", F.count("*").over(spread_of))
-        .withColumn("_all", langs)
-        .where((F.col("_langs") < F.col("_all")) | (F.col("_all") == 1))
+        ranked.withColumn("_shared_by", shared_by)
+        .where((F.col("_shared_by") < languages) | (languages == 1))
         .select(F.col(lang).alias("lang"), "tok", "n", F.col("rank").cast("bigint").alias("rank"))
     )
 

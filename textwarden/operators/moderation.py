@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from textwarden import config
@@ -196,6 +196,24 @@ def batch_summary(df: DataFrame, by: str | list[str] | None = None) -> DataFrame
     )
 
 
+def observe_run(moderated: DataFrame, name: str = "moderation") -> tuple[DataFrame, Observation]:
+    """Count a run while it is written: no second pass over the texts is needed for its summary.
+
+    Use the returned DataFrame for the write; afterwards ``observation.get`` holds
+    ``total_texts, flagged_count, clean_count`` and ``skipped_count`` (blank texts).
+    """
+    observation = Observation(name)
+    toxic = F.col("verdict") == "toxic"
+    observed = moderated.observe(
+        observation,
+        F.count(F.lit(1)).alias("total_texts"),
+        F.count_if(toxic).alias("flagged_count"),
+        F.count_if(~toxic).alias("clean_count"),
+        F.count_if(F.col("threshold_used").isNull()).alias("skipped_count"),
+    )
+    return observed, observation
+
+
 def display_rows(df: DataFrame, n: int = 80, text: str = "text") -> DataFrame:
     """The result table people read: shortened text, language, verdict, score, threshold."""
     toxic = F.try_element_at("categories", F.lit(S.TOXIC))["score"]

@@ -14,7 +14,7 @@ from textwarden import config
 from textwarden.functions import score as S
 from textwarden.functions import text as X
 from textwarden.functions.language import keep
-from textwarden.util import BROADCAST_ROWS, lookup_join, settle
+from textwarden.util import BROADCAST_ROWS, lookup_join, scratch_dir, settle
 
 MAX_LITERAL_WORDS = 5_000
 """Vocabulary up to which weights travel inside the query; larger ones are joined."""
@@ -164,8 +164,12 @@ def learn_model(
 def train_classifier(
     df: DataFrame, text: str = "text", truth: str = "expected", features: int = 1 << 14
 ):
-    """Fit Spark ML: the library's tokens, hashed term counts, IDF and logistic regression."""
-    from pyspark.ml import Pipeline
+    """Fit Spark ML: the library's tokens, hashed term counts, IDF and logistic regression.
+
+    The model is saved to the scratch folder and loaded from there: a fitted one drags its
+    training summary, session included, into every task, which Spark cannot always serialise.
+    """
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF
 
@@ -179,7 +183,9 @@ def train_classifier(
     rows = df.select(
         X.tokens(F.col(text)).alias("_tokens"), F.col(truth).cast("double").alias("_label")
     )
-    return Pipeline(stages=stages).fit(rows)
+    path = scratch_dir(df.sparkSession)
+    Pipeline(stages=stages).fit(rows).write().save(path)
+    return PipelineModel.load(path)
 
 
 def trained_scores(df: DataFrame, fitted, text: str = "text", out: str = "score_toxic") -> DataFrame:

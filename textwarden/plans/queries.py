@@ -22,7 +22,7 @@ from textwarden.sources.readers import (
     text_column,
 )
 from textwarden.streaming import online
-from textwarden.util import scratch_dir
+from textwarden.util import materialise, scratch_dir
 
 SENTENCE_END = r"[.!?\n]"
 DETECTED = ("en", "de", "es", "fr", "pt", "ca", "gl", config.UNKNOWN_LANGUAGE)
@@ -80,12 +80,23 @@ def by_max_label(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def labelled_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled documents with their text, written out: learning reads them more than once,
+    and should not search all documents for them each time."""
+    return materialise(
+        evaluate.attach_truth(
+            documents(spark, folder),
+            labelled(spark, folder),
+            lambda df: df,
+            "doc_id",
+            ["doc_id", "lang", "text"],
+        )
+    )
+
+
 def learned_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled documents under a keyword model learned from the same labels (a fit, not a test)."""
-    truth = labelled(spark, folder)
-    texts = evaluate.attach_truth(
-        documents(spark, folder), truth, lambda df: df, "doc_id", ["doc_id", "lang", "text"]
-    )
+    texts = labelled_texts(spark, folder)
     model = scoring.learn_model(texts, vocabulary=200, min_docs=5)
     scored = scoring.score_columns(texts, model=model)
     return scored.select("doc_id", "lang", "expected", F.col("score_toxic").alias("score"))
@@ -376,18 +387,12 @@ def q_toxic_score(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_token_weights(spark: SparkSession, folder: str) -> DataFrame:
-    texts = evaluate.attach_truth(
-        documents(spark, folder), labelled(spark, folder), lambda df: df, "doc_id", ["doc_id", "text"]
-    )
-    return scoring.token_weights(texts, min_docs=5)
+    return scoring.token_weights(labelled_texts(spark, folder), min_docs=5)
 
 
 def q_trained_scores(spark: SparkSession, folder: str) -> DataFrame:
-    texts = documents(spark, folder)
-    train = evaluate.attach_truth(
-        texts, labelled(spark, folder), lambda df: df, "doc_id", ["doc_id", "text"]
-    )
-    scored = scoring.trained_scores(texts, scoring.train_classifier(train))
+    fitted = scoring.train_classifier(labelled_texts(spark, folder))
+    scored = scoring.trained_scores(documents(spark, folder), fitted)
     return scored.select(
         "doc_id",
         F.round("score_toxic", 4).alias("score"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textwarden import config
-from textwarden.util import spread
+from textwarden.util import settle, spread
 
 SINGLE_REQUEST = T.StructType(
     [
@@ -93,7 +93,8 @@ def parse_requests(df: DataFrame, body: str, batch: bool = False) -> DataFrame:
     """Replace a column of JSON request bodies by the fields of the request."""
     schema = BATCH_REQUEST if batch else SINGLE_REQUEST
     others = [name for name in df.columns if name != body]
-    return df.withColumn("_request", F.from_json(body, schema)).select(*others, "_request.*")
+    fields = df.withColumn("_request", F.from_json(body, schema)).select(*others, "_request.*")
+    return settle(fields, *schema.names)
 
 
 def labelled_rows(spark: SparkSession, rows: Sequence[dict]) -> DataFrame:
