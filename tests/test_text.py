@@ -3,6 +3,8 @@
 import re
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from textwarden import config
@@ -122,3 +124,23 @@ def test_null_text_stays_null(spark):
         T.sanitise(F.col("text")), T.word_count(F.col("text")), T.preview(F.col("text"), 5)
     )
     assert row.first()[0] is None
+
+
+# Few letters and many kinds of space make runs, blanks and paddings likely.
+ALPHABET = st.one_of(st.sampled_from("aab!.  \n\r\t\x0b\x1c\x85\xa0\u2003\u2028🔥ह"), st.characters(exclude_categories=["Cs", "Cn"]))
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.text(ALPHABET, max_size=40), min_size=100, max_size=300))
+def test_any_text(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    text = F.col("text")
+    got = rows.orderBy("id").select(
+        T.strip(text), T.word_count(text), T.collapse_repeats(text), T.preview(text, 5),
+        T.has_words(T.strip(text), 3),
+    ).collect()
+    want = [
+        (t.strip(), len(t.split()), collapse(t), t[:5] + "..." if len(t) > 5 else t, len(t.split()) >= 3)
+        for t in texts
+    ]
+    assert [tuple(row) for row in got] == want

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from textwarden import config
 
-DEVANAGARI_TOKEN = r"^[\u0900-\u097f]"
-ARABIC_TOKEN = r"^[\u0600-\u06ff\u0750-\u077f]"
-OTHER_SCRIPTS = r"[\u0600-\u06ff\u0750-\u077f\u0900-\u097f]"
+# Code points a token may start with, by script: first ones and the ones after the last.
+ARABIC = ((0x0600, 0x0700), (0x0750, 0x0780))
+DEVANAGARI = ((0x0900, 0x0980),)
 
 # Letters or words that tell the languages sharing a script apart.
 URDU_LETTERS = "[ٹڈڑںھہے]"
@@ -52,6 +52,22 @@ def keep(tokens: str, words: Sequence[str]) -> Column:
     return F.expr(kept(tokens, words))
 
 
+def starts_in(token: str, *scripts: Sequence[tuple[int, int]]) -> str:
+    """SQL for a token starting in a script. Strings compare by code point, so this needs no
+    search, and for Latin tokens it ends at the first comparison."""
+    ranges = [pair for script in scripts for pair in script]
+    lowest = min(first for first, _ in ranges)
+    within = [f"({token} >= '{chr(first)}' and {token} < '{chr(end)}')" for first, end in ranges]
+    return f"({token} >= '{chr(lowest)}' and ({' or '.join(within)}))"
+
+
+def known_tokens(tokens: str, words: Sequence[str]) -> Column:
+    """Tokens that can count: those among ``words`` and those in another script."""
+    other = starts_in("t", ARABIC, DEVANAGARI)
+    among = f"t in ({quoted(words)}) or " if words else ""
+    return F.expr(f"filter({tokens}, t -> {among}{other})")
+
+
 def arabic_script_language(text: Column) -> Column:
     return (
         F.when(text.rlike(URDU_LETTERS), "ur").when(text.rlike(PERSIAN_LETTERS), "fa").otherwise("ar")
@@ -62,21 +78,21 @@ def devanagari_language(text: Column) -> Column:
     return F.when(text.rlike(MARATHI_SIGNS), "mr").when(text.rlike(NEPALI_SIGNS), "ne").otherwise("hi")
 
 
-def script_votes(text: Column, tokens: Column) -> Column:
-    """Struct of the two script votes; the token pass only runs where such letters occur.
+def script_votes(text: Column, known: str) -> Column:
+    """Struct of the two script votes, null for texts whose tokens all come before these scripts.
 
-    Comparing lengths first spares plain ASCII texts the search for them.
+    ``known`` names the array column made by :func:`known_tokens`.
     """
 
-    def count(pattern: str) -> Column:
-        return F.size(F.filter(tokens, lambda t: t.rlike(pattern)))
+    def tokens_in(*scripts: Sequence[tuple[int, int]]) -> str:
+        return f"filter({known}, t -> {starts_in('t', *scripts)})"
 
     return F.when(
-        (F.octet_length(text) > F.char_length(text)) & text.rlike(OTHER_SCRIPTS),
+        F.array_max(known) >= chr(ARABIC[0][0]),
         F.struct(
-            count(ARABIC_TOKEN).alias("arabic"),
+            F.expr(f"size({tokens_in(ARABIC)})").alias("arabic"),
             arabic_script_language(text).alias("arabic_lang"),
-            count(DEVANAGARI_TOKEN).alias("devanagari"),
+            F.expr(f"size({tokens_in(DEVANAGARI)})").alias("devanagari"),
             devanagari_language(text).alias("devanagari_lang"),
         ),
     )
@@ -85,8 +101,8 @@ def script_votes(text: Column, tokens: Column) -> Column:
 def ballot(hits: str, script: str, profile: Mapping[str, Sequence[str]]) -> Column:
     """Array of ``(rank, lang)`` with rank = -votes, one entry per possible language.
 
-    ``hits`` names the array column of tokens narrowed to marker words, ``script`` the column
-    made by :func:`script_votes`.
+    ``hits`` names the array column made by :func:`known_tokens`, ``script`` the column made by
+    :func:`script_votes`.
     """
 
     def entry(votes: str, lang: str) -> str:

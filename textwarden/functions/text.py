@@ -92,9 +92,14 @@ def label_key(label: Column) -> Column:
     return F.translate(F.lower(label), " ", "_")
 
 
+def pieces(text: Column) -> Column:
+    """Tokens of the whole text as they fall: blank ones may stand at the ends."""
+    return F.split(F.lower(text), TOKEN_BREAK)
+
+
 def tokens(text: Column, max_tokens: int | None = None) -> Column:
     """Lower-cased word tokens of the whole text, or of its first ``max_tokens`` tokens."""
-    words = F.array_remove(F.split(F.lower(text), TOKEN_BREAK), "")
+    words = F.array_remove(pieces(text), "")
     return words if max_tokens is None else F.slice(words, 1, max_tokens)
 
 

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from textwarden import config
 from textwarden.functions import text as T
-from textwarden.functions.language import OTHER_SCRIPTS
 from textwarden.util import is_small
 
 COUNTS = ("tp", "fp", "fn", "tn")
+OTHER_SCRIPTS = r"[\u0600-\u06ff\u0750-\u077f\u0900-\u097f]"
 
 
 def attach_truth(
@@ -312,7 +312,7 @@ def edge_kind(text: Column) -> Column:
         .when(~T.has_words(stripped, config.MIN_WORDS), "short")
         .when(stripped.rlike(T.REPEAT_RUN), "repeats")
         .when(stripped.rlike(r"\p{Lu}") & (F.upper(stripped) == stripped), "caps")
-        .when(stripped.rlike(r"[A-Za-z]") & stripped.rlike(OTHER_SCRIPTS), "mixed_script")
+        .when(stripped.rlike("[A-Za-z]") & stripped.rlike(OTHER_SCRIPTS), "mixed_script")
         .otherwise("plain")
     )
 

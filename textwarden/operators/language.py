@@ -20,9 +20,9 @@ def with_ballot(
 ) -> DataFrame:
     """Add the language votes of a text as an array column."""
     return (
-        df.withColumn("_tokens", T.tokens(F.col(text)))
-        .withColumn("_hits", L.keep("_tokens", L.markers(profile)))
-        .withColumn("_script", L.script_votes(F.col(text), F.col("_tokens")))
+        df.withColumn("_tokens", T.pieces(F.col(text)))
+        .withColumn("_hits", L.known_tokens("_tokens", L.markers(profile)))
+        .withColumn("_script", L.script_votes(F.col(text), "_hits"))
         .withColumn(out, L.ballot("_hits", "_script", profile))
         .drop("_tokens", "_hits", "_script")
     )

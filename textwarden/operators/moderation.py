@@ -50,16 +50,15 @@ def read_text(
     """
     out = df.withColumn("_stripped", T.strip(F.col(text)))
     out = out.withColumn("_cleaned", T.collapse_repeats(F.col("_stripped")))
-    out = out.withColumn("_tokens", T.tokens(F.col("_cleaned")))
+    words = T.pieces if max_tokens is None else T.tokens
+    out = out.withColumn("_tokens", words(F.col("_cleaned")))
     wanted = tuple(sorted({*L.markers(profile), *model.vocabulary}))
-    known = {
-        "_known": L.keep("_tokens", wanted),
-        "_script": L.script_votes(F.col("_cleaned"), F.col("_tokens")),
-    }
-    scored = "_known"
+    known, scored = {"_known": L.known_tokens("_tokens", wanted)}, "_known"
     if max_tokens is not None:
         scored = "_scored"
         known[scored] = L.keep(f"slice(_tokens, 1, {int(max_tokens)})", model.vocabulary)
+    out = out.withColumns(known)
+    out = out.withColumn("_script", L.script_votes(F.col("_cleaned"), "_known"))
     logits = S.label_logits(scored, model)
     found = {
         "_blank": F.col("_stripped") == "",
@@ -67,7 +66,7 @@ def read_text(
         "warnings": T.warnings(F.col("_stripped"), min_words),
         **{f"_x_{label}": logit for label, logit in logits.items()},
     }
-    return settle(out.withColumns(known).withColumns(found), *found)
+    return settle(out.withColumns(found), *found)
 
 
 def moderate(
@@ -158,7 +157,8 @@ def moderate_safe(
     texts), ``max_score`` and ``note``. ``label=None`` routes by the best score of all labels.
     """
     out = df.withColumn("_long", T.has_words(T.strip(F.col(text)), min_words))
-    words = T.tokens(T.normalise_strict(F.col(text), keep_marks), max_tokens)
+    plain = T.normalise_strict(F.col(text), keep_marks)
+    words = T.pieces(plain) if max_tokens is None else T.tokens(plain, max_tokens)
     out = out.withColumn("_words", words).withColumn("_hits", L.keep("_words", model.vocabulary))
     scores = S.label_scores("_hits", model)
     best = S.max_score(scores) if label is None else scores[label]

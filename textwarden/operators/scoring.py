@@ -37,7 +37,8 @@ def score_columns(
     vocabulary = model.vocabulary
     if len(vocabulary) > MAX_LITERAL_WORDS:
         raise ValueError(f"more than {MAX_LITERAL_WORDS} words: use score_by_join")
-    out = df.withColumn("_tokens", X.tokens(F.col(text), max_tokens))
+    words = X.pieces(F.col(text)) if max_tokens is None else X.tokens(F.col(text), max_tokens)
+    out = df.withColumn("_tokens", words)
     out = out.withColumn("_hits", keep("_tokens", vocabulary))
     logits = S.label_logits("_hits", model)
     scores = {prefix + label: activation(logit) for label, logit in logits.items()}

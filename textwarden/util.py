@@ -86,11 +86,13 @@ def settle(df: DataFrame, *names: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread an input that was read in fewer splits than there are cores.
+    """Spread an input that would leave more than half of the cores idle.
 
     A small file with a single row group is one split, and its texts would be worked off by
     one core. Inputs with enough splits, as any large table has, pass unchanged. Several tasks
-    per core even out long and short texts.
+    per core even out long and short texts. Meant for a table as it is read, before any join.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(TASKS_PER_CORE * cores) if df.rdd.getNumPartitions() < cores else df
+    if 2 * df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(TASKS_PER_CORE * cores)
