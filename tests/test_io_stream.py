@@ -119,6 +119,20 @@ def test_filters_reach_the_scan_and_run_once(spark):
     assert plan.count("regexp_replace") == 1
 
 
+@pytest.mark.parametrize("name", ["head_preview", "recent_history"])
+def test_first_rows_need_no_full_sort(spark, name):
+    plan = plan_of(entry.queries()[name](spark, FOLDER))
+    assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
+
+
+def test_no_query_crosses_or_runs_row_python(spark):
+    run = entry.queries()
+    for name in sorted(set(run) - {"trained_scores", "stream_moderate"}):
+        plan = plan_of(run[name](spark, FOLDER))
+        for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+            assert word not in plan, name
+
+
 def test_lookup_is_a_broadcast_join(spark):
     plan = plan_of(entry.queries()["threshold_lookup"](spark, FOLDER))
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -134,7 +134,7 @@ def learn_profile(
     shared_by = F.count("*").over(Window.partitionBy("tok"))
     return (
         ranked.withColumn("_shared_by", shared_by)
-        .where((F.col("_shared_by") < languages) | (languages == 1))
+        .where(F.col("_shared_by") < F.greatest(languages, F.lit(2)))
         .select(F.col(lang).alias("lang"), "tok", "n", F.col("rank").cast("bigint").alias("rank"))
     )
 

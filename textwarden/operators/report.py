@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textwarden.functions import text as T
+from textwarden.util import lookup_join, settle
 
 METRIC_FIELDS = ("accuracy", "precision", "recall", "f1", "tp", "fp", "fn", "tn", "total")
 
@@ -23,7 +26,7 @@ def report_lines(metrics: DataFrame, by: str = "lang", names: DataFrame | None =
     out = metrics
     label = F.col(by)
     if names is not None:
-        out = metrics.join(names, F.col(by) == F.col("code"), "left")
+        out = lookup_join(metrics, names.withColumnRenamed("code", by), by)
         label = F.coalesce(F.col("name"), F.col(by))
     shown = F.when(F.col(by) == "overall", F.lit("**Overall**")).otherwise(label)
     line = F.concat(
@@ -61,12 +64,20 @@ def report_document(metrics: DataFrame, model: str, threshold: float, by: str =
     )
 
 
+def _first(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
+    """The first ``n`` rows: each task keeps its best ``n``, no full sort.
+
+    Settled, since Spark would otherwise move work on the result below the limit, to all rows.
+    """
+    return settle(df.orderBy(*order).limit(n), *df.columns)
+
+
 def head_preview(df: DataFrame, order: str, text: str = "text", n: int = 5) -> DataFrame:
     """The first rows in an explicit order."""
-    return df.select(order, text).orderBy(order).limit(n)
+    return _first(df.select(order, text), [F.asc(order)], n)
 
 
 def recent(df: DataFrame, order: str | list[str], n: int = 20) -> DataFrame:
     """The newest rows, newest first."""
     columns = [order] if isinstance(order, str) else order
-    return df.orderBy(*[F.desc(name) for name in columns]).limit(n)
+    return _first(df, [F.desc(name) for name in columns], n)
