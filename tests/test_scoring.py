@@ -118,6 +118,8 @@ def test_own_model_keeps_errors_to_their_rows(spark):
     assert found[0] == (0.05, None) and found[4] == (0.1, None)
     assert found[1] == (None, "RuntimeError: cannot read this")
     assert found[2] == (None, None) and found[3] == (None, None)
+    failed = scoring.model_scores(df, fragile, ["toxic"]).where("error IS NOT NULL")
+    assert failed._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
 
 
 def test_scores_long(texts):

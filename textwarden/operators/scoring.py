@@ -195,9 +195,10 @@ def trained_scores(df: DataFrame, fitted, text: str = "text", out: str = "score_
 
     scored = fitted.transform(df.withColumn("_tokens", X.tokens(F.col(text))))
     probability = vector_to_array(F.col("probability"))
-    return scored.withColumn(out, probability[1]).drop(
+    done = scored.withColumn(out, probability[1]).drop(
         "_tokens", "_tf", "_features", "rawPrediction", "probability", "prediction"
     )
+    return settle(done, out)
 
 
 Predictor = Callable[[pd.Series], pd.DataFrame]
@@ -251,7 +252,7 @@ def model_scores(
             result["error"] = result["error"].where(result["error"].notna(), None)
             yield result
 
-    out = df.withColumn("_model", run(F.col(text)))
+    out = settle(df.withColumn("_model", run(F.col(text))), "_model")
     columns = {
         prefix + label: F.when(F.isnan(f"_model.{label}"), None).otherwise(F.col(f"_model.{label}"))
         for label in labels

@@ -22,7 +22,7 @@ from textwarden.sources.readers import (
     text_column,
 )
 from textwarden.streaming import online
-from textwarden.util import materialise, scratch_dir
+from textwarden.util import materialise, scratch_dir, wanted_tasks
 
 SENTENCE_END = r"[.!?\n]"
 DETECTED = ("en", "de", "es", "fr", "pt", "ca", "gl", config.UNKNOWN_LANGUAGE)
@@ -475,10 +475,11 @@ def q_display_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def q_stream_moderate(spark: SparkSession, folder: str) -> DataFrame:
     """The documents as a stream, moderated into a history table until the input is used up."""
-    schema = read_table(spark, folder, "documents").schema
-    stream = online.read_stream(spark, folder, schema, "documents.parquet")
+    table = read_table(spark, folder, "documents")
+    stream = online.read_stream(spark, folder, table.schema, "documents.parquet")
+    texts = stream.select("doc_id", "text")
     base = scratch_dir(spark)
-    rows = _moderated_rows(online.moderate_stream(stream))
+    rows = _moderated_rows(online.moderate_stream(texts, tasks=wanted_tasks(table)))
     query = online.append_history(rows, f"{base}/history", f"{base}/state", available_now=True)
     query.awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{base}/history")

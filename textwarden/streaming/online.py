@@ -25,10 +25,16 @@ def read_stream(
     return reader.load(folder)
 
 
-def moderate_stream(stream: DataFrame, text: str = "text", **options: object) -> DataFrame:
-    """Moderate a stream. Stateless: weights and thresholds are part of the expressions."""
+def moderate_stream(
+    stream: DataFrame, text: str = "text", tasks: int | None = None, **options: object
+) -> DataFrame:
+    """Moderate a stream. Stateless: weights and thresholds are part of the expressions.
+
+    ``tasks`` spreads every batch, for sources that deliver few large files.
+    """
     if not stream.isStreaming:
         raise ValueError("moderate_stream takes a streaming DataFrame; use moderate for tables")
+    stream = stream if tasks is None else stream.repartition(tasks)
     return moderate(stream, text, **options)
 
 

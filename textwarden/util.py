@@ -85,14 +85,18 @@ def settle(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*others, F.inline(F.array(F.struct(*names))))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread an input that would leave more than half of the cores idle.
+def wanted_tasks(df: DataFrame) -> int | None:
+    """Number of tasks to spread an input to, None if it has enough splits as it is.
 
-    A small file with a single row group is one split, and its texts would be worked off by
-    one core. Inputs with enough splits, as any large table has, pass unchanged. Several tasks
-    per core even out long and short texts. Meant for a table as it is read, before any join.
+    Only an input that would leave more than half of the cores idle is spread, such as a small
+    file with a single row group; any large table has enough. Several tasks per core even out
+    long and short texts. Meant for a table as it is read, before any join.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if 2 * df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(TASKS_PER_CORE * cores)
+    return None if 2 * df.rdd.getNumPartitions() >= cores else TASKS_PER_CORE * cores
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition an input read in too few splits, so that not one core does all the work."""
+    tasks = wanted_tasks(df)
+    return df if tasks is None else df.repartition(tasks)
