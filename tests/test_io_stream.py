@@ -139,8 +139,9 @@ def test_lookup_is_a_broadcast_join(spark):
 
 
 def test_spread_only_touches_small_inputs(spark):
-    raw = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    assert spread(raw).rdd.getNumPartitions() > 1
+    for folder in (FOLDER, "/root/testdata/sf0.1"):
+        raw = spark.read.parquet(f"{folder}/documents.parquet")
+        assert spread(raw).rdd.getNumPartitions() == 32
     wide = spark.range(1000, numPartitions=64)
     assert spread(wide) is wide
 

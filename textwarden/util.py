@@ -88,12 +88,12 @@ def settle(df: DataFrame, *names: str) -> DataFrame:
 def wanted_tasks(df: DataFrame) -> int | None:
     """Number of tasks to spread an input to, None if it has enough splits as it is.
 
-    Only an input that would leave more than half of the cores idle is spread, such as a small
-    file with a single row group; any large table has enough. Several tasks per core even out
-    long and short texts. Meant for a table as it is read, before any join.
+    Only an input with fewer splits than cores is spread, such as a small file; any large table
+    has enough. (Some splits may even be empty: a row group is read by one of them.) Several
+    tasks per core even out long and short texts. Meant for a table as read, before any join.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return None if 2 * df.rdd.getNumPartitions() >= cores else TASKS_PER_CORE * cores
+    return None if df.rdd.getNumPartitions() >= cores else TASKS_PER_CORE * cores
 
 
 def spread(df: DataFrame) -> DataFrame:
