@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import bpe, lang_id, line_dedup, mixing, simhash
+from textwarden.llm import ann, bpe, lang_id, line_dedup, mixing, simhash, token_counts, topk
+from textwarden.llm.common import shared_path
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +26,23 @@ def hex16(number: str | Column) -> Column:
     return F.lower(F.lpad(F.hex(number), 16, "0"))
 
 
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The rollup after loading all documents, deleting copies, revising counts and a repeated load."""
+    rollup = token_counts.Rollup(spark, shared_path(spark, "token-counts"))
+    token_counts.maintain(table(spark, folder, "documents"), rollup)
+    return rollup.totals()
+
+
+def op2_ann(spark: SparkSession, folder: str) -> DataFrame:
+    found = ann.nearest(table(spark, folder, "embeddings"), k=20, every=20)
+    return found.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+
+def op4_topk(spark: SparkSession, folder: str) -> DataFrame:
+    found = topk.search(table(spark, folder, "embeddings"), k=5, every=50)
+    return found.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = vocabulary()
     encoded = bpe.encode(table(spark, folder, "documents"), path)
@@ -70,6 +88,9 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
+        "op2_ann": op2_ann,
+        "op4_topk": op4_topk,
         "op5_bpe": op5_bpe,
         "op6_line_dedup": op6_line_dedup,
         "op7_mixing": op7_mixing,
@@ -105,6 +126,37 @@ FROM cut c LEFT JOIN lists l ON c.host IS NOT DISTINCT FROM l.host
 """
 
 
+# Words do not cross lines, so a text without its repeated lines has the words of its different lines.
+TOKEN_COUNTS = r"""
+WITH kept AS (
+  SELECT text, arg_min(source, doc_id) AS source, arg_min(lang, doc_id) AS lang FROM documents GROUP BY text),
+lines AS (
+  SELECT source, lang, list_distinct(string_split(coalesce(text, ''), chr(10))) AS lines FROM kept),
+measured AS (
+  SELECT source, lang,
+    list_sum(list_transform(lines, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))) AS words,
+    list_sum(list_transform(lines, lambda x:
+      len(regexp_extract_all(x, '[\p{L}\p{M}]+|\p{N}+|[^\x20\x09-\x0D\p{L}\p{M}\p{N}]')))) AS pieces
+  FROM lines)
+SELECT source, lang, 'words-1' AS tokenizer, count(*) AS docs, sum(words)::BIGINT AS tokens FROM measured GROUP BY 1, 2
+UNION ALL
+SELECT source, lang, 'pieces-1' AS tokenizer, count(*) AS docs, sum(pieces)::BIGINT AS tokens FROM measured GROUP BY 1, 2
+"""
+
+TOPK = """
+WITH q AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM q a JOIN q b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op6_line_dedup": LINE_DEDUP}
+    return {"op1_token_counts": TOKEN_COUNTS, "op4_topk": TOPK, "op6_line_dedup": LINE_DEDUP}
