@@ -20,10 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PER_LANGUAGE = 400
+PER_LANGUAGE = 200
 """Bound of the training sample: texts of each language."""
 
-BUCKETS = 1 << 13
+BUCKETS = 1 << 12
 RIDGE = 1e-3
 PIECE = 1 << 20
 UNDETERMINED = "und"
