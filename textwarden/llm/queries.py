@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import ann, bpe, lang_id, line_dedup, mixing, simhash, token_counts, topk
+from textwarden.llm import ann, bpe, lang_id, line_dedup, mixing, pii, simhash, token_counts, topk
 from textwarden.llm.common import shared_path
 
 
@@ -86,6 +86,23 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.learn(docs)).select("doc_id", "_pii")
+
+    def written(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    fixed = F.filter("_pii", lambda s: s["fixed"])
+    counts = [
+        F.size(F.filter(fixed, lambda s, kind=kind: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+        for kind in pii.KINDS
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(written(fixed), 256).alias("base_sha256"), written(F.col("_pii")).alias("spans")
+    )
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -96,6 +113,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_mixing": op7_mixing,
         "op8_language_id": op8_language_id,
         "op9_simhash": op9_simhash,
+        "op10_pii": op10_pii,
     }
 
 
