@@ -390,7 +390,7 @@ def added_spans(
 
 
 SPAN = (
-    T.StructType().add("kind", "string").add("start", "bigint").add("end", "bigint").add("fixed", "boolean")
+    T.StructType().add("kind", "string").add("start", "long").add("end", "long").add("fixed", "boolean")
 )
 
 

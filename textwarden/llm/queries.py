@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import ann, bpe, lang_id, line_dedup, mixing, pii, simhash, token_counts, topk
+from textwarden.llm import ann, bpe, lang_id, line_dedup, mixing, pii, simhash, suffix_dedup, token_counts, topk
 from textwarden.llm.common import shared_path
 
 
@@ -38,6 +38,18 @@ def op2_ann(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    lengths = F.transform("spans", lambda s: s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate(lengths, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        "kept_sha256",
+    )
+
+
 def op4_topk(spark: SparkSession, folder: str) -> DataFrame:
     found = topk.search(table(spark, folder, "embeddings"), k=5, every=50)
     return found.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
@@ -107,6 +119,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_ann": op2_ann,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_topk": op4_topk,
         "op5_bpe": op5_bpe,
         "op6_line_dedup": op6_line_dedup,
