@@ -106,10 +106,11 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
     fixed = F.filter("_pii", lambda s: s["fixed"])
-    counts = [
-        F.size(F.filter(fixed, lambda s, kind=kind: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
-        for kind in pii.KINDS
-    ]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(fixed, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.KINDS]
     return found.select(
         "doc_id", *counts, F.sha2(written(fixed), 256).alias("base_sha256"), written(F.col("_pii")).alias("spans")
     )
