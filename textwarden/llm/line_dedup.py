@@ -53,7 +53,7 @@ def _key(line: Column) -> Column:
 
 def line_keys(text: str) -> Column:
     """The different non-blank lines of a text, as hashes."""
-    kept = F.filter(F.transform(F.split(F.col(text), "\n"), F.trim), lambda x: x != "")
+    kept = F.filter(F.transform(F.split(F.col(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_distinct(F.transform(kept, _key))
 
 
@@ -69,8 +69,9 @@ def drop_frequent(
     Adds ``_lines_removed``. Lines end with a line feed; they are compared without outer spaces, the
     lines that stay are unchanged and in order, blank ones too. Null texts stay null and count as
     pages without lines. A null host is a host of its own. A text all of whose lines go becomes empty.
-    Columns of ``pages`` must not start with ``_tw_``.
+    Other columns may have any name that does not start with ``_tw_``; a ``_lines_removed`` is replaced.
     """
+    pages = pages.drop("_lines_removed")
     narrow = pages.select(F.col(host).alias("host"), F.col(text).alias("text"))
     lists = (
         frequent_lines(narrow, ratio, min_pages)
