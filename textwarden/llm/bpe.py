@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textwarden.llm.common import stored
+from textwarden.llm.common import bounded_batches, stored
 
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 2_000_000
 IDS_AT_ONCE = 1_000_000
 ENCODE_AT_ONCE = 4096
 
@@ -96,6 +96,7 @@ def blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
                 yield rows(block, doc_ids, codes, [], [])
         yield from listed(block, words)
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
 
 
@@ -187,9 +188,11 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """``encoded(..., ids)`` -> the same rows plus ``decoded``: their pieces joined by blanks.
 
     Ids meet the table of pieces, whose size is the vocabulary's, by a hash join inside every
-    batch. That is what the library does for a vocabulary without a decoder. Unknown ids give no piece.
+    batch. That is what the library does for a vocabulary without a decoder. Unknown ids give no piece, null ids the empty
+    text; a column ``decoded`` is replaced.
     """
     table = pieces(vocabulary)
+    encoded = encoded.drop("decoded")
     schema = T.StructType([*encoded.schema.fields]).add("decoded", "string")
     size = table.column("id").to_numpy().max(initial=-1) + 1
 

@@ -27,6 +27,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the batches that go to Python by bytes: 10,000 whole texts may be any size."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(str(spark.conf.get(name, str(BATCH_BYTES))).rstrip("b") or BATCH_BYTES)
+    if now > BATCH_BYTES or now <= 0:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a result to the shared folder and read it back: a cut in the lineage that survives
     lost executors and is computed once however often it is read."""

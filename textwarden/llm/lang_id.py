@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textwarden.llm.common import bounded_batches
+
 PER_LANGUAGE = 200
 """Bound of the training sample: texts of each language."""
 
@@ -241,9 +243,10 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """All rows and columns of ``docs`` plus ``_lang_pred`` and ``_lang_score``, from ``text`` alone.
 
-    Texts that are null or have no letter are ``und`` with score 0, and so are all texts if there
+    Columns of these names are replaced. Texts that are null or have no letter are ``und`` with score 0, and so are all texts if there
     was nothing to learn from.
     """
+    docs = docs.drop("_lang_pred", "_lang_score")
     schema = T.StructType([*docs.schema.fields]).add("_lang_pred", "string").add("_lang_score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,4 +259,5 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_lang_pred", "_lang_score"])
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)

@@ -178,17 +178,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, g
 
 
 def take_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """The mixed documents, all columns: every document as many times as the mix takes it."""
+    """The mixed documents, all columns: every document as many times as the mix takes it.
+
+    Documents without words are not in the mix. Other columns may have any name that does not start
+    with ``_tw_``. Of rows that repeat id, source and text any one stands for all of them.
+    """
     copies = (
         mix(docs, weights, most)
         .where("copies > 0")
-        .groupBy(F.col("doc_id").alias("_doc_id"), F.col("key").alias("_key"))
-        .agg(F.sum("copies").alias("_copies"))
+        .groupBy(F.col("doc_id").alias("_tw_doc_id"), F.col("key").alias("_tw_key"))
+        .agg(F.sum("copies").alias("_tw_copies"))
     )
     names = docs.columns
-    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "source", "text"))
-    joined = keyed.dropDuplicates(["doc_id", "_row_key"]).join(
-        copies, (F.col("_row_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))
+    keyed = docs.withColumn("_tw_row_key", F.xxhash64("doc_id", "source", "text"))
+    joined = keyed.dropDuplicates(["doc_id", "_tw_row_key"]).join(
+        copies, (F.col("_tw_row_key") == F.col("_tw_key")) & F.col("doc_id").eqNullSafe(F.col("_tw_doc_id"))
     )
-    times = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))
-    return joined.select(*names, times.alias("_time")).drop("_time")
+    times = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_tw_copies")))
+    return joined.select(*names, times.alias("_tw_time")).drop("_tw_time")

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textwarden.llm.common import bounded_batches
+
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *KINDS)
 SAMPLE = 200
@@ -34,7 +36,7 @@ SAMPLE_CHARS = 20_000
 
 SHAPES = 1 << 12
 TRAIN_WORDS = 120
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 # --- Fixed patterns -------------------------------------------------------------------
 
@@ -397,8 +399,9 @@ SPAN = (
 def find(docs: DataFrame, field: Field) -> DataFrame:
     """All rows and columns of ``docs(text, ...)`` plus ``_pii``: the spans of the whole text, by
     kind and start, in code points with exclusive end; ``fixed`` tells the patterns' from the
-    field's. Null, empty and blank texts have none."""
+    field's. Null, empty and blank texts have none. A column ``_pii`` is replaced."""
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("fixed", pa.bool_())])
+    docs = docs.drop("_pii")
     schema = T.StructType([*docs.schema.fields]).add("_pii", T.ArrayType(SPAN))
 
     def spans(texts: list[str]) -> list[list[dict]]:
@@ -423,4 +426,5 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
                 [*batch.columns, pa.array(found, pa.list_(span))], [*batch.schema.names, "_pii"]
             )
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import components, discard, stored
+from textwarden.llm.common import bounded_batches, components, stored
 
 SEED = 42
 SHINGLE = 4
@@ -70,6 +70,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
             fp = pa.array(np.array(found, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fp], ["doc_id", "fp"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
         run, "doc_id bigint, fp bigint"
     )

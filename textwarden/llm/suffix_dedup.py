@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import stored
+from textwarden.llm.common import bounded_batches, stored
 
 LENGTH = 100
 GRAM = 32
@@ -40,7 +40,7 @@ BEFORE = LENGTH - GRAM
 """A string begins at most so many bytes before its anchor."""
 
 CLASS = 50_000
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 ANCHORS_AT_ONCE = 20_000
 CONTEXTS_HELD = 50_000
 
@@ -472,6 +472,7 @@ def remove_repeats(docs: DataFrame, crowd: int = CLASS) -> DataFrame:
     each gets its result; ids are otherwise taken to be unique. Rows without an id come last, in
     order of a hash of their text.
     """
+    bounded_batches(docs.sparkSession)
     rows = keyed(docs.select("doc_id", "text"))
     dirty, runs = repeated_runs(rows, crowd)
     spans = runs.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
