@@ -118,7 +118,8 @@ def test_calibration_prefers_the_higher_threshold_of_equals(spark):
     found = by(evaluate.calibrate(df, [0.1, 0.3, 0.5, 0.7, 0.85]), "lang")
     assert (found["x"]["threshold"], found["x"]["f1"], found["x"]["separable"]) == (0.7, 1.0, True)
     assert not found["y"]["separable"]
-    assert evaluate.thresholds_from(evaluate.calibrate(df, [0.5, 0.7])) == {"x": 0.7}
+    used = evaluate.calibrated_thresholds(df, evaluate.calibrate(df, [0.5, 0.7]))
+    assert {r["lang"]: r["threshold"] for r in used.collect()} == {"x": 0.7, "y": None}
 
 
 def test_parallel_texts_and_gap(spark):
@@ -174,22 +175,28 @@ def test_append_labelled_rows(spark):
     assert both.count() == 2 and both.where("category IS NULL").count() == 1
 
 
-def test_attach_truth_both_ways(spark, monkeypatch):
+def test_attach_truth_both_ways(spark):
     texts = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "id int, text string")
-    truth = spark.createDataFrame([(i, i % 2) for i in range(0, 20, 3)], "id int, expected int")
+    truth = spark.createDataFrame([(i, i % 2) for i in range(0, 20, 3)] + [(3, 0)], "id int, expected int")
 
     def score(df):
         return df.withColumn("score", F.length("text"))
 
     results = []
-    for small in (True, False):
-        monkeypatch.setattr(evaluate, "is_small", lambda df, small=small: small)
-        df = evaluate.attach_truth(texts, truth, score, "id", ["id", "score"])
+    for first in (True, False):
+        df = evaluate.attach_truth(texts, truth, score, "id", ["id", "score"], score_first=first)
         assert df.columns == ["id", "score", "expected"]
         results.append(sorted(map(tuple, df.collect())))
     assert results[0] == results[1] and len(results[0]) == 7
 
 
+def test_undecided_rows_are_counted_apart(spark):
+    df = spark.createDataFrame([("a", 1, 1), ("a", 0, None), ("a", 0, 0)], "lang string, expected int, predicted int")
+    row = by(evaluate.metrics(df), "lang")["a"]
+    assert (row["tp"], row["tn"], row["total"], row["undecided"], row["accuracy"]) == (1, 1, 2, 1, 1.0)
+    assert evaluate.accuracy(df).first()["accuracy"] == 1.0
+
+
 def test_report(published, spark):
     metrics = evaluate.metrics(published)
     names = spark.createDataFrame([("en", "English")], "code string, name string")

@@ -6,13 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from textwarden.plans import queries as plans
 from textwarden import config
 from textwarden.operators.evaluate import metrics
 from textwarden.operators.moderation import moderate
 from textwarden.operators.validate import split_valid, validate, validate_batch
 from textwarden.sources import readers, sinks
 from textwarden.streaming import online
-from textwarden.util import materialise, scratch_dir, spread
+from textwarden.util import TASKS, materialise, scratch_dir, spread
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -22,7 +23,7 @@ def test_csv_upload(spark, tmp_path):
         'id,Message,note\n1,"You are an idiot, ""really""",a\n2,,b\n3,NA,c\n4,"two\nlines",d\n',
         encoding="utf-8",
     )
-    rows = readers.read_csv_texts(spark, str(tmp_path / "up.csv")).orderBy("id").collect()
+    rows = readers.read_csv_texts(spark, str(tmp_path / "up.csv"), multi_line=True).orderBy("id").collect()
     assert [(r["id"], r["text"]) for r in rows] == [
         ("1", 'You are an idiot, "really"'),
         ("4", "two\nlines"),
@@ -31,7 +32,7 @@ def test_csv_upload(spark, tmp_path):
 
 def test_csv_keeps_broken_rows(spark, tmp_path):
     (tmp_path / "up.csv").write_text("id,text\n1,fine\n2,too,many,cells\n")
-    df = readers.read_csv(spark, str(tmp_path / "up.csv"), multi_line=False)
+    df = readers.read_csv(spark, str(tmp_path / "up.csv"))
     assert [r[readers.CORRUPT] for r in df.orderBy("id").collect()] == [None, "2,too,many,cells"]
 
 
@@ -75,12 +76,12 @@ def test_sinks(spark, tmp_path):
     )
     rows = moderate(df)
     sinks.write_results_csv(rows, str(tmp_path / "results"))
-    back = readers.read_csv(spark, str(tmp_path / "results"))
+    back = readers.read_csv(spark, str(tmp_path / "results"), multi_line=True)
     assert set(back.columns) >= {"text", "language", "verdict", "toxic_score", "threshold"}
     assert {r["text"] for r in back.collect()} == {'You are an "idiot"', "two\nlines of text"}
 
     sinks.write_csv(rows, str(tmp_path / "detail"))
-    detail = readers.read_csv(spark, str(tmp_path / "detail")).orderBy("id").collect()
+    detail = readers.read_csv(spark, str(tmp_path / "detail"), multi_line=True).orderBy("id").collect()
     assert json.loads(detail[0]["categories"])["toxic"]["flagged"] is True
 
     sinks.write_moderated(rows, str(tmp_path / "table"))
@@ -126,8 +127,8 @@ def test_first_rows_need_no_full_sort(spark, name):
 
 
 def test_no_query_crosses_or_runs_row_python(spark):
-    run = entry.queries()
-    for name in sorted(set(run) - {"trained_scores", "stream_moderate"}):
+    run = plans.registry()
+    for name in sorted(run):
         plan = plan_of(run[name](spark, FOLDER))
         for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
             assert word not in plan, name
@@ -138,12 +139,37 @@ def test_lookup_is_a_broadcast_join(spark):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
-def test_spread_only_touches_small_inputs(spark):
-    for folder in (FOLDER, "/root/testdata/sf0.1"):
-        raw = spark.read.parquet(f"{folder}/documents.parquet")
-        assert spread(raw).rdd.getNumPartitions() == 32
-    wide = spark.range(1000, numPartitions=64)
-    assert spread(wide) is wide
+def test_inputs_are_spread_on_request_only(spark):
+    raw = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    assert spread(raw) is raw and spread(raw, 5).rdd.getNumPartitions() == 5
+    spark.conf.set(TASKS, "7")
+    assert spread(raw).rdd.getNumPartitions() == 7
+    spark.conf.unset(TASKS)
+
+
+def test_the_registered_query_does_not_move_texts(spark):
+    assert "Exchange" not in plan_of(plans.registry()["moderate"](spark, FOLDER))
+
+
+def test_csv_files_of_different_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,text\n1,You are a moron\n")
+    (tmp_path / "b.csv").write_text("text,id\nfine by me,2\n")
+    (tmp_path / "c.csv").write_text("id,text,lang\n3,and this,en\n")
+    (tmp_path / "empty.csv").write_text("")
+    rows = readers.read_csv_texts(spark, str(tmp_path / "*.csv")).orderBy("id").collect()
+    assert [(r["id"], r["text"], r["lang"]) for r in rows] == [
+        ("1", "You are a moron", None), ("2", "fine by me", None), ("3", "and this", "en"),
+    ]
+    assert all(r[readers.CORRUPT] is None for r in rows)
+
+
+def test_stream_of_a_table_in_several_files(spark, tmp_path):
+    raw = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    raw.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = plans.registry()["stream_moderate"](spark, str(tmp_path))
+    want = plans.registry()["stream_moderate"](spark, FOLDER)
+    assert got.count() == raw.count()
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
 def test_scratch_uses_the_configured_folder(spark):

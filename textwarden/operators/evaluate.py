@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from textwarden import config
 from textwarden.functions import text as T
-from textwarden.util import is_small
 
 COUNTS = ("tp", "fp", "fn", "tn")
 OTHER_SCRIPTS = r"[\u0600-\u06ff\u0750-\u077f\u0900-\u097f]"
@@ -26,17 +25,20 @@ def attach_truth(
     score: Callable[[DataFrame], DataFrame],
     key: str,
     keep: Sequence[str],
+    score_first: bool = False,
 ) -> DataFrame:
     """Score the texts that have a truth row; returns ``keep`` plus the truth columns.
 
-    A truth table counted as small is broadcast first, so only labelled texts are scored and
-    none is moved. Otherwise texts are scored where they lie and only the ``keep`` columns,
-    never the text, are shuffled to meet the truth.
+    Texts meet the truth first, so only labelled ones are scored; Spark picks the join by the
+    bytes of the two sides. ``score_first`` scores all texts where they lie and moves only the
+    ``keep`` columns, which is less work where most texts are labelled. Several truth rows of
+    one key count as one, with the largest value of every column.
     """
     extra = [name for name in truth.columns if name != key]
-    if is_small(truth):
-        return score(texts.join(F.broadcast(truth), key)).select(*keep, *extra)
-    return score(texts).select(*keep).join(truth, key)
+    once = truth.groupBy(key).agg(*[F.max(name).alias(name) for name in extra])
+    if score_first:
+        return score(texts).select(*keep).join(once, key)
+    return score(texts.join(once, key)).select(*keep, *extra)
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -45,7 +47,10 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 def confusion(df: DataFrame, by: str | Sequence[str] | None = None) -> DataFrame:
-    """``tp, fp, fn, tn, total`` in one pass, over everything or per group."""
+    """``tp, fp, fn, tn, total, undecided`` in one pass, over everything or per group.
+
+    Rows without a prediction (an own model failed on them) are undecided and not in ``total``.
+    """
     groups = [by] if isinstance(by, str) else list(by or [])
     hit, truth = F.col("predicted") == 1, F.col("expected") == 1
     return df.groupBy(*groups).agg(
@@ -53,7 +58,8 @@ def confusion(df: DataFrame, by: str | Sequence[str] | None = None) -> DataFrame
         F.count_if(hit & ~truth).alias("fp"),
         F.count_if(~hit & truth).alias("fn"),
         F.count_if(~hit & ~truth).alias("tn"),
-        F.count("*").alias("total"),
+        F.count("predicted").alias("total"),
+        F.count_if(F.col("predicted").isNull()).alias("undecided"),
     )
 
 
@@ -80,14 +86,15 @@ def metrics(
     column is reported as ``avg_latency_ms`` (two digits).
     """
     group = F.coalesce(F.col(by), F.lit(config.UNKNOWN_LANGUAGE)).alias(by)
-    sums = [F.sum(name).alias(name) for name in (*COUNTS, "total")]
+    sums = [F.sum(name).alias(name) for name in (*COUNTS, "total", "undecided")]
     hit, truth = F.col("predicted") == 1, F.col("expected") == 1
     aggregates = [
         F.count_if(hit & truth).alias("tp"),
         F.count_if(hit & ~truth).alias("fp"),
         F.count_if(~hit & truth).alias("fn"),
         F.count_if(~hit & ~truth).alias("tn"),
-        F.count("*").alias("total"),
+        F.count("predicted").alias("total"),
+        F.count_if(F.col("predicted").isNull()).alias("undecided"),
     ]
     if latency is not None:
         aggregates += [F.sum(latency).alias("_ms"), F.count(latency).alias("_timed")]
@@ -105,7 +112,8 @@ def metrics(
 def accuracy(df: DataFrame, by: str | None = None) -> DataFrame:
     """``correct, total, accuracy``."""
     right = F.count_if(F.col("predicted") == F.col("expected"))
-    counts = df.groupBy(*([by] if by else [])).agg(right.alias("correct"), F.count("*").alias("total"))
+    decided = F.count("predicted").alias("total")
+    counts = df.groupBy(*([by] if by else [])).agg(right.alias("correct"), decided)
     return counts.withColumn("accuracy", F.round(ratio(F.col("correct"), F.col("total")), 4))
 
 
@@ -249,12 +257,10 @@ def calibrate(df: DataFrame, grid: Sequence[float] = config.SWEEP_GRID, by: str
     )
 
 
-def thresholds_from(calibrated: DataFrame, by: str = "lang", max_rows: int = 1_000) -> dict[str, float]:
-    """Calibrated thresholds for :class:`Settings`, only of the separable languages."""
-    rows = calibrated.where("separable").select(by, "threshold").limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"more than {max_rows} groups")
-    return {row[by]: row["threshold"] for row in rows}
+def calibrated_thresholds(df: DataFrame, calibrated: DataFrame, by: str = "lang") -> DataFrame:
+    """Add ``threshold``, the calibrated one of the row's group; null where a group has none or is
+    not separable. The column can be given to ``moderate`` as its ``threshold``."""
+    return df.join(calibrated.where("separable").select(by, "threshold"), by, "left")
 
 
 def score_gap(df: DataFrame, by: str, langs: Sequence[str], base: str = "en") -> DataFrame:

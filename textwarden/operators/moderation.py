@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -17,9 +17,12 @@ from textwarden.util import settle
 RULES = ("toxic_label", "max_label", "any_label")
 
 RESULT_COLUMNS = (
-    "language", "language_raw", "verdict", "categories", "confidence", "threshold_used", "warnings",
+    "language", "language_raw", "verdict", "categories", "confidence", "threshold_used", "warnings", "error",
 )
 
+MISSING_TEXT = "missing_text"
+NO_MODEL = config.LinearModel({}, {})
+
 CATEGORIES_TYPE = "map<string,struct<score:double,flagged:boolean>>"
 
 
@@ -82,6 +85,8 @@ def moderate(
     rule: str = "toxic_label",
     max_tokens: int | None = None,
     keep_scores: bool = False,
+    scores: Mapping[str, str] | None = None,
+    scorer: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Moderate every row; all input columns stay and the result columns are added.
 
@@ -92,11 +97,33 @@ def moderate(
     ``rule`` decides the verdict: ``toxic_label`` reads the toxic flag, ``max_label`` compares the
     best score of all labels, ``any_label`` holds every label to the same threshold.
     ``keep_scores`` also keeps the unrounded ``score_<label>`` columns (null for blank texts).
+
+    Scores of one's own take the place of ``model``: ``scores`` names ready columns by label
+    (``{"toxic": "score_toxic", ...}``), or ``scorer`` adds ``score_<label>`` columns for
+    ``model``'s labels, e.g. ``lambda df: model_scores(df, load, ["toxic", "not_toxic"])``. A column
+    ``error`` that comes with them tells the rows the model failed on.
+
+    Rows without a text (``error`` is ``missing_text``), with an error, or without any score though
+    they have a text (``missing_score``) get no verdict, confidence, categories or threshold.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}, not {rule!r}")
-    out = read_text(df, text, model, profile, max_tokens, settings.min_words)
-    blank = F.col("_blank")
+    labels = tuple(scores) if scores is not None else model.labels
+    kept = list(df.columns)
+    if scorer is not None:
+        df = scorer(df)
+        scores = {label: f"score_{label}" for label in labels}
+        kept = [name for name in kept if name in df.columns]
+    own_scores = scores is not None
+    failure = F.lit(None).cast("string")
+    if own_scores and "error" in df.columns:
+        failure = F.col("_failure")
+        df = df.withColumnRenamed("error", "_failure")
+    kept = [name for name in kept if name != "error"]
+    if own_scores:
+        df = df.withColumns({f"_own_{label}": F.col(name) for label, name in scores.items()})
+    out = read_text(df, text, NO_MODEL if own_scores else model, profile, max_tokens, settings.min_words)
+    blank = F.coalesce(F.col("_blank"), F.lit(True))
 
     detected = F.when(blank, config.UNKNOWN_LANGUAGE).otherwise(L.winner(F.col("_best")))
     out = out.withColumn("language_raw", detected)
@@ -107,15 +134,25 @@ def moderate(
     own = S.threshold_for(F.col("language"), settings)
     given = _option(threshold)
     limit = own if given is None else F.coalesce(given, own)
-    scores = {label: S.sigmoid(F.col(f"_x_{label}")) for label in model.labels}
+    found = {
+        label: F.col(f"_own_{label}") if own_scores else S.sigmoid(F.col(f"_x_{label}")) for label in labels
+    }
+    unscored = ~blank & F.coalesce(*found.values()).isNull() if own_scores else F.lit(False)
+    out = out.withColumn(
+        "_error",
+        F.when(F.col(text).isNull(), MISSING_TEXT)
+        .when(failure.isNotNull(), failure)
+        .when(unscored, "missing_score"),
+    )
     out = out.withColumns(
         {
-            "threshold_used": F.when(~blank, limit),
-            **{f"score_{label}": F.when(~blank, score) for label, score in scores.items()},
+            "threshold_used": F.when(~blank & F.col("_error").isNull(), limit),
+            **{f"score_{label}": F.when(~blank, score) for label, score in found.items()},
         }
     )
 
-    score = {label: F.col(f"score_{label}") for label in model.labels}
+    undecided = F.col("_error").isNotNull()
+    score = {label: F.col(f"score_{label}") for label in labels}
     used = F.col("threshold_used")
     flagged = S.flags(
         score,
@@ -130,15 +167,24 @@ def moderate(
     }[rule]()
     out = out.withColumns(
         {
-            "verdict": S.binary_verdict(~blank & decision),
-            "categories": F.when(blank, F.expr(f"cast(map() as {CATEGORIES_TYPE})")).otherwise(
-                S.categories(score, flagged)
+            "verdict": F.when(~undecided, S.binary_verdict(~blank & decision)),
+            "categories": F.when(
+                ~undecided,
+                F.when(blank, F.expr(f"cast(map() as {CATEGORIES_TYPE})")).otherwise(
+                    S.categories(score, flagged)
+                ),
+            ),
+            "confidence": F.when(
+                ~undecided, F.when(blank, 0.0).otherwise(F.round(S.max_score(score), 4))
+            ),
+            "warnings": F.when(F.col(text).isNotNull(), F.col("warnings")).otherwise(
+                F.array().cast("array<string>")
             ),
-            "confidence": F.when(blank, 0.0).otherwise(F.round(S.max_score(score), 4)),
         }
     )
-    extra = [f"score_{label}" for label in model.labels] if keep_scores else []
-    return out.select(*df.columns, *RESULT_COLUMNS, *extra)
+    extra = [f"score_{label}" for label in labels] if keep_scores else []
+    kept = [name for name in kept if name not in extra]
+    return out.withColumn("error", F.col("_error")).select(*kept, *RESULT_COLUMNS, *extra)
 
 
 def moderate_safe(
@@ -187,12 +233,13 @@ def moderate_batches(
 
 
 def batch_summary(df: DataFrame, by: str | list[str] | None = None) -> DataFrame:
-    """``total_texts, flagged_count, clean_count`` over everything or per group."""
+    """``total_texts, flagged_count, clean_count, undecided_count`` over everything or per group."""
     groups = [by] if isinstance(by, str) else list(by or [])
     return df.groupBy(*groups).agg(
         F.count("*").alias("total_texts"),
         F.count_if(F.col("verdict") == "toxic").alias("flagged_count"),
         F.count_if(F.col("verdict") != "toxic").alias("clean_count"),
+        F.count_if(F.col("verdict").isNull()).alias("undecided_count"),
     )
 
 
@@ -200,7 +247,8 @@ def observe_run(moderated: DataFrame, name: str = "moderation") -> tuple[DataFra
     """Count a run while it is written: no second pass over the texts is needed for its summary.
 
     Use the returned DataFrame for the write; afterwards ``observation.get`` holds
-    ``total_texts, flagged_count, clean_count`` and ``skipped_count`` (blank texts).
+    ``total_texts, flagged_count, clean_count``, ``skipped_count`` (blank texts) and
+    ``undecided_count`` (without a verdict).
     """
     observation = Observation(name)
     toxic = F.col("verdict") == "toxic"
@@ -209,7 +257,8 @@ def observe_run(moderated: DataFrame, name: str = "moderation") -> tuple[DataFra
         F.count(F.lit(1)).alias("total_texts"),
         F.count_if(toxic).alias("flagged_count"),
         F.count_if(~toxic).alias("clean_count"),
-        F.count_if(F.col("threshold_used").isNull()).alias("skipped_count"),
+        F.count_if(F.col("threshold_used").isNull() & F.col("verdict").isNotNull()).alias("skipped_count"),
+        F.count_if(F.col("verdict").isNull()).alias("undecided_count"),
     )
     return observed, observation
 

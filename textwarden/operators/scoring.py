@@ -14,7 +14,7 @@ from textwarden import config
 from textwarden.functions import score as S
 from textwarden.functions import text as X
 from textwarden.functions.language import keep
-from textwarden.util import BROADCAST_ROWS, lookup_join, scratch_dir, settle
+from textwarden.util import scratch_dir, settle
 
 MAX_LITERAL_WORDS = 5_000
 """Vocabulary up to which weights travel inside the query; larger ones are joined."""
@@ -60,13 +60,13 @@ def score_by_join(
     text: str = "text",
     max_tokens: int | None = None,
     prefix: str = "score_",
-    max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Scores by joining exploded tokens with a weight table of any size: ``key, score_<label>``.
+    """Scores by joining tokens with a weight table of any size: ``key, score_<label>``.
 
-    Weights are turned to one row per word first, so a token finds at most one match. Only
-    key and token leave the scan, and partial sums per key are formed before the shuffle.
-    A weight table counted too large to broadcast is joined with its hot words split by key.
+    Weights are turned to one row per word first, so a token finds at most one match. A text's equal
+    tokens are counted before the join, and tokens without a weight end in it; every key
+    enters the last sum with a zero row of its own. Spark picks the join by the table's bytes, and
+    splits a word that most texts share where it joins by shuffle.
     """
     labels = list(bias)
     wide = weights.groupBy("tok").agg(
@@ -75,11 +75,13 @@ def score_by_join(
             for label in labels
         ]
     )
-    exploded = df.select(key, F.explode_outer(X.tokens(F.col(text), max_tokens)).alias("tok"))
-    joined = lookup_join(exploded, wide, "tok", salt_by=key, max_rows=max_rows)
-    sums = joined.groupBy(key).agg(
-        *[F.sum(F.coalesce(f"_w_{label}", F.lit(0))).alias(f"_x_{label}") for label in labels]
+    tokens = df.select(key, F.explode(X.tokens(F.col(text), max_tokens)).alias("tok"))
+    counted = tokens.groupBy(key, "tok").agg(F.count("*").alias("_n")).join(wide, "tok")
+    parts = counted.select(
+        key, *[(F.col("_n") * F.coalesce(f"_w_{label}", F.lit(0))).alias(f"_x_{label}") for label in labels]
     )
+    zero = df.select(key, *[F.lit(0).cast("bigint").alias(f"_x_{label}") for label in labels])
+    sums = parts.union(zero).groupBy(key).agg(*[F.sum(f"_x_{label}").alias(f"_x_{label}") for label in labels])
     return sums.select(
         key,
         *[
@@ -132,41 +134,66 @@ def token_weights(
     return per_token.withColumn("w_milli", weight)
 
 
-def learn_model(
+def learn_weights(
     df: DataFrame,
     text: str = "text",
     truth: str = "expected",
     *,
-    vocabulary: int = 200,
     min_docs: int = 5,
-    bias: int = -2000,
     scale: float = 0.5,
-) -> config.LinearModel:
-    """Fit a keyword model: the ``vocabulary`` tokens with the strongest positive weight.
+) -> DataFrame:
+    """A keyword model as a weight table: every token's log-odds, both signs, for both labels.
 
-    The vocabulary is the size of the model; only that many rows reach the driver.
+    The table is as long as the vocabulary and goes to :func:`score_by_join`.
     """
-    if vocabulary > MAX_LITERAL_WORDS:
-        raise ValueError(f"at most {MAX_LITERAL_WORDS} words")
-    rows = (
-        token_weights(df, text, truth, min_docs)
-        .where(F.col("w_milli") > 0)
-        .orderBy(F.desc("w_milli"), "tok")
-        .limit(vocabulary)
-        .collect()
+    weight = (F.col("w_milli") * F.lit(scale)).cast("bigint")
+    return _both_labels(token_weights(df, text, truth, min_docs).select("tok", weight.alias("w_milli")))
+
+
+def _both_labels(weights: DataFrame) -> DataFrame:
+    """``tok, w_milli`` of the toxic label -> ``label, tok, w_milli`` of it and its opposite."""
+    pair = F.array(
+        F.struct(F.lit("toxic").alias("label"), F.col("w_milli")),
+        F.struct(F.lit("not_toxic").alias("label"), (-F.col("w_milli")).alias("w_milli")),
     )
-    toxic = {row["tok"]: int(row["w_milli"] * scale) for row in rows}
-    return config.LinearModel(
-        bias={"toxic": bias, "not_toxic": -bias},
-        weights={"toxic": toxic, "not_toxic": {tok: -w for tok, w in toxic.items()}},
+    return weights.select("tok", F.inline(pair)).select("label", "tok", "w_milli")
+
+
+def naive_bayes(
+    df: DataFrame, text: str = "text", truth: str = "expected"
+) -> tuple[DataFrame, dict[str, int]]:
+    """Multinomial naive Bayes in closed form: ``(weights, bias)`` for :func:`score_by_join`.
+
+    A token's weight is the logarithm of the ratio of its smoothed shares of all toxic and all clean
+    tokens, in thousandths; all tokens have one. The bias is the logarithm of the ratio of
+    the classes' texts (each counted once more than it is), and the only thing collected.
+    Tokens that no training text has do not count.
+    """
+    toxic, clean = F.count_if(F.col(truth) == 1), F.count_if(F.col(truth) == 0)
+    tokens = df.select(truth, F.explode(X.tokens(F.col(text))).alias("tok"))
+    counted = tokens.groupBy("tok").agg(toxic.alias("n_toxic"), clean.alias("n_clean"))
+    totals = counted.agg(F.sum("n_toxic").alias("toxic"), F.sum("n_clean").alias("clean"), F.count("*").alias("size"))
+    total = totals.select(F.struct("toxic", "clean", "size")).scalar()
+    shares = ((F.col("n_toxic") + 1.0) / (total["toxic"] + total["size"])) / (
+        (F.col("n_clean") + 1.0) / (total["clean"] + total["size"])
     )
+    weights = counted.select("tok", F.round(F.ln(shares) * 1000).cast("bigint").alias("w_milli"))
+    row = df.agg(F.round(F.ln((toxic + 1.0) / (clean + 1.0)) * 1000).cast("bigint").alias("bias")).first()
+    return _both_labels(weights), {"toxic": int(row["bias"]), "not_toxic": -int(row["bias"])}
 
 
 def train_classifier(
-    df: DataFrame, text: str = "text", truth: str = "expected", features: int = 1 << 14
+    df: DataFrame,
+    text: str = "text",
+    truth: str = "expected",
+    features: int = 1 << 18,
+    max_iter: int = 100,
 ):
     """Fit Spark ML: the library's tokens, hashed term counts, IDF and logistic regression.
 
+    Tokens that fall into one of the ``features`` buckets share a weight; ``max_iter`` bounds the
+    iterations of the fit.
+
     The model is saved to the scratch folder and loaded from there: a fitted one drags its
     training summary, session included, into every task, which Spark cannot always serialise.
     """
@@ -178,7 +205,7 @@ def train_classifier(
         HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=features),
         IDF(inputCol="_tf", outputCol="_features"),
         LogisticRegression(
-            featuresCol="_features", labelCol="_label", maxIter=20, regParam=0.1, elasticNetParam=0.0
+            featuresCol="_features", labelCol="_label", maxIter=max_iter, regParam=0.1, elasticNetParam=0.0
         ),
     ]
     rows = df.select(

@@ -161,7 +161,8 @@ COUNTS = """
     sum((predicted = 1 AND expected = 1)::INT)::BIGINT AS tp,
     sum((predicted = 1 AND expected = 0)::INT)::BIGINT AS fp,
     sum((predicted = 0 AND expected = 1)::INT)::BIGINT AS fn,
-    sum((predicted = 0 AND expected = 0)::INT)::BIGINT AS tn, count(*) AS total"""
+    sum((predicted = 0 AND expected = 0)::INT)::BIGINT AS tn, count(predicted) AS total,
+    sum((predicted IS NULL)::INT)::BIGINT AS undecided"""
 
 METRICS = """
     round((tp + tn) / total, 4) AS accuracy,
@@ -186,13 +187,29 @@ TOKEN_WEIGHTS = f"""{raw(LABELLED)}, {TOKENS},
         FROM per, totals)"""
 
 LEARNED = f"""{TOKEN_WEIGHTS},
-    model AS (SELECT tok AS w, trunc(w_milli * 0.5)::BIGINT AS up FROM weights WHERE w_milli > 0
-        ORDER BY w_milli DESC, tok LIMIT 200),
+    model AS (SELECT tok AS w, trunc(w_milli * 0.5)::BIGINT AS up FROM weights),
     ev AS (SELECT k AS doc_id, any_value(lang) AS lang, any_value(expected) AS expected,
             1 / (1 + exp(-(-2000 + coalesce(sum(up), 0)) / 1000.0::DOUBLE)) AS score
         FROM src LEFT JOIN (SELECT k, up FROM tok JOIN model ON t = w) USING (k) GROUP BY k)"""
 
 
+# Naive Bayes, fitted on the labelled documents whose key's hash begins above 3.
+HELD = "substring(md5(k::VARCHAR), 1, 1) IN ('0', '1', '2', '3')"
+BAYES = f"""
+    fit_src AS ({LABELLED}),
+    fit_tok AS (SELECT expected, t FROM (
+        SELECT expected, unnest(string_split_regex(lower(text), '{TOKEN_BREAK}')) AS t FROM fit_src WHERE NOT {HELD})
+        WHERE t <> ''),
+    per AS (SELECT t, sum(expected) AS pos, count(*) - sum(expected) AS neg FROM fit_tok GROUP BY t),
+    tot AS (SELECT sum(pos) AS pos, sum(neg) AS neg, count(*) AS size FROM per),
+    bias AS (SELECT round(1000 * ln((sum(expected) + 1)::DOUBLE / (count(*) - sum(expected) + 1)))::BIGINT AS b
+        FROM fit_src WHERE NOT {HELD}),
+    bayes AS (SELECT per.t AS w, round(1000 * ln(((per.pos + 1)::DOUBLE / (tot.pos + size))
+        / ((per.neg + 1)::DOUBLE / (tot.neg + size))))::BIGINT AS up FROM per, tot),
+    scored AS (SELECT k, 1 / (1 + exp(-(b + coalesce(x, 0)) / 1000.0::DOUBLE)) AS score FROM clean
+        LEFT JOIN (SELECT k, sum(up) AS x FROM tok JOIN bayes ON t = w GROUP BY k) USING (k), bias)"""
+
+
 def grid(points) -> str:
     return values((f"{p}",) for p in points).replace("'", "")
 
@@ -384,9 +401,55 @@ def sql() -> dict[str, str]:
                 'toxic,not_toxic' AS labels FROM scores""",
         ),
         "token_weights": q(TOKEN_WEIGHTS, "SELECT * FROM weights"),
+        "trained_scores": q(
+            f"{raw(DOCS)}, {TOKENS}, {BAYES}",
+            "SELECT k AS doc_id, round(score, 4) AS score, (score >= 0.5)::INT AS predicted FROM scored",
+        ),
+        "holdout_metrics": q(
+            f"""{raw(DOCS)}, {TOKENS}, {BAYES},
+            ev AS (SELECT lang, expected, (score >= 0.5)::INT AS predicted
+                FROM fit_src JOIN scored USING (k) WHERE {HELD}),
+            counts AS (SELECT lang, {COUNTS} FROM ev GROUP BY lang UNION ALL SELECT 'overall', {COUNTS} FROM ev)""",
+            f"SELECT *, {METRICS} FROM counts",
+        ),
+        "src_csv": f"SELECT conv_id, turn, role, text FROM conversations WHERE text IS NOT NULL AND text NOT IN ({nulls})",
+        "sink_results": q(
+            moderated("SELECT item_id AS k, text FROM benchmark"),
+            f"""SELECT {preview("text", 80)} AS text, language, verdict, toxic_score,
+                coalesce(threshold_used::VARCHAR, 'N/A') AS threshold
+            FROM rows JOIN src USING (k)""",
+        ),
+        "sink_detail": q(
+            moderated(CONVERSATIONS),
+            "SELECT conv_id, turn, verdict, confidence, toxic_score, toxic_flagged FROM rows JOIN src USING (k)",
+        ),
+        "sink_by_verdict": q(mod, "SELECT k AS doc_id, language, verdict, confidence FROM rows"),
+        "stream_once": "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS n_ids FROM events GROUP BY event_type",
+        "stream_verdict_rate": """
+            SELECT strftime(window_start, '%Y-%m-%d') AS window_start, n AS total_texts, flagged AS flagged_count, flagged / n AS flagged_share
+            FROM (SELECT date_trunc('day', ts) AS window_start, count(*) AS n,
+                    sum((value > 100)::INT)::BIGINT AS flagged FROM events GROUP BY 1)
+            WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events)""",
         "byo_scores": f"""SELECT doc_id, round(1 - pow(0.5, n), 6) AS toxic,
                 round(pow(0.5, n), 6) AS not_toxic
             FROM (SELECT doc_id, len(regexp_extract_all(lower(text), '{BYO_WORDS}')) AS n FROM documents)""",
+        "byo_moderate": q(
+            f"""{mod}, own AS (SELECT k, CASE WHEN s = '' THEN NULL ELSE 1 - pow(0.5, n) END AS toxic FROM rows JOIN (
+                SELECT k, len(regexp_extract_all(lower(text), '{BYO_WORDS}')) AS n FROM src) USING (k))""",
+            """SELECT k AS doc_id, CASE WHEN own.toxic >= threshold_used THEN 'toxic' ELSE 'clean' END AS verdict,
+                round(greatest(own.toxic, 1 - own.toxic), 4) AS confidence, threshold_used,
+                own.toxic >= threshold_used AS toxic_flagged, NULL::VARCHAR AS error
+            FROM rows JOIN own USING (k)""",
+        ),
+        "error_rows": q(
+            moderated(CONVERSATIONS),
+            """SELECT role, count(*) AS total_texts,
+                sum((role <> 'user' AND verdict = 'toxic')::INT)::BIGINT AS flagged_count,
+                sum((role <> 'user' AND verdict = 'clean')::INT)::BIGINT AS clean_count,
+                sum((role = 'user')::INT)::BIGINT AS undecided_count
+            FROM rows JOIN src USING (k) JOIN (SELECT conv_id, turn, role FROM conversations) USING (conv_id, turn)
+            GROUP BY role""",
+        ),
         "moderate": q(mod, f"SELECT k AS doc_id, {ROW} FROM rows"),
         "stream_moderate": q(mod, f"SELECT k AS doc_id, {ROW} FROM rows"),
         "category_flags": q(mod, f"SELECT k AS doc_id, {FLAT} FROM rows"),
@@ -437,7 +500,7 @@ def sql() -> dict[str, str]:
         "batch_summary": q(
             moderated(CONVERSATIONS),
             """SELECT conv_id, count(*) AS total_texts, sum((verdict = 'toxic')::INT)::BIGINT AS flagged_count,
-                (count(*) - sum((verdict = 'toxic')::INT))::BIGINT AS clean_count
+                (count(*) - sum((verdict = 'toxic')::INT))::BIGINT AS clean_count, 0::BIGINT AS undecided_count
             FROM rows JOIN src USING (k) GROUP BY conv_id""",
         ),
         "verdict_counts": q(mod, row_number_counts("verdict")),

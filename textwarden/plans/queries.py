@@ -15,14 +15,17 @@ from textwarden import config
 from textwarden.functions import score as S
 from textwarden.functions import text as T
 from textwarden.operators import compare, evaluate, language, moderation, report, scoring, validate
+from textwarden.sources import sinks
 from textwarden.sources.readers import (
     parse_requests,
+    read_csv,
+    read_csv_texts,
     read_table,
     read_texts,
     text_column,
 )
 from textwarden.streaming import online
-from textwarden.util import materialise, scratch_dir, wanted_tasks
+from textwarden.util import materialise, scratch_dir, spread
 
 SENTENCE_END = r"[.!?\n]"
 DETECTED = ("en", "de", "es", "fr", "pt", "ca", "gl", config.UNKNOWN_LANGUAGE)
@@ -64,9 +67,9 @@ def _predict(df: DataFrame) -> DataFrame:
 def evaluated(spark: SparkSession, folder: str, *keep: str) -> DataFrame:
     """Labelled documents with prediction and score, plus the columns asked for."""
     return evaluate.attach_truth(
-        documents(spark, folder),
+        read_table(spark, folder, "documents").select("doc_id", "text", "lang"),
         labelled(spark, folder),
-        _predict,
+        lambda df: _predict(spread(df)),
         "doc_id",
         ["doc_id", "lang", "predicted", "score", *keep],
     )
@@ -85,21 +88,34 @@ def labelled_texts(spark: SparkSession, folder: str) -> DataFrame:
     and should not search all documents for them each time."""
     return materialise(
         evaluate.attach_truth(
-            documents(spark, folder),
+            read_table(spark, folder, "documents").select("doc_id", "text", "lang"),
             labelled(spark, folder),
-            lambda df: df,
+            spread,
             "doc_id",
             ["doc_id", "lang", "text"],
         )
     )
 
 
+LEARNED_BIAS = {"toxic": -2000, "not_toxic": 2000}
+HELD_OUT = "substring(md5(cast(doc_id AS string)), 1, 1) IN ('0', '1', '2', '3')"
+"""A quarter of the documents, told by a hash of their key, that nothing is fitted on."""
+
+
 def learned_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled documents under a keyword model learned from the same labels (a fit, not a test)."""
     texts = labelled_texts(spark, folder)
-    model = scoring.learn_model(texts, vocabulary=200, min_docs=5)
-    scored = scoring.score_columns(texts, model=model)
-    return scored.select("doc_id", "lang", "expected", F.col("score_toxic").alias("score"))
+    weights = scoring.learn_weights(texts, min_docs=5)
+    scored = scoring.score_by_join(texts, weights, LEARNED_BIAS, key="doc_id")
+    return texts.select("doc_id", "lang", "expected").join(scored, "doc_id").select(
+        "doc_id", "lang", "expected", F.col("score_toxic").alias("score")
+    )
+
+
+def bayes_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents under naive Bayes fitted on the labelled ones that are not held out."""
+    weights, bias = scoring.naive_bayes(labelled_texts(spark, folder).where(f"NOT {HELD_OUT}"))
+    return scoring.score_by_join(documents(spark, folder), weights, bias, key="doc_id")
 
 
 def _joined(values: str | Column) -> Column:
@@ -391,26 +407,25 @@ def q_token_weights(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_trained_scores(spark: SparkSession, folder: str) -> DataFrame:
-    fitted = scoring.train_classifier(labelled_texts(spark, folder))
-    scored = scoring.trained_scores(documents(spark, folder), fitted)
-    return scored.select(
+    return bayes_scores(spark, folder).select(
         "doc_id",
         F.round("score_toxic", 4).alias("score"),
         (F.col("score_toxic") >= config.DEFAULT_THRESHOLD).cast("int").alias("predicted"),
     )
 
 
-def q_byo_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """A stand-in for a user's own model: every insult halves the distance to 1."""
-
-    def load_model():
-        def predict(texts: pd.Series) -> pd.DataFrame:
-            toxic = 1 - 0.5 ** texts.str.lower().str.count(BYO_WORDS)
-            return pd.DataFrame({"toxic": toxic, "not_toxic": 1 - toxic})
+def q_holdout_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of the fitted scorer on the labelled documents it has not seen."""
+    declared = read_table(spark, folder, "documents").select("doc_id", "lang")
+    rows = evaluate.attach_truth(declared, labelled(spark, folder), lambda df: df, "doc_id", ["doc_id", "lang"])
+    found = rows.where(HELD_OUT).join(bayes_scores(spark, folder), "doc_id")
+    predicted = (F.col("score_toxic") >= config.DEFAULT_THRESHOLD).cast("int")
+    return evaluate.metrics(found.withColumn("predicted", predicted))
 
-        return predict
 
-    scored = scoring.model_scores(documents(spark, folder), load_model, ["toxic", "not_toxic"])
+def q_byo_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """A stand-in for a user's own model: every insult halves the distance to 1."""
+    scored = scoring.model_scores(documents(spark, folder), _own_model(), ["toxic", "not_toxic"])
     return _rounded_scores(scored)
 
 
@@ -434,6 +449,37 @@ def _moderated_rows(rows: DataFrame) -> DataFrame:
     )
 
 
+def _own_model():
+    """The loader of a stand-in for a user's own model; local, so that it is sent to workers whole."""
+
+    def load():
+        def predict(texts: pd.Series) -> pd.DataFrame:
+            toxic = 1 - 0.5 ** texts.str.lower().str.count(BYO_WORDS)
+            return pd.DataFrame({"toxic": toxic, "not_toxic": 1 - toxic})
+
+        return predict
+
+    return load
+
+
+def q_byo_moderate(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdicts on the scores of a user's own model: threshold, flags and confidence follow them."""
+
+    def scorer(df: DataFrame) -> DataFrame:
+        return scoring.model_scores(df, _own_model(), ["toxic", "not_toxic"])
+
+    rows = moderation.moderate(documents(spark, folder), scorer=scorer)
+    flagged = F.col("categories")["toxic"]["flagged"].alias("toxic_flagged")
+    return rows.select("doc_id", "verdict", "confidence", "threshold_used", flagged, "error")
+
+
+def q_error_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns of users come without their text: they get an error and no verdict."""
+    turns = read_texts(spark, folder, "conversations")
+    given = turns.withColumn("text", F.when(F.col("role") != "user", F.col("text")))
+    return moderation.batch_summary(moderation.moderate(given), "role")
+
+
 def q_category_flags(spark: SparkSession, folder: str) -> DataFrame:
     rows = moderation.moderate(documents(spark, folder))
     return rows.select("doc_id", *_flat_categories())
@@ -475,11 +521,11 @@ def q_display_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def q_stream_moderate(spark: SparkSession, folder: str) -> DataFrame:
     """The documents as a stream, moderated into a history table until the input is used up."""
-    table = read_table(spark, folder, "documents")
-    stream = online.read_stream(spark, folder, table.schema, "documents.parquet")
-    texts = stream.select("doc_id", "text")
+    path = f"{folder.rstrip('/')}/documents.parquet"
+    stream = online.stream_table(spark, path, spark.read.parquet(path).schema)
+    texts = spread(stream.select("doc_id", "text"))
     base = scratch_dir(spark)
-    rows = _moderated_rows(online.moderate_stream(texts, tasks=wanted_tasks(table)))
+    rows = _moderated_rows(online.moderate_stream(texts))
     query = online.append_history(rows, f"{base}/history", f"{base}/state", available_now=True)
     query.awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{base}/history")
@@ -529,6 +575,80 @@ def q_error_rates(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.error_rates(evaluated(spark, folder), "lang")
 
 
+def q_src_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """The conversations as CSV files with two orders of columns, read back as texts."""
+    turns = read_table(spark, folder, "conversations")
+    path = scratch_dir(spark)
+    sinks.write_csv(turns.where("role = 'user'").select("conv_id", "turn", "text", "role"), path)
+    others = turns.where("role IS NULL OR role <> 'user'")
+    sinks.write_csv(others.select("text", "role", "turn", "conv_id"), path, "append")
+    back = read_csv_texts(spark, path, multi_line=True)
+    return back.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
+
+
+def q_sink_results(spark: SparkSession, folder: str) -> DataFrame:
+    """The result table of the benchmark passages, written as CSV and read back."""
+    path = scratch_dir(spark)
+    sinks.write_results_csv(moderation.moderate(read_texts(spark, folder, "benchmark")), path)
+    return read_csv(spark, path, multi_line=True).select(
+        "text", "language", "verdict", F.col("toxic_score").cast("double"), "threshold"
+    )
+
+
+def q_sink_detail(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict rows of the conversations as CSV, nested columns as JSON, read back and unfolded."""
+    path = scratch_dir(spark)
+    turns = read_texts(spark, folder, "conversations").select("conv_id", "turn", "text")
+    sinks.write_csv(moderation.moderate(turns).drop("text"), path)
+    back = read_csv(spark, path)
+    categories = F.from_json("categories", moderation.CATEGORIES_TYPE)
+    return back.select(
+        F.col("conv_id").cast("bigint"),
+        F.col("turn").cast("bigint"),
+        "verdict",
+        F.col("confidence").cast("double"),
+        categories["toxic"]["score"].alias("toxic_score"),
+        categories["toxic"]["flagged"].alias("toxic_flagged"),
+    )
+
+
+def q_sink_by_verdict(spark: SparkSession, folder: str) -> DataFrame:
+    """The moderated documents in one folder per verdict, read back."""
+    path = scratch_dir(spark)
+    sinks.write_moderated(moderation.moderate(documents(spark, folder)), path)
+    return spark.read.parquet(path).select("doc_id", "language", "verdict", "confidence")
+
+
+def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{folder.rstrip('/')}/events.parquet"
+    stream = online.stream_table(spark, path, spark.read.parquet(path).schema)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _to_the_end(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    base = scratch_dir(spark)
+    query = online.append_history(rows, f"{base}/out", f"{base}/state", available_now=True)
+    query.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{base}/out")
+
+
+def q_stream_once(spark: SparkSession, folder: str) -> DataFrame:
+    """The events as a stream in which every delivery comes twice, each kept once."""
+    stream = _event_stream(spark, folder).select("event_id", "ts", "event_type")
+    twice = stream.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2))))
+    kept = online.once_per_request(twice, "event_id", "ts", "60 days")
+    found = _to_the_end(spark, kept.select("event_id", "event_type"))
+    return found.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_ids"))
+
+
+def q_stream_verdict_rate(spark: SparkSession, folder: str) -> DataFrame:
+    """Events per day as a stream, those of a value over 100 taken as flagged."""
+    verdict = F.when(F.col("value") > 100, "toxic").otherwise("clean").alias("verdict")
+    stream = _event_stream(spark, folder).select("ts", verdict)
+    rates = _to_the_end(spark, online.verdict_rate(stream, "ts", "1 day", "0 seconds"))
+    return rates.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+
+
 def q_score_stats(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.score_stats(evaluated(spark, folder))
 

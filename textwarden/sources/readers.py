@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,20 +37,41 @@ LABELLED_ROW = T.StructType(
 CORRUPT = "_corrupt_record"
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def files_by_header(spark: SparkSession, path: str) -> list[list[str]]:
+    """The CSV files of a path, grouped by their header line.
+
+    A file's first line is found by the task that reads its beginning; one line per file is kept.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value"
+    )
+    heads = lines.where("at = 0").groupBy("file").agg(F.first("value").alias("header"))
+    groups = heads.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return [row["files"] for row in groups.orderBy("header").collect()]
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Read CSV files with a header, all columns as strings.
 
-    Rows that do not fit the header keep their raw form in ``_corrupt_record``. Quoted line
-    breaks need ``multi_line``; without any, ``False`` lets Spark split large files.
+    Files may differ in the order and number of their columns: those with one header are read
+    together under it, and the groups are put together by column name. Rows that do not fit their
+    header keep their raw form in ``_corrupt_record``. Quoted line breaks need ``multi_line``, which
+    makes every file one task; without it Spark splits large files. Header names hold no line breaks.
     """
     options = {"header": True, "escape": '"', "multiLine": multi_line}
-    names = spark.read.options(**options).csv(path).columns
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, CORRUPT]])
-    return (
-        spark.read.schema(schema)
-        .options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
-        .csv(path)
-    )
+
+    def read(files: list[str]) -> DataFrame:
+        names = spark.read.options(**options).csv(files[0]).columns
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, CORRUPT]])
+        reader = spark.read.schema(schema).options(
+            **options, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT
+        )
+        return reader.csv(files)
+
+    parts = [read(files) for files in files_by_header(spark, path)]
+    if not parts:
+        return spark.createDataFrame([], T.StructType([T.StructField(CORRUPT, T.StringType())]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def find_text_column(columns: Sequence[str]) -> str:
@@ -77,7 +99,7 @@ def text_column(
     return cells.select(*others, F.col(name).cast("string").alias(out))
 
 
-def read_csv_texts(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_csv_texts(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Texts of uploaded CSV files, ready to moderate."""
     return text_column(read_csv(spark, path, multi_line), null_markers=config.CSV_NULL_MARKERS)
 
@@ -107,5 +129,5 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, folder: str, name: str = "documents") -> DataFrame:
-    """A table whose rows cost real work each: spread if it was read in too few splits."""
+    """A table whose rows cost real work each: spread if the session asks for it."""
     return spread(read_table(spark, folder, name))

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from textwarden.operators.moderation import moderate
+from textwarden.util import is_folder
 
 
 def read_stream(
@@ -25,6 +26,14 @@ def read_stream(
     return reader.load(folder)
 
 
+def stream_table(spark: SparkSession, path: str, schema: T.StructType, **options: int) -> DataFrame:
+    """Stream a Parquet table, be it one file or a folder of part files."""
+    if is_folder(spark, path):
+        return read_stream(spark, path, schema, **options)
+    folder, _, name = path.rpartition("/")
+    return read_stream(spark, folder, schema, name, **options)
+
+
 def moderate_stream(
     stream: DataFrame, text: str = "text", tasks: int | None = None, **options: object
 ) -> DataFrame:

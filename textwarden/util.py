@@ -1,66 +1,30 @@
-"""Joins against small tables, intermediate results, and input spreading."""
+"""Intermediate results, tables that are files or folders, and the spreading of inputs."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 1_000_000
-"""Most rows a narrow (a few numbers or one word) table may have to be broadcast."""
-
-SALTS = 64
-TASKS_PER_CORE = 4
-
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most ``max_rows`` rows (a distributed count, nothing collected)."""
-    return df.count() <= max_rows
-
-
-def lookup_join(
-    big: DataFrame,
-    small: DataFrame,
-    on: str | Sequence[str],
-    *,
-    how: str = "left",
-    salt_by: Column | str | None = None,
-    max_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join ``small`` to ``big`` on ``on``, whatever the sizes turn out to be.
-
-    If ``small`` has been counted to fit, it is broadcast and ``big`` does not move. Otherwise
-    both sides are shuffled; with ``salt_by`` every key is split into ``salts`` parts first
-    (``small`` is repeated per part), so that no key, however frequent, lands in one task.
-    """
-    keys = [on] if isinstance(on, str) else list(on)
-    if is_small(small, max_rows):
-        return big.join(F.broadcast(small), keys, how)
-    if salt_by is None:
-        return big.join(small, keys, how)
-    part = F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")
-    parts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    return (
-        big.withColumn("_part", part)
-        .join(small.withColumn("_part", parts), [*keys, "_part"], how)
-        .drop("_part")
-    )
+TASKS = "spark.textwarden.tasks"
+"""Setting that spreads every table of texts to so many tasks as it is read. Unset by default: a
+table in several files or row groups has splits of its own, and moving its texts costs more."""
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh path in the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only a local session without that setting gets a temporary folder of its own.
+    Only a session with a local master may leave that unset; a temporary folder is then set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="textwarden-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/textwarden-{uuid.uuid4().hex}"
 
 
@@ -73,6 +37,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path is a folder, in whatever store it lies."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    return found.getFileSystem(conf).getFileStatus(found).isDirectory()
+
+
 def settle(df: DataFrame, *names: str) -> DataFrame:
     """Put computed columns behind a one-row generator.
 
@@ -85,18 +56,9 @@ def settle(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*others, F.inline(F.array(F.struct(*names))))
 
 
-def wanted_tasks(df: DataFrame) -> int | None:
-    """Number of tasks to spread an input to, None if it has enough splits as it is.
-
-    Only an input with fewer splits than cores is spread, such as a small file; any large table
-    has enough. (Some splits may even be empty: a row group is read by one of them.) Several
-    tasks per core even out long and short texts. Meant for a table as read, before any join.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return None if df.rdd.getNumPartitions() >= cores else TASKS_PER_CORE * cores
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition an input read in too few splits, so that not one core does all the work."""
-    tasks = wanted_tasks(df)
+def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Deal rows out to ``tasks`` tasks, or to the number the session sets; else leave them be."""
+    if tasks is None:
+        setting = df.sparkSession.conf.get(TASKS, None)
+        tasks = int(setting) if setting else None
     return df if tasks is None else df.repartition(tasks)
