@@ -5,12 +5,13 @@ segment in which they differ by one bit at most. Every fingerprint is therefore
 three segments with each bit in turn wiped out (a wildcard): 64 keys. Fingerprints that link share
 a key, so an equality join finds all of them, and the join condition verifies the distance.
 
-Groups of near-copies would give a number of pairs that grows with the square of the group. Two
-steps avoid that without losing a link between different components:
+Most keys hold two or three fingerprints; all their pairs are told from the key's smallest, largest
+and exclusive-or, without a join. Groups of near-copies make fuller keys, and all pairs of those would
+grow with the square of the group. Two steps avoid that without losing a link between components:
 
-1. Within each key every fingerprint is compared with the smallest one only (a star). Verified
-   links are contracted to components.
-2. Keys all of whose fingerprints are in one component are done. In the others, only members
+1. Every fingerprint of a full key is compared with up to four leaders of the key, picked by a hash,
+   and gives a link to the first that is close. Verified links are contracted to components.
+2. Full keys all of whose fingerprints are in one component are done. In the others, only members
    outside the key's most frequent component are joined with the members of other components.
 """
 
@@ -98,31 +99,44 @@ def links(nodes: DataFrame) -> DataFrame:
     """``nodes(fp)``, all different -> links ``(a, b)`` whose components are those of all pairs
     at ``MAX_BITS`` bits or fewer."""
     entries = index(nodes.select("fp"))
-    leaders = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("leader"))
-    stars = (
-        entries.join(leaders.where("n > 1").drop("n"), "key")
-        .where(F.col("fp") != F.col("leader"))
-        .where(close("fp", "leader"))
-        .select(F.col("fp").alias("a"), F.col("leader").alias("b"))
-        .distinct()
+    keys = stored(
+        entries.groupBy("key")
+        .agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_xor("fp").alias("x"))
+        .where("n > 1"),
+        "keys",
+    )
+    # with three members, the exclusive-or of all and the outer two is the middle one
+    middle = F.col("x").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
+    two = [F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"))]
+    three = [*two, F.struct(F.col("lo").alias("a"), middle.alias("b")), F.struct(middle.alias("a"), F.col("hi").alias("b"))]
+    near = lambda p: F.bit_count(p["a"].bitwiseXOR(p["b"])) <= MAX_BITS
+    pairs = F.filter(F.when(F.col("n") == 2, F.array(*two)).otherwise(F.array(*three)), near)
+    few = keys.where("n < 4").select(pairs.alias("p")).where(F.size("p") > 0).select(F.inline("p"))
+
+    full = stored(entries.join(keys.where("n > 3").select("key"), "key"), "full")
+    chance = F.xxhash64("fp", "key")
+    led = full.groupBy("key").agg(
+        F.array(F.min_by("fp", chance), F.max_by("fp", chance), F.min("fp"), F.max("fp")).alias("leaders")
     )
-    stars = stored(stars, "stars")
+    linked = F.filter("leaders", lambda x: (x != F.col("fp")) & (F.bit_count(x.bitwiseXOR(F.col("fp"))) <= MAX_BITS))
+    first = F.get(linked, 0)
+    stars = full.join(led, "key").select(F.col("fp").alias("a"), first.alias("b")).where("b is not null")
+    stars = stored(few.union(stars).distinct(), "stars")
+
     roots = components(stars)
-    rooted = stored(
-        nodes.select("fp").join(roots, F.col("fp") == F.col("node"), "left").select(
-            "fp", F.coalesce("root", "fp").alias("root")
-        ),
-        "rooted",
+    members = full.join(roots, F.col("fp") == F.col("node"), "left").select(
+        "key", "fp", F.coalesce("root", "fp").alias("root")
     )
-    entries = index(rooted)
-    groups = entries.groupBy("key", "root").agg(F.count("*").alias("n"))
+    members = stored(members, "members")
     mixed = (
-        groups.groupBy("key")
+        members.groupBy("key", "root")
+        .agg(F.count("*").alias("n"))
+        .groupBy("key")
         .agg(F.count("*").alias("parts"), F.max(F.struct("n", "root"))["root"].alias("major"))
         .where("parts > 1")
         .select("key", "major")
     )
-    open_ = entries.join(mixed, "key")
+    open_ = stored(members.join(mixed, "key"), "open")
     minor = open_.where("root <> major").select("key", F.col("fp").alias("a"), F.col("root").alias("ra"))
     other = open_.select("key", F.col("fp").alias("b"), F.col("root").alias("rb"))
     rest = (
