@@ -87,7 +87,7 @@ def test_sweep_equals_filtering_at_every_threshold(published):
         part = published.where(F.col("lang") == row["lang"])
         want = part.withColumn("predicted", (F.col("score") >= row["threshold"]).cast("int"))
         counts = evaluate.confusion(want).first()
-        assert [row[c] for c in ("tp", "fp", "fn", "tn", "total")] == list(counts)
+        assert [row[c] for c in ("tp", "fp", "fn", "tn", "total")] == list(counts)[:5]
 
 
 def test_counts_add_up(published):

@@ -28,6 +28,8 @@ DETECT = [
     ("मी येथे आहे आणि ते नाही", "mr", "hi"),
     ("यो किताब राम्रो छ", "ne", "hi"),
     ("یہ ایک اچھی کتاب ہے", "ur", "ar"),
+    ("هذا كتاب جيد " * 20 + "ے", "ar", "ar"),  # one letter decides nothing
+    ("هذا كتاب جيد " * 20 + "پ", "ar", "ar"),
     ("این کتاب خوب است گچ پژ", "fa", "ar"),
     ("12345 !!!", "unknown", "en"),
 ]
@@ -246,7 +248,7 @@ def test_batches_keep_order_and_add_up(spark):
     rows = moderate_batches(df)
     assert [r["text"] for r in rows.orderBy("position").collect()] == texts
     summary = batch_summary(rows, "id").first()
-    assert tuple(summary) == (7, 4, 2, 2)
+    assert tuple(summary) == (7, 4, 2, 2, 0)
     assert summary["flagged_count"] + summary["clean_count"] == summary["total_texts"]
 
 
@@ -255,7 +257,7 @@ def test_run_counts_come_with_the_write(spark):
     observed, observation = observe_run(rows)
     observed.write.format("noop").mode("overwrite").save()
     assert observation.get == {
-        "total_texts": 3, "flagged_count": 1, "clean_count": 2, "skipped_count": 1
+        "total_texts": 3, "flagged_count": 1, "clean_count": 2, "skipped_count": 1, "undecided_count": 0,
     }
 
 
@@ -283,9 +285,43 @@ def test_learned_profile_detects(spark):
     rows = [(f"der hund und {w} katze", "aa") for w in ("die", "das", "ein")]
     rows += [(f"the dog and {w} cat und", "bb") for w in ("a", "this", "one")]
     learned = lang_ops.learn_profile(spark.createDataFrame(rows, "text string, lang string"), top=5)
-    profile = lang_ops.collect_profile(learned)
+    profile = {}
+    for r in learned.orderBy("lang", "rank").collect():
+        profile[r["lang"]] = (*profile.get(r["lang"], ()), r["tok"])
     assert profile == {"aa": ("der", "hund", "katze", "das"), "bb": ("and", "cat", "dog", "the")}
-    with pytest.raises(ValueError):
-        lang_ops.collect_profile(learned, max_words=1)
     found = lang_ops.detect_language(frame(spark, ["der hund", "the cat and dog"]), profile=profile)
     assert [r["language_raw"] for r in found.orderBy("id").collect()] == ["aa", "bb"]
+
+
+def test_learned_grams_tell_languages(spark):
+    rows = [(1, "la casa de la niña", "es"), (2, "el perro y la casa", "es"), (3, "the house of the dog", "en")]
+    df = spark.createDataFrame([*rows, (4, "la casa", None), (5, "1 ! 2", None), (6, None, None)], "k int, text string, lang string")
+    grams = lang_ops.learn_grams(df)
+    found = {r["k"]: r for r in lang_ops.detect_learned(df, grams, "k").collect()}
+    assert [found[k]["detected"] for k in range(1, 7)] == ["es", "es", "en", "es", "unknown", "unknown"]
+    assert found[6]["confidence"] == 0.0 and found[3]["confidence"] > 0.9
+    assert [c["lang"] for c in found[1]["all_candidates"]] == ["es", "en"]
+
+
+def test_min_docs_counts_texts(spark):
+    df = spark.createDataFrame([("many many many", "en"), ("few", "en"), ("few", "en")], "text string, lang string")
+    assert [r["tok"] for r in lang_ops.learn_profile(df, min_docs=2).collect()] == ["few"]
+
+
+def test_own_scores_and_undecided_rows(spark):
+    rows = [(1, "a fine text here", 0.9, 0.1, None), (2, "a fine text here", 0.1, 0.95, None),
+            (3, None, 0.9, 0.1, None), (4, "it failed on this", None, None, "boom"), (5, "no score for this", None, None, None),
+            (6, "  ", None, None, None)]
+    df = spark.createDataFrame(rows, "k int, text string, t double, n double, error string")
+    moderated = moderate(df, scores={"toxic": "t", "not_toxic": "n"})
+    assert moderated.columns.count("error") == 1
+    found = {r["k"]: r for r in moderated.collect()}
+    assert [(found[k]["verdict"], found[k]["confidence"], found[k]["error"]) for k in range(1, 7)] == [
+        ("toxic", 0.9, None), ("clean", 0.95, None), (None, None, "missing_text"),
+        (None, None, "boom"), (None, None, "missing_score"), ("clean", 0.0, None),
+    ]
+    assert found[1]["categories"]["toxic"]["flagged"] and found[3]["categories"] is None
+    counts = batch_summary(moderated).first()
+    assert tuple(counts) == (6, 1, 2, 3)
+    plain = {r["k"]: r for r in moderate(df.select("k", "text")).collect()}
+    assert plain[3]["verdict"] is None and plain[3]["error"] == "missing_text" and plain[1]["verdict"] == "clean"

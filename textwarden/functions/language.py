@@ -68,10 +68,8 @@ def known_tokens(tokens: str, words: Sequence[str]) -> Column:
     return F.expr(f"filter({tokens}, t -> {among}{other})")
 
 
-def arabic_script_language(text: Column) -> Column:
-    return (
-        F.when(text.rlike(URDU_LETTERS), "ur").when(text.rlike(PERSIAN_LETTERS), "fa").otherwise("ar")
-    )
+SIGN_SHARE = 5
+"""One token in so many must hold a language's own letters; a stray letter decides nothing."""
 
 
 def devanagari_language(text: Column) -> Column:
@@ -87,11 +85,18 @@ def script_votes(text: Column, known: str) -> Column:
     def tokens_in(*scripts: Sequence[tuple[int, int]]) -> str:
         return f"filter({known}, t -> {starts_in('t', *scripts)})"
 
+    def own_letters(letters: str) -> Column:
+        held = f"size(filter({tokens_in(ARABIC)}, t -> t rlike '{letters}'))"
+        return F.expr(f"{SIGN_SHARE} * {held} >= size({tokens_in(ARABIC)}) and {held} > 0")
+
     return F.when(
         F.array_max(known) >= chr(ARABIC[0][0]),
         F.struct(
             F.expr(f"size({tokens_in(ARABIC)})").alias("arabic"),
-            arabic_script_language(text).alias("arabic_lang"),
+            F.when(own_letters(URDU_LETTERS), "ur")
+            .when(own_letters(PERSIAN_LETTERS), "fa")
+            .otherwise("ar")
+            .alias("arabic_lang"),
             F.expr(f"size({tokens_in(DEVANAGARI)})").alias("devanagari"),
             devanagari_language(text).alias("devanagari_lang"),
         ),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textwarden import config
@@ -116,16 +116,19 @@ def learn_profile(
     """Most frequent tokens per language, without tokens ranked in all languages: ``lang, tok, n, rank``.
 
     Word counts are summed map-side. The ``rank <= top`` filter lets Spark keep only each
-    task's best tokens before the shuffle, so the size of a language does not matter. Spark
-    does so for up to 1,000 ranks.
+    task's best tokens before the shuffle (for as many ranks as
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` says), so the size of a language does not
+    matter. ``min_docs`` counts the texts that hold a token.
     """
-    if top > 1_000:
-        raise ValueError("top must not exceed 1000")
     counts = (
-        df.select(lang, F.explode(T.tokens(F.col(text))).alias("tok"))
-        .groupBy(lang, "tok")
+        df.select(lang, F.monotonically_increasing_id().alias("_row"), T.tokens(F.col(text)).alias("_tokens"))
+        .select(lang, "_row", F.explode("_tokens").alias("tok"))
+        .groupBy(lang, "_row", "tok")
         .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= min_docs)
+        .groupBy(lang, "tok")
+        .agg(F.sum("n").alias("n"), F.count("*").alias("_docs"))
+        .where(F.col("_docs") >= min_docs)
+        .drop("_docs")
     )
     order = Window.partitionBy(lang).orderBy(F.desc("n"), "tok")
     ranked = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
@@ -139,15 +142,67 @@ def learn_profile(
     )
 
 
-def collect_profile(learned: DataFrame, max_words: int = 5_000) -> dict[str, tuple[str, ...]]:
-    """Turn a learned profile into the form the detector takes; refuses one beyond ``max_words``."""
-    rows = learned.select("lang", "tok", "rank").limit(max_words + 1).collect()
-    if len(rows) > max_words:
-        raise ValueError(f"profile has more than {max_words} words")
-    profile: dict[str, list[tuple[int, str]]] = {}
-    for row in rows:
-        profile.setdefault(row["lang"], []).append((row["rank"], row["tok"]))
-    return {lang: tuple(word for _, word in sorted(words)) for lang, words in sorted(profile.items())}
+GRAM = 3
+
+
+def _grams(tok: Column) -> Column:
+    """Character n-grams of a token between blanks."""
+    padded = F.concat(F.lit(" "), tok, F.lit(" "))
+    last = F.length(padded) - (GRAM - 1)
+    return F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(padded, i, F.lit(GRAM)))
+
+
+def learn_grams(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Character n-grams of every language as a table of weights: ``gram, lang, w_milli``.
+
+    A weight is the logarithm, in thousandths, of the n-gram's smoothed share in the language, and
+    every n-gram has one for every language. Tokens are counted before they are cut up, so a word
+    is cut once for each language, however frequent it is.
+    """
+    tokens = df.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(T.tokens(F.col(text))).alias("tok"))
+    words = tokens.groupBy("lang", "tok").agg(F.count("*").alias("n"))
+    counts = (
+        words.select("lang", "n", F.explode(_grams(F.col("tok"))).alias("gram"))
+        .groupBy("lang", "gram")
+        .agg(F.sum("n").alias("n"))
+    )
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    size = counts.select(F.count_distinct("gram")).scalar()
+    per_gram = counts.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
+    languages = totals.agg(F.sort_array(F.collect_list(F.struct("lang", "total")))).scalar()
+    n = F.coalesce(F.try_element_at("by_lang", F.col("lang")), F.lit(0))
+    return per_gram.select("gram", "by_lang", F.inline(languages)).select(
+        "gram", "lang", F.round(F.ln((n + 1.0) / (F.col("total") + size)) * 1000).cast("bigint").alias("w_milli")
+    )
+
+
+def detect_learned(df: DataFrame, grams: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Language by learned n-grams: ``key, detected, confidence, all_candidates``.
+
+    Every distinct word is cut up and weighed once; texts meet the words' weights by their counted
+    tokens. ``all_candidates`` has all languages, best first, with their posterior probability
+    (equal priors, four digits); ties go to the alphabetically first code. Texts without a known
+    n-gram are ``unknown`` with confidence 0.
+    """
+    tokens = df.select(key, F.explode(T.tokens(F.col(text))).alias("tok"))
+    counted = tokens.groupBy(key, "tok").agg(F.count("*").alias("n"))
+    pieces = counted.select("tok").distinct().select("tok", F.explode(_grams(F.col("tok"))).alias("gram"))
+    weights = pieces.join(grams, "gram").groupBy("tok", "lang").agg(F.sum("w_milli").alias("w"))
+    sums = counted.join(weights, "tok").groupBy(key, "lang").agg(F.sum(F.col("n") * F.col("w")).alias("w"))
+    ranked = sums.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.col("w")).alias("rank"), "lang"))).alias("_r"))
+    odds = F.transform("_r", lambda r: F.exp((F.col("_r")[0]["rank"] - r["rank"]) / 1000.0))
+    total = F.aggregate("_odds", F.lit(0.0), lambda a, x: a + x)
+    found = ranked.withColumn("_odds", odds).withColumn(
+        "all_candidates",
+        F.zip_with("_r", "_odds", lambda r, o: F.struct(r["lang"].alias("lang"), F.round(o / total, 4).alias("confidence"))),
+    )
+    best = F.col("all_candidates")[0]
+    return df.select(key).join(found, key, "left").select(
+        key,
+        F.coalesce(best["lang"], F.lit(config.UNKNOWN_LANGUAGE)).alias("detected"),
+        F.coalesce(best["confidence"], F.lit(0.0)).alias("confidence"),
+        "all_candidates",
+    )
 
 
 def confusion_by_language(df: DataFrame, declared: str, detected: str, codes: Sequence[str]) -> DataFrame:

@@ -84,10 +84,10 @@ VOTES = rf"""
     votes AS (
         SELECT k, lang, count(*) AS n FROM tok JOIN {PROFILE} p(lang, w) ON t = w GROUP BY ALL
         UNION ALL
-        SELECT k, CASE WHEN regexp_matches(cleaned, '[ٹڈڑںھہے]') THEN 'ur'
-                WHEN regexp_matches(cleaned, '[پچژگکی]') THEN 'fa' ELSE 'ar' END, count(*)
-        FROM tok JOIN clean USING (k)
-        WHERE regexp_matches(t, '^[\x{{600}}-\x{{6FF}}\x{{750}}-\x{{77F}}]') GROUP BY ALL),
+        SELECT k, CASE WHEN 5 * sum(regexp_matches(t, '[ٹڈڑںھہے]')::INT) >= count(*) THEN 'ur'
+                WHEN 5 * sum(regexp_matches(t, '[پچژگکی]')::INT) >= count(*) THEN 'fa' ELSE 'ar' END, count(*)
+        FROM tok
+        WHERE regexp_matches(t, '^[\x{{600}}-\x{{6FF}}\x{{750}}-\x{{77F}}]') GROUP BY k),
     best AS (SELECT k, lang AS raw, n FROM (
         SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, lang) AS r FROM votes)
         WHERE r = 1)"""
@@ -210,6 +210,27 @@ BAYES = f"""
         LEFT JOIN (SELECT k, sum(up) AS x FROM tok JOIN bayes ON t = w GROUP BY k) USING (k), bias)"""
 
 
+# Three-character pieces of tokens between blanks; shares per language from documents not held out.
+LEARNED_LANGUAGE = f"""{raw(DOCS)}, {TOKENS},
+    words AS (SELECT DISTINCT t FROM tok),
+    pieces AS (SELECT t, substring(' ' || t || ' ', i, 3) AS g
+        FROM (SELECT t, unnest(range(1, length(t) + 1)) AS i FROM words)),
+    seen AS (SELECT lang, g, count(*) AS n FROM tok JOIN src USING (k) JOIN pieces USING (t)
+        WHERE NOT {HELD} GROUP BY ALL),
+    totals AS (SELECT lang, sum(n) AS total FROM seen GROUP BY lang),
+    size AS (SELECT count(DISTINCT g) AS size FROM seen),
+    grams AS (SELECT a.g, totals.lang, round(1000 * ln((coalesce(n, 0) + 1)::DOUBLE / (total + size)))::BIGINT AS w
+        FROM (SELECT DISTINCT g FROM seen) a CROSS JOIN totals CROSS JOIN size
+        LEFT JOIN seen ON seen.g = a.g AND seen.lang = totals.lang),
+    per_word AS (SELECT t, lang, sum(w) AS w FROM pieces JOIN grams USING (g) GROUP BY ALL),
+    sums AS (SELECT k, per_word.lang, sum(w) AS w FROM tok JOIN per_word USING (t) GROUP BY ALL),
+    tops AS (SELECT k, max(w) AS top FROM sums GROUP BY k),
+    won AS (SELECT k, min(lang) FILTER (w = top) AS lang, round(1 / sum(exp((w - top)::DOUBLE / 1000)), 4) AS confidence
+        FROM sums JOIN tops USING (k) GROUP BY k),
+    told AS (SELECT k, coalesce(won.lang, 'unknown') AS detected, coalesce(confidence, 0)::DOUBLE AS confidence
+        FROM src LEFT JOIN won USING (k))"""
+
+
 def grid(points) -> str:
     return values((f"{p}",) for p in points).replace("'", "")
 
@@ -363,6 +384,11 @@ def sql() -> dict[str, str]:
             + """, round(avg((lang = language_raw)::INT), 4) AS agreement
             FROM found JOIN src USING (k) GROUP BY lang""",
         ),
+        "lang_learned": q(LEARNED_LANGUAGE, "SELECT k AS doc_id, detected, confidence FROM told"),
+        "lang_learned_confusion": q(
+            LEARNED_LANGUAGE,
+            f"SELECT lang, detected, count(*) AS n FROM told JOIN src USING (k) WHERE {HELD} GROUP BY ALL",
+        ),
         "threshold_lookup": f"""SELECT doc_id, lang, coalesce(t, 0.5)::DOUBLE AS threshold FROM documents
             LEFT JOIN {ALIASES} a(alias, target) ON alias = lang
             LEFT JOIN {THRESHOLDS} h(code, t) ON code = coalesce(target, lang)""",

@@ -305,6 +305,23 @@ def q_lang_profile(spark: SparkSession, folder: str) -> DataFrame:
     return language.learn_profile(documents(spark, folder), top=15)
 
 
+def learned_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of all documents, by n-grams of those that are not held out."""
+    texts = documents(spark, folder)
+    return language.detect_learned(texts, language.learn_grams(texts.where(f"NOT {HELD_OUT}")), "doc_id")
+
+
+def q_lang_learned(spark: SparkSession, folder: str) -> DataFrame:
+    return learned_languages(spark, folder).select("doc_id", "detected", "confidence")
+
+
+def q_lang_learned_confusion(spark: SparkSession, folder: str) -> DataFrame:
+    """Declared against learned language, on the documents held out."""
+    declared = read_table(spark, folder, "documents").select("doc_id", "lang").where(HELD_OUT)
+    found = declared.join(learned_languages(spark, folder), "doc_id")
+    return found.groupBy("lang", "detected").agg(F.count("*").alias("n"))
+
+
 def q_lang_confusion(spark: SparkSession, folder: str) -> DataFrame:
     found = language.detect_language(documents(spark, folder))
     return language.confusion_by_language(found, "lang", "language_raw", DETECTED)
