@@ -4,7 +4,7 @@ A byte goes if a string of ``LENGTH`` bytes covers it that also starts earlier i
 
 Sampling. Of every string of ``LENGTH`` bytes, the ``GRAM``-byte gram of least hash is its anchor (the
 leftmost, if several). Equal strings have equal anchors at equal places, so repeats are found
-by comparing anchors with equal hashes, and about 3 in 100 suffixes have to be looked at.
+by comparing anchors with equal hashes, and about 4 in 100 suffixes have to be looked at.
 
 1. Anchors are dealt by hash; those whose hash occurs once end there. An anchor that a task has
    seen in two documents itself is known to repeat and is not dealt by its hash.
@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from textwarden.llm.common import bounded_batches, stored
 
 LENGTH = 100
-GRAM = 32
+GRAM = 48
+"""Longer grams make more anchors (2 in ``LENGTH - GRAM + 2`` bytes), but fewer that repeat by chance."""
 BEFORE = LENGTH - GRAM
 """A string begins at most so many bytes before its anchor."""
 
@@ -46,16 +47,22 @@ CONTEXTS_HELD = 50_000
 
 _rng = np.random.default_rng(1)
 BYTES = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-STEPS = [int(x) | 1 for x in _rng.integers(1 << 40, 1 << 63, 5, dtype=np.int64)]
+STEPS = [int(x) | 1 for x in _rng.integers(1 << 40, 1 << 63, 12, dtype=np.int64)]
 PLACE = np.uint64((1 << 24) - 1)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the ``GRAM`` bytes from every position on, by doubling."""
-    h, width = BYTES[data], 1
-    for step in STEPS:
-        h = h[:-width] * np.uint64(step) + h[width:]
+    power, width, h, made = BYTES[data], 1, None, 0
+    for bit, step in enumerate(STEPS):
+        if GRAM >> bit & 1:  # the gram is put together from the powers of two in its length
+            h = power if h is None else power[: len(power) - made] * np.uint64(step) + h[width : width + len(power) - made]
+            made += width
+        if made == GRAM:
+            break
+        power = power[:-width] * np.uint64(step) + power[width:]
         width *= 2
+    h = h[: len(data) - GRAM + 1].copy()
     h ^= h >> np.uint64(31)
     h *= np.uint64(0x9E3779B97F4A7C15)
     return h ^ (h >> np.uint64(29))
