@@ -69,6 +69,7 @@ def test_long_texts_in_parts(docs_of, monkeypatch):
     monkeypatch.setattr(sd, "CHUNK", 300)
     monkeypatch.setattr(sd, "CONTEXTS_HELD", 20)
     monkeypatch.setattr(sd, "ANCHORS_AT_ONCE", 7)
+    monkeypatch.setattr(sd, "ROWS_AT_ONCE", 9)
     rows = corpus()
     compare(docs_of(rows), rows)
 

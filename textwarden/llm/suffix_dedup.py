@@ -11,8 +11,8 @@ by comparing anchors with equal hashes, and about 4 in 100 suffixes have to be l
 2. The others come with their context, all bytes that strings around the anchor can
    have: up to ``LENGTH`` from the anchor on and ``LENGTH - GRAM`` before it. Equal contexts are
    collapsed in the task that reads them: all but the earliest go whole.
-3. Contexts are dealt by hash and a partition's suffixes (the bytes from the anchor on) are put in
-   order by deep-shallow sorting: multikey quicksort for the first ``GRAM`` bytes, eight bytes being
+3. Contexts are dealt by hash, and the suffixes (the bytes from the anchor on) of a block of hashes
+   are put in order by deep-shallow sorting: multikey quicksort for the first ``GRAM`` bytes, eight bytes being
    one character, all open groups advancing together; then blind tries for the groups whose common
    prefix is longer. The reversed bytes before the anchors are put in order the same way. Two
    strings that begin ``o`` bytes before their anchors are equal if the suffixes share
@@ -44,6 +44,7 @@ CLASS = 50_000
 CHUNK = 1 << 20
 ANCHORS_AT_ONCE = 20_000
 CONTEXTS_HELD = 50_000
+ROWS_AT_ONCE = 100_000
 
 _rng = np.random.default_rng(1)
 BYTES = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -121,6 +122,27 @@ def chunks(rows: Iterator[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.n
         yield laid()
 
 
+def by_hash(columns: Iterator[list[np.ndarray]], least: int) -> Iterator[list[np.ndarray]]:
+    """Cut batches in order of their first column where it changes, into blocks of ``least`` rows or
+    more: rows of one hash stay together, and no more than a block and a batch is held."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+    for batch in columns:
+        if not len(batch[0]):
+            continue
+        held.append(batch)
+        size += len(batch[0])
+        if size < least:
+            continue
+        whole = [np.concatenate(x) for x in zip(*held)]
+        cut = int(np.searchsorted(whole[0], whole[0][-1]))  # where the last hash begins
+        if cut:
+            yield [x[:cut] for x in whole]
+        held, size = [[x[cut:] for x in whole]], len(whole[0]) - cut
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
     for batch in batches:
         for key, text in zip(batch.column("id"), batch.column("text")):
@@ -162,21 +184,19 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
     """``(id, hashes)``: for every document the anchor hashes that occur again, if any do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # narrow rows; a partition is as large as the number of shuffle partitions makes it
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
-        if not parts:
-            return
-        h, key, state = (np.concatenate(x) for x in zip(*parts))
-        yield _pairs(key[state == KNOWN], h[state == KNOWN])
-        h, key, state = h[state != KNOWN], key[state != KNOWN], state[state != KNOWN]
-        _, group, n = np.unique(h, return_inverse=True, return_counts=True)
-        spoken = np.zeros(len(n), bool)
-        spoken[group[state == SPOKESMAN]] = True
-        hit = ((n > 1) | spoken)[group] & (state == ALONE)
-        yield _pairs(key[hit], h[hit])
+        columns = ([b.column(i).to_numpy() for i in range(3)] for b in batches)
+        for h, key, state in by_hash(columns, ROWS_AT_ONCE):
+            yield _pairs(key[state == KNOWN], h[state == KNOWN])
+            h, key, state = h[state != KNOWN], key[state != KNOWN], state[state != KNOWN]
+            _, group, n = np.unique(h, return_inverse=True, return_counts=True)
+            spoken = np.zeros(len(n), bool)
+            spoken[group[state == SPOKESMAN]] = True
+            hit = ((n > 1) | spoken)[group] & (state == ALONE)
+            yield _pairs(key[hit], h[hit])
 
     dealt = F.when(F.col("state") == KNOWN, F.xxhash64("id", "hash")).otherwise(F.col("hash"))
-    pairs = found_anchors(docs).repartition(dealt).mapInArrow(run, "id bigint, hash bigint")
+    ordered = found_anchors(docs).repartition(dealt).sortWithinPartitions("hash")
+    pairs = ordered.mapInArrow(run, "id bigint, hash bigint")
     return pairs.groupBy("id").agg(F.collect_set("hash").alias("hashes"))
 
 
@@ -377,34 +397,26 @@ def _runs(key, start, end) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (key, start, end)], ["id", "start", "end"])
 
 
-def _bytes(column: pa.Array, width: int, padded: int) -> np.ndarray:
-    out = np.zeros((len(column), padded), np.uint8)
-    out[:, :width] = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
-    return out
+def _bytes(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
 def sorted_repeats(open_: DataFrame) -> DataFrame:
-    """Repeated runs among contexts, dealt by hash, one deep-shallow sort per partition."""
+    """Repeated runs among contexts, dealt by hash, one deep-shallow sort per block of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [
-            (
-                *(b.column(i).to_numpy() for i in range(5)),
-                _bytes(b.column(5), LENGTH, LENGTH),
-                _bytes(b.column(6), BEFORE, BEFORE),
-            )
+        parts = (
+            [*(b.column(i).to_numpy() for i in range(5)), _bytes(b.column(5), LENGTH), _bytes(b.column(6), BEFORE)]
             for b in batches
             if b.num_rows
-        ]
-        if not parts:
-            return
-        columns = [np.concatenate(x) for x in zip(*parts)]
-        _, group, n = np.unique(columns[0], return_inverse=True, return_counts=True)
-        shared = n[group] > 1
-        if shared.any():
-            yield _runs(*repeats(*(x[shared] for x in columns)))
-
-    return open_.repartition("hash").mapInArrow(run, RUN)
+        )
+        for columns in by_hash(parts, ROWS_AT_ONCE):
+            _, group, n = np.unique(columns[0], return_inverse=True, return_counts=True)
+            shared = n[group] > 1
+            if shared.any():
+                yield _runs(*repeats(*(x[shared] for x in columns)))
+
+    return open_.repartition("hash").sortWithinPartitions("hash").mapInArrow(run, RUN)
 
 
 # --- 4. Crowded classes ---------------------------------------------------------------
