@@ -2,10 +2,11 @@
 
 Documents are cut into words at ASCII blanks, which no token of the vocabulary crosses. A task
 gathers documents into blocks of about ``BLOCK_WORDS`` words and replaces every word by its number
-in the block's list of distinct words. The words of all blocks meet in one table, where each
-distinct word is encoded once by the tokenizer; the ids go back to the blocks by word, and inside
-a block to every position by number. Only distinct words of blocks travel through the join: a word
-that makes up a third of all text is one row per block.
+in the block's list of distinct words. The lists of all blocks are dealt by a hash of the word, so
+that each distinct word is in one group, where the tokenizer encodes it once; the ids go back to
+the blocks by word, and inside a block to every position by number. Only distinct words of blocks
+travel, packed; the documents' numbers lie in a table bucketed by block and do not move. A word
+that makes up a third of all text is one entry per block.
 """
 
 from __future__ import annotations
@@ -19,9 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textwarden.llm.common import bounded_batches, stored
+from textwarden.llm.common import bounded_batches, shared_path
 
 BLOCK_WORDS = 2_000_000
+PARTS = 64
+"""Least number of groups the distinct words are dealt to; there are as many as shuffle partitions."""
+
 IDS_AT_ONCE = 1_000_000
 ENCODE_AT_ONCE = 4096
 
@@ -32,11 +36,15 @@ class _Words(dict):
 
     def __init__(self) -> None:
         super().__init__()
-        self.forms: dict[bytes, int] = {}
+        self.forms: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
         form = word.lower() if word.isascii() and b"<|" not in word else word
-        number = self[word] = self.forms.setdefault(form, len(self.forms))
+        number = self.get(form)
+        if number is None:
+            number = self[form] = len(self.forms)
+            self.forms.append(form)
+        self[word] = number
         return number
 
 
@@ -50,105 +58,140 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
-def blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs(doc_id, text)`` -> rows of documents ``(block, doc_id, codes)`` and rows of distinct
-    words ``(block, number, word)`` in one table."""
-    names = ["block", "doc_id", "codes", "number", "word"]
-    schema = "block string, doc_id bigint, codes binary, number bigint, word string"
+def pack_words(words: list[bytes]) -> bytes:
+    """Words hold no line feed: it is one of the blanks they are cut at."""
+    return zlib.compress(b"\n".join(words), 6)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
 
-        block, words, n = uuid.uuid4().hex, _Words(), 0
-
-        def rows(of: str, doc_ids: list, codes: list, numbers: list, found: list) -> pa.RecordBatch:
-            count = max(len(doc_ids), len(found))
-            none = [None] * count
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([of] * count, pa.string()),
-                    pa.array(doc_ids or none, pa.int64()),
-                    pa.array(codes or none, pa.binary()),
-                    pa.array(numbers or none, pa.int64()),
-                    pa.array(found or none, pa.string()),
-                ],
-                names,
-            )
+def unpack_words(data: bytes) -> list[bytes]:
+    return zlib.decompress(data).split(b"\n")
 
-        def listed(of: str, words: _Words) -> Iterator[pa.RecordBatch]:
-            forms = list(words.forms)
-            for at in range(0, len(forms), 100_000):
-                part = [form.decode() for form in forms[at : at + 100_000]]
-                yield rows(of, [], [], list(range(at, at + len(part))), part)
 
-        for batch in batches:
-            doc_ids, codes = [], []
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
+BLOCKS = "block bigint, doc_id bigint, codes binary, part int, words binary, numbers binary"
+
+
+def blocks(docs: DataFrame, parts: int, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs(doc_id, text)`` -> in one table, a row per document ``(block, doc_id, codes)`` and, for
+    every block, its distinct words by the hash that deals them: ``(block, part, words, numbers)``."""
+    names = [name.split()[0] for name in BLOCKS.split(", ")]
+    types = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+        def listed(of: int, words: _Words) -> Iterator[pa.RecordBatch]:
+            dealt: dict[int, list[tuple[bytes, int]]] = {}
+            for number, form in enumerate(words.forms):
+                dealt.setdefault(zlib.crc32(form) % parts, []).append((form, number))
+            for part, pairs in sorted(dealt.items()):
+                pairs.sort()
+                numbers = pack(np.array([n for _, n in pairs]))
+                yield batch([(of, None, None, part, pack_words([w for w, _ in pairs]), numbers)])
+
+        block, words, n = uuid.uuid4().int >> 65, _Words(), 0
+        for given in batches:
+            rows = []
+            for doc_id, text in zip(given.column("doc_id"), given.column("text")):
                 split = (text.as_py() or "").encode("utf-8", "replace").split()
-                doc_ids.append(doc_id.as_py())
-                codes.append(pack(np.fromiter(map(words.__getitem__, split), np.int64, len(split))))
+                codes = pack(np.fromiter(map(words.__getitem__, split), np.int64, len(split)))
+                rows.append((block, doc_id.as_py(), codes, None, None, None))
                 n += len(split)
                 if n >= block_words:
-                    yield rows(block, doc_ids, codes, [], [])
+                    yield batch(rows)
                     yield from listed(block, words)
-                    block, words, n, doc_ids, codes = uuid.uuid4().hex, _Words(), 0, [], []
-            if doc_ids:
-                yield rows(block, doc_ids, codes, [], [])
+                    block, words, n, rows = uuid.uuid4().int >> 65, _Words(), 0, []
+            if rows:
+                yield batch(rows)
         yield from listed(block, words)
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, BLOCKS)
 
 
-def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
-    """``words(word)``, all different -> ``(word, ids)``; every word is encoded once."""
+def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """Write a table to the shared folder in buckets, without a shuffle: every task writes a file for
+    each bucket it has rows of. The session's catalog holds the table's name."""
+    path = shared_path(df.sparkSession, "blocks")
+    name = "textwarden_" + path.rpartition("-")[2]
+    writer = df.write.bucketBy(buckets, column).option("compression", "zstd").option("path", path)
+    writer.saveAsTable(name, format="parquet")
+    return df.sparkSession.table(name)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+ENCODED = "of bigint, numbers binary, lengths binary, ids binary"
+
+
+def encode_words(listed: DataFrame, vocabulary: str) -> DataFrame:
+    """``listed(block, part, words, numbers)`` -> per block and part, the words' ids.
+
+    A group holds all blocks' words of one hash; each distinct one is encoded once.
+    """
+    with open(vocabulary, encoding="utf-8") as file:
+        definition = file.read()
+    names = [name.split()[0] for name in ENCODED.split(", ")]
+    types = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+
+    def run(table: pa.Table) -> pa.Table:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(definition)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        for batch in batches:
-            column = batch.column("word")
-            for at in range(0, len(column), ENCODE_AT_ONCE):
-                part = column.slice(at, ENCODE_AT_ONCE)
-                done = tokenizer.encode_batch_fast(part.to_pylist(), add_special_tokens=False)
-                ids = pa.array([x.ids for x in done], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part, ids], ["word", "ids"])
-
-    with open(vocabulary, encoding="utf-8") as file:
-        definition = file.read()
-    return words.select("word").mapInArrow(run, "word string, ids array<int>")
+        known: dict[bytes, int] = {}
+        places = [
+            np.array([known.setdefault(word, len(known)) for word in unpack_words(words.as_py())])
+            for words in table.column("words")
+        ]
+        distinct, flat, sizes = list(known), [], []
+        for at in range(0, len(distinct), ENCODE_AT_ONCE):
+            texts = [word.decode() for word in distinct[at : at + ENCODE_AT_ONCE]]
+            for found in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                flat += found.ids
+                sizes.append(len(found.ids))
+        ids, length = np.array(flat, np.int64), np.array(sizes, np.int64)
+        first = np.cumsum(length) - length
+        rows = []
+        for block, numbers, place in zip(table.column("block"), table.column("numbers"), places):
+            n = length[place]
+            rows.append((block.as_py(), numbers.as_py(), pack(n), pack(ids[spans(first[place], n)])))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    return listed.select("block", "part", "words", "numbers").groupBy("part").applyInArrow(run, ENCODED)
+
+
+def spans(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Indices of the runs that begin at ``first`` and are ``length`` long, one after another."""
+    begin = np.cumsum(length) - length
+    return np.repeat(first - begin, length) + np.arange(length.sum())
 
 
 def _place(docs: pa.Table, words: pa.Table) -> Iterator[pa.Table]:
     """Join the ids of a block's words back to the positions of its documents."""
-    numbers = words.column("number").to_numpy()
-    lists = words.column("ids").combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
-    offsets = lists.offsets.to_numpy().astype(np.int64)
-    flat = lists.values.to_numpy(zero_copy_only=False)
+    numbers, sizes, lists = (
+        np.concatenate([unpack(x.as_py()) for x in words.column(name)] or [np.zeros(0, np.int64)])
+        for name in ("numbers", "lengths", "ids")
+    )
     start, length = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
-    start[numbers], length[numbers] = offsets[:-1], np.diff(offsets)
-    doc_ids, out, sizes = [], [], []
+    start[numbers], length[numbers] = np.cumsum(sizes) - sizes, sizes
+    flat = lists.astype(np.int32)
+    doc_ids, out, counts = [], [], []
 
     def table() -> pa.Table:
-        ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+        ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out).astype(np.int32)))
         return pa.table([pa.array(doc_ids, pa.int64()), ids], ["doc_id", "ids"])
 
     for doc_id, codes in zip(docs.column("doc_id"), docs.column("codes")):
         code = unpack(codes.as_py())
-        n = length[code]
-        first = np.cumsum(n) - n
-        out.append(flat[np.repeat(start[code] - first, n) + np.arange(n.sum())])
+        out.append(flat[spans(start[code], length[code])])
         doc_ids.append(doc_id.as_py())
-        sizes.append(len(out[-1]))
-        if sum(sizes) >= IDS_AT_ONCE:
+        counts.append(len(out[-1]))
+        if sum(counts) >= IDS_AT_ONCE:
             yield table()
-            doc_ids, out, sizes = [], [], []
+            doc_ids, out, counts = [], [], []
     if doc_ids:
         yield table()
 
@@ -161,11 +204,10 @@ def encode(docs: DataFrame, vocabulary: str, block_words: int = BLOCK_WORDS) ->
     have no ids. Repeated rows and null ids are rows like others. ``vocabulary`` is the path of a
     tokenizer file whose tokens do not cross blanks.
     """
-    rows = stored(blocks(docs, block_words), "blocks")
-    listed = rows.where("word is not null")
-    table = encode_words(listed.select("word").distinct(), vocabulary)
-    ids = listed.join(table, "word").select(F.col("block").alias("of"), "number", "ids")
-    coded = rows.where("codes is not null").select("block", "doc_id", "codes")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = bucketed(blocks(docs, max(PARTS, parts), block_words), "block", parts)
+    ids = encode_words(rows.where("part is not null"), vocabulary)
+    coded = rows.where("part is null").select("block", "doc_id", "codes")
 
     def place(docs: pa.Table, words: pa.Table) -> pa.Table:
         parts = list(_place(docs, words))
