@@ -8,8 +8,9 @@ order of the estimated probability that a neighbour at distance ``reach`` lies t
 over directions of a normal curve's share in the cell), until the visited share is ``target``.
 The candidates of a bucket are scored exactly where they lie; the best of all tables are merged.
 
-Buckets are divided into chunks of about ``CHUNK`` vectors and queries visit every chunk, so no
-task's size follows the largest bucket. No candidate is left out of a visited bucket.
+Buckets are divided into chunks of about ``CHUNK`` vectors, and their visitors into chunks of as many
+queries; every chunk of one meets every chunk of the other, so no task's size follows the largest
+bucket. No candidate is left out of a visited bucket.
 """
 
 from __future__ import annotations
@@ -228,18 +229,28 @@ def nearest(
     hashes = plan(reps, width)
     asked = reps.join(queries.select("rep").distinct(), "rep", "left_semi")
     members = stored(index(reps, hashes), "buckets")
-    parts = members.groupBy("key").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
-    dealt = members.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    sent = visits(asked, hashes, reach, target).join(parts, "key").withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    )
+    sent = stored(visits(asked, hashes, reach, target), "visits")
+
+    def chunks(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("key").agg(F.ceil(F.count("*") / chunk).cast("int").alias(name))
+
+    cells = stored(chunks(members, "parts").join(chunks(sent, "visitors"), "key"), "cells")
+
+    def deal(rows: DataFrame, own: str, other: str) -> DataFrame:
+        """Each row to one chunk of its own kind, and to all of the other's."""
+        mine = F.pmod(F.xxhash64("rep"), F.col(own)).cast("int")
+        met = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        return rows.join(cells, "key").select("key", mine.alias(own), met.alias(other), "rep", "v")
+
 
     def run(theirs: pa.Table, ours: pa.Table) -> pa.Table:
         return scan(theirs, ours, k + 1)
 
-    left = sent.select("key", "part", "rep", "v").groupBy("key", "part")
-    right = dealt.select(F.col("key").alias("of"), F.col("part").alias("nth"), "rep", "v").groupBy("of", "nth")
-    found = left.cogroup(right).applyInArrow(run, "q bigint, c bigint, score double")
+    left = deal(sent, "visitors", "parts").groupBy("key", "visitors", "parts")
+    right = deal(members, "parts", "visitors").select(
+        F.col("key").alias("of"), F.col("visitors").alias("i"), F.col("parts").alias("j"), "rep", "v"
+    )
+    found = left.cogroup(right.groupBy("of", "i", "j")).applyInArrow(run, "q bigint, c bigint, score double")
     merged = found.groupBy("q", "c").agg(F.max("score").alias("score"))
     best = Window.partitionBy("q").orderBy(F.col("score").desc(), "c")
     merged = merged.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
