@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textwarden import config
 from textwarden.operators.evaluate import ratio, with_metrics
 
 
@@ -50,6 +51,7 @@ def ensemble(paired: DataFrame, first: str = "predicted_a", second: str = "predi
 
 
 MEASURES = (
+    # The measures of the summary and their order.
     # measure, whether the smaller value is the better one (None: no winner)
     ("accuracy", False),
     ("false_positives", True),
@@ -60,9 +62,14 @@ MEASURES = (
 )
 
 
-def compare_models(df: DataFrame, models: Mapping[str, tuple[str, str]]) -> DataFrame:
+def compare_models(
+    df: DataFrame, models: Mapping[str, tuple[str, str]], by: str | None = None, overall: str = "overall"
+) -> DataFrame:
     """Two scorers, measure by measure: ``metric, <first>, <second>, winner``.
 
+    With ``by``, the same for every group and for all rows under the name ``overall``; rows
+    without a group count under ``unknown``.
+
     ``models`` gives each scorer's columns for prediction and score; both are measured in one
     pass. ``separation`` is 1 if toxic texts score above clean ones on average, else 0.
     """
@@ -79,7 +86,12 @@ def compare_models(df: DataFrame, models: Mapping[str, tuple[str, str]]) -> Data
             F.avg(F.when(truth, F.col(score))).alias(f"toxic_{i}"),
             F.avg(F.when(~truth, F.col(score))).alias(f"clean_{i}"),
         ]
-    row = df.agg(F.count("*").alias("total"), *sums)
+    if by is None:
+        row = df.agg(F.count("*").alias("total"), *sums)
+    else:
+        group = F.coalesce(F.col(by), F.lit(config.UNKNOWN_LANGUAGE))
+        row = df.withColumn(by, group).rollup(by).agg(F.count("*").alias("total"), *sums)
+        row = row.withColumn(by, F.coalesce(by, F.lit(overall)))
 
     def value(measure: str, i: int) -> Column:
         return {
@@ -108,7 +120,7 @@ def compare_models(df: DataFrame, models: Mapping[str, tuple[str, str]]) -> Data
                 winner.alias("winner"),
             )
         )
-    return row.select(F.inline(F.array(*lines)))
+    return row.select(*([by] if by else []), F.inline(F.array(*lines)))
 
 
 def append_rows(base: DataFrame, extra: DataFrame) -> DataFrame:

@@ -196,11 +196,14 @@ def moderate_safe(
     keep_marks: bool = False,
     label: str | None = S.TOXIC,
     max_tokens: int | None = None,
+    threshold: float = config.DEFAULT_THRESHOLD,
 ) -> DataFrame:
     """Moderation with guards: short texts are clean, the rest is normalised and routed three ways.
 
     Adds ``verdict`` (toxic, needs_review, clean), ``certainty`` (high, uncertain; null for short
-    texts), ``max_score`` and ``note``. ``label=None`` routes by the best score of all labels.
+    texts), ``max_score``, ``note``, ``categories`` (flags at ``threshold``; none for short texts) and
+    ``threshold_used``. ``label=None`` routes by the best score of all labels. Texts that are null
+    get no verdict, score or categories, and ``missing_text`` as their note.
     """
     out = df.withColumn("_long", T.has_words(T.strip(F.col(text)), min_words))
     plain = T.normalise_strict(F.col(text), keep_marks)
@@ -208,16 +211,26 @@ def moderate_safe(
     out = out.withColumn("_words", words).withColumn("_hits", L.keep("_words", model.vocabulary))
     scores = S.label_scores("_hits", model)
     best = S.max_score(scores) if label is None else scores[label]
-    out = out.withColumn("max_score", F.when(F.col("_long"), F.round(best, 4)).otherwise(0.0))
-    out = settle(out.drop("_words", "_hits"), "_long", "max_score")
+    limit = F.lit(float(threshold))
+    found = S.categories(scores, {name: score >= limit for name, score in scores.items()})
+    out = out.withColumns(
+        {
+            "max_score": F.when(F.col("_long"), F.round(best, 4)).when(F.col(text).isNotNull(), 0.0),
+            "categories": F.when(F.col("_long"), found).when(
+                F.col(text).isNotNull(), F.expr(f"cast(map() as {CATEGORIES_TYPE})")
+            ),
+        }
+    )
+    out = settle(out.drop("_words", "_hits"), "_long", "max_score", "categories")
     verdict, certainty = S.route(F.col("max_score"))
     return out.withColumns(
         {
-            "verdict": F.when(F.col("_long"), verdict).otherwise("clean"),
+            "verdict": F.when(F.col("_long"), verdict).when(F.col(text).isNotNull(), "clean"),
             "certainty": F.when(F.col("_long"), certainty),
-            "note": F.when(~F.col("_long"), F.lit(config.SHORT_NOTE)),
+            "note": F.when(F.col(text).isNull(), MISSING_TEXT).when(~F.col("_long"), F.lit(config.SHORT_NOTE)),
+            "threshold_used": F.when(F.col("_long"), limit),
         }
-    ).select(*df.columns, "verdict", "certainty", "max_score", "note")
+    ).select(*df.columns, "verdict", "certainty", "max_score", "note", "categories", "threshold_used")
 
 
 def moderate_batches(
@@ -273,3 +286,8 @@ def display_rows(df: DataFrame, n: int = 80, text: str = "text") -> DataFrame:
         F.round(F.coalesce(toxic, F.lit(0.0)), 4).alias("toxic_score"),
         F.coalesce(F.col("threshold_used").cast("string"), F.lit("N/A")).alias("threshold"),
     )
+
+
+def category_table(spark, model: config.LinearModel = config.DEFAULT_MODEL) -> DataFrame:
+    """The categories a model tells: ``category``."""
+    return spark.createDataFrame([(label,) for label in model.labels], "category string")

