@@ -31,9 +31,9 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near-duplicates: five-word
-    shingles, similarity by fingerprint."""
-    return simhash.keep_first(docs.select(*COLUMNS), width=5)
+    """Keep the document with the smallest id of each group of near-duplicates: candidates by
+    fingerprint, checked for a similarity of 0.8 of their five-word shingles."""
+    return simhash.keep_first(docs.select(*COLUMNS), words=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from textwarden.llm import lang_id, line_dedup, mixing, simhash
+from textwarden.llm import lang_id, line_dedup, mixing
 from textwarden.llm.queries import registry, sql, vocabulary
 
 TABLES = "documents embeddings pages benchmark labels conversations"
@@ -22,7 +22,7 @@ def test_stages_against_brute_force(spark, docs_of, odd_rows):
     """Every stage's effect, and the whole run's tokens, recomputed row by row."""
     from tokenizers import Tokenizer
 
-    from test_simhash import slow_components, slow_fingerprint
+    from test_simhash import slow_groups
 
     rows = odd_rows + [(600 + i, f"menu of the day\nthis is text {i} of the many", "en", "m") for i in range(30)]
     docs = docs_of(rows)
@@ -45,13 +45,7 @@ def test_stages_against_brute_force(spark, docs_of, odd_rows):
     kept = [(i, "\n".join(x for x in t.split("\n") if not often(s, x)), lang, s) for i, t, lang, s in kept]
     assert pairs(frames[1]) == sorted(((r[0], r[1]) for r in kept), key=str)
     assert all(r["n_chars"] == len(r["text"]) for r in frames[1].collect())
-    by_fp = defaultdict(list)
-    for i, text, *_ in kept:
-        by_fp[slow_fingerprint(text, 5)].append(i)
-    groups = defaultdict(set)
-    for fp, root in slow_components(by_fp).items():
-        groups[root] |= {i for i in by_fp[fp] if i is not None}
-    first = {min(g) for g in groups.values() if g}
+    first = {min(group) for group in slow_groups([(i, t) for i, t, *_ in kept if i is not None])}
     once = {r[0]: r for r in kept if r[0] in first}
     kept = [*once.values(), *(r for r in kept if r[0] is None)]
     assert pairs(frames[2]) == sorted(((r[0], r[1]) for r in kept), key=str)
@@ -66,7 +60,6 @@ def test_stages_against_brute_force(spark, docs_of, odd_rows):
     want = [(r["doc_id"], library.encode(r["text"], add_special_tokens=False).ids) for r in frames[3].collect()]
     got = [(r["doc_id"], r["ids"]) for r in frames[4].collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
-    assert simhash.SHINGLE == 4
 
 
 def test_run(spark, data):

@@ -32,6 +32,53 @@ def slow_components(values):
     return {v: find(v) for v in values}
 
 
+def shingles(text, width=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def slow_groups(rows):
+    """Groups of documents with a fingerprint distance up to five bits (word pairs) and a Jaccard
+    similarity of 0.8 or more (five words), by all pairs."""
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    known = [(i, slow_fingerprint(t, 2), shingles(t)) for i, t in rows]
+    for n, (i, f, s) in enumerate(known):
+        for j, g, r in known[n + 1 :]:
+            if bin(f ^ g).count("1") <= 5 and len(s & r) >= 0.8 * len(s | r):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    groups = {}
+    for i, _ in rows:
+        groups.setdefault(find(i), set()).add(i)
+    return list(groups.values())
+
+
+def test_verified_groups_against_brute_force(docs_of, odd_rows):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(400)}" for _ in range(300)]
+    rows = list(odd_rows)
+    for i in range(60):  # near copies of one text, some beyond the similarity, and strangers
+        words = list(base)
+        for at in rng.sample(range(300), rng.choice([0, 1, 2, 4, 8, 30])):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((700 + i, " ".join(words)))
+    rows += [(800, "short"), (801, "Short"), (802, "other"), (803, "a b c"), (804, "a b c d e f")]
+    found = {}
+    for r in simhash.verified_groups(docs_of(rows)).collect():
+        found.setdefault(r["component_id"], set()).add(r["doc_id"])
+    want = slow_groups([(r[0], r[1]) for r in rows if r[0] is not None])
+    assert all(min(group) == least for least, group in found.items())
+    # every link found holds; few of those at the edge of the similarity are not looked at
+    assert all(any(group <= whole for whole in want) for group in found.values())
+    assert len(want) <= len(found) <= len(want) + 3
+    assert {5, 6, 7} in map(set, found.values()) and {1, 2, 3} in map(set, found.values())
+
+
 def test_fingerprints(odd_rows):
     for _, text, *_ in odd_rows:
         assert simhash.fingerprint(text) == slow_fingerprint(text)

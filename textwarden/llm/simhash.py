@@ -31,19 +31,27 @@ SEED = 42
 SHINGLE = 4
 MAX_BITS = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-"""First bit and length of the segments; one more than half of ``MAX_BITS``."""
+"""First bit and length of the segments. One of three segments differs by one bit at most for any two
+fingerprints at a distance of up to five bits."""
+
+MOST_BITS = 2 * len(SEGMENTS) - 1
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BITS_AT_ONCE = 1 << 16
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-cased words: A-Z only, cut at ASCII blanks."""
+    return (text or "").encode("utf-8", "replace").translate(LOWER).split()
+
+
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     """Unsigned fingerprint of a whole text: a bit is 1 if set in over half the shingle hashes.
 
     Null, empty and blank texts have no shingle and the fingerprint 0; a text of fewer words than
     ``width`` has one shingle, all of it.
     """
-    words = (text or "").encode("utf-8", "replace").translate(LOWER).split()
+    words = words_of(text)
     if not words:
         return 0
     joined = b" ".join(words)
@@ -63,17 +71,19 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> ``(doc_id, fp)``: the fingerprint as a signed long."""
+    """``docs(doc_id, text, ...)`` -> ``(doc_id, fp, text_key)``: the fingerprint as a signed long, and a
+    hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t.as_py(), width) for t in batch.column("text")]
             fp = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fp], ["doc_id", "fp"])
+            columns = [batch.column("doc_id"), fp, batch.column("text_key")]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "text_key"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        run, "doc_id bigint, fp bigint"
+    return docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(
+        run, "doc_id bigint, fp bigint, text_key bigint"
     )
 
 
@@ -91,13 +101,15 @@ def index(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode(F.array(*keys)).alias("key"), "*")
 
 
-def close(a: str, b: str, max_bits: int = MAX_BITS):
+def close(a: str, b: str, max_bits: int):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_bits
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``nodes(fp)``, all different -> links ``(a, b)`` whose components are those of all pairs
-    at ``MAX_BITS`` bits or fewer."""
+    at ``max_bits`` bits or fewer."""
+    if not 0 <= max_bits <= MOST_BITS:
+        raise ValueError(f"the segments find distances up to {MOST_BITS}")
     entries = index(nodes.select("fp"))
     keys = stored(
         entries.groupBy("key")
@@ -109,7 +121,7 @@ def links(nodes: DataFrame) -> DataFrame:
     middle = F.col("x").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
     two = [F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"))]
     three = [*two, F.struct(F.col("lo").alias("a"), middle.alias("b")), F.struct(middle.alias("a"), F.col("hi").alias("b"))]
-    near = lambda p: F.bit_count(p["a"].bitwiseXOR(p["b"])) <= MAX_BITS
+    near = lambda p: F.bit_count(p["a"].bitwiseXOR(p["b"])) <= max_bits
     pairs = F.filter(F.when(F.col("n") == 2, F.array(*two)).otherwise(F.array(*three)), near)
     few = keys.where("n < 4").select(pairs.alias("p")).where(F.size("p") > 0).select(F.inline("p"))
 
@@ -118,7 +130,7 @@ def links(nodes: DataFrame) -> DataFrame:
     led = full.groupBy("key").agg(
         F.array(F.min_by("fp", chance), F.max_by("fp", chance), F.min("fp"), F.max("fp")).alias("leaders")
     )
-    linked = F.filter("leaders", lambda x: (x != F.col("fp")) & (F.bit_count(x.bitwiseXOR(F.col("fp"))) <= MAX_BITS))
+    linked = F.filter("leaders", lambda x: (x != F.col("fp")) & (F.bit_count(x.bitwiseXOR(F.col("fp"))) <= max_bits))
     first = F.get(linked, 0)
     stars = full.join(led, "key").select(F.col("fp").alias("a"), first.alias("b")).where("b is not null")
     stars = stored(few.union(stars).distinct(), "stars")
@@ -142,7 +154,7 @@ def links(nodes: DataFrame) -> DataFrame:
     rest = (
         minor.join(other, "key")
         .where(F.col("ra") != F.col("rb"))
-        .where(close("a", "b"))
+        .where(close("a", "b", max_bits))
         .select("a", "b")
         .distinct()
     )
@@ -169,13 +181,84 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     )
 
 
-def keep_first(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+WORDS, SIMILARITY = 5, 0.8
+CANDIDATE_SHINGLE, CANDIDATE_BITS = 2, 5
+"""Fingerprints of word pairs lie closer together than those of longer shingles: an edit changes two
+pairs instead of five shingles."""
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``(doc_id, shingles)``: hashes of the different shingles; a text of
+    fewer words has one, all of it, and a text without words none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for text in batch.column("text"):
+                found = words_of(text.as_py())
+                parts = (found[i : i + words] for i in range(max(1, len(found) - words + 1))) if found else ()
+                hashes = {xxhash.xxh64_intdigest(b" ".join(p), SEED) for p in parts}
+                sets.append(np.array(sorted(hashes), np.uint64).view(np.int64))
+            lists = pa.array(sets, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "shingles"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+
+
+def similar(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The ``pairs(a, b)`` of document ids whose sets of shingles have that Jaccard similarity."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = stored(shingle_sets(docs.join(ids, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]), "shingles")
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(
+        sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b"
+    )
+    shared = F.size(F.array_intersect("x", "y"))
+    total = F.size("x") + F.size("y") - shared
+    return both.where((total == 0) | (shared >= F.lit(similarity) * total)).select("a", "b")
+
+
+def verified_groups(
+    docs: DataFrame,
+    words: int = WORDS,
+    similarity: float = SIMILARITY,
+    width: int = CANDIDATE_SHINGLE,
+    max_bits: int = CANDIDATE_BITS,
+) -> DataFrame:
+    """``docs(doc_id, text, ...)`` -> ``(doc_id, component_id)`` by links that are checked exactly.
+
+    Links between fingerprints of ``width``-word shingles are candidates; they hold if the texts' sets
+    of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more. Copies of a text
+    are one node. Of different texts with one fingerprint, each is compared with the first; of linked
+    fingerprints, the first texts are. Candidate links are those of :func:`links`, which holds a
+    group together but does not name all its pairs: a text whose candidate link fails the check is
+    not tried against the rest of the group. Rows without a ``doc_id`` take no part.
+    """
+    known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows = stored(fingerprints(known, width), "fingerprints")
+    texts = stored(rows.groupBy("fp", "text_key").agg(F.min("doc_id").alias("first")), "texts")
+    nodes = stored(texts.groupBy("fp").agg(F.min("first").alias("first")), "nodes")
+    named = nodes.withColumnRenamed("first", "b")
+    same = texts.join(named, "fp").where("first <> b").select(F.col("first").alias("a"), "b")
+    far = links(nodes, max_bits)
+    ends = far.join(nodes.select(F.col("fp").alias("a"), F.col("first").alias("i")), "a").join(
+        nodes.select(F.col("fp").alias("b"), F.col("first").alias("j")), "b"
+    )
+    pairs = stored(same.union(ends.select("i", "j")).distinct(), "pairs")
+    roots = components(stored(similar(pairs, known, words, similarity), "similar"))
+    least = texts.join(roots, F.col("first") == F.col("node"), "left").select(
+        "fp", "text_key", F.coalesce("root", "first").alias("component_id")
+    )
+    return rows.join(least, ["fp", "text_key"]).select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest ``doc_id``.
 
-    All columns are kept as they are. Rows that repeat a ``doc_id`` are the same document, one of
-    them stays; rows without a ``doc_id`` cannot represent a group and pass unchanged.
+    Groups are those of :func:`verified_groups`. All columns are kept as they are. Rows that repeat a
+    ``doc_id`` are the same document, one of them stays; rows without a ``doc_id`` cannot represent
+    a group and pass unchanged.
     """
-    found = near_duplicates(docs, width).where(F.col("doc_id") == F.col("component_id"))
+    found = verified_groups(docs, words, similarity).where(F.col("doc_id") == F.col("component_id"))
     names = docs.columns
     known = docs.where(F.col("doc_id").isNotNull())
     kept = known.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
