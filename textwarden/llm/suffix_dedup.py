@@ -6,6 +6,9 @@ Sampling. Of every string of ``LENGTH`` bytes, the ``GRAM``-byte gram of least h
 leftmost, if several). Equal strings have equal anchors at equal places, so repeats are found
 by comparing anchors with equal hashes, and about 4 in 100 suffixes have to be looked at.
 
+Copies. A document whose whole text is that of an earlier one goes whole, and nothing that it holds can
+be the first of its kind: only the first of equal texts are looked at.
+
 1. Anchors are dealt by hash; those whose hash occurs once end there. An anchor that a task has
    seen in two documents itself is known to repeat and is not dealt by its hash.
 2. The others come with their context, all bytes that strings around the anchor can
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textwarden.llm.common import bounded_batches, stored
@@ -391,6 +394,7 @@ def repeats(h: np.ndarray, key: np.ndarray, at: np.ndarray, low, high, after, be
 
 
 RUN = "id bigint, start bigint, end bigint"
+SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
 def _runs(key, start, end) -> pa.RecordBatch:
@@ -454,9 +458,19 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("id", F.coalesce(F.col("doc_id").cast("bigint"), none))
 
 
+def text_key() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")))
+
+
+def first_texts(docs: DataFrame) -> DataFrame:
+    """``docs(id, text)`` -> ``(text_key, first)``: the smallest id of every different text."""
+    keys = docs.select("id", text_key().alias("text_key"))
+    return keys.groupBy("text_key").agg(F.min("id").alias("first"))
+
+
 def repeated_runs(docs: DataFrame, crowd: int = CLASS) -> tuple[DataFrame, DataFrame]:
-    """``docs(id, text)`` -> texts that may hold repeats ``(id, text)``, and runs ``(id, start, end)``
-    of repeated bytes, which may overlap."""
+    """``docs(id, text)``, all texts different -> texts that may hold repeats ``(id, text)``, and runs
+    ``(id, start, end)`` of repeated bytes, which may overlap."""
     lists = repeated_anchors(docs)
     dirty = stored(docs.select("id", "text").join(lists, "id").dropDuplicates(["id"]), "dirty")
     found = stored(contexts(dirty), "contexts")
@@ -493,7 +507,9 @@ def remove_repeats(docs: DataFrame, crowd: int = CLASS) -> DataFrame:
     """
     bounded_batches(docs.sparkSession)
     rows = keyed(docs.select("doc_id", "text"))
-    dirty, runs = repeated_runs(rows, crowd)
+    firsts = stored(first_texts(rows), "firsts")
+    different = rows.select("id", "text").join(firsts.select(F.col("first").alias("id")), "id", "left_semi")
+    dirty, runs = repeated_runs(different, crowd)
     spans = runs.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
@@ -512,11 +528,20 @@ def remove_repeats(docs: DataFrame, crowd: int = CLASS) -> DataFrame:
             )
 
     cut = dirty.join(spans, "id").mapInArrow(
-        run, "id bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
+        run, f"id bigint, spans {SPANS}, kept binary"
     )
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
-    whole = rows.select("doc_id", "id", size.alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    whole = rows.select(
+        "doc_id", "id", size.alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"),
+        text_key().alias("text_key"),
+    ).join(firsts, "text_key")
+    copy = (F.col("id") != F.col("first")) & (F.col("n_bytes") >= LENGTH)
+    all_of_it = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_bytes").alias("end")))
+    nothing = F.lit(b"")
     return whole.join(cut.withColumn("kept_sha256", F.sha2("kept", 256)), "id", "left").select(
-        "doc_id", "n_bytes", F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"),
-        "kept", F.coalesce("kept_sha256", "sha256").alias("kept_sha256"),
-    )
+        "doc_id",
+        "n_bytes",
+        F.when(copy, all_of_it).otherwise(F.coalesce("spans", F.array().cast(SPANS))).alias("spans"),
+        F.when(copy, nothing).otherwise(F.col("kept")).alias("kept"),
+        F.when(copy, F.sha2(nothing, 256)).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
+    )
