@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from textwarden.llm.common import bounded_batches, shared_path
 
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
 PARTS = 64
 """Least number of groups the distinct words are dealt to; there are as many as shuffle partitions."""
 
