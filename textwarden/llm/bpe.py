@@ -22,9 +22,9 @@ from pyspark.sql import types as T
 
 from textwarden.llm.common import bounded_batches, shared_path
 
-BLOCK_WORDS = 1_000_000
-PARTS = 64
-"""Least number of groups the distinct words are dealt to; there are as many as shuffle partitions."""
+BLOCK_WORDS = 2_000_000
+PARTS = 256
+"""Least number of groups the distinct words are dealt to; more if there are more shuffle partitions."""
 
 IDS_AT_ONCE = 1_000_000
 ENCODE_AT_ONCE = 4096
@@ -135,6 +135,9 @@ def encode_words(listed: DataFrame, vocabulary: str) -> DataFrame:
     types = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
 
     def run(table: pa.Table) -> pa.Table:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(definition)
@@ -244,9 +247,11 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
         for batch in batches:
             lists = batch.column("ids").fill_null([])
             flat = lists.values.to_numpy(zero_copy_only=False)
-            found = by_id[np.where((flat >= 0) & (flat < size), flat, size)].tolist()
             ends = lists.offsets.to_pylist()
-            texts = [" ".join(filter(None, found[i:j])) for i, j in zip(ends, ends[1:])]
+            texts = []
+            for i, j in zip(ends, ends[1:]):
+                ids = flat[i:j]
+                texts.append(" ".join(filter(None, by_id[np.where((ids >= 0) & (ids < size), ids, size)])))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"]
             )
