@@ -79,6 +79,49 @@ def test_verified_groups_against_brute_force(docs_of, odd_rows):
     assert {5, 6, 7} in map(set, found.values()) and {1, 2, 3} in map(set, found.values())
 
 
+def test_groups_of_texts_with_crowded_fingerprints(docs_of):
+    """Texts dominated by one passage: near copies that are not like the first text of their fingerprint."""
+    rng = random.Random(2)
+    passage = " ".join(f"p{i}" for i in range(51))
+    rows = []
+    for i in range(30):
+        tail = [f"t{rng.randrange(10**6)}" for _ in range(300)]
+        rows.append((2 * i, " ".join([passage] * 40 + tail)))
+        tail[rng.randrange(20, 280)] = "changed"
+        rows.append((2 * i + 1, " ".join([passage] * 40 + tail)))
+    want = {}
+    sets = {i: shingles(t) for i, t in rows}
+    for i, s in sets.items():  # by similarity alone
+        want[i] = min(want.get(j, j) for j, r in sets.items() if len(s & r) >= 0.8 * len(s | r))
+    found = {r["doc_id"]: r["component_id"] for r in simhash.verified_groups(docs_of(rows)).collect()}
+    assert found == want and len(set(want.values())) == 30
+
+
+def test_missed_links_chain_through_any_member(docs_of):
+    """Groups that only members other than their smallest join, within one crowd."""
+    rng = random.Random(8)
+    rows = []
+    for chain in range(6):
+        words = [f"c{chain}w{i}" for i in range(200)]
+        for step in range(12):
+            rows.append((100 * chain + step, " ".join(words)))
+            for at in rng.sample(range(200), 2):
+                words[at] = f"n{rng.randrange(10**9)}"
+    rng.shuffle(rows)
+    spark = docs_of([]).sparkSession
+    texts = spark.createDataFrame([(7, i) for i, _ in rows], "fp bigint, first bigint")
+    none = spark.createDataFrame([], "a bigint, b bigint")
+    held = simhash.missed(texts, none, none, docs_of(rows), 5, 0.8)
+    roots = {r["node"]: r["root"] for r in simhash.components(held).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    want = {i: i for i in sets}
+    for _ in sets:
+        for i, s in sets.items():
+            want[i] = min(want[j] for j, r in sets.items() if len(s & r) >= 0.8 * len(s | r))
+    assert {i: roots.get(i, i) for i in sets} == want
+    assert all(len(sets[r["a"]] & sets[r["b"]]) >= 0.8 * len(sets[r["a"]] | sets[r["b"]]) for r in held.collect())
+
+
 def test_fingerprints(odd_rows):
     for _, text, *_ in odd_rows:
         assert simhash.fingerprint(text) == slow_fingerprint(text)

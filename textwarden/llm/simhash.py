@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textwarden.llm.common import bounded_batches, components, stored
@@ -217,6 +217,96 @@ def similar(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) ->
     return both.where((total == 0) | (shared >= F.lit(similarity) * total)).select("a", "b")
 
 
+def rooted(nodes: DataFrame, found: DataFrame, node: str, root: str) -> DataFrame:
+    """``nodes`` with a column ``root``: the component of the column ``node`` by the links ``found``."""
+    roots = components(found).withColumnsRenamed({"node": node, "root": root})
+    return nodes.join(roots, node, "left").withColumn(root, F.coalesce(root, node))
+
+
+def missed(
+    texts: DataFrame, far: DataFrame, held: DataFrame, docs: DataFrame, words: int, similarity: float
+) -> DataFrame:
+    """``held`` and further links, so that texts of one candidate component (a cloud of fingerprints) are in
+    one group if any chain of pairs of that similarity joins them.
+
+    Only clouds that ``held`` leaves in several groups are searched. Of two texts of the similarity each
+    holds one of the other's rarest shingles among its own rarest (as many as may differ, and one), with
+    shingles in one order throughout the cloud; these are the join keys. As in :func:`links`, members
+    of a key are first compared with leaders, four for each text; then all pairs of a key that are
+    still in different groups are, but for those within the key's most frequent group.
+    """
+    clouds = rooted(texts.select("fp", F.col("first").alias("doc_id")), far, "fp", "cloud")
+    groups = stored(rooted(clouds.select("cloud", "doc_id").distinct(), held, "doc_id", "root"), "groups")
+    split = groups.groupBy("cloud").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    apart = stored(groups.join(split.select("cloud"), "cloud"), "apart")
+    if apart.isEmpty():
+        return held
+    ids = apart.select("doc_id").distinct()
+    sets = stored(shingle_sets(docs.join(ids, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]), "shingles")
+    parts = apart.join(sets, "doc_id").select(
+        "cloud", "doc_id", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")
+    )
+    shared = parts.groupBy("cloud", "shingle").agg(F.count("*").alias("n")).where("n > 1")
+    common = parts.join(shared, ["cloud", "shingle"]).groupBy("cloud", "doc_id", "size").agg(
+        F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("common")
+    )
+    # the shingles of one text alone are its rarest, and no keys
+    keys = F.size("common") + 1 - F.ceil(F.lit(similarity) * F.col("size") - 1e-6).cast("int")
+    entries = common.withColumn("keys", keys).where("keys > 0").select(
+        "cloud", "doc_id", "size", F.explode(F.slice("common", F.lit(1), F.col("keys"))["shingle"]).alias("shingle")
+    )
+    entries = stored(entries, "entries")
+    key = ["cloud", "shingle"]
+
+    def crossing(found: DataFrame) -> DataFrame:
+        """Entries of keys that hold several groups, with the key's most frequent group."""
+        now = stored(rooted(entries, found, "doc_id", "root"), "members")
+        open_ = (
+            now.groupBy(*key, "root")
+            .agg(F.count("*").alias("n"))
+            .groupBy(*key)
+            .agg(F.count("*").alias("groups"), F.max(F.struct("n", "root"))["root"].alias("major"))
+            .where("groups > 1")
+            .drop("groups")
+        )
+        return stored(now.join(open_, key), "open")
+
+    def fit(x: str, y: str):
+        return F.least(x, y) >= F.lit(similarity) * F.greatest(x, y) - 1e-6
+
+    members = crossing(held)
+    chance = F.xxhash64("doc_id", "shingle")
+    leader = F.struct(F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"))
+    led = members.groupBy(*key).agg(F.array(F.min_by(leader, chance), F.max_by(leader, chance)).alias("leaders"))
+    tried = (
+        members.join(led, key)
+        .select(F.col("doc_id").alias("a"), "root", "size", F.inline("leaders"))
+        .where(F.col("root") != F.col("rb"))
+        .where(fit("size", "sb"))
+        .groupBy("a", "b")
+        .agg(F.count("*").alias("n"))
+    )
+    best = Window.partitionBy("a").orderBy(F.col("n").desc(), "b")
+    tried = stored(tried.withColumn("n", F.row_number().over(best)).where("n <= 4").select("a", "b"), "tried")
+    held = stored(held.union(similar(tried, docs, words, similarity)), "similar")
+
+    members = crossing(held)
+    minor = members.where("root <> major").select(
+        *key, F.col("doc_id").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"), "major"
+    )
+    other = members.select(*key, F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"))
+    # a pair of two minor members is met from both sides
+    rest = (
+        minor.join(other, key)
+        .where(F.col("ra") != F.col("rb"))
+        .where((F.col("rb") == F.col("major")) | (F.col("a") < F.col("b")))
+        .where(fit("sa", "sb"))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .distinct()
+    )
+    return stored(held.union(similar(stored(rest, "rest"), docs, words, similarity)), "similar")
+
+
 def verified_groups(
     docs: DataFrame,
     words: int = WORDS,
@@ -229,9 +319,8 @@ def verified_groups(
     Links between fingerprints of ``width``-word shingles are candidates; they hold if the texts' sets
     of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more. Copies of a text
     are one node. Of different texts with one fingerprint, each is compared with the first; of linked
-    fingerprints, the first texts are. Candidate links are those of :func:`links`, which holds a
-    group together but does not name all its pairs: a text whose candidate link fails the check is
-    not tried against the rest of the group. Rows without a ``doc_id`` take no part.
+    fingerprints, the first texts are. :func:`missed` adds what these comparisons leave out among the
+    texts that candidate links hold together. Rows without a ``doc_id`` take no part.
     """
     known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = stored(fingerprints(known, width), "fingerprints")
@@ -239,12 +328,13 @@ def verified_groups(
     nodes = stored(texts.groupBy("fp").agg(F.min("first").alias("first")), "nodes")
     named = nodes.withColumnRenamed("first", "b")
     same = texts.join(named, "fp").where("first <> b").select(F.col("first").alias("a"), "b")
-    far = links(nodes, max_bits)
+    far = stored(links(nodes, max_bits), "far")
     ends = far.join(nodes.select(F.col("fp").alias("a"), F.col("first").alias("i")), "a").join(
         nodes.select(F.col("fp").alias("b"), F.col("first").alias("j")), "b"
     )
     pairs = stored(same.union(ends.select("i", "j")).distinct(), "pairs")
-    roots = components(stored(similar(pairs, known, words, similarity), "similar"))
+    held = stored(similar(pairs, known, words, similarity), "similar")
+    roots = components(missed(texts, far, held, known, words, similarity))
     least = texts.join(roots, F.col("first") == F.col("node"), "left").select(
         "fp", "text_key", F.coalesce("root", "first").alias("component_id")
     )
