@@ -24,8 +24,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop lines that are frequent within their source. No document is dropped."""
-    cleaned = line_dedup.drop_frequent(docs.select(*COLUMNS), "source", "text")
+    """Drop lines that are frequent within their source, among its different texts: copies of a text
+    are left to the next stage and do not make its lines boilerplate. No document is dropped."""
+    cleaned = line_dedup.drop_frequent(docs.select(*COLUMNS), "source", "text", copies=False)
     changed = F.when(F.col("_lines_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", changed.cast("bigint")).select(*COLUMNS)
 

@@ -41,6 +41,20 @@ def test_small_sites_keep_their_lines(docs_of):
     assert line_dedup.drop_frequent(docs, "source", "text").first()["text"] == "only\npage"
 
 
+def test_copies_of_a_text_are_one_page_in_the_pipeline(docs_of):
+    import corpus_pipeline
+
+    copy = "menu\none two three\nfour five six"
+    rows = [(i, copy, "en", "a") for i in range(40)]
+    rows += [(100 + i, f"menu\nown text {i}", "en", "a") for i in range(30)]
+    found = {r["doc_id"]: r for r in corpus_pipeline.drop_boilerplate(None, docs_of(rows), "").collect()}
+    assert len(found) == len(rows)
+    assert {found[i]["text"] for i in range(40)} == {"one two three\nfour five six"}
+    assert all(found[100 + i]["text"] == f"own text {i}" for i in range(30))
+    # in the query, whose pages are what they are, copies count
+    assert line_dedup.drop_frequent(docs_of(rows), "source", "text").where("doc_id = 0").first()["text"] == ""
+
+
 def test_empty_table_and_clashing_column(docs_of):
     docs = docs_of([]).withColumn("_lines_removed", F.lit("x")).withColumn("line", F.lit(1))
     found = line_dedup.drop_frequent(docs, "source", "text")

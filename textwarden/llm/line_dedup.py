@@ -31,16 +31,19 @@ def html_lines(html: Column) -> Column:
 
 
 def frequent_lines(
-    pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES
+    pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True
 ) -> DataFrame:
     """``pages(host, text)`` -> ``(host, line_hash, pages, host_pages)`` of boilerplate lines.
 
     Lines are told apart by two hashes (96 bits together) of their text without outer spaces; blank lines do not count.
-    A page counts once for a line, however often it repeats it.
+    A page counts once for a line, however often it repeats it. Without ``copies``, pages of a host
+    with one text count as one page, for its lines and for the host.
     """
-    lines = pages.where("text is not null").select("host", F.explode(line_keys("text")).alias("line"))
-    counts = lines.groupBy("host", "line").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    totals = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
+    pages = pages.withColumn("page", _key(F.col("text")))
+    number = F.count("*") if copies else F.count_distinct("page")
+    lines = pages.where("text is not null").select("host", "page", F.explode(line_keys("text")).alias("line"))
+    counts = lines.groupBy("host", "line").agg(number.alias("pages")).where(F.col("pages") >= min_pages)
+    totals = pages.groupBy("host").agg(number.alias("host_pages"))
     # the rows of a host that pass are few (see above), but before the division they are not
     return counts.join(totals, counts["host"].eqNullSafe(totals["host"])).where(
         F.col("pages") > F.lit(ratio) * F.col("host_pages")
@@ -63,18 +66,20 @@ def drop_frequent(
     text: str,
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
+    copies: bool = True,
 ) -> DataFrame:
     """All rows and columns of ``pages``, their ``text`` without the boilerplate lines of their host.
 
     Adds ``_lines_removed``. Lines end with a line feed; they are compared without outer spaces, the
     lines that stay are unchanged and in order, blank ones too. Null texts stay null and count as
     pages without lines. A null host is a host of its own. A text all of whose lines go becomes empty.
+    ``copies`` as in :func:`frequent_lines`; copies lose the same lines either way.
     Other columns may have any name that does not start with ``_tw_``; a ``_lines_removed`` is replaced.
     """
     pages = pages.drop("_lines_removed")
     narrow = pages.select(F.col(host).alias("host"), F.col(text).alias("text"))
     lists = (
-        frequent_lines(narrow, ratio, min_pages)
+        frequent_lines(narrow, ratio, min_pages, copies)
         .groupBy("host")
         .agg(F.collect_set("line").alias("_tw_drop"))
         .withColumnRenamed("host", "_tw_host")
