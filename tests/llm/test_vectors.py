@@ -90,6 +90,30 @@ def test_ann_recall(spark, data):
     assert recall >= 0.9
 
 
+def unequal(kind):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=({"few": 12, "forty": 40}.get(kind, 1500), 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "one long":
+        x[7] *= 10
+    if kind == "lognormal":
+        x *= np.exp(rng.normal(0, 0.7, (len(x), 1)))
+    return [(i, v.tolist()) for i, v in enumerate(x)]
+
+
+@pytest.mark.parametrize("kind", ["one long", "lognormal", "forty", "few"])
+def test_ann_recall_whatever_the_norms(spark, kind):
+    rows = unequal(kind)
+    every = 30 if len(rows) > 100 else 2
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    want = slow(rows, 20, every, lambda x: x, False)
+    got = lists(ann.nearest(df, 20, every).collect())
+    assert all(len(got[q]) == len(want[q]) for q in want)
+    recall = np.mean([len({i for i, _ in want[q]} & {i for i, _ in got[q]}) / len(want[q]) for q in want])
+    print(kind, recall)
+    assert recall >= (1 if kind == "few" else 0.9)
+
+
 def test_probes_come_in_order_of_their_share():
     fraction = np.array([0.1, 0.8, 0.5])
     seen = list(ann.probes(fraction, 0.7, 0.9))

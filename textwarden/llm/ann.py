@@ -4,10 +4,15 @@ Inner products become distances by one more component, ``sqrt(longest^2 - |x|^2)
 and 0 for queries; queries are scaled to the longest vector's length, which does not change their
 order of candidates. ``TABLES`` tables hash a vector to the cells ``floor((a.x + b) / w)`` of
 ``hashes`` Gaussian directions. In every table a query visits its own bucket and perturbed ones, in
-order of the estimated probability that a neighbour at distance ``reach`` lies there (the product
-over directions of a normal curve's share in the cell), until the visited share is ``target``.
+order of the estimated probability that a neighbour at a distance lies there (the product
+over directions of a normal curve's share in the cell), until the visited share is a target.
 The candidates of a bucket are scored exactly where they lie; the best of all tables are merged.
 
+The distance comes from the data, by query. A first pass visits little (``FIRST``, at ``REACH``); the score of
+the last of the hits wanted bounds those of the true neighbours from below, hence their distance from
+above, whatever the norms. The second pass visits ``TARGET`` at that distance, or at the largest there
+is if the hits were too few. Queries still short of hits are compared with all vectors of their length.
+
 Buckets are divided into chunks of about ``CHUNK`` vectors, and their visitors into chunks of as many
 queries; every chunk of one meets every chunk of the other, so no task's size follows the largest
 bucket. No candidate is left out of a visited bucket.
@@ -32,7 +37,14 @@ from textwarden.llm.vectors import matrix, queries_of, representatives, top_rows
 TABLES = 4
 WIDTH = 2.0
 REACH = 1.08
+FIRST = 0.2
 TARGET = 0.55
+FARTHEST = 2.0
+"""Distance of opposite unit vectors."""
+
+NEAREST = 0.05
+"""Smaller distances are searched as this one, as a bucket of no width has no share."""
+
 CHUNK = 8192
 SEED = 7
 
@@ -64,6 +76,13 @@ class Hashes:
         unit = unit / np.sqrt((unit**2).sum(axis=1, keepdims=True))
         return np.hstack([unit, np.zeros((len(x), 1))])
 
+    def reach(self, x: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """Largest distance in cells' space of a candidate with at least that score; NaN knows nothing."""
+        top = np.abs(x).max(axis=1)
+        cosines = scores / top / self.longest / np.sqrt(((x / top[:, None]) ** 2).sum(axis=1))
+        far = np.sqrt(np.maximum(0.0, 2 - 2 * cosines))
+        return np.clip(np.where(np.isfinite(far), far, FARTHEST), NEAREST, FARTHEST)
+
     def key(self, cells: np.ndarray, table: int, dims: int) -> np.ndarray:
         """Cells as one number; buckets that happen to share it are visited together."""
         out = np.full(len(cells), table * 1_000_003 + dims, np.uint64)
@@ -121,12 +140,15 @@ def plan(reps: DataFrame, width: float = WIDTH) -> dict[int, Hashes]:
     }
 
 
-def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, ...]]:
+    """Length, ids, vectors and other columns of the rows of each length."""
+    others = [name for name in batch.schema.names if name not in ("rep", "v")]
     lengths = np.asarray(pc.list_value_length(batch.column("v")))
     for dims in np.unique(lengths):
         rows = np.flatnonzero(lengths == dims)
         part = batch.take(pa.array(rows))
-        yield int(dims), part.column("rep").to_numpy(), matrix(part.column("v"))
+        rest = [part.column(name).to_numpy(zero_copy_only=False) for name in others]
+        yield int(dims), part.column("rep").to_numpy(), matrix(part.column("v")), *rest
 
 
 INDEX = "key bigint, rep bigint, v array<double>"
@@ -153,23 +175,26 @@ def index(reps: DataFrame, hashes: dict[int, Hashes]) -> DataFrame:
     return reps.select("rep", "v").mapInArrow(run, INDEX)
 
 
-def visits(asked: DataFrame, hashes: dict[int, Hashes], reach: float, target: float) -> DataFrame:
-    """Every query under the buckets it visits."""
+def visits(asked: DataFrame, hashes: dict[int, Hashes], reach: float | None, target: float) -> DataFrame:
+    """Every query under the buckets it visits. Without a ``reach`` it follows from the column ``least``, a
+    score that the neighbours reach, or null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dims, ids, x in _by_length(batch):
+            for dims, ids, x, least in _by_length(batch):
                 h = hashes[dims]
                 made = h.queries(x)
+                far = np.full(len(x), reach) if reach is not None else h.reach(x, least)
                 for table in range(h.tables):
                     places = h.places(made, table)
                     cells = np.floor(places)
                     for i in range(len(x)):
-                        steps = np.array(list(probes(places[i] - cells[i], reach / h.width, target)))
+                        steps = np.array(list(probes(places[i] - cells[i], far[i] / h.width, target)))
                         keys = np.unique(h.key(cells[i] + steps, table, dims))
                         yield _rows(keys, np.full(len(keys), ids[i]), np.repeat(x[i : i + 1], len(keys), axis=0))
 
-    return asked.select("rep", "v").mapInArrow(run, INDEX)
+    least = F.lit(None).cast("double").alias("least") if reach is not None else "least"
+    return asked.select("rep", "v", least).mapInArrow(run, INDEX)
 
 
 def scan(asked: pa.Table, members: pa.Table, most: int) -> pa.Table:
@@ -219,39 +244,62 @@ def nearest(
 
     Null and zero vectors, and such with null or non-finite components, take no part, nor do rows
     without an id. Vectors are compared with those of their own length. Copies of a vector are
-    searched once (see :func:`representatives`). ``width``, ``reach`` and ``target`` set how much
-    is visited; the README has the measured recall.
+    searched once (see :func:`representatives`). ``width`` and ``target`` set how much is visited, ``reach``
+    how much of it in the first pass; the README has the measured recall. As many rows as there are
+    candidates, up to ``k``, are found for every query.
     """
     rows = usable(vectors, id_column, vector_column).where(F.exists("v", lambda x: x != 0))
     rows = stored(rows, "vectors")
     reps = stored(representatives(rows, k + 1), "representatives")
     queries = stored(queries_of(rows, reps, every), "queries")
     hashes = plan(reps, width)
-    asked = reps.join(queries.select("rep").distinct(), "rep", "left_semi")
+    asked = stored(reps.join(queries.select("rep").distinct(), "rep", "left_semi").select("rep", "v"), "asked")
     members = stored(index(reps, hashes), "buckets")
-    sent = stored(visits(asked, hashes, reach, target), "visits")
-
-    def chunks(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("key").agg(F.ceil(F.count("*") / chunk).cast("int").alias(name))
-
-    cells = stored(chunks(members, "parts").join(chunks(sent, "visitors"), "key"), "cells")
-
-    def deal(rows: DataFrame, own: str, other: str) -> DataFrame:
-        """Each row to one chunk of its own kind, and to all of the other's."""
-        mine = F.pmod(F.xxhash64("rep"), F.col(own)).cast("int")
-        met = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        return rows.join(cells, "key").select("key", mine.alias(own), met.alias(other), "rep", "v")
-
 
     def run(theirs: pa.Table, ours: pa.Table) -> pa.Table:
         return scan(theirs, ours, k + 1)
 
-    left = deal(sent, "visitors", "parts").groupBy("key", "visitors", "parts")
-    right = deal(members, "parts", "visitors").select(
-        F.col("key").alias("of"), F.col("visitors").alias("i"), F.col("parts").alias("j"), "rep", "v"
-    )
-    found = left.cogroup(right.groupBy("of", "i", "j")).applyInArrow(run, "q bigint, c bigint, score double")
-    merged = found.groupBy("q", "c").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("q").orderBy(F.col("score").desc(), "c")
-    merged = merged.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
-    return top_rows(merged, reps, queries, k)
+    def met(sent: DataFrame, members: DataFrame) -> DataFrame:
+        """Best hits of the queries in the buckets that they are sent to."""
+        sizes = [
+            rows.groupBy("key").agg(F.ceil(F.count("*") / chunk).cast("int").alias(name))
+            for rows, name in ((members, "parts"), (sent, "visitors"))
+        ]
+        cells = stored(sizes[0].join(sizes[1], "key"), "cells")
+
+        def deal(rows: DataFrame, own: str, other: str) -> DataFrame:
+            """Each row to one chunk of its own kind, and to all of the other's."""
+            mine = F.pmod(F.xxhash64("rep"), F.col(own)).cast("int")
+            across = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+            return rows.join(cells, "key").select("key", mine.alias(own), across.alias(other), "rep", "v")
+
+        left = deal(sent, "visitors", "parts").groupBy("key", "visitors", "parts")
+        right = deal(members, "parts", "visitors").select(
+            F.col("key").alias("of"), F.col("visitors").alias("i"), F.col("parts").alias("j"), "rep", "v"
+        )
+        found = left.cogroup(right.groupBy("of", "i", "j")).applyInArrow(run, "q bigint, c bigint, score double")
+        return merged(found)
+
+    def merged(found: DataFrame) -> DataFrame:
+        best = Window.partitionBy("q").orderBy(F.col("score").desc(), "c")
+        found = found.groupBy("q", "c").agg(F.max("score").alias("score"))
+        return found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
+
+    def with_hits(found: DataFrame) -> DataFrame:
+        hits = found.groupBy(F.col("q").alias("rep")).agg(F.count("*").alias("hits"), F.min("score").alias("least"))
+        return asked.join(hits, "rep", "left")
+
+    first = stored(met(stored(visits(asked, hashes, reach, FIRST), "visits"), members), "hits")
+    # with the query itself, k + 1 hits hold k others
+    least = F.when(F.col("hits") > k, F.col("least")).alias("least")
+    bounded = with_hits(first).select("rep", "v", least)
+    sent = stored(visits(bounded, hashes, None, target), "visits")
+    found = stored(merged(first.union(met(sent, members))), "hits")
+    sizes = reps.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n"))
+    wanted = F.least(F.lit(k + 1), "n")
+    short = with_hits(found).join(sizes, F.size("v") == F.col("dims")).where(F.coalesce("hits", F.lit(0)) < wanted)
+    short = stored(short.select("rep", "v"), "short")
+    if not short.isEmpty():
+        whole = F.size("v").cast("bigint").alias("key")
+        found = merged(found.union(met(short.select(whole, "rep", "v"), reps.select(whole, "rep", "v"))))
+    return top_rows(found, reps, queries, k)
