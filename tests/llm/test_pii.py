@@ -108,6 +108,42 @@ def test_added_spans(field):
         assert pii.added_spans(field, [text], [[]]) == [[]]
 
 
+def test_lists_in_a_stretch():
+    """Every datum of a stretch counts, also where the pattern joins it with its neighbours."""
+    parts = lambda kind, text: [text[i:j] for i, j in pii.plausible(kind, text)]
+    assert parts(3, "555-123-4567, 555-987-6543") == ["555-123-4567", "555-987-6543"]
+    assert parts(3, "555-123-4567 555-987-6543") == ["555-123-4567", "555-987-6543"]
+    assert parts(3, "(988) 555-2485 (977) 555-1234 / 555.987.6543") == ["(988) 555-2485", "(977) 555-1234", "555.987.6543"]
+    card = "4111.1111.1111.1111"
+    assert parts(2, f"{card} {card} 4111.1111.1111.1112 {card}") == [card] * 3
+    assert parts(1, "10.0.0.1 10.0.0.2") == ["10.0.0.1", "10.0.0.2"]
+    assert parts(0, "ab (at) c.de f (at) g.hi") == ["ab (at) c.de", "f (at) g.hi"]
+    assert parts(3, "201 202 203") == parts(2, "1 " * 400) == []
+
+
+def test_lists_in_a_text(monkeypatch):
+    """Stretches end at lines and fixed spans, whatever the field joins."""
+    monkeypatch.setattr(pii, "decode", lambda field, shape, starts: np.full(len(shape), 4))
+    texts = [
+        "555-123-4567\n555-987-6543\r\n(988) 555-2485", "é 555-123-4567 +1 (988) 555-2485 555-987-6543", "none",
+        "+1 (988) 555-2485",
+    ]
+    fixed = [pii.fixed_spans(text) for text in texts]
+    fixed[1] = [(3, 15, 32)]
+    found = [[t[i:j] for _, i, j in spans] for t, spans in zip(texts, pii.added_spans(None, texts, fixed))]
+    assert texts[1][15:32] == "+1 (988) 555-2485"
+    assert found == [["555-123-4567", "555-987-6543", "(988) 555-2485"], ["555-123-4567", "555-987-6543"], [], []]
+
+
+def test_lists_that_the_field_tags(field):
+    for text, wanted in {
+        "call (988) 555-2485, (977) 555-1234 or so": ["(988) 555-2485", "(977) 555-1234"],
+        "(988) 555-2485\n(977) 555-1234\n(966) 555-4321": ["(988) 555-2485", "(977) 555-1234", "(966) 555-4321"],
+    }.items():
+        (spans,) = pii.added_spans(field, [text], [pii.fixed_spans(text)])
+        assert [text[i:j] for _, i, j in spans] == wanted
+
+
 def test_find(docs_of, odd_rows, field):
     from pyspark.sql import functions as F
 

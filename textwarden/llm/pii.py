@@ -9,11 +9,13 @@ patterns do not know. Texts are decoded by Viterbi in numpy batches.
 Almost all words are tagged ``O`` whatever their neighbours are: where the other tags' emissions
 are behind by more than all transitions together could make up, ``O`` is on the best path. Such words
 cut the text into short stretches, and only these are decoded; the result is the exact best path.
-A stretch the field tags counts only if it passes the checks of its kind and meets no fixed match.
+A stretch the field tags is cut at line ends and fixed matches; what counts in it is every datum that passes
+the checks of its kind.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -337,24 +339,77 @@ def learn(docs: DataFrame, most: int = SAMPLE) -> Field:
 
 ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+\s?(?:@|[(\[]\s?at\s?[)\]])\s?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 NUMBER = re.compile(r"[+(]?[0-9][0-9().\x20/+-]*[0-9]")
+MOST_DIGITS = 19
+"""Most digits of a datum."""
 
 
-def plausible(kind: int, text: str) -> tuple[int, int] | None:
-    """The part of a tagged stretch that is a datum of its kind, or None."""
-    found = (ADDRESS if kind == 0 else NUMBER).search(text)
-    if not found:
-        return None
-    digits = digits_of(found.group())
+
+PIECE = re.compile(r"[^\x20/]+")
+CUT = re.compile(r"[\r\n]+")
+
+
+def fits(kind: int, datum: str) -> bool:
+    digits = digits_of(datum)
     if kind == 1:
-        parts = re.split(r"[^0-9]+", found.group().strip("+()"))
-        good = len(parts) == 4 and all(p and len(p) < 4 and int(p) <= 255 for p in parts)
-    elif kind == 2:
-        good = 16 <= len(digits) <= 19 and luhn(digits)
-    elif kind == 3:
-        good = 10 <= len(digits) <= 15 and len(digits) < len(found.group())
-    else:
-        good = True
-    return found.span() if good else None
+        parts = re.split(r"[^0-9]+", datum.strip("+()"))
+        return len(parts) == 4 and all(p and len(p) < 4 and int(p) <= 255 for p in parts)
+    if kind == 2:
+        return 16 <= len(digits) <= 19 and luhn(digits)
+    if kind == 3:
+        return 10 <= len(digits) <= 15 and len(digits) < len(datum)
+    return True
+
+
+def plausible(kind: int, text: str) -> Iterator[tuple[int, int]]:
+    """The parts of a tagged stretch that are data of its kind: matches of the kind's pattern, and where a
+    match fails its check, the first and shortest runs of its words (cut at blanks and slashes) that pass."""
+    for found in (ADDRESS if kind == 0 else NUMBER).finditer(text):
+        if fits(kind, found.group()):
+            yield found.span()
+            continue
+        words = [(found.start() + m.start(), found.start() + m.end()) for m in PIECE.finditer(found.group())]
+        # a run begins and ends at words with digits
+        words = [(a, b, n) for a, b in words if (n := len(digits_of(text[a:b])))]
+        i = 0
+        while i < len(words):
+            digits = 0
+            for j in range(i, len(words)):
+                digits += words[j][2]
+                if digits > MOST_DIGITS:
+                    break
+                part = NUMBER.fullmatch(text, words[i][0], words[j][1])
+                if part and fits(kind, part.group()):
+                    yield part.span()
+                    i = j
+                    break
+            i += 1
+
+
+def free(text: str, start: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Parts of ``text``, which begins at ``start``, between line ends and the ``taken`` spans (sorted)."""
+    blocks = [m.span() for m in CUT.finditer(text)]
+    at = bisect.bisect_right(taken, start, key=lambda span: span[1])
+    while at < len(taken) and taken[at][0] < start + len(text):
+        blocks.append((taken[at][0] - start, taken[at][1] - start))
+        at += 1
+    end = 0
+    for i, j in sorted(blocks):
+        if i > end:
+            yield end, i
+        end = max(end, j)
+    if end < len(text):
+        yield end, len(text)
+
+
+def apart(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The places that spans of all kinds take, sorted and without overlaps."""
+    out: list[tuple[int, int]] = []
+    for i, j in sorted((i, j) for _, i, j in spans):
+        if out and i <= out[-1][1]:
+            out[-1] = (out[-1][0], max(j, out[-1][1]))
+        else:
+            out.append((i, j))
+    return out
 
 
 def added_spans(
@@ -371,6 +426,7 @@ def added_spans(
     hits = np.flatnonzero(tags)
     if not len(hits):
         return out
+    taken = [apart(spans) for spans in fixed]
     owner = np.searchsorted(begins, first[hits], "right") - 1
     new = np.concatenate(
         ([True], (np.diff(hits) != 1) | (tags[hits][1:] != tags[hits][:-1]) | (owner[1:] != owner[:-1]))
@@ -381,13 +437,9 @@ def added_spans(
         doc, kind = int(owner[head]), int(tags[hits[head]]) - 1
         a, b = int(first[hits[head]] - begins[doc]), int(last[hits[tail]] - begins[doc])
         stretch = data[doc][a:b].decode("utf-8", "replace")
-        part = plausible(kind, stretch)
-        if part is None:
-            continue
         at = len(data[doc][:a].decode("utf-8", "replace"))
-        i, j = at + part[0], at + part[1]
-        if not any(i < y and x < j for _, x, y in fixed[doc]):
-            out[doc].append((kind, i, j))
+        for i, j in free(stretch, at, taken[doc]):
+            out[doc] += [(kind, at + i + x, at + i + y) for x, y in plausible(kind, stretch[i:j])]
     return out
 
 
