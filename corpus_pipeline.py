@@ -17,9 +17,16 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in no language: texts that are null or have no letter."""
+    """Drop documents in no language: texts that are null or have no letter.
+
+    If no language can be learned (no document that is not held out has a ``lang``), nothing is told
+    apart and no other document is dropped.
+    """
     docs = docs.select(*COLUMNS)
-    found = lang_id.identify(docs, lang_id.train(docs))
+    model = lang_id.train(docs)
+    if not model.families:
+        return lang_id.with_letters(docs)
+    found = lang_id.identify(docs, model)
     return found.where(F.col("_lang_pred") != lang_id.UNDETERMINED).select(*COLUMNS)
 
 

@@ -51,3 +51,12 @@ def test_empty_table_and_nothing_to_learn(docs_of):
     assert lang_id.identify(docs, lang_id.train(docs)).count() == 0
     docs = docs_of([(1, "some text", None, None)])
     assert [r["_lang_pred"] for r in lang_id.identify(docs, lang_id.train(docs)).collect()] == ["und"]
+
+
+def test_pipeline_keeps_texts_when_nothing_can_be_learned(docs_of, odd_rows):
+    import corpus_pipeline
+
+    rows = [(i, text, None, source) for i, text, _, source in odd_rows]
+    kept = corpus_pipeline.identify_language(None, docs_of(rows), "").collect()
+    wanted = [(r[0], r[1]) for r in rows if lang_id.has_letter(r[1])]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted(wanted, key=str)

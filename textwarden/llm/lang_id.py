@@ -261,3 +261,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
+
+
+def with_letters(docs: DataFrame) -> DataFrame:
+    """The rows whose ``text`` has a letter, as :func:`identify` sees it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([has_letter(t.as_py()) for t in batch.column("text")], pa.bool_()))
+
+    bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
