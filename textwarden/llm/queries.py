@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import ann, bpe, lang_id, line_dedup, mixing, pii, simhash, suffix_dedup, token_counts, topk
+from textwarden.llm import alignment, ann, bpe, lang_id, line_dedup, mixing, pii, simhash, suffix_dedup, token_counts, topk
 from textwarden.llm.common import shared_path
 
 
@@ -116,6 +116,13 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    a, b = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
+    return alignment.align(table(spark, folder, "documents"), a, b).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -128,6 +135,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_simhash": op9_simhash,
         "op10_pii": op10_pii,
+        "op13_alignment": op13_alignment,
     }
 
 
