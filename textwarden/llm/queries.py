@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import alignment, ann, bpe, lang_id, line_dedup, mixing, pii, simhash, suffix_dedup, token_counts, topk
+from textwarden.llm import alignment, ann, bpe, conversation_repair, lang_id, line_dedup, mixing, ngram_join, pii, simhash, suffix_dedup, token_counts, topk
 from textwarden.llm.common import shared_path
 
 
@@ -116,6 +116,15 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    return conversation_repair.repair(conversation_repair.damage(turns), turns)
+
+
+def op12_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
     a, b = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
     return alignment.align(table(spark, folder, "documents"), a, b).select(
@@ -135,6 +144,8 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_simhash": op9_simhash,
         "op10_pii": op10_pii,
+        "op11_conversation_repair": op11_conversation_repair,
+        "op12_ngram_join": op12_ngram_join,
         "op13_alignment": op13_alignment,
     }
 
