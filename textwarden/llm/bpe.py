@@ -26,26 +26,50 @@ BLOCK_WORDS = 2_000_000
 PARTS = 256
 """Least number of groups the distinct words are dealt to; more if there are more shuffle partitions."""
 
+BLOCK_DOCS = 1 << 16
+ROWS_AT_ONCE = 1 << 12
 IDS_AT_ONCE = 1_000_000
 ENCODE_AT_ONCE = 4096
 
 
-class _Words(dict):
-    """Word -> number in the block. Plain ASCII words are told apart in lower case only: the
-    vocabulary's normalizer lower-cases, and added tokens, the one exception, hold ``<|``."""
+WORDS_AT_ONCE = 200_000
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Words between ASCII blanks. Plain ASCII ones are told apart in lower case only: the vocabulary's
+    normalizer lower-cases, and added tokens, the one exception, hold ``<|``."""
+    if text.isascii() and b"<|" not in text:
+        return text.lower().split()
+    return [word.lower() if word.isascii() and b"<|" not in word else word for word in text.split()]
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.forms: list[bytes] = []
 
-    def __missing__(self, word: bytes) -> int:
-        form = word.lower() if word.isascii() and b"<|" not in word else word
-        number = self.get(form)
-        if number is None:
-            number = self[form] = len(self.forms)
-            self.forms.append(form)
-        self[word] = number
-        return number
+class _Block:
+    """The documents of a block: their ids and lengths, and their words as numbers in chunks, each with a
+    dictionary of its own until the block is full. Words are Python objects for one chunk only."""
+
+    def __init__(self) -> None:
+        self.doc_ids: list[int | None] = []
+        self.lengths: list[int] = []
+        self.waiting: list[bytes] = []
+        self.chunks: list[pa.DictionaryArray] = []
+
+    def add(self, doc_id: int | None, words: list[bytes]) -> None:
+        self.doc_ids.append(doc_id)
+        self.lengths.append(len(words))
+        self.waiting += words
+        if len(self.waiting) >= WORDS_AT_ONCE:
+            self.shut()
+
+    def shut(self) -> None:
+        self.chunks.append(pa.array(self.waiting, pa.binary()).dictionary_encode())
+        self.waiting = []
+
+    def numbered(self) -> tuple[np.ndarray, pa.Array]:
+        """Every word's number, and the different words by number."""
+        if self.waiting or not self.chunks:
+            self.shut()
+        whole = pa.chunked_array(self.chunks).unify_dictionaries()
+        return np.concatenate([chunk.indices.to_numpy() for chunk in whole.chunks]), whole.chunk(0).dictionary
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -82,30 +106,34 @@ def blocks(docs: DataFrame, parts: int, block_words: int = BLOCK_WORDS) -> DataF
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-        def listed(of: int, words: _Words) -> Iterator[pa.RecordBatch]:
-            dealt: dict[int, list[tuple[bytes, int]]] = {}
-            for number, form in enumerate(words.forms):
-                dealt.setdefault(zlib.crc32(form) % parts, []).append((form, number))
-            for part, pairs in sorted(dealt.items()):
-                pairs.sort()
-                numbers = pack(np.array([n for _, n in pairs]))
-                yield batch([(of, None, None, part, pack_words([w for w, _ in pairs]), numbers)])
-
-        block, words, n = uuid.uuid4().int >> 65, _Words(), 0
+        def full(block: _Block) -> Iterator[pa.RecordBatch]:
+            of = uuid.uuid4().int >> 65
+            codes, forms = block.numbered()
+            ends = np.cumsum(block.lengths).tolist()
+            for at in range(0, len(ends), ROWS_AT_ONCE):
+                some = range(at, min(at + ROWS_AT_ONCE, len(ends)))
+                packed = (pack(codes[ends[i] - block.lengths[i] : ends[i]]) for i in some)
+                yield batch([(of, block.doc_ids[i], data, None, None, None) for i, data in zip(some, packed)])
+            dealt = np.fromiter((zlib.crc32(form.as_buffer()) % parts for form in forms), np.int64, len(forms))
+            order = np.argsort(dealt, kind="stable")
+            cuts = np.searchsorted(dealt[order], np.arange(parts + 1))
+            for part, (i, j) in enumerate(zip(cuts, cuts[1:])):
+                if i < j:
+                    pairs = sorted(zip(forms.take(pa.array(order[i:j])).to_pylist(), order[i:j].tolist()))
+                    numbers = pack(np.array([n for _, n in pairs]))
+                    yield batch([(of, None, None, part, pack_words([w for w, _ in pairs]), numbers)])
+
+        block, n = _Block(), 0
         for given in batches:
-            rows = []
             for doc_id, text in zip(given.column("doc_id"), given.column("text")):
-                split = (text.as_py() or "").encode("utf-8", "replace").split()
-                codes = pack(np.fromiter(map(words.__getitem__, split), np.int64, len(split)))
-                rows.append((block, doc_id.as_py(), codes, None, None, None))
+                split = words_of((text.as_py() or "").encode("utf-8", "replace"))
+                block.add(doc_id.as_py(), split)
                 n += len(split)
-                if n >= block_words:
-                    yield batch(rows)
-                    yield from listed(block, words)
-                    block, words, n, rows = uuid.uuid4().int >> 65, _Words(), 0, []
-            if rows:
-                yield batch(rows)
-        yield from listed(block, words)
+                if n >= block_words or len(block.lengths) >= BLOCK_DOCS:
+                    yield from full(block)
+                    block, n = _Block(), 0
+        if block.lengths:
+            yield from full(block)
 
     bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, BLOCKS)
@@ -229,31 +257,43 @@ def pieces(vocabulary: str) -> pa.Table:
     return pa.table([pa.array([i for i, _ in known], pa.int64()), pa.array([p for _, p in known])], ["id", "piece"])
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with about ``IDS_AT_ONCE`` ids."""
+    ends = batch.column("ids").fill_null([]).offsets.to_numpy()
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + IDS_AT_ONCE)))
+        yield batch.slice(at, min(to, batch.num_rows) - at)
+        at = to
+
+
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """``encoded(..., ids)`` -> the same rows plus ``decoded``: their pieces joined by blanks.
 
-    Ids meet the table of pieces, whose size is the vocabulary's, by a hash join inside every
-    batch. That is what the library does for a vocabulary without a decoder. Unknown ids give no piece, null ids the empty
-    text; a column ``decoded`` is replaced.
+    The different ids of every batch are joined to the table of pieces, whose size is the vocabulary's, by a
+    hash join inside the task; the pieces go back to the ids' positions. That is what the library does for a
+    vocabulary without a decoder. Unknown ids give no piece, null ids the empty text; a column
+    ``decoded`` is replaced.
     """
     table = pieces(vocabulary)
     encoded = encoded.drop("decoded")
     schema = T.StructType([*encoded.schema.fields]).add("decoded", "string")
-    size = table.column("id").to_numpy().max(initial=-1) + 1
+
+    def texts(lists: pa.ListArray) -> Iterator[str]:
+        ends = lists.offsets.to_numpy()
+        ids, place = np.unique(lists.values.to_numpy()[ends[0] : ends[-1]], return_inverse=True)
+        asked = pa.table([pa.array(ids, pa.int64())], ["id"])
+        found = asked.join(table, "id", join_type="left outer", use_threads=False).sort_by("id")
+        of_id = np.array(found.column("piece").to_pylist(), object)
+        ends = (ends - ends[0]).tolist()
+        for i, j in zip(ends, ends[1:]):
+            yield " ".join(filter(None, of_id[place[i:j]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_id = np.full(size + 1, None, object)
-        by_id[table.column("id").to_numpy()] = table.column("piece").to_pylist()
         for batch in batches:
-            lists = batch.column("ids").fill_null([])
-            flat = lists.values.to_numpy(zero_copy_only=False)
-            ends = lists.offsets.to_pylist()
-            texts = []
-            for i, j in zip(ends, ends[1:]):
-                ids = flat[i:j]
-                texts.append(" ".join(filter(None, by_id[np.where((ids >= 0) & (ids < size), ids, size)])))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"]
-            )
+            for part in _slices(batch):
+                lists = part.column("ids").fill_null([])
+                decoded = pa.array(texts(lists), pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded], [*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
