@@ -25,10 +25,12 @@ def pair_results(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
 def ensemble(paired: DataFrame, first: str = "predicted_a", second: str = "predicted_b") -> DataFrame:
     """Confusion counts and metrics of both scorers, of "both agree" and of "either".
 
-    All four are counted in one pass over the paired rows.
+    All four are counted in one pass over the paired rows. A rule decides the rows that have all the
+    predictions it needs; the others are ``undecided`` and not in ``total``.
     """
     a, b = F.col(first) == 1, F.col(second) == 1
-    rules = {"first": a, "second": b, "both": a & b, "either": a | b}
+    known = a.isNotNull() & b.isNotNull()
+    rules = {"first": a, "second": b, "both": F.when(known, a & b), "either": F.when(known, a | b)}
     truth = F.col("expected") == 1
     columns = []
     for name, hit in rules.items():
@@ -37,14 +39,13 @@ def ensemble(paired: DataFrame, first: str = "predicted_a", second: str = "predi
             F.count_if(hit & ~truth).alias(f"{name}_fp"),
             F.count_if(~hit & truth).alias(f"{name}_fn"),
             F.count_if(~hit & ~truth).alias(f"{name}_tn"),
+            F.count(hit).alias(f"{name}_total"),
+            F.count_if(hit.isNull()).alias(f"{name}_undecided"),
         ]
-    row = paired.agg(*columns, F.count("*").alias("total"))
+    row = paired.agg(*columns)
+    counts = ("tp", "fp", "fn", "tn", "total", "undecided")
     points = [
-        F.struct(
-            F.lit(name).alias("model"),
-            *[F.col(f"{name}_{count}").alias(count) for count in ("tp", "fp", "fn", "tn")],
-            F.col("total"),
-        )
+        F.struct(F.lit(name).alias("model"), *[F.col(f"{name}_{count}").alias(count) for count in counts])
         for name in rules
     ]
     return with_metrics(row.select(F.inline(F.array(*points))))
@@ -71,7 +72,8 @@ def compare_models(
     without a group count under ``unknown``.
 
     ``models`` gives each scorer's columns for prediction and score; both are measured in one
-    pass. ``separation`` is 1 if toxic texts score above clean ones on average, else 0.
+    pass. ``separation`` is 1 if toxic texts score above clean ones on average, else 0. A scorer's accuracy
+    is over the rows that it predicts.
     """
     if len(models) != 2:
         raise ValueError("compare exactly two scorers")
@@ -81,21 +83,22 @@ def compare_models(
         hit = F.col(predicted) == 1
         sums += [
             F.count_if(truth == hit).alias(f"right_{i}"),
+            F.count(predicted).alias(f"total_{i}"),
             F.count_if(hit & ~truth).alias(f"fp_{i}"),
             F.count_if(~hit & truth).alias(f"fn_{i}"),
             F.avg(F.when(truth, F.col(score))).alias(f"toxic_{i}"),
             F.avg(F.when(~truth, F.col(score))).alias(f"clean_{i}"),
         ]
     if by is None:
-        row = df.agg(F.count("*").alias("total"), *sums)
+        row = df.agg(*sums)
     else:
         group = F.coalesce(F.col(by), F.lit(config.UNKNOWN_LANGUAGE))
-        row = df.withColumn(by, group).rollup(by).agg(F.count("*").alias("total"), *sums)
+        row = df.withColumn(by, group).rollup(by).agg(*sums)
         row = row.withColumn(by, F.coalesce(by, F.lit(overall)))
 
     def value(measure: str, i: int) -> Column:
         return {
-            "accuracy": F.round(ratio(F.col(f"right_{i}"), F.col("total")), 4),
+            "accuracy": F.round(ratio(F.col(f"right_{i}"), F.col(f"total_{i}")), 4),
             "false_positives": F.col(f"fp_{i}").cast("double"),
             "false_negatives": F.col(f"fn_{i}").cast("double"),
             "toxic_avg_score": F.round(f"toxic_{i}", 4),

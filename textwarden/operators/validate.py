@@ -10,7 +10,8 @@ from textwarden import config
 PROFILES = ("single", "batch")
 
 
-def _rule(broken: Column, reason: str) -> Column:
+def rule(broken: Column, reason: str) -> Column:
+    """The reason where the rule is broken, else null."""
     return F.when(broken, F.lit(reason))
 
 
@@ -18,26 +19,26 @@ def text_rules(text: Column, profile: str = "single") -> list[Column]:
     """``single`` checks presence and length; in a batch any present text is accepted."""
     if profile not in PROFILES:
         raise ValueError(f"profile must be one of {PROFILES}, not {profile!r}")
-    rules = [_rule(text.isNull(), "missing_text")]
+    rules = [rule(text.isNull(), "missing_text")]
     if profile == "single":
         length = F.char_length(text)
         rules += [
-            _rule(length < config.MIN_TEXT_CHARS, "text_too_short"),
-            _rule(length > config.MAX_TEXT_CHARS, "text_too_long"),
+            rule(length < config.MIN_TEXT_CHARS, "text_too_short"),
+            rule(length > config.MAX_TEXT_CHARS, "text_too_long"),
         ]
     return rules
 
 
 def threshold_rule(threshold: Column) -> Column:
-    return _rule(threshold.isNotNull() & ~threshold.between(0.0, 1.0), "threshold_out_of_range")
+    return rule(threshold.isNotNull() & ~threshold.between(0.0, 1.0), "threshold_out_of_range")
 
 
 def batch_rules(texts: Column) -> list[Column]:
     return [
-        _rule(texts.isNull(), "missing_texts"),
-        _rule(F.size(texts) < config.MIN_BATCH_TEXTS, "batch_empty"),
-        _rule(F.size(texts) > config.MAX_BATCH_TEXTS, "batch_too_large"),
-        _rule(F.exists(texts, lambda t: t.isNull()), "missing_text"),
+        rule(texts.isNull(), "missing_texts"),
+        rule(F.size(texts) < config.MIN_BATCH_TEXTS, "batch_empty"),
+        rule(F.size(texts) > config.MAX_BATCH_TEXTS, "batch_too_large"),
+        rule(F.exists(texts, lambda t: t.isNull()), "missing_text"),
     ]
 
 
@@ -55,7 +56,7 @@ def validate_batch(df: DataFrame, texts: str = "texts", threshold: str | None =
     """The same for rows that hold a whole batch as an array of texts."""
     # size(null) is -1 or null depending on a session setting, so absence masks the size rules.
     missing, *others = batch_rules(F.col(texts))
-    rules = [missing, *[F.when(F.col(texts).isNotNull(), rule) for rule in others]]
+    rules = [missing, *[F.when(F.col(texts).isNotNull(), other) for other in others]]
     if threshold is not None:
         rules.append(threshold_rule(F.col(threshold)))
     return df.withColumn("errors", F.array_compact(F.array(*rules)))
@@ -67,6 +68,11 @@ def split_valid(df: DataFrame, errors: str = "errors") -> tuple[DataFrame, DataF
     return df.where(valid).drop(errors), df.where(~valid)
 
 
+def with_status(df: DataFrame, errors: str = "errors") -> DataFrame:
+    """Add ``status``: ``accepted`` or ``rejected``. Written partitioned by it, both sides come from one pass."""
+    return df.withColumn("status", F.when(F.size(errors) == 0, "accepted").otherwise("rejected"))
+
+
 def reject_summary(df: DataFrame, errors: str = "errors") -> DataFrame:
     """Rejected rows per reason; a row breaking two rules counts under both."""
     return df.select(F.explode(errors).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))

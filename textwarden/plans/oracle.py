@@ -258,6 +258,23 @@ REQUESTS = """
         CASE WHEN th < 0 OR th > 1 THEN 'threshold_out_of_range' END] AS found FROM req),
     errors AS (SELECT doc_id, list_filter(found, lambda x: x IS NOT NULL) AS errors FROM checked)"""
 
+# What each kind of body of the query holds, told without JSON.
+BODIES = """
+    kinds AS (SELECT doc_id, doc_id % 11 AS kind, text, length(text) AS n, n_chars / 10000 AS th FROM documents),
+    found AS (SELECT doc_id, kind, n, th,
+        CASE WHEN kind IN (1) THEN 'missing_text' WHEN kind = 2 THEN 'null_text'
+            WHEN kind IN (3, 4) THEN 'text_not_a_string' WHEN n < 1 THEN 'text_too_short'
+            WHEN n > 5000 THEN 'text_too_long' END AS of_text,
+        CASE WHEN kind IN (4, 6) THEN 'threshold_not_a_number'
+            WHEN kind IN (0, 1, 2, 5) AND th > 1 THEN 'threshold_out_of_range' END AS of_threshold,
+        CASE WHEN kind = 6 THEN 'thresholds_not_an_object' WHEN kind = 8 THEN 'thresholds_not_numbers'
+            WHEN kind = 7 AND th > 1 THEN 'threshold_out_of_range' END AS of_labels FROM kinds),
+    checked AS (SELECT doc_id, CASE WHEN kind IN (0, 5, 6, 7, 8) THEN n END AS n_text,
+        CASE WHEN kind IN (0, 1, 2, 5) AND th <= 1 THEN round(th, 4) END AS threshold,
+        CASE WHEN kind = 7 THEN round(th, 4) END AS toxic_threshold,
+        CASE WHEN kind > 8 THEN 'bad_body' ELSE concat_ws(',', of_text, of_threshold, of_labels) END AS errors
+        FROM found)"""
+
 BATCH_ROWS = """
     SELECT doc_id * 1000000 + position AS k, doc_id, position, text, own FROM (
         SELECT doc_id, generate_subscripts(texts, 1) - 1 AS position, unnest(texts) AS text, own
@@ -309,6 +326,17 @@ def sql() -> dict[str, str]:
         "validate_batch": """
             SELECT doc_id, n AS n_texts, CASE WHEN n > 100 THEN 'batch_too_large' ELSE '' END AS errors
             FROM (SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS n FROM documents)""",
+        "typed_requests": q(BODIES, "SELECT * FROM checked"),
+        "typed_batches": """SELECT conv_id, CASE WHEN kind = 0 THEN n WHEN kind = 4 THEN 0 END AS n_texts,
+                CASE WHEN kind = 4 THEN 0.0::DOUBLE END AS threshold,
+                CASE kind WHEN 0 THEN CASE WHEN n > 100 THEN 'batch_too_large' ELSE '' END WHEN 3 THEN 'texts_not_an_array'
+                    WHEN 4 THEN 'batch_empty' ELSE 'texts_not_strings' END AS errors
+            FROM (SELECT conv_id, conv_id % 5 AS kind, count(*) AS n FROM conversations GROUP BY conv_id)""",
+        "dead_letters": q(
+            BODIES,
+            """SELECT doc_id, CASE WHEN errors = '' THEN 'accepted' ELSE 'rejected' END AS status, errors,
+                CASE WHEN errors <> '' THEN true END AS has_raw, n_text FROM checked""",
+        ),
         "reject_summary": q(
             REQUESTS,
             "SELECT reason, count(*) AS n FROM (SELECT unnest(errors) AS reason FROM errors) GROUP BY reason",
@@ -639,6 +667,31 @@ def sql() -> dict[str, str]:
             counts AS (SELECT model, {COUNTS} FROM ev GROUP BY model)""",
             f"SELECT *, {METRICS} FROM counts",
         ),
+        "ensemble_undecided": q(
+            f"""{moderated(LABELLED)},
+            pair AS (SELECT expected, CASE WHEN lang <> 'fr' THEN greatest(toxic, not_toxic) >= threshold_used END AS a,
+                CASE WHEN length(text) <= 2000 THEN verdict = 'toxic' END AS b
+                FROM rows JOIN src USING (k)),
+            ev AS (SELECT 'first' AS model, expected, a::INT AS predicted FROM pair
+                UNION ALL SELECT 'second', expected, b::INT FROM pair
+                UNION ALL SELECT 'both', expected, CASE WHEN a + b IS NOT NULL THEN (a AND b)::INT END
+                    FROM (SELECT expected, a::INT AS a, b::INT AS b FROM pair)
+                UNION ALL SELECT 'either', expected, CASE WHEN a + b IS NOT NULL THEN (a OR b)::INT END
+                    FROM (SELECT expected, a::INT AS a, b::INT AS b FROM pair)),
+            counts AS (SELECT model, {COUNTS} FROM ev GROUP BY model)""",
+            f"SELECT *, {METRICS} FROM counts",
+        ),
+        "model_compare_undecided": q(
+            f"""{moderated(LABELLED)},
+            two AS (SELECT expected, (greatest(toxic, not_toxic) >= threshold_used)::INT AS a,
+                CASE WHEN NOT (expected = 1 AND verdict = 'toxic') THEN (verdict = 'toxic')::INT END AS b
+                FROM rows JOIN src USING (k)),
+            m AS (SELECT 'accuracy' AS metric, round(avg((a = expected)::INT), 4) AS x, round(avg((b = expected)::INT), 4) AS y
+                    FROM two
+                UNION ALL SELECT 'false_positives', sum((a > expected)::INT), sum((b > expected)::INT) FROM two)""",
+            """SELECT metric, x::DOUBLE AS max_label, y::DOUBLE AS toxic_label, CASE WHEN x = y THEN '-'
+                WHEN (metric = 'false_positives') = (x < y) THEN 'max_label' ELSE 'toxic_label' END AS winner FROM m""",
+        ),
         "paired_results": q(
             moderated(LABELLED),
             """SELECT expected, (greatest(toxic, not_toxic) >= threshold_used)::INT AS predicted_a,

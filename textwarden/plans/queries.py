@@ -24,6 +24,7 @@ from textwarden.sources.readers import (
     read_texts,
     text_column,
 )
+from textwarden.sources.requests import parse_typed_requests
 from textwarden.streaming import online
 from textwarden.util import materialise, scratch_dir, spread
 
@@ -179,6 +180,72 @@ def q_validate_batch(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _odd_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """A JSON body per document, most of them with a field that is absent, null or of a wrong type."""
+    text, number = F.col("text"), F.col("n_chars") / 10000
+    label = F.create_map(F.lit("toxic"), number)
+    bodies = [
+        F.to_json(F.struct("text", number.alias("threshold"))),
+        F.to_json(F.struct(number.alias("threshold"))),
+        F.concat(F.lit('{"text": null, "threshold": '), number.cast("decimal(12,4)").cast("string"), F.lit("}")),
+        F.to_json(F.struct(F.struct("text").alias("text"))),
+        F.to_json(F.struct(F.col("n_chars").alias("text"), F.lit("high").alias("threshold"))),
+        F.to_json(F.struct("text", number.cast("decimal(12,4)").cast("string").alias("threshold"))),
+        F.to_json(F.struct("text", F.array(number).alias("threshold"), F.array("lang").alias("thresholds"))),
+        F.to_json(F.struct("text", label.alias("thresholds"))),
+        F.to_json(F.struct("text", F.create_map(F.lit("toxic"), F.col("lang")).alias("thresholds"))),
+        F.to_json(F.array("text")),
+        F.concat(F.lit('{"text": '), F.col("source")),
+    ]
+    kinds = F.when(F.lit(False), F.lit(""))
+    for i, body in enumerate(bodies):
+        kinds = kinds.when(F.col("doc_id") % len(bodies) == i, body)
+    return read_table(spark, folder, "documents").select("doc_id", kinds.alias("body"))
+
+
+def q_typed_requests(spark: SparkSession, folder: str) -> DataFrame:
+    found = parse_typed_requests(_odd_bodies(spark, folder), "body")
+    return found.select(
+        "doc_id",
+        F.char_length("text").cast("bigint").alias("n_text"),
+        F.round("threshold", 4).alias("threshold"),
+        F.round(F.col("thresholds")["toxic"], 4).alias("toxic_threshold"),
+        _joined("errors").alias("errors"),
+    )
+
+
+def q_typed_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """A batch body per conversation, by its first turn's length with null, numeric or no texts."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    batches = read_table(spark, folder, "conversations").groupBy("conv_id").agg(turns.alias("turns"))
+    kind = F.col("conv_id") % 5
+    texts = F.col("turns.text")
+    body = (
+        F.when(kind == 0, F.to_json(F.struct(texts.alias("texts"))))
+        .when(kind == 1, F.lit('{"texts": ["one", null]}'))
+        .when(kind == 2, F.to_json(F.struct(F.col("turns.turn").alias("texts"))))
+        .when(kind == 3, F.to_json(F.struct(F.element_at(texts, 1).alias("texts"))))
+        .otherwise(F.lit('{"texts": [], "threshold": false}'))
+    )
+    found = parse_typed_requests(batches.select("conv_id", body.alias("body")), "body", batch=True)
+    return found.select(
+        "conv_id", F.when(F.col("texts").isNotNull(), F.size("texts")).cast("bigint").alias("n_texts"),
+        "threshold", _joined("errors").alias("errors"),
+    )
+
+
+def q_dead_letters(spark: SparkSession, folder: str) -> DataFrame:
+    """The same requests written once, accepted and rejected apart, and both sides read back."""
+    path = scratch_dir(spark)
+    bodies = _odd_bodies(spark, folder).withColumn("raw", F.col("body"))
+    sinks.write_requests(parse_typed_requests(bodies, "body"), path, "raw")
+    back = spark.read.parquet(path)
+    return back.select(
+        "doc_id", "status", _joined("errors").alias("errors"), (F.length("raw") > 0).alias("has_raw"),
+        F.char_length("text").cast("bigint").alias("n_text"),
+    )
+
+
 def q_reject_summary(spark: SparkSession, folder: str) -> DataFrame:
     return validate.reject_summary(validate.validate(_requests(spark, folder), threshold="threshold"))
 
@@ -753,6 +820,25 @@ def q_ensemble(spark: SparkSession, folder: str) -> DataFrame:
     return compare.ensemble(both, "predicted_max", "predicted")
 
 
+def q_ensemble_undecided(spark: SparkSession, folder: str) -> DataFrame:
+    """The same where the first scorer has failed on French and the second on long documents."""
+    both = evaluated(spark, folder, "predicted_max", "text")
+    failing = both.withColumns(
+        {
+            "predicted_max": F.when(F.col("lang") != "fr", F.col("predicted_max")),
+            "predicted": F.when(F.char_length("text") <= 2000, F.col("predicted")),
+        }
+    )
+    return compare.ensemble(failing, "predicted_max", "predicted")
+
+
+def q_model_compare_undecided(spark: SparkSession, folder: str) -> DataFrame:
+    both = evaluated(spark, folder, "predicted_max", "score_max")
+    failing = both.withColumn("predicted", F.when(F.col("expected") + F.col("predicted") < 2, F.col("predicted")))
+    models = {"max_label": ("predicted_max", "score_max"), "toxic_label": ("predicted", "score")}
+    return compare.compare_models(failing, models).where("metric IN ('accuracy', 'false_positives')")
+
+
 def q_paired_results(spark: SparkSession, folder: str) -> DataFrame:
     """Two result tables made apart, paired by document, and how often they agree."""
     paired = compare.pair_results(by_max_label(spark, folder), evaluated(spark, folder), "doc_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textwarden.operators.moderation import display_rows
 from textwarden.operators.report import report_document
+from textwarden.operators.validate import with_status
 
 
 def write_results_csv(moderated: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -26,6 +27,13 @@ def write_moderated(moderated: DataFrame, path: str, mode: str = "errorifexists"
     moderated.write.mode(mode).partitionBy("verdict").parquet(path)
 
 
+def write_requests(checked: DataFrame, path: str, raw: str, mode: str = "errorifexists") -> None:
+    """Checked requests in one pass over them: accepted ones under ``status=accepted``, the dead letters with
+    their reasons and raw form under ``status=rejected``. Accepted rows do not keep ``raw``."""
+    kept = F.when(F.col("status") == "rejected", F.col(raw))
+    with_status(checked).withColumn(raw, kept).write.mode(mode).partitionBy("status").parquet(path)
+
+
 def write_report(
     metrics: DataFrame,
     detail: DataFrame,
