@@ -84,6 +84,7 @@ def test_other_similarity(spark, docs_of, rows):
 def test_without_broadcast_or_leaders(spark, docs_of, rows, monkeypatch):
     monkeypatch.setattr(ngram_join, "BROADCAST_KEYS", 0)
     monkeypatch.setattr(ngram_join, "LEADER_ROUNDS", 0)
+    monkeypatch.setattr(ngram_join, "BYTES_AT_ONCE", 64)
     some = rows[:200]
     assert got(ngram_join.join(docs_of(some))) == brute(some)
 
@@ -103,3 +104,15 @@ def test_query(spark, data):
 
     rows = duckdb.connect().execute(f"SELECT doc_id, text FROM '{data}/documents.parquet'").fetchall()
     assert got(queries.registry()["op12_ngram_join"](spark, data)) == brute(rows)
+
+
+def test_word_hashes(monkeypatch):
+    """Equal words have equal hashes wherever they stand, also in texts cut to pieces; others differ."""
+    rng = random.Random(2)
+    for _ in range(50):
+        words = ["".join(rng.choice("ab\x00é") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(60))]
+        data = (rng.choice([" ", "\n", "\t \r"]) * rng.randrange(2) + " ".join(words) + "\x0b" * rng.randrange(2)).encode()
+        monkeypatch.setattr(ngram_join, "BYTES_AT_ONCE", rng.choice([1, 7, 1 << 20]))
+        found = ngram_join.word_hashes(data).tolist()
+        assert len(found) == len(words)
+        assert len(set(zip(words, found))) == len(set(words)) == len(set(found))

@@ -4,13 +4,15 @@ A text's tokens are its different word shingles. Let all tokens be in any one or
 similarity share a token among the first few of both, their prefixes, as many as may differ and one.
 This holds for every order, so candidates must share a prefix token under several of them:
 
-1. Over all texts: tokens of rare slots first (a table of ``SLOTS`` counts, whatever the size of the
-   corpus), then by hash. Only texts that share such a token with another one go on.
+1. Over all texts, two orders: tokens of rare slots first (a table of ``SLOTS`` counts, whatever the size of
+   the corpus), then by one or the other hash. Only texts go on that share a token of the first with another one,
+   at positions and sizes that leave the similarity possible, and with the same one a token of the second; all
+   holders of a token that more than ``FEW`` hold do.
 2. Among those: by the exact number of texts that hold the token, then by hash. These prefix tokens are the
    join keys; their positions bound how much two texts can share, which ends most comparisons.
 3. The same numbers, then another hash.
 
-A pair found under the second order must also share tokens of the first and third prefixes; what is left
+A pair found under this order must also share a token under the third; what is left
 is verified on whole sets. Equal sets are one node. Groups of near-copies would make pairs that grow with
 the square of the group: members of a key are first compared with two leaders each, verified links are
 contracted, and only pairs of a key that are still in different components follow, all of them.
@@ -22,7 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,39 +31,78 @@ from textwarden.llm.common import bounded_batches, components, stored
 
 WORDS, PERCENT = 3, 90
 SLOTS = 1 << 16
+FEW = 8
+"""Up to so many holders of a token are compared pair by pair to see who goes on."""
+
 BROADCAST_KEYS = 1_000_000
 """Up to so many keys of texts (8 MB) are sent to all tasks; more are joined by a shuffle."""
 
 LEADER_ROUNDS = 2
-KNOWN_WORDS = 1_000_000
+BYTES_AT_ONCE = 1 << 20
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-class _Hashes(dict):
-    """Word -> 64-bit hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        number = self[word] = xxhash.xxh64_intdigest(word)
-        return number
-
-
 def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     x = (x ^ np.uint64(salt)) * M1
     x = (x ^ (x >> np.uint64(32))) * M2
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_set(text: str | None, words: int, known: _Hashes) -> np.ndarray:
+BLANK = np.zeros(256, bool)
+BLANK[[0x20, *range(0x09, 0x0E)]] = True
+BYTE = _mix(np.arange(1, 257, dtype=np.uint64))
+ODD = 0xD1342543DE82EF95
+
+
+class _Powers:
+    """Powers of an odd number and of its inverse modulo 2^64, as far as they were needed."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            size = 1 << (n - 1).bit_length()
+            self.up, self.down = (
+                np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, factor, np.uint64))), dtype=np.uint64)
+                for factor in (ODD, pow(ODD, -1, 1 << 64))
+            )
+        return self.up[:n], self.down[:n]
+
+
+POWERS = _Powers()
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of every word between ASCII blanks: a polynomial of its bytes, mixed with its length.
+
+    The polynomials of all words are differences of one running sum, shifted to the words' beginnings.
+    """
+    out, at = [], 0
+    while at < len(data):
+        to = len(data)
+        if to - at > BYTES_AT_ONCE:  # cut long texts behind a blank
+            cut = np.flatnonzero(BLANK[np.frombuffer(data, np.uint8, offset=at + BYTES_AT_ONCE)][: 1 << 16])
+            to = at + BYTES_AT_ONCE + int(cut[0]) + 1 if len(cut) else to
+        part = np.frombuffer(data, np.uint8, to - at, at)
+        edges = np.flatnonzero(np.diff(np.concatenate(([True], BLANK[part], [True])).view(np.int8)))
+        first, end = edges[0::2], edges[1::2]
+        up, down = POWERS.to(len(part))
+        running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE[part] * up, dtype=np.uint64)))
+        sums = (running[end] - running[first]) * down[first]
+        out.append(_mix(sums, 0x9E37) + _mix((end - first).astype(np.uint64)))
+        at = to
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
     """Hashes of a text's different shingles, sorted; a text of fewer words has one, all of it."""
-    found = (text or "").encode("utf-8", "replace").translate(LOWER).split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
-    width = min(words, len(found))
+    hashes = word_hashes((text or "").encode("utf-8", "replace").translate(LOWER))
+    if not len(hashes):
+        return hashes
+    width = min(words, len(hashes))
     last = len(hashes) - width + 1
     mixed = np.full(last, width, np.uint64)
     for i in range(width):
@@ -86,10 +126,10 @@ def slot_classes(docs: DataFrame, words: int) -> np.ndarray:
     The table has ``SLOTS`` rows, the only thing that goes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = _Hashes(), np.zeros(SLOTS, np.int64)
+        counts = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for text in batch.column("text"):
-                slots = (shingle_set(text.as_py(), words, known) >> np.uint64(48)).astype(np.int64)
+                slots = (shingle_set(text.as_py(), words) >> np.uint64(48)).astype(np.int64)
                 np.add.at(counts, slots, 1)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used])], ["slot", "n"])
@@ -103,42 +143,66 @@ def slot_classes(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def first_prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, text_key, size, node, keys)``: the number of different shingles, the
-    set's signature, and its prefix under the first order."""
+    """``docs(doc_id, text)`` -> ``(doc_id, text_key, size, node, keys, again)``: the number of different shingles,
+    the set's signature, its prefix under the first order, in order, and 32 bits of every token of its prefix
+    under the same order with another hash."""
     classes = slot_classes(docs, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
         for batch in batches:
-            sizes, nodes, keys = [], [], []
+            sizes, nodes, keys, again = [], [], [], []
             for text in batch.column("text"):
-                tokens = shingle_set(text.as_py(), words, known)
-                rank = (classes[tokens >> np.uint64(48)] << np.uint64(56)) | (_mix(tokens, 1) >> np.uint64(8))
+                tokens = shingle_set(text.as_py(), words)
                 few = prefix_length(len(tokens), percent) if len(tokens) else 0
-                chosen = np.argpartition(rank, few - 1)[:few] if few else np.zeros(0, np.int64)
+                rare = classes[tokens >> np.uint64(48)] << np.uint64(56)
+                order, other = (np.argsort(rare | (_mix(tokens, salt) >> np.uint64(8)))[:few] for salt in (1, 2))
                 sizes.append(len(tokens))
                 nodes.append(signature(tokens) if len(tokens) else None)
-                keys.append(tokens[chosen].view(np.int64))
+                keys.append(tokens[order].view(np.int64))
+                again.append(tokens[other].astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int32()),
-                    pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
+                    pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(again, pa.list_(pa.int32())),
                 ],
-                ["doc_id", "text_key", "size", "node", "keys"],
+                ["doc_id", "text_key", "size", "node", "keys", "again"],
             )
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(
-        run, "doc_id bigint, text_key bigint, size int, node bigint, keys array<bigint>"
+        run, "doc_id bigint, text_key bigint, size int, node bigint, keys array<bigint>, again array<int>"
     )
 
 
+def partners(nodes: DataFrame, percent: int) -> DataFrame:
+    """``nodes(node, size, keys, again)`` -> the ``node`` of all sets that may be similar to another one."""
+    entries = nodes.select("node", "size", F.posexplode("keys").alias("pos", "token")).repartition("token")
+    counts = entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stored(entries.join(counts, "token"), "shared")
+    # few holders: a list of at most FEW, of which all pairs are looked at
+    lists = shared.where(F.col("n") <= FEW).groupBy("token").agg(
+        F.array_sort(F.collect_list(F.struct("node", "size", "pos"))).alias("held")
+    )
+    one = lists.select("held", F.inline("held")).withColumnsRenamed({"node": "a", "size": "sa", "pos": "pa"})
+    pairs = (
+        one.select("a", "sa", "pa", F.inline(F.filter("held", lambda x: x["node"] > F.col("a"))))
+        .withColumnsRenamed({"node": "b", "size": "sb", "pos": "pb"})
+        .where(possible(percent))
+        .select("a", "b")
+        .distinct()
+    )
+    for side in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("again").alias("again" + side)), side)
+    close = pairs.where(F.arrays_overlap("againa", "againb"))
+    crowded = shared.where(F.col("n") > FEW).select("node")
+    return close.select(F.explode(F.array("a", "b")).alias("node")).union(crowded).distinct()
+
+
 def whole_sets(docs: DataFrame, text_keys: DataFrame, words: int) -> DataFrame:
     """``(node, size, tokens)`` of the texts with these keys, one row for each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
         for batch in batches:
-            sets = [shingle_set(text.as_py(), words, known) for text in batch.column("text")]
+            sets = [shingle_set(text.as_py(), words) for text in batch.column("text")]
             columns = [
                 pa.array([signature(s) for s in sets], pa.int64()),
                 pa.array([len(s) for s in sets], pa.int32()),
@@ -156,7 +220,7 @@ def whole_sets(docs: DataFrame, text_keys: DataFrame, words: int) -> DataFrame:
 def exact_orders(sets: DataFrame, percent: int) -> DataFrame:
     """``sets(node, size, tokens)`` -> ``(node, size, alone, second, third)``: the number of tokens that no other
     set holds (the first of both orders, and no keys), and the prefixes under the second and third order."""
-    tokens = sets.select("node", "size", F.explode("tokens").alias("token"))
+    tokens = sets.select("node", "size", F.explode("tokens").alias("token")).repartition("token")
     shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     held = tokens.join(shared, "token").groupBy("node", "size").agg(
         F.collect_list(F.struct("n", "token")).alias("shared")
@@ -187,17 +251,15 @@ def possible(percent: int) -> Column:
 
 
 def verified(pairs: DataFrame, prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` that share tokens of the first and third prefixes and are similar."""
+    """Those of ``pairs(a, b)`` that share a token of the third prefixes and are similar."""
 
     def both(of: DataFrame, table: DataFrame, *names: str) -> DataFrame:
         for side in ("a", "b"):
             of = of.join(table.select(F.col("node").alias(side), *[F.col(n).alias(n + side) for n in names]), side)
         return of
 
-    filters = both(pairs, prefixes, "keys", "third")
-    left = stored(
-        filters.where(F.arrays_overlap("keysa", "keysb") & F.arrays_overlap("thirda", "thirdb")).select("a", "b"), "pairs"
-    )
+    filters = both(pairs, prefixes, "third")
+    left = stored(filters.where(F.arrays_overlap("thirda", "thirdb")).select("a", "b"), "pairs")
     ids = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     needed = stored(sets.join(ids, "node", "left_semi").select("node", "size", "tokens"), "needed")
     common = F.size(F.array_intersect("tokensa", "tokensb"))
@@ -233,7 +295,7 @@ def _side(members: DataFrame, side: str) -> DataFrame:
 
 
 def similar_links(prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """``prefixes(node, size, alone, keys, second, third)`` -> links ``(a, b)`` whose components are those of all
+    """``prefixes(node, size, alone, second, third)`` -> links ``(a, b)`` whose components are those of all
     similar pairs; nothing if there is none."""
     entries = stored(
         prefixes.select("node", "size", "alone", F.posexplode("second").alias("at", "token")).select(
@@ -300,15 +362,12 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = stored(first_prefixes(docs, words, percent), "prefixes")
     nodes = rows.where("node is not null").groupBy("node").agg(
-        F.min("text_key").alias("text_key"), F.first("keys").alias("keys")
+        *[F.first(name).alias(name) for name in ("size", "keys", "again")], F.min("text_key").alias("text_key")
     )
     nodes = stored(nodes, "nodes")
-    entries = nodes.select("node", F.explode("keys").alias("token"))
-    twice = entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    ids = entries.join(twice, "token", "left_semi").select("node").distinct()
-    partners = stored(nodes.join(ids, "node", "left_semi"), "partners")
-    sets = stored(whole_sets(docs, partners.select("text_key"), words), "sets")
-    prefixes = stored(exact_orders(sets, percent).join(partners.select("node", "keys"), "node"), "orders")
+    wanted = stored(nodes.join(partners(nodes, percent), "node", "left_semi").select("text_key"), "partners")
+    sets = stored(whole_sets(docs, wanted, words), "sets")
+    prefixes = stored(exact_orders(sets, percent), "orders")
     links = similar_links(prefixes, sets, percent)
     first = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
     if links is not None:
