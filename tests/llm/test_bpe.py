@@ -1,6 +1,6 @@
 import pytest
 
-from textwarden.llm import bpe
+from textwarden.llm import bpe, queries
 from textwarden.llm.queries import vocabulary
 
 EXTRA = [
@@ -28,6 +28,23 @@ def test_against_the_library(docs_of, odd_rows, library):
             want.append((doc_id, ids, library.decode(ids, skip_special_tokens=False)))
         order = lambda x: (x[0] is None, x[0] or 0, x[1])
         assert sorted(((r["doc_id"], r["ids"], r["decoded"]) for r in found), key=order) == sorted(want, key=order)
+        both = bpe.encode(docs_of(rows), vocabulary(), block_words, decoded=True).collect()
+        assert sorted(((r["doc_id"], r["ids"], r["decoded"]) for r in both), key=order) == sorted(want, key=order)
+
+
+def test_query(spark, data, library):
+    import hashlib
+
+    import duckdb
+
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    want = {}
+    for doc_id, text in duckdb.connect().execute(f"SELECT doc_id, text FROM '{data}/documents.parquet'").fetchall():
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        want[doc_id] = (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
+    names = ("n_tokens", "ids_sha256", "decoded_sha256")
+    found = queries.op5_bpe(spark, data).collect()
+    assert {row["doc_id"]: tuple(row[name] for name in names) for row in found} == want and len(found) == len(want)
 
 
 def test_packing():

@@ -29,7 +29,7 @@ PARTS = 256
 BLOCK_DOCS = 1 << 16
 ROWS_AT_ONCE = 1 << 12
 IDS_AT_ONCE = 1_000_000
-ENCODE_AT_ONCE = 4096
+ENCODE_AT_ONCE = 1024
 
 
 WORDS_AT_ONCE = 200_000
@@ -199,8 +199,9 @@ def spans(first: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(first - begin, length) + np.arange(length.sum())
 
 
-def _place(docs: pa.Table, words: pa.Table) -> Iterator[pa.Table]:
-    """Join the ids of a block's words back to the positions of its documents."""
+def _place(docs: pa.Table, words: pa.Table, table: pa.Table | None) -> Iterator[pa.Table]:
+    """Join the ids of a block's words back to the positions of its documents, and with a ``table`` of pieces
+    these to the ids."""
     numbers, sizes, lists = (
         np.concatenate([unpack(x.as_py()) for x in words.column(name)] or [np.zeros(0, np.int64)])
         for name in ("numbers", "lengths", "ids")
@@ -210,42 +211,55 @@ def _place(docs: pa.Table, words: pa.Table) -> Iterator[pa.Table]:
     flat = lists.astype(np.int32)
     doc_ids, out, counts = [], [], []
 
-    def table() -> pa.Table:
+    def done() -> pa.Table:
         ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out).astype(np.int32)))
-        return pa.table([pa.array(doc_ids, pa.int64()), ids], ["doc_id", "ids"])
+        columns = {"doc_id": pa.array(doc_ids, pa.int64()), "ids": ids}
+        if table is not None:
+            columns["decoded"] = pa.array(join_pieces(ids, table), pa.string())
+        return pa.table(columns)
 
+    total = 0
     for doc_id, codes in zip(docs.column("doc_id"), docs.column("codes")):
         code = unpack(codes.as_py())
         out.append(flat[spans(start[code], length[code])])
         doc_ids.append(doc_id.as_py())
         counts.append(len(out[-1]))
-        if sum(counts) >= IDS_AT_ONCE:
-            yield table()
-            doc_ids, out, counts = [], [], []
+        total += counts[-1]
+        if total >= IDS_AT_ONCE:
+            yield done()
+            doc_ids, out, counts, total = [], [], [], 0
     if doc_ids:
-        yield table()
+        yield done()
 
 
-def encode(docs: DataFrame, vocabulary: str, block_words: int = BLOCK_WORDS) -> DataFrame:
+def encode(
+    docs: DataFrame, vocabulary: str, block_words: int = BLOCK_WORDS, decoded: bool = False
+) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, ids)``, one row per input row, whole texts.
 
     The ids are those of the tokenizers library for the whole text without special tokens added;
     added tokens that stand in the text are recognised as the library does. Null and blank texts
     have no ids. Repeated rows and null ids are rows like others. ``vocabulary`` is the path of a
-    tokenizer file whose tokens do not cross blanks.
+    tokenizer file whose tokens do not cross blanks and whose normalizer lower-cases.
+
+    With ``decoded`` the rows also have that column, as :func:`decode` would add it: ids and pieces are joined
+    by the task that has just placed the ids, which saves it a second Python worker.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = bucketed(blocks(docs, max(PARTS, parts), block_words), "block", parts)
     ids = encode_words(rows.where("part is not null"), vocabulary)
     coded = rows.where("part is null").select("block", "doc_id", "codes")
+    table = pieces(vocabulary) if decoded else None
+    fields = [("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]
+    schema = pa.schema([*fields, ("decoded", pa.string())] if decoded else fields)
 
     def place(docs: pa.Table, words: pa.Table) -> pa.Table:
-        parts = list(_place(docs, words))
-        schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+        parts = list(_place(docs, words, table))
         return pa.concat_tables(parts).cast(schema) if parts else schema.empty_table()
 
-    return coded.groupBy("block").cogroup(ids.groupBy("of")).applyInArrow(place, "doc_id bigint, ids array<int>")
+    names = "doc_id bigint, ids array<int>" + (", decoded string" if decoded else "")
+    return coded.groupBy("block").cogroup(ids.groupBy("of")).applyInArrow(place, names)
 
 
 def pieces(vocabulary: str) -> pa.Table:
@@ -257,6 +271,18 @@ def pieces(vocabulary: str) -> pa.Table:
     return pa.table([pa.array([i for i, _ in known], pa.int64()), pa.array([p for _, p in known])], ["id", "piece"])
 
 
+def join_pieces(lists: pa.ListArray, table: pa.Table) -> Iterator[str]:
+    """The pieces of every list of ids, joined by blanks: the lists' different ids are joined to the table."""
+    ends = lists.offsets.to_numpy()
+    ids, place = np.unique(lists.values.to_numpy()[ends[0] : ends[-1]], return_inverse=True)
+    asked = pa.table([pa.array(ids, pa.int64())], ["id"])
+    found = asked.join(table, "id", join_type="left outer", use_threads=False).sort_by("id")
+    of_id = np.array(found.column("piece").to_pylist(), object)
+    ends = (ends - ends[0]).tolist()
+    for i, j in zip(ends, ends[1:]):
+        yield " ".join(filter(None, of_id[place[i:j]]))
+
+
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows with about ``IDS_AT_ONCE`` ids."""
     ends = batch.column("ids").fill_null([]).offsets.to_numpy()
@@ -279,21 +305,11 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     encoded = encoded.drop("decoded")
     schema = T.StructType([*encoded.schema.fields]).add("decoded", "string")
 
-    def texts(lists: pa.ListArray) -> Iterator[str]:
-        ends = lists.offsets.to_numpy()
-        ids, place = np.unique(lists.values.to_numpy()[ends[0] : ends[-1]], return_inverse=True)
-        asked = pa.table([pa.array(ids, pa.int64())], ["id"])
-        found = asked.join(table, "id", join_type="left outer", use_threads=False).sort_by("id")
-        of_id = np.array(found.column("piece").to_pylist(), object)
-        ends = (ends - ends[0]).tolist()
-        for i, j in zip(ends, ends[1:]):
-            yield " ".join(filter(None, of_id[place[i:j]]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch):
                 lists = part.column("ids").fill_null([])
-                decoded = pa.array(texts(lists), pa.string())
+                decoded = pa.array(join_pieces(lists, table), pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, decoded], [*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)

@@ -56,9 +56,7 @@ def op4_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    path = vocabulary()
-    encoded = bpe.encode(table(spark, folder, "documents"), path)
-    return bpe.decode(encoded, path).select(
+    return bpe.encode(table(spark, folder, "documents"), vocabulary(), decoded=True).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
