@@ -51,9 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix; ``decoded_sha256`` tells what they decode to."""
-    path = vocabulary()
-    encoded = bpe.encode(docs, path)
-    return bpe.decode(encoded, path).select(
+    return bpe.encode(docs, vocabulary(), decoded=True).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         "ids",
