@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -14,7 +14,7 @@ from textwarden import config
 from textwarden.functions import score as S
 from textwarden.functions import text as X
 from textwarden.functions.language import keep
-from textwarden.util import scratch_dir, settle
+from textwarden.util import fits_broadcast, materialise, scratch_dir, settle
 
 MAX_LITERAL_WORDS = 5_000
 """Vocabulary up to which weights travel inside the query; larger ones are joined."""
@@ -63,10 +63,8 @@ def score_by_join(
 ) -> DataFrame:
     """Scores by joining tokens with a weight table of any size: ``key, score_<label>``.
 
-    Weights are turned to one row per word first, so a token finds at most one match. A text's equal
-    tokens are counted before the join, and tokens without a weight end in it; every key
-    enters the last sum with a zero row of its own. Spark picks the join by the table's bytes, and
-    splits a word that most texts share where it joins by shuffle.
+    Weights are turned to one row per word first, and written out, so that their size is known
+    (:func:`weighted_sums` picks the join by it). Texts without any weighted token have a score too.
     """
     labels = list(bias)
     wide = weights.groupBy("tok").agg(
@@ -75,13 +73,8 @@ def score_by_join(
             for label in labels
         ]
     )
-    tokens = df.select(key, F.explode(X.tokens(F.col(text), max_tokens)).alias("tok"))
-    counted = tokens.groupBy(key, "tok").agg(F.count("*").alias("_n")).join(wide, "tok")
-    parts = counted.select(
-        key, *[(F.col("_n") * F.coalesce(f"_w_{label}", F.lit(0))).alias(f"_x_{label}") for label in labels]
-    )
-    zero = df.select(key, *[F.lit(0).cast("bigint").alias(f"_x_{label}") for label in labels])
-    sums = parts.union(zero).groupBy(key).agg(*[F.sum(f"_x_{label}").alias(f"_x_{label}") for label in labels])
+    values = {f"_x_{label}": F.col(f"_w_{label}") for label in labels}
+    sums = weighted_sums(df, materialise(wide), values, [key], text, max_tokens)
     return sums.select(
         key,
         *[
@@ -91,6 +84,33 @@ def score_by_join(
     )
 
 
+def weighted_sums(
+    df: DataFrame,
+    wide: DataFrame,
+    values: Mapping[str, Column],
+    keys: Sequence[str],
+    text: str = "text",
+    max_tokens: int | None = None,
+) -> DataFrame:
+    """Sums over each text's tokens of ``values``, which read the columns of ``wide(tok, ...)`` and of ``keys``.
+
+    A table small enough by its measured bytes is broadcast: sums are then formed where the texts lie, and one
+    row per text is shuffled. A larger one meets the tokens by a shuffle, a text's equal tokens counted before;
+    Spark splits a word that most texts share. Missing weights count as 0; texts without tokens have sums of 0.
+    """
+    tokens = F.explode_outer(X.tokens(F.col(text), max_tokens)).alias("tok")
+    rows = df.select(*keys, tokens)
+    times = F.lit(1)
+    if fits_broadcast(wide):
+        wide = F.broadcast(wide)
+    else:
+        rows = rows.groupBy(*keys, "tok").agg(F.count("*").alias("_n"))
+        times = F.col("_n")
+    zero = F.lit(0).cast("bigint")
+    sums = [F.sum(times * F.coalesce(value, zero)).alias(name) for name, value in values.items()]
+    return rows.join(wide, "tok", "left").groupBy(*keys).agg(*sums)
+
+
 def token_stats(df: DataFrame, by: str, text: str = "text") -> DataFrame:
     """Token counts per group: ``avg_tokens, min_tokens, max_tokens``."""
     return (
@@ -182,6 +202,78 @@ def naive_bayes(
     return _both_labels(weights), {"toxic": int(row["bias"]), "not_toxic": -int(row["bias"])}
 
 
+def naive_bayes_folds(
+    df: DataFrame, fold: str, folds: int, text: str = "text", truth: str = "expected"
+) -> tuple[DataFrame, list[int]]:
+    """:func:`naive_bayes` without each fold in turn: ``(tok, w_milli)`` with an array of one weight per fold,
+    and the biases.
+
+    Tokens are counted once, by fold; what a fold is not fitted on is the total less its own counts. A weight
+    is null where only the fold itself has the token. One row of totals is collected.
+    """
+    toxic = F.col(truth) == 1
+    own = [F.col(fold) == i for i in range(folds)]
+    tokens = df.select(truth, fold, F.explode(X.tokens(F.col(text))).alias("tok"))
+    counted = materialise(
+        tokens.groupBy("tok").agg(
+            F.array(*[F.count_if(toxic & mine) for mine in own]).alias("_pos"),
+            F.array(*[F.count_if(~toxic & mine) for mine in own]).alias("_neg"),
+        )
+    )
+
+    def others(name: str, i: int) -> Column:
+        return F.aggregate(name, F.lit(0).cast("bigint"), lambda acc, x: acc + x) - F.col(name)[i]
+
+    sums = [
+        column
+        for i in range(folds)
+        for column in (
+            F.sum(others("_pos", i)).alias(f"pos{i}"),
+            F.sum(others("_neg", i)).alias(f"neg{i}"),
+            F.count_if(others("_pos", i) + others("_neg", i) > 0).alias(f"size{i}"),
+        )
+    ]
+    total = counted.agg(*sums).first().asDict()
+    weights = []
+    for i in range(folds):
+        pos, neg, size = (total[f"{name}{i}"] or 0 for name in ("pos", "neg", "size"))
+        if not size:
+            weights.append(F.lit(None).cast("bigint"))
+            continue
+        shares = ((others("_pos", i) + 1.0) / F.lit(pos + size)) / ((others("_neg", i) + 1.0) / F.lit(neg + size))
+        seen = others("_pos", i) + others("_neg", i) > 0
+        weights.append(F.when(seen, F.round(F.ln(shares) * 1000).cast("bigint")))
+    # texts of the other folds by class, each counted once more
+    texts = [
+        F.round(F.ln((F.count_if(toxic & ~mine) + 1.0) / (F.count_if(~toxic & ~mine) + 1.0)) * 1000).cast("bigint").alias(f"b{i}")
+        for i, mine in enumerate(own)
+    ]
+    row = df.agg(*texts).first()
+    return counted.select("tok", F.array(*weights).alias("w_milli")), [int(row[f"b{i}"]) for i in range(folds)]
+
+
+def oof_scores(
+    df: DataFrame,
+    fold: str,
+    folds: int,
+    keep: Sequence[str],
+    text: str = "text",
+    truth: str = "expected",
+) -> DataFrame:
+    """Every labelled text under naive Bayes fitted on the other folds: ``keep``, ``fold`` and ``score``.
+
+    ``fold`` holds 0 to ``folds - 1``; ``keep`` names columns that tell the rows apart. All folds are fitted and
+    scored in one pass each, so figures on these scores are held-out figures of all labelled texts.
+    """
+    if folds < 2:
+        raise ValueError("held-out scores need two folds or more")
+    weights, bias = naive_bayes_folds(df, fold, folds, text, truth)
+    value = {"_x": F.get("w_milli", F.col(fold))}
+    sums = weighted_sums(df, materialise(weights), value, [*keep, fold], text)
+    own = F.get(F.array(*map(F.lit, bias)), F.col(fold))
+    return sums.select(*keep, fold, S.sigmoid((F.col("_x") + own) / 1000.0).alias("score"))
+
+
 def train_classifier(
     df: DataFrame,
     text: str = "text",

@@ -210,6 +210,26 @@ BAYES = f"""
         LEFT JOIN (SELECT k, sum(up) AS x FROM tok JOIN bayes ON t = w GROUP BY k) USING (k), bias)"""
 
 
+# The same with each of the folds left out in turn.
+FOLD = "(strpos('0123456789abcdef', substring(md5(k::VARCHAR), 1, 1)) - 1) % 4"
+OUT_OF_FOLD = f"""
+    all_src AS (SELECT *, {FOLD} AS fold FROM ({LABELLED})),
+    all_tok AS (SELECT k, expected, fold, t FROM (SELECT k, expected, fold,
+        unnest(string_split_regex(lower(text), '{TOKEN_BREAK}')) AS t FROM all_src) WHERE t <> ''),
+    folds AS (SELECT unnest([0, 1, 2, 3]) AS f),
+    per AS (SELECT f, t, sum(expected) AS pos, count(*) - sum(expected) AS neg
+        FROM all_tok JOIN folds ON fold <> f GROUP BY ALL),
+    tot AS (SELECT f, sum(pos) AS pos, sum(neg) AS neg, count(*) AS size FROM per GROUP BY f),
+    bias AS (SELECT f, round(1000 * ln((sum(expected) + 1)::DOUBLE / (count(*) - sum(expected) + 1)))::BIGINT AS b
+        FROM all_src JOIN folds ON fold <> f GROUP BY f),
+    bayes AS (SELECT per.f, t, round(1000 * ln(((per.pos + 1)::DOUBLE / (tot.pos + size))
+        / ((per.neg + 1)::DOUBLE / (tot.neg + size))))::BIGINT AS w FROM per JOIN tot USING (f)),
+    sums AS (SELECT k, sum(w) AS x FROM all_tok JOIN bayes ON fold = f AND all_tok.t = bayes.t GROUP BY k),
+    oof AS (SELECT k AS doc_id, lang, expected, fold::INT AS fold,
+        1 / (1 + exp(-(b + coalesce(x, 0)) / 1000.0::DOUBLE)) AS score
+        FROM all_src LEFT JOIN sums USING (k) JOIN bias ON fold = f)"""
+
+
 # Three-character pieces of tokens between blanks; shares per language from documents not held out.
 LEARNED_LANGUAGE = f"""{raw(DOCS)}, {TOKENS},
     words AS (SELECT DISTINCT t FROM tok),
@@ -474,6 +494,26 @@ def sql() -> dict[str, str]:
             counts AS (SELECT lang, {COUNTS} FROM ev GROUP BY lang UNION ALL SELECT 'overall', {COUNTS} FROM ev)""",
             f"SELECT *, {METRICS} FROM counts",
         ),
+        "oof_scores": q(OUT_OF_FOLD, "SELECT doc_id, lang, expected, fold, round(score, 4) AS score FROM oof"),
+        "oof_metrics": q(
+            f"""{OUT_OF_FOLD}, ev AS (SELECT lang, expected, (score >= 0.5)::INT AS predicted FROM oof),
+            counts AS (SELECT lang, {COUNTS} FROM ev GROUP BY lang UNION ALL SELECT 'overall', {COUNTS} FROM ev)""",
+            f"SELECT *, {METRICS} FROM counts",
+        ),
+        "oof_calibrate": q(
+            f"""{OUT_OF_FOLD},
+            points AS (SELECT lang, score, sum(expected) AS pos, count(*) - sum(expected) AS neg FROM oof GROUP BY ALL),
+            cuts AS (SELECT lang, score AS threshold,
+                (sum(pos) OVER above)::BIGINT AS tp, (sum(neg) OVER above)::BIGINT AS fp,
+                (sum(pos) OVER (PARTITION BY lang))::BIGINT - tp AS fn, (sum(neg) OVER (PARTITION BY lang))::BIGINT - fp AS tn
+                FROM points WINDOW above AS (PARTITION BY lang ORDER BY score DESC)),
+            ranked AS (SELECT *, 2 * tp / (2 * tp + fp + fn) AS f, row_number() OVER (PARTITION BY lang
+                ORDER BY 2 * tp / (2 * tp + fp + fn) DESC, threshold DESC) AS r,
+                max(coalesce(tp / nullif(tp + fn, 0), 0) - coalesce(fp / nullif(fp + tn, 0), 0)) OVER (PARTITION BY lang) > 0
+                AS separable FROM cuts)""",
+            """SELECT lang, round(threshold, 6) AS threshold, tp, fp, fn, tn, round(f, 4) AS f1, separable
+            FROM ranked WHERE r = 1""",
+        ),
         "src_csv": f"SELECT conv_id, turn, role, text FROM conversations WHERE text IS NOT NULL AND text NOT IN ({nulls})",
         "sink_results": q(
             moderated("SELECT item_id AS k, text FROM benchmark"),

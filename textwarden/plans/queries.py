@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from textwarden import config
 from textwarden.functions import score as S
 from textwarden.functions import text as T
-from textwarden.operators import compare, evaluate, language, moderation, report, scoring, validate
+from textwarden.operators import calibrate, compare, evaluate, language, moderation, report, scoring, validate
 from textwarden.sources import sinks
 from textwarden.sources.readers import (
     parse_requests,
@@ -508,6 +508,34 @@ def q_holdout_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.metrics(found.withColumn("predicted", predicted))
 
 
+FOLDS = 4
+FOLD = f"(instr('0123456789abcdef', substring(md5(cast(doc_id AS string)), 1, 1)) - 1) % {FOLDS}"
+"""A fold for every document, by a hash of its key."""
+
+
+def out_of_fold(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled documents, each scored by what was learned from the other folds."""
+    texts = labelled_texts(spark, folder).withColumn("fold", F.expr(FOLD))
+    return scoring.oof_scores(texts, "fold", FOLDS, ["doc_id", "lang", "expected"])
+
+
+def q_oof_scores(spark: SparkSession, folder: str) -> DataFrame:
+    rows = out_of_fold(spark, folder)
+    return rows.select("doc_id", "lang", "expected", F.col("fold").cast("int"), F.round("score", 4).alias("score"))
+
+
+def q_oof_calibrate(spark: SparkSession, folder: str) -> DataFrame:
+    """The best of all cuts per language, on scores that have not seen the labels they are held against."""
+    best = calibrate.calibrate_exact(out_of_fold(spark, folder))
+    return best.withColumns({"threshold": F.round("threshold", 6), "f1": F.round("f1", 4)})
+
+
+def q_oof_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of the fitted scorer over all labelled documents, held out in turn."""
+    predicted = (F.col("score") >= config.DEFAULT_THRESHOLD).cast("int")
+    return evaluate.metrics(out_of_fold(spark, folder).withColumn("predicted", predicted))
+
+
 def q_byo_scores(spark: SparkSession, folder: str) -> DataFrame:
     """A stand-in for a user's own model: every insult halves the distance to 1."""
     scored = scoring.model_scores(documents(spark, folder), _own_model(), ["toxic", "not_toxic"])

@@ -37,6 +37,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether a written table is, by the size of its files, small enough for the session's broadcast joins."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size <= df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 def is_folder(spark: SparkSession, path: str) -> bool:
     """Whether a path is a folder, in whatever store it lies."""
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
