@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from textwarden.llm.common import bounded_batches, components, stored
 
 WORDS, PERCENT = 3, 90
-SLOTS = 1 << 16
-FEW = 8
+SLOT_BITS = 18
+SLOTS = 1 << SLOT_BITS
+FEW = 64
 """Up to so many holders of a token are compared pair by pair to see who goes on."""
 
 BROADCAST_KEYS = 1_000_000
@@ -129,17 +130,17 @@ def slot_classes(docs: DataFrame, words: int) -> np.ndarray:
         counts = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for text in batch.column("text"):
-                slots = (shingle_set(text.as_py(), words) >> np.uint64(48)).astype(np.int64)
+                slots = (shingle_set(text.as_py(), words) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
                 np.add.at(counts, slots, 1)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used])], ["slot", "n"])
 
     found = docs.select("text").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
     table = np.zeros(SLOTS)
-    for row in found.collect():
-        table[row["slot"]] = row["n"]
+    counts = found.toArrow()
+    table[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
     mean = max(table.mean(), 1e-9)
-    return np.clip(2 * np.log2(np.maximum(table, mean) / mean), 0, 255).astype(np.uint64)
+    return np.clip(2 * np.log2(np.maximum(table, mean) / mean), 0, 255).astype(np.uint8)
 
 
 def first_prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -154,7 +155,7 @@ def first_prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for text in batch.column("text"):
                 tokens = shingle_set(text.as_py(), words)
                 few = prefix_length(len(tokens), percent) if len(tokens) else 0
-                rare = classes[tokens >> np.uint64(48)] << np.uint64(56)
+                rare = classes[tokens >> np.uint64(64 - SLOT_BITS)].astype(np.uint64) << np.uint64(56)
                 order, other = (np.argsort(rare | (_mix(tokens, salt) >> np.uint64(8)))[:few] for salt in (1, 2))
                 sizes.append(len(tokens))
                 nodes.append(signature(tokens) if len(tokens) else None)
@@ -220,11 +221,10 @@ def whole_sets(docs: DataFrame, text_keys: DataFrame, words: int) -> DataFrame:
 def exact_orders(sets: DataFrame, percent: int) -> DataFrame:
     """``sets(node, size, tokens)`` -> ``(node, size, alone, second, third)``: the number of tokens that no other
     set holds (the first of both orders, and no keys), and the prefixes under the second and third order."""
-    tokens = sets.select("node", "size", F.explode("tokens").alias("token")).repartition("token")
-    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    held = tokens.join(shared, "token").groupBy("node", "size").agg(
-        F.collect_list(F.struct("n", "token")).alias("shared")
-    )
+    tokens = sets.select("node", F.explode("tokens").alias("token")).repartition("token")
+    shared = tokens.groupBy("token").agg(F.count("*").cast("int").alias("n")).where("n > 1")
+    held = tokens.join(shared, "token").groupBy("node").agg(F.collect_list(F.struct("n", "token")).alias("shared"))
+    held = held.join(sets.select("node", "size"), "node")
     alone = F.col("size") - F.size("shared")
     few = F.col("size") - F.ceil(F.col("size") * percent / 100.0 - 1e-9).cast("int") + 1 - F.col("alone")
     again = F.transform("shared", lambda x: F.struct(x["n"], F.xxhash64(x["token"]).alias("h"), x["token"]))
