@@ -5,7 +5,8 @@ gathers documents into blocks of about ``BLOCK_WORDS`` words and replaces every
 in the block's list of distinct words. The lists of all blocks are dealt by a hash of the word, so
 that each distinct word is in one group, where the tokenizer encodes it once; the ids go back to
 the blocks by word, and inside a block to every position by number. Only distinct words of blocks
-travel, packed; the documents' numbers lie in a table bucketed by block and do not move. A word
+travel, packed; all numbers, those of the documents and those of the words of each hash, lie in a table bucketed
+by block and do not move. A word
 that makes up a third of all text is one entry per block.
 """
 
@@ -149,18 +150,18 @@ def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
     return df.sparkSession.table(name)
 
 
-ENCODED = "of bigint, numbers binary, lengths binary, ids binary"
+ENCODED = "of bigint, part int, lengths binary, ids binary"
 
 
 def encode_words(listed: DataFrame, vocabulary: str) -> DataFrame:
-    """``listed(block, part, words, numbers)`` -> per block and part, the words' ids.
+    """``listed(block, part, words)`` -> per block and part, the words' ids.
 
     A group holds all blocks' words of one hash; each distinct one is encoded once.
     """
     with open(vocabulary, encoding="utf-8") as file:
         definition = file.read()
     names = [name.split()[0] for name in ENCODED.split(", ")]
-    types = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    types = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
 
     def run(table: pa.Table) -> pa.Table:
         import os
@@ -185,12 +186,12 @@ def encode_words(listed: DataFrame, vocabulary: str) -> DataFrame:
         ids, length = np.array(flat, np.int64), np.array(sizes, np.int64)
         first = np.cumsum(length) - length
         rows = []
-        for block, numbers, place in zip(table.column("block"), table.column("numbers"), places):
+        for block, part, place in zip(table.column("block"), table.column("part"), places):
             n = length[place]
-            rows.append((block.as_py(), numbers.as_py(), pack(n), pack(ids[spans(first[place], n)])))
+            rows.append((block.as_py(), part.as_py(), pack(n), pack(ids[spans(first[place], n)])))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return listed.select("block", "part", "words", "numbers").groupBy("part").applyInArrow(run, ENCODED)
+    return listed.select("block", "part", "words").groupBy("part").applyInArrow(run, ENCODED)
 
 
 def spans(first: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -202,9 +203,16 @@ def spans(first: np.ndarray, length: np.ndarray) -> np.ndarray:
 def _place(docs: pa.Table, words: pa.Table, table: pa.Table | None) -> Iterator[pa.Table]:
     """Join the ids of a block's words back to the positions of its documents, and with a ``table`` of pieces
     these to the ids."""
+    listed = docs.filter(docs.column("numbers").is_valid())
+    docs = docs.filter(docs.column("codes").is_valid())
+    of_part = dict(zip(listed.column("part").to_pylist(), listed.column("numbers")))
+    packed = (
+        [of_part[part] for part in words.column("part").to_pylist()],
+        words.column("lengths"),
+        words.column("ids"),
+    )
     numbers, sizes, lists = (
-        np.concatenate([unpack(x.as_py()) for x in words.column(name)] or [np.zeros(0, np.int64)])
-        for name in ("numbers", "lengths", "ids")
+        np.concatenate([unpack(x.as_py()) for x in column] or [np.zeros(0, np.int64)]) for column in packed
     )
     start, length = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
     start[numbers], length[numbers] = np.cumsum(sizes) - sizes, sizes
@@ -249,7 +257,7 @@ def encode(
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = bucketed(blocks(docs, max(PARTS, parts), block_words), "block", parts)
     ids = encode_words(rows.where("part is not null"), vocabulary)
-    coded = rows.where("part is null").select("block", "doc_id", "codes")
+    coded = rows.select("block", "doc_id", "codes", "part", "numbers")
     table = pieces(vocabulary) if decoded else None
     fields = [("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]
     schema = pa.schema([*fields, ("decoded", pa.string())] if decoded else fields)
