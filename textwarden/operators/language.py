@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from textwarden import config
 from textwarden.functions import language as L
 from textwarden.functions import text as T
-from textwarden.util import settle
+from textwarden.operators.scoring import weighted_sums
+from textwarden.util import materialise, settle
 
 Profile = Mapping[str, Sequence[str]]
 
@@ -120,16 +121,15 @@ def learn_profile(
     ``spark.sql.optimizer.windowGroupLimitThreshold`` says), so the size of a language does not
     matter. ``min_docs`` counts the texts that hold a token.
     """
-    counts = (
-        df.select(lang, F.monotonically_increasing_id().alias("_row"), T.tokens(F.col(text)).alias("_tokens"))
-        .select(lang, "_row", F.explode("_tokens").alias("tok"))
-        .groupBy(lang, "_row", "tok")
-        .agg(F.count("*").alias("n"))
-        .groupBy(lang, "tok")
-        .agg(F.sum("n").alias("n"), F.count("*").alias("_docs"))
-        .where(F.col("_docs") >= min_docs)
-        .drop("_docs")
-    )
+    tokens = T.tokens(F.col(text))
+    one = F.lit(1).cast("bigint")
+    rows = df.select(lang, F.explode(tokens).alias("tok"), one.alias("_n"), (one * 0).alias("_d"))
+    if min_docs > 1:
+        rows = rows.union(df.select(lang, F.explode(F.array_distinct(tokens)), one * 0, one))
+    counts = rows.groupBy(lang, "tok").agg(F.sum("_n").alias("n"), F.sum("_d").alias("_d"))
+    if min_docs > 1:
+        counts = counts.where(F.col("_d") >= min_docs)
+    counts = counts.drop("_d")
     order = Window.partitionBy(lang).orderBy(F.desc("n"), "tok")
     ranked = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     # From here on there are at most ``top`` rows per language.
@@ -179,25 +179,35 @@ def learn_grams(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
 def detect_learned(df: DataFrame, grams: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Language by learned n-grams: ``key, detected, confidence, all_candidates``.
 
-    Every distinct word is cut up and weighed once; texts meet the words' weights by their counted
-    tokens. ``all_candidates`` has all languages, best first, with their posterior probability
+    Every distinct word is cut up and weighed once, for all languages together; texts meet the words' weights
+    as in :func:`weighted_sums`. The languages' codes are collected. ``all_candidates`` has all languages, best first, with their posterior probability
     (equal priors, four digits); ties go to the alphabetically first code. Texts without a known
     n-gram are ``unknown`` with confidence 0.
     """
-    tokens = df.select(key, F.explode(T.tokens(F.col(text))).alias("tok"))
-    counted = tokens.groupBy(key, "tok").agg(F.count("*").alias("n"))
-    pieces = counted.select("tok").distinct().select("tok", F.explode(_grams(F.col("tok"))).alias("gram"))
-    weights = pieces.join(grams, "gram").groupBy("tok", "lang").agg(F.sum("w_milli").alias("w"))
-    sums = counted.join(weights, "tok").groupBy(key, "lang").agg(F.sum(F.col("n") * F.col("w")).alias("w"))
-    ranked = sums.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.col("w")).alias("rank"), "lang"))).alias("_r"))
+    codes = [row["lang"] for row in grams.select("lang").distinct().orderBy("lang").collect()]
+    if not codes:
+        none = F.lit(None).cast("array<struct<lang: string, confidence: double>>")
+        return df.select(
+            key, F.lit(config.UNKNOWN_LANGUAGE).alias("detected"), F.lit(0.0).alias("confidence"), none.alias("all_candidates")
+        )
+    weight = [F.sum(F.when(F.col("lang") == code, F.col("w_milli"))).alias(f"_w{i}") for i, code in enumerate(codes)]
+    by_gram = grams.groupBy("gram").agg(*weight)
+    words = df.select(F.explode(T.tokens(F.col(text))).alias("tok")).distinct()
+    pieces = words.select("tok", F.explode(_grams(F.col("tok"))).alias("gram")).join(by_gram, "gram")
+    names = [f"_w{i}" for i in range(len(codes))]
+    by_word = pieces.groupBy("tok").agg(*[F.sum(name).alias(name) for name in names])
+    values = {name: F.col(name) for name in names} | {"_known": F.when(F.col(names[0]).isNotNull(), F.lit(1))}
+    sums = weighted_sums(df, materialise(by_word), values, [key], text)
+    ranks = [F.struct((-F.col(name)).alias("rank"), F.lit(code).alias("lang")) for name, code in zip(names, codes)]
+    found = sums.select(key, F.when(F.col("_known") > 0, F.sort_array(F.array(*ranks))).alias("_r"))
     odds = F.transform("_r", lambda r: F.exp((F.col("_r")[0]["rank"] - r["rank"]) / 1000.0))
     total = F.aggregate("_odds", F.lit(0.0), lambda a, x: a + x)
-    found = ranked.withColumn("_odds", odds).withColumn(
+    found = found.withColumn("_odds", odds).withColumn(
         "all_candidates",
         F.zip_with("_r", "_odds", lambda r, o: F.struct(r["lang"].alias("lang"), F.round(o / total, 4).alias("confidence"))),
     )
     best = F.col("all_candidates")[0]
-    return df.select(key).join(found, key, "left").select(
+    return found.select(
         key,
         F.coalesce(best["lang"], F.lit(config.UNKNOWN_LANGUAGE)).alias("detected"),
         F.coalesce(best["confidence"], F.lit(0.0)).alias("confidence"),

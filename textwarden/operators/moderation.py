@@ -256,6 +256,18 @@ def batch_summary(df: DataFrame, by: str | list[str] | None = None) -> DataFrame
     )
 
 
+def run_counters() -> list[Column]:
+    """The counters of a run, as aggregates over moderated rows."""
+    toxic = F.col("verdict") == "toxic"
+    return [
+        F.count(F.lit(1)).alias("total_texts"),
+        F.count_if(toxic).alias("flagged_count"),
+        F.count_if(~toxic).alias("clean_count"),
+        F.count_if(F.col("threshold_used").isNull() & F.col("verdict").isNotNull()).alias("skipped_count"),
+        F.count_if(F.col("verdict").isNull()).alias("undecided_count"),
+    ]
+
+
 def observe_run(moderated: DataFrame, name: str = "moderation") -> tuple[DataFrame, Observation]:
     """Count a run while it is written: no second pass over the texts is needed for its summary.
 
@@ -264,15 +276,7 @@ def observe_run(moderated: DataFrame, name: str = "moderation") -> tuple[DataFra
     ``undecided_count`` (without a verdict).
     """
     observation = Observation(name)
-    toxic = F.col("verdict") == "toxic"
-    observed = moderated.observe(
-        observation,
-        F.count(F.lit(1)).alias("total_texts"),
-        F.count_if(toxic).alias("flagged_count"),
-        F.count_if(~toxic).alias("clean_count"),
-        F.count_if(F.col("threshold_used").isNull() & F.col("verdict").isNotNull()).alias("skipped_count"),
-        F.count_if(F.col("verdict").isNull()).alias("undecided_count"),
-    )
+    observed = moderated.observe(observation, *run_counters())
     return observed, observation
 
 

@@ -515,6 +515,30 @@ def sql() -> dict[str, str]:
             FROM ranked WHERE r = 1""",
         ),
         "src_csv": f"SELECT conv_id, turn, role, text FROM conversations WHERE text IS NOT NULL AND text NOT IN ({nulls})",
+        "src_csv_typed": """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN floor(value) ELSE round(value, 4) END::DOUBLE AS value,
+                strftime(CASE WHEN event_id % 2 = 0 THEN date_trunc('day', ts) ELSE ts END, '%Y-%m-%d %H:%M:%S') AS seen,
+                strftime(ts, '%Y-%m-%d') AS day, user_id % 2 = 0 AS even,
+                CASE WHEN event_id % 2 = 0 THEN '1' ELSE event_type END AS mixed,
+                'bigint,double,timestamp,date,boolean,string' AS kinds FROM events""",
+        "recorded_runs": q(
+            mod,
+            """SELECT lang AS name, count(*) AS batch_size, count(*) AS total_texts,
+                sum((verdict = 'toxic')::INT)::BIGINT AS flagged_count, sum((verdict <> 'toxic')::INT)::BIGINT AS clean_count,
+                sum((s = '')::INT)::BIGINT AS skipped_count, 0::BIGINT AS undecided_count, true AS timed
+            FROM rows JOIN src USING (k) GROUP BY lang""",
+        ),
+        "meaning_gap": q(
+            f"""labelled AS ({LABELLED}),
+            firsts AS (SELECT expected || '-' || floor(log2(n_chars + 1))::INT AS meaning, labelled.lang,
+                min(k) AS k FROM labelled JOIN (SELECT doc_id AS k, n_chars FROM documents) USING (k)
+                WHERE labelled.lang IN ('en', 'de', 'es', 'fr') GROUP BY ALL),
+            {moderated("SELECT k, text, meaning, firsts.lang AS lang FROM firsts JOIN (SELECT doc_id AS k, text FROM documents) USING (k)")},
+            m AS (SELECT meaning, {", ".join(
+                f"round(avg(toxic) FILTER (lang = '{code}'), 4) AS {code}" for code in ("en", "de", "es", "fr")
+            )} FROM rows JOIN src USING (k) GROUP BY meaning)""",
+            """SELECT meaning, en, de, es, fr, round(de - en, 4) AS gap_de, round(es - en, 4) AS gap_es,
+                round(fr - en, 4) AS gap_fr FROM m""",
+        ),
         "sink_results": q(
             moderated("SELECT item_id AS k, text FROM benchmark"),
             f"""SELECT {preview("text", 80)} AS text, language, verdict, toxic_score,
@@ -532,6 +556,12 @@ def sql() -> dict[str, str]:
             FROM (SELECT date_trunc('day', ts) AS window_start, count(*) AS n,
                     sum((value > 100)::INT)::BIGINT AS flagged FROM events GROUP BY 1)
             WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events)""",
+        "stream_bayes": q(f"{raw(DOCS)}, {TOKENS}, {BAYES}", "SELECT k AS doc_id, round(score, 4) AS score FROM scored"),
+        "stream_language": q(LEARNED_LANGUAGE, "SELECT k AS doc_id, detected, confidence FROM told"),
+        "stream_by_verdict": q(mod, "SELECT k AS doc_id, language, verdict, confidence FROM rows"),
+        "stream_history": """SELECT conv_id, rank, turn, text FROM (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC)::INT AS rank FROM conversations)
+            WHERE rank <= 20""",
         "byo_scores": f"""SELECT doc_id, round(1 - pow(0.5, n), 6) AS toxic,
                 round(pow(0.5, n), 6) AS not_toxic
             FROM (SELECT doc_id, len(regexp_extract_all(lower(text), '{BYO_WORDS}')) AS n FROM documents)""",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from textwarden import config
 from textwarden.functions import score as S
 from textwarden.functions import text as T
-from textwarden.operators import calibrate, compare, evaluate, language, moderation, report, scoring, validate
+from textwarden.operators import calibrate, compare, evaluate, language, moderation, report, runs, scoring, validate
 from textwarden.sources import sinks
 from textwarden.sources.readers import (
     parse_requests,
@@ -23,6 +23,7 @@ from textwarden.sources.readers import (
     read_table,
     read_texts,
     text_column,
+    typed_columns,
 )
 from textwarden.sources.requests import parse_typed_requests
 from textwarden.streaming import online
@@ -721,6 +722,60 @@ def q_src_csv(spark: SparkSession, folder: str) -> DataFrame:
     return back.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
 
 
+def q_src_csv_typed(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as CSV files that disagree: whole and fractional values, days and times, flags and words."""
+    events = read_table(spark, folder, "events").select("event_id", "user_id", "value", "ts", "event_type")
+    first, path = F.col("event_id") % 2 == 0, scratch_dir(spark)
+    days = F.date_format("ts", "yyyy-MM-dd")
+    times = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    flag = (F.col("user_id") % 2 == 0).cast("string")
+    one = events.where(first).select(
+        "event_id", F.floor("value").alias("value"), days.alias("seen"), days.alias("day"), flag.alias("even"),
+        F.lit("1").alias("mixed"),
+    )
+    two = events.where(~first).select(
+        F.col("event_type").alias("mixed"), flag.alias("even"), times.alias("seen"), days.alias("day"), "value", "event_id"
+    )
+    sinks.write_csv(one, path)
+    sinks.write_csv(two, path, "append")
+    found = typed_columns(read_csv(spark, path).drop("_corrupt_record"))
+    kinds = F.concat_ws(",", *[F.typeof(name) for name in ("event_id", "value", "seen", "day", "even", "mixed")])
+    return found.select(
+        "event_id", F.round("value", 4).alias("value"), F.date_format("seen", "yyyy-MM-dd HH:mm:ss").alias("seen"),
+        F.date_format("day", "yyyy-MM-dd").alias("day"), "even", "mixed", kinds.alias("kinds"),
+    )
+
+
+def q_recorded_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """A moderation run for every source of the documents, as the runs table tells them afterwards."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text", "lang")
+    base = scratch_dir(spark)
+    for lang in [row["lang"] for row in docs.select("lang").distinct().orderBy("lang").collect()]:
+        rows = moderation.moderate(docs.where(F.col("lang").eqNullSafe(lang)))
+        runs.recorded(rows, lambda df: df.write.mode("append").parquet(f"{base}/out"), f"{base}/runs", str(lang))
+    found = runs.read_runs(spark, f"{base}/runs")
+    speed = evaluate.throughput(found).select("batch_size", (F.col("per_text_ms") > 0).alias("timed"))
+    return found.join(speed, "batch_size").select("name", "batch_size", *runs.COUNTERS, "timed")
+
+
+def q_meaning_gap(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts side by side by language, as a table of translations has them: the first toxic and the first clean
+    ones of each length class, turned to rows, scored, and compared with English."""
+    rows = _predict(labelled_pairs(spark, folder))
+    return evaluate.score_gap(rows, "meaning", ["en", "de", "es", "fr"])
+
+
+def labelled_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """``meaning, lang, text``: one column per language, unpivoted."""
+    docs = read_table(spark, folder, "documents").join(labelled(spark, folder), "doc_id")
+    meaning = F.concat_ws("-", F.col("expected"), F.floor(F.log2(F.col("n_chars") + 1)).cast("int"))
+    langs = ["en", "de", "es", "fr"]
+    side_by_side = docs.groupBy(meaning.alias("meaning")).agg(
+        *[F.min_by("text", F.when(F.col("lang") == lang, F.col("doc_id"))).alias(lang) for lang in langs]
+    )
+    return evaluate.parallel_texts(side_by_side, "meaning", langs).where("text IS NOT NULL")
+
+
 def q_sink_results(spark: SparkSession, folder: str) -> DataFrame:
     """The result table of the benchmark passages, written as CSV and read back."""
     path = scratch_dir(spark)
@@ -784,6 +839,67 @@ def q_stream_verdict_rate(spark: SparkSession, folder: str) -> DataFrame:
     return rates.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
+def _document_stream(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{folder.rstrip('/')}/documents.parquet"
+    stream = online.stream_table(spark, path, spark.read.parquet(path).schema)
+    return stream.select("doc_id", "text", "lang")
+
+
+def _by_batches(spark: SparkSession, stream: DataFrame, transform, schema, partition_by=()) -> DataFrame:
+    """A stream written batch by batch until the input is used up, and read back."""
+    base = scratch_dir(spark)
+    query = online.write_batches(stream, f"{base}/out", f"{base}/state", transform, partition_by, available_now=True)
+    query.awaitTermination()
+    return online.read_batches(spark, f"{base}/out", schema)
+
+
+def q_stream_bayes(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents as a stream, scored by the fitted naive Bayes."""
+    weights, bias = scoring.naive_bayes(labelled_texts(spark, folder).where(f"NOT {HELD_OUT}"))
+    weights = materialise(weights)
+
+    def scored(batch: DataFrame) -> DataFrame:
+        rows = scoring.score_by_join(batch, weights, bias, key="doc_id")
+        return rows.select("doc_id", F.round("score_toxic", 4).alias("score"))
+
+    schema = scored(documents(spark, folder).limit(0)).schema
+    return _by_batches(spark, _document_stream(spark, folder), scored, schema).drop("batch")
+
+
+def q_stream_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents as a stream, their language told by learned n-grams."""
+    grams = materialise(language.learn_grams(documents(spark, folder).where(f"NOT {HELD_OUT}")))
+
+    def told(batch: DataFrame) -> DataFrame:
+        return language.detect_learned(batch, grams, "doc_id").select("doc_id", "detected", "confidence")
+
+    schema = told(documents(spark, folder).limit(0)).schema
+    return _by_batches(spark, _document_stream(spark, folder), told, schema).drop("batch")
+
+
+def q_stream_by_verdict(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents as a stream, moderated into one folder per batch and verdict."""
+    kept = ("doc_id", "language", "verdict", "confidence")
+    schema = moderation.moderate(documents(spark, folder)).select(*kept).schema
+
+    def moderated(batch: DataFrame) -> DataFrame:
+        return moderation.moderate(spread(batch)).select(*kept)
+
+    return _by_batches(spark, _document_stream(spark, folder), moderated, schema, ["verdict"]).drop("batch")
+
+
+def q_stream_history(spark: SparkSession, folder: str) -> DataFrame:
+    """The conversations as a stream, the newest 20 turns of each kept as state."""
+    path = f"{folder.rstrip('/')}/conversations.parquet"
+    stream = online.stream_table(spark, path, spark.read.parquet(path).schema)
+    history = online.session_history(stream, "conv_id", "turn", "text", keep=20, expire_ms=30 * 24 * 3600 * 1000)
+    base = scratch_dir(spark)
+    writer = history.writeStream.foreachBatch(online.batch_writer(f"{base}/out")).outputMode("update")
+    writer.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    batches = online.read_batches(spark, f"{base}/out", history.schema)
+    return online.latest_history(batches, "conv_id").drop("batch")
+
+
 def q_score_stats(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.score_stats(evaluated(spark, folder))
 

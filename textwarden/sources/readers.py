@@ -50,8 +50,49 @@ def files_by_header(spark: SparkSession, path: str) -> list[list[str]]:
     return [row["files"] for row in groups.orderBy("header").collect()]
 
 
+LATTICE = ("bigint", "double", "boolean", "date", "timestamp")
+"""Types a column of cells may have, each tried before the next; string takes all."""
+
+
+def infer_types(cells: DataFrame) -> dict[str, str]:
+    """The narrowest common type of every column of strings, over all rows in one pass.
+
+    Each task counts the cells a type cannot hold, and the counts are added up, so files that disagree meet
+    in the type that holds both: whole numbers and fractions in ``double``, dates and times in ``timestamp``,
+    anything else in ``string``. Empty columns stay strings. Numbers with leading zeros are numbers.
+    """
+    names = [name for name in cells.columns if name != CORRUPT]
+    if not names:
+        return {}
+    columns = []
+    for i, name in enumerate(names):
+        cell = F.col(f"`{name}`")
+        columns.append(F.count(cell).alias(f"n{i}"))
+        for j, kind in enumerate(LATTICE):
+            # a number is no boolean, date or time, though Spark would read a year
+            fits = cell.try_cast(kind).isNotNull()
+            fits = fits & ~cell.rlike(r"^\s*[+-]?\d+\s*$") if kind in LATTICE[2:] else fits
+            # and a date has no time of day, though Spark would cut it off
+            fits = fits & cell.rlike(r"^\s*\d{4,}-\d{1,2}-\d{1,2}\s*$") if kind == "date" else fits
+            columns.append(F.count_if(cell.isNotNull() & ~fits).alias(f"n{i}_{j}"))
+    found = cells.agg(*columns).first()
+    types = {}
+    for i, name in enumerate(names):
+        fitting = [kind for j, kind in enumerate(LATTICE) if found[f"n{i}"] and not found[f"n{i}_{j}"]]
+        types[name] = fitting[0] if fitting else "string"
+    return types
+
+
+def typed_columns(cells: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
+    """Columns of strings as their inferred types (or those given); reads the rows twice."""
+    types = infer_types(cells) if types is None else types
+    return cells.select(
+        *[F.col(f"`{c}`").cast(types[c]).alias(c) if types.get(c, "string") != "string" else F.col(f"`{c}`") for c in cells.columns]
+    )
+
+
 def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Read CSV files with a header, all columns as strings.
+    """Read CSV files with a header, all columns as strings (:func:`typed_columns` infers others).
 
     Files may differ in the order and number of their columns: those with one header are read
     together under it, and the groups are put together by column name. Rows that do not fit their
