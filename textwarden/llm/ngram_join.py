@@ -40,6 +40,7 @@ BROADCAST_KEYS = 1_000_000
 
 LEADER_ROUNDS = 2
 BYTES_AT_ONCE = 1 << 20
+SETS_KNOWN = 1_000_000
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -121,6 +122,10 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
+def row_key() -> Column:
+    return F.xxhash64("text", "doc_id")
+
+
 def slot_classes(docs: DataFrame, words: int) -> np.ndarray:
     """How far the texts' tokens of every slot exceed the mean, in half powers of two.
 
@@ -144,39 +149,51 @@ def slot_classes(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def first_prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, text_key, size, node, keys, again)``: the number of different shingles,
+    """``docs(doc_id, text)`` -> ``(doc_id, row_key, size, node, keys, again)``: the number of different shingles,
     the set's signature, its prefix under the first order, in order, and 32 bits of every token of its prefix
-    under the same order with another hash."""
+    under the same order with another hash. Rows whose set the task has just given out have no prefixes."""
     classes = slot_classes(docs, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()
         for batch in batches:
             sizes, nodes, keys, again = [], [], [], []
             for text in batch.column("text"):
                 tokens = shingle_set(text.as_py(), words)
                 few = prefix_length(len(tokens), percent) if len(tokens) else 0
+                node = signature(tokens) if few else None
+                sizes.append(len(tokens))
+                nodes.append(node)
+                if node is None or node in given:
+                    keys.append(None)
+                    again.append(None)
+                    continue
+                if len(given) >= SETS_KNOWN:
+                    given.clear()
+                given.add(node)
                 rare = classes[tokens >> np.uint64(64 - SLOT_BITS)].astype(np.uint64) << np.uint64(56)
                 order, other = (np.argsort(rare | (_mix(tokens, salt) >> np.uint64(8)))[:few] for salt in (1, 2))
-                sizes.append(len(tokens))
-                nodes.append(signature(tokens) if len(tokens) else None)
                 keys.append(tokens[order].view(np.int64))
                 again.append(tokens[other].astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int32()),
+                    batch.column("doc_id"), batch.column("row_key"), pa.array(sizes, pa.int32()),
                     pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(again, pa.list_(pa.int32())),
                 ],
-                ["doc_id", "text_key", "size", "node", "keys", "again"],
+                ["doc_id", "row_key", "size", "node", "keys", "again"],
             )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(
-        run, "doc_id bigint, text_key bigint, size int, node bigint, keys array<bigint>, again array<int>"
+    return docs.select("doc_id", "text", row_key().alias("row_key")).mapInArrow(
+        run, "doc_id bigint, row_key bigint, size int, node bigint, keys array<bigint>, again array<int>"
     )
 
 
-def partners(nodes: DataFrame, percent: int) -> DataFrame:
-    """``nodes(node, size, keys, again)`` -> the ``node`` of all sets that may be similar to another one."""
-    entries = nodes.select("node", "size", F.posexplode("keys").alias("pos", "token")).repartition("token")
+def partners(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows(node, size, keys, again)`` -> the ``node`` of all sets that may be similar to another one.
+
+    Copies of a set bring their prefixes at most once per task, and are dropped where the tokens meet."""
+    nodes = rows.where("keys is not null")
+    entries = nodes.select("node", "size", F.posexplode("keys").alias("pos", "token")).repartition("token").distinct()
     counts = entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     shared = stored(entries.join(counts, "token"), "shared")
     # few holders: a list of at most FEW, of which all pairs are looked at
@@ -198,8 +215,10 @@ def partners(nodes: DataFrame, percent: int) -> DataFrame:
     return close.select(F.explode(F.array("a", "b")).alias("node")).union(crowded).distinct()
 
 
-def whole_sets(docs: DataFrame, text_keys: DataFrame, words: int) -> DataFrame:
-    """``(node, size, tokens)`` of the texts with these keys, one row for each set."""
+def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``wanted(row_key, times)`` -> ``(node, size, tokens)`` of these rows, one row for each set.
+
+    Only sets whose row stands there several times are put together by a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,14 +227,17 @@ def whole_sets(docs: DataFrame, text_keys: DataFrame, words: int) -> DataFrame:
                 pa.array([signature(s) for s in sets], pa.int64()),
                 pa.array([len(s) for s in sets], pa.int32()),
                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                batch.column("times"),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "size", "tokens"])
+            yield pa.RecordBatch.from_arrays(columns, ["node", "size", "tokens", "times"])
 
-    if text_keys.count() <= BROADCAST_KEYS:
-        text_keys = F.broadcast(text_keys)
-    texts = docs.select("text", F.xxhash64("text").alias("text_key")).join(text_keys, "text_key", "left_semi")
-    sets = texts.select("text").mapInArrow(run, "node bigint, size int, tokens array<bigint>")
-    return sets.groupBy("node").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"))
+    if wanted.count() <= BROADCAST_KEYS:
+        wanted = F.broadcast(wanted)
+    texts = docs.select("text", row_key().alias("row_key")).join(wanted, "row_key").select("text", "times")
+    sets = stored(texts.mapInArrow(run, "node bigint, size int, tokens array<bigint>, times bigint"), "sets")
+    one = sets.where("times = 1").drop("times")
+    several = sets.where("times > 1").groupBy("node").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"))
+    return one.union(several)
 
 
 def exact_orders(sets: DataFrame, percent: int) -> DataFrame:
@@ -361,12 +383,11 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = stored(first_prefixes(docs, words, percent), "prefixes")
-    nodes = rows.where("node is not null").groupBy("node").agg(
-        *[F.first(name).alias(name) for name in ("size", "keys", "again")], F.min("text_key").alias("text_key")
-    )
-    nodes = stored(nodes, "nodes")
-    wanted = stored(nodes.join(partners(nodes, percent), "node", "left_semi").select("text_key"), "partners")
-    sets = stored(whole_sets(docs, wanted, words), "sets")
+    chosen = rows.where("node is not null").groupBy("node").agg(F.min("row_key").alias("row_key"))
+    chosen = chosen.join(partners(rows, percent), "node", "left_semi")
+    times = rows.groupBy("row_key").agg(F.count("*").alias("times"))
+    wanted = stored(chosen.join(times, "row_key").select("row_key", "times"), "wanted")
+    sets = whole_sets(docs, wanted, words)
     prefixes = stored(exact_orders(sets, percent), "orders")
     links = similar_links(prefixes, sets, percent)
     first = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
