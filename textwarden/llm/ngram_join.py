@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import bounded_batches, components, stored
+from textwarden.llm.common import bounded_batches, components, discard, stored
 
 WORDS, PERCENT = 3, 90
-SLOT_BITS = 18
+SLOT_BITS = 17
 SLOTS = 1 << SLOT_BITS
 FEW = 64
 """Up to so many holders of a token are compared pair by pair to see who goes on."""
@@ -212,7 +212,9 @@ def partners(rows: DataFrame, percent: int) -> DataFrame:
         pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("again").alias("again" + side)), side)
     close = pairs.where(F.arrays_overlap("againa", "againb"))
     crowded = shared.where(F.col("n") > FEW).select("node")
-    return close.select(F.explode(F.array("a", "b")).alias("node")).union(crowded).distinct()
+    found = stored(close.select(F.explode(F.array("a", "b")).alias("node")).union(crowded).distinct(), "partners")
+    discard(shared)
+    return found
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -244,7 +246,8 @@ def exact_orders(sets: DataFrame, percent: int) -> DataFrame:
     """``sets(node, size, tokens)`` -> ``(node, size, alone, second, third)``: the number of tokens that no other
     set holds (the first of both orders, and no keys), and the prefixes under the second and third order."""
     tokens = sets.select("node", F.explode("tokens").alias("token")).repartition("token")
-    shared = tokens.groupBy("token").agg(F.count("*").cast("int").alias("n")).where("n > 1")
+    # counting the nodes keeps their column, so that both sides of the join are one shuffle
+    shared = tokens.groupBy("token").agg(F.count("node").cast("int").alias("n")).where("n > 1")
     held = tokens.join(shared, "token").groupBy("node").agg(F.collect_list(F.struct("n", "token")).alias("shared"))
     held = held.join(sets.select("node", "size"), "node")
     alone = F.col("size") - F.size("shared")
@@ -286,7 +289,10 @@ def verified(pairs: DataFrame, prefixes: DataFrame, sets: DataFrame, percent: in
     needed = stored(sets.join(ids, "node", "left_semi").select("node", "size", "tokens"), "needed")
     common = F.size(F.array_intersect("tokensa", "tokensb"))
     total = F.col("sizea") + F.col("sizeb") - common
-    return both(left, needed, "size", "tokens").where(100 * common >= percent * total).select("a", "b")
+    found = both(left, needed, "size", "tokens").where(100 * common >= percent * total).select("a", "b")
+    found = stored(found, "links")
+    discard(needed)
+    return found
 
 
 def crossing(entries: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -328,7 +334,6 @@ def similar_links(prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFra
     links: DataFrame | None = None
 
     def with_links(found: DataFrame) -> DataFrame | None:
-        found = stored(found, "links")
         if links is not None:
             return links.union(found)
         return None if found.isEmpty() else found
@@ -382,9 +387,11 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
         raise ValueError("percent must be over 0 and up to 100")
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = stored(first_prefixes(docs, words, percent), "prefixes")
+    full = stored(first_prefixes(docs, words, percent), "prefixes")
+    rows = stored(full.select("doc_id", "row_key", "size", "node"), "rows")
     chosen = rows.where("node is not null").groupBy("node").agg(F.min("row_key").alias("row_key"))
-    chosen = chosen.join(partners(rows, percent), "node", "left_semi")
+    chosen = chosen.join(partners(full, percent), "node", "left_semi")
+    discard(full)
     times = rows.groupBy("row_key").agg(F.count("*").alias("times"))
     wanted = stored(chosen.join(times, "row_key").select("row_key", "times"), "wanted")
     sets = whole_sets(docs, wanted, words)
