@@ -66,7 +66,7 @@ def test_history_over_several_batches(spark, tmp_path):
         seen += rows
         spark.createDataFrame(rows, SCHEMA).repartition(2).write.mode("append").parquet(source)
         stream = online.read_stream(spark, source, spark.read.parquet(source).schema, files_per_trigger=2)
-        history = online.session_history(stream, "session", "turn", "text", keep=4, expire_ms=10**9)
+        history = online.session_history(stream, "session", "turn", "text", keep=4)
         writer = history.writeStream.foreachBatch(online.batch_writer(path)).outputMode("update")
         query = writer.option("checkpointLocation", state).trigger(availableNow=True).start()
         run(query)

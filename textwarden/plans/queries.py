@@ -892,7 +892,7 @@ def q_stream_history(spark: SparkSession, folder: str) -> DataFrame:
     """The conversations as a stream, the newest 20 turns of each kept as state."""
     path = f"{folder.rstrip('/')}/conversations.parquet"
     stream = online.stream_table(spark, path, spark.read.parquet(path).schema)
-    history = online.session_history(stream, "conv_id", "turn", "text", keep=20, expire_ms=30 * 24 * 3600 * 1000)
+    history = online.session_history(stream, "conv_id", "turn", "text", keep=20)
     base = scratch_dir(spark)
     writer = history.writeStream.foreachBatch(online.batch_writer(f"{base}/out")).outputMode("update")
     writer.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
