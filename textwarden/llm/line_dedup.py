@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RATIO = 0.05
-MIN_PAGES = 10
-"""A line of fewer pages than this is never boilerplate: a host of one page would lose everything."""
+MIN_PAGES = 3
+"""A line of fewer pages than this is never boilerplate: a host of one page would lose everything, and two pages
+may share a line by chance. Beyond, the ratio alone decides."""
 
 
 def host_of(url: Column) -> Column:

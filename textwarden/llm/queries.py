@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textwarden.llm import alignment, ann, bpe, conversation_repair, lang_id, line_dedup, mixing, ngram_join, pii, simhash, suffix_dedup, token_counts, topk
-from textwarden.llm.common import shared_path
+from textwarden.llm.common import shared_path, stored
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -71,6 +71,7 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
         line_dedup.host_of(F.col("url")).alias("host"),
         line_dedup.html_lines(F.col("html")).alias("text"),
     )
+    pages = stored(pages, "pages")  # the tags are taken out once
     return line_dedup.drop_frequent(pages, "host", "text").select(
         "page_id", "host", F.col("_lines_removed").alias("lines_removed"), "text"
     )
@@ -165,7 +166,7 @@ seen AS (
 totals AS (SELECT host, count(*) AS host_pages FROM cut GROUP BY host),
 boiler AS (
   SELECT s.host, s.line FROM seen s JOIN totals t ON s.host IS NOT DISTINCT FROM t.host
-  GROUP BY s.host, s.line, t.host_pages HAVING count(*) >= 10 AND count(*) > 0.05 * t.host_pages),
+  GROUP BY s.host, s.line, t.host_pages HAVING count(*) >= 3 AND count(*) > 0.05 * t.host_pages),
 lists AS (SELECT host, list(line) AS lines FROM boiler GROUP BY host)
 SELECT c.page_id, c.host,
   coalesce(len(list_filter(string_split(c.text, chr(10)), lambda x: list_contains(l.lines, trim(x, ' ')))), 0) AS lines_removed,

@@ -11,8 +11,10 @@ grow with the square of the group. Two steps avoid that without losing a link be
 
 1. Every fingerprint of a full key is compared with up to four leaders of the key, picked by a hash,
    and gives a link to the first that is close. Verified links are contracted to components.
-2. Full keys all of whose fingerprints are in one component are done. In the others, only members
-   outside the key's most frequent component are joined with the members of other components.
+2. Full keys all of whose fingerprints are in one component are done. The others are split: close fingerprints
+   also agree in one of a few blocks of the bits outside the segment, so key and block are a finer key.
+   The first step is repeated on these, and in those that still hold several components, members outside
+   the most frequent one are joined with the members of other components.
 """
 
 from __future__ import annotations
@@ -126,16 +128,38 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     few = keys.where("n < 4").select(pairs.alias("p")).where(F.size("p") > 0).select(F.inline("p"))
 
     full = stored(entries.join(keys.where("n > 3").select("key"), "key"), "full")
+    stars = stored(few.union(led_links(full, max_bits)).distinct(), "stars")
+    finer = stored(finer_keys(mixed_members(full, stars), max_bits), "finer")
+    stars = stored(stars.union(led_links(finer, max_bits)).distinct(), "stars")
+    open_ = stored(mixed_members(finer, stars), "open")
+    minor = open_.where("root <> major").select("key", F.col("fp").alias("a"), F.col("root").alias("ra"), "major")
+    other = open_.select("key", F.col("fp").alias("b"), F.col("root").alias("rb"))
+    # a pair of two minor members is met from both sides
+    rest = (
+        minor.join(other, "key")
+        .where(F.col("ra") != F.col("rb"))
+        .where((F.col("rb") == F.col("major")) | (F.col("a") < F.col("b")))
+        .where(close("a", "b", max_bits))
+        .select("a", "b")
+        .distinct()
+    )
+    return stars.union(stored(rest, "rest"))
+
+
+def led_links(full: DataFrame, max_bits: int) -> DataFrame:
+    """``full(key, fp)`` -> links ``(a, b)`` of every member to the first of its key's leaders that is close."""
     chance = F.xxhash64("fp", "key")
     led = full.groupBy("key").agg(
         F.array(F.min_by("fp", chance), F.max_by("fp", chance), F.min("fp"), F.max("fp")).alias("leaders")
     )
     linked = F.filter("leaders", lambda x: (x != F.col("fp")) & (F.bit_count(x.bitwiseXOR(F.col("fp"))) <= max_bits))
-    first = F.get(linked, 0)
-    stars = full.join(led, "key").select(F.col("fp").alias("a"), first.alias("b")).where("b is not null")
-    stars = stored(few.union(stars).distinct(), "stars")
+    return full.join(led, "key").select(F.col("fp").alias("a"), F.get(linked, 0).alias("b")).where("b is not null")
 
-    roots = components(stars)
+
+def mixed_members(full: DataFrame, found: DataFrame) -> DataFrame:
+    """``full(key, fp)`` of the keys whose members the links ``found`` leave in several components, with each
+    member's ``root`` and the key's most frequent one, ``major``."""
+    roots = components(found)
     members = full.join(roots, F.col("fp") == F.col("node"), "left").select(
         "key", "fp", F.coalesce("root", "fp").alias("root")
     )
@@ -148,17 +172,27 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         .where("parts > 1")
         .select("key", "major")
     )
-    open_ = stored(members.join(mixed, "key"), "open")
-    minor = open_.where("root <> major").select("key", F.col("fp").alias("a"), F.col("root").alias("ra"))
-    other = open_.select("key", F.col("fp").alias("b"), F.col("root").alias("rb"))
-    rest = (
-        minor.join(other, "key")
-        .where(F.col("ra") != F.col("rb"))
-        .where(close("a", "b", max_bits))
-        .select("a", "b")
-        .distinct()
+    return members.join(mixed, "key")
+
+
+def finer_keys(members: DataFrame, max_bits: int) -> DataFrame:
+    """``members(key, fp, ...)`` -> ``(key, fp)`` under finer keys: the key and one of ``max_bits + 1`` blocks of the
+    bits outside its segment. Fingerprints at ``max_bits`` or fewer agree in one of the blocks."""
+    place = F.shiftrightunsigned("key", 22)
+    blocks = F.when(F.lit(False), F.array(F.lit(0).cast("bigint")))
+    for first, length in SEGMENTS:
+        # turned so that the other bits are the lowest ones
+        turned = F.shiftrightunsigned("fp", (first + length) % 64)
+        if first + length < 64:
+            turned = turned.bitwiseOR(F.shiftleft("fp", 64 - first - length))
+        cuts = [(64 - length) * i // (max_bits + 1) for i in range(max_bits + 2)]
+        values = [
+            F.shiftrightunsigned(turned, i).bitwiseAND(F.lit((1 << (j - i)) - 1)) for i, j in zip(cuts, cuts[1:])
+        ]
+        blocks = blocks.when(place < first + length, F.array(*values))
+    return members.select("key", "fp", F.posexplode(blocks).alias("block", "bits")).select(
+        F.struct("key", "block", "bits").alias("key"), "fp"
     )
-    return stars.union(stored(rest, "rest"))
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
