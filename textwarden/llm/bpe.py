@@ -23,13 +23,13 @@ from pyspark.sql import types as T
 
 from textwarden.llm.common import bounded_batches, shared_path
 
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_400_000
 PARTS = 256
 """Least number of groups the distinct words are dealt to; more if there are more shuffle partitions."""
 
 BLOCK_DOCS = 1 << 16
 ROWS_AT_ONCE = 1 << 12
-IDS_AT_ONCE = 1_000_000
+IDS_AT_ONCE = 250_000
 ENCODE_AT_ONCE = 1024
 
 
@@ -189,6 +189,7 @@ def encode_words(listed: DataFrame, vocabulary: str) -> DataFrame:
         for block, part, place in zip(table.column("block"), table.column("part"), places):
             n = length[place]
             rows.append((block.as_py(), part.as_py(), pack(n), pack(ids[spans(first[place], n)])))
+        pa.default_memory_pool().release_unused()
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     return listed.select("block", "part", "words").groupBy("part").applyInArrow(run, ENCODED)
@@ -264,6 +265,8 @@ def encode(
 
     def place(docs: pa.Table, words: pa.Table) -> pa.Table:
         parts = list(_place(docs, words, table))
+        # what earlier blocks have freed goes back before this one's rows are put together
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(parts).cast(schema) if parts else schema.empty_table()
 
     names = "doc_id bigint, ids array<int>" + (", decoded string" if decoded else "")
