@@ -188,14 +188,19 @@ def first_prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     )
 
 
+def holders() -> Column:
+    """How many rows have a row's token. The window shuffles and sorts narrow rows once, where a join with the
+    counts would shuffle them twice; a frequent token's rows spill to disk."""
+    return F.count("*").over(Window.partitionBy("token"))
+
+
 def partners(rows: DataFrame, percent: int) -> DataFrame:
     """``rows(node, size, keys, again)`` -> the ``node`` of all sets that may be similar to another one.
 
     Copies of a set bring their prefixes at most once per task, and are dropped where the tokens meet."""
     nodes = rows.where("keys is not null")
     entries = nodes.select("node", "size", F.posexplode("keys").alias("pos", "token")).repartition("token").distinct()
-    counts = entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stored(entries.join(counts, "token"), "shared")
+    shared = stored(entries.withColumn("n", holders()).where("n > 1"), "shared")
     # few holders: a list of at most FEW, of which all pairs are looked at
     lists = shared.where(F.col("n") <= FEW).groupBy("token").agg(
         F.array_sort(F.collect_list(F.struct("node", "size", "pos"))).alias("held")
@@ -245,10 +250,9 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 def exact_orders(sets: DataFrame, percent: int) -> DataFrame:
     """``sets(node, size, tokens)`` -> ``(node, size, alone, second, third)``: the number of tokens that no other
     set holds (the first of both orders, and no keys), and the prefixes under the second and third order."""
-    tokens = sets.select("node", F.explode("tokens").alias("token")).repartition("token")
-    # counting the nodes keeps their column, so that both sides of the join are one shuffle
-    shared = tokens.groupBy("token").agg(F.count("node").cast("int").alias("n")).where("n > 1")
-    held = tokens.join(shared, "token").groupBy("node").agg(F.collect_list(F.struct("n", "token")).alias("shared"))
+    tokens = sets.select("node", F.explode("tokens").alias("token"))
+    shared = tokens.withColumn("n", holders().cast("int")).where("n > 1")
+    held = shared.groupBy("node").agg(F.collect_list(F.struct("n", "token")).alias("shared"))
     held = held.join(sets.select("node", "size"), "node")
     alone = F.col("size") - F.size("shared")
     few = F.col("size") - F.ceil(F.col("size") * percent / 100.0 - 1e-9).cast("int") + 1 - F.col("alone")
