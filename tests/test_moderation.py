@@ -325,3 +325,19 @@ def test_own_scores_and_undecided_rows(spark):
     assert tuple(counts) == (6, 1, 2, 3)
     plain = {r["k"]: r for r in moderate(df.select("k", "text")).collect()}
     assert plain[3]["verdict"] is None and plain[3]["error"] == "missing_text" and plain[1]["verdict"] == "clean"
+
+
+def test_learned_languages_under_any_broadcast(spark):
+    """The texts are read once to learn from, and words beyond the broadcast limit change nothing."""
+    rows = [(i, f"the thing word{i} and", "en") for i in range(60)] + [(60 + i, f"der ding wort{i} und", "de") for i in range(60)]
+    df = spark.createDataFrame([*rows, (120, "", "en"), (121, None, None)], "k int, text string, lang string")
+    grams = lang_ops.learn_grams(df)
+    assert "split(" not in grams._jdf.queryExecution().executedPlan().toString()
+    found = []
+    for limit in ("10m", "1500", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        found.append(sorted(map(str, lang_ops.detect_learned(df, grams, "k").collect())))
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found[0] == found[1] == found[2] and len(found[0]) == 122
+    told = {r["k"]: r["detected"] for r in lang_ops.detect_learned(df, grams, "k").collect()}
+    assert all(told[k] == lang for k, _, lang in rows) and told[120] == told[121] == "unknown"

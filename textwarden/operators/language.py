@@ -11,7 +11,7 @@ from textwarden import config
 from textwarden.functions import language as L
 from textwarden.functions import text as T
 from textwarden.operators.scoring import weighted_sums
-from textwarden.util import materialise, settle
+from textwarden.util import fits_broadcast, materialise, settle
 
 Profile = Mapping[str, Sequence[str]]
 
@@ -157,11 +157,12 @@ def learn_grams(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
 
     A weight is the logarithm, in thousandths, of the n-gram's smoothed share in the language, and
     every n-gram has one for every language. Tokens are counted before they are cut up, so a word
-    is cut once for each language, however frequent it is.
+    is cut once for each language, however frequent it is. The counts of n-grams are written out: the sizes of the
+    languages and the weights read them, the texts are read once.
     """
     tokens = df.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(T.tokens(F.col(text))).alias("tok"))
     words = tokens.groupBy("lang", "tok").agg(F.count("*").alias("n"))
-    counts = (
+    counts = materialise(
         words.select("lang", "n", F.explode(_grams(F.col("tok"))).alias("gram"))
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
@@ -179,8 +180,9 @@ def learn_grams(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
 def detect_learned(df: DataFrame, grams: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Language by learned n-grams: ``key, detected, confidence, all_candidates``.
 
-    Every distinct word is cut up and weighed once, for all languages together; texts meet the words' weights
-    as in :func:`weighted_sums`. The languages' codes are collected. ``all_candidates`` has all languages, best first, with their posterior probability
+    Every distinct word is cut up and weighed once, for all languages together, beside the n-grams if their table is
+    small enough for a broadcast; texts meet the words' weights as in :func:`weighted_sums`. The languages' codes
+    are collected. ``all_candidates`` has all languages, best first, with their posterior probability
     (equal priors, four digits); ties go to the alphabetically first code. Texts without a known
     n-gram are ``unknown`` with confidence 0.
     """
@@ -191,11 +193,12 @@ def detect_learned(df: DataFrame, grams: DataFrame, key: str, text: str = "text"
             key, F.lit(config.UNKNOWN_LANGUAGE).alias("detected"), F.lit(0.0).alias("confidence"), none.alias("all_candidates")
         )
     weight = [F.sum(F.when(F.col("lang") == code, F.col("w_milli"))).alias(f"_w{i}") for i, code in enumerate(codes)]
-    by_gram = grams.groupBy("gram").agg(*weight)
-    words = df.select(F.explode(T.tokens(F.col(text))).alias("tok")).distinct()
-    pieces = words.select("tok", F.explode(_grams(F.col("tok"))).alias("gram")).join(by_gram, "gram")
+    by_gram = materialise(grams.groupBy("gram").agg(*weight))
+    by_gram = F.broadcast(by_gram) if fits_broadcast(by_gram) else by_gram
+    words = df.select(F.explode(T.tokens(F.col(text))).alias("tok")).groupBy("tok").agg(F.count("*").alias("seen"))
+    pieces = words.select("tok", "seen", F.explode(_grams(F.col("tok"))).alias("gram")).join(by_gram, "gram")
     names = [f"_w{i}" for i in range(len(codes))]
-    by_word = pieces.groupBy("tok").agg(*[F.sum(name).alias(name) for name in names])
+    by_word = pieces.groupBy("tok").agg(F.max("seen").alias("seen"), *[F.sum(name).alias(name) for name in names])
     values = {name: F.col(name) for name in names} | {"_known": F.when(F.col(names[0]).isNotNull(), F.lit(1))}
     sums = weighted_sums(df, materialise(by_word), values, [key], text)
     ranks = [F.struct((-F.col(name)).alias("rank"), F.lit(code).alias("lang")) for name, code in zip(names, codes)]
