@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textwarden import config
 from textwarden.functions import score as S
 from textwarden.operators import scoring
-from textwarden.util import settle
+from textwarden.util import broadcast_share, materialise, settle
 
 TEXTS = [
     "You are an idiot and a loser, idiot!",
@@ -148,3 +148,39 @@ def test_settle_keeps_rows_and_stops_filters(spark):
     assert sorted(map(tuple, settled.collect())) == sorted(map(tuple, df.collect()))
     plan = settled.where("x > 1")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Filter") < plan.index("Generate")
+
+
+def test_only_rare_words_are_shuffled(spark):
+    """Of a table beyond the broadcast limit the most used words are still sent to the texts."""
+    rows = [(i, f"the bad word{i} of word{i} the day" if i % 2 else f"the good word{i} of the day") for i in range(300)]
+    rows += [(300, ""), (301, None), (302, "unseen"), (303, "the the the")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    weights = {f"word{i}": i - 150 for i in range(300)} | {"the": 3, "of": -2, "bad": 70, "good": -50, "day": 1}
+    seen = {f"word{i}": 1 + i % 2 for i in range(300)} | {"the": 603, "of": 300, "bad": 150, "good": 150, "day": 300}
+    table = [(tok, w, seen[tok]) for tok, w in weights.items()]
+    want = {i: sum(weights.get(tok, 0) for tok in (text or "").split()) for i, text in rows}
+    for columns in (["tok", "w", "seen"], ["tok", "w"]):
+        wide = materialise(spark.createDataFrame(table, "tok string, w bigint, seen bigint").select(*columns))
+        for limit in ("10m", "2000", "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            sums = scoring.weighted_sums(df, wide, {"w": F.col("w")}, ["id"])
+            plan = sums._jdf.queryExecution().executedPlan().toString()
+            found = {r["id"]: r["w"] for r in sums.collect()}
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+            assert found == want
+            if limit == "2000":
+                assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
+
+
+def test_least_use_keeps_to_the_limit(spark):
+    rows = [(f"w{i}", 1000 - i if i < 100 else 1) for i in range(1000)]
+    wide = materialise(spark.createDataFrame(rows, "tok string, seen bigint"))
+    for limit, most in (("0", 0), ("1500", 1000), ("-1", 0), ("100m", 1000)):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        share, least = broadcast_share(wide), scoring._least_use(wide)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        kept = sum(seen >= least for _, seen in rows)
+        assert kept <= min(most, share * len(rows))
+        assert kept == len(rows) or kept <= 100
+    empty = materialise(spark.createDataFrame([], "tok string, seen bigint"))
+    assert scoring._least_use(empty) == 1

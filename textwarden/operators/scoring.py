@@ -14,7 +14,7 @@ from textwarden import config
 from textwarden.functions import score as S
 from textwarden.functions import text as X
 from textwarden.functions.language import keep
-from textwarden.util import fits_broadcast, materialise, scratch_dir, settle
+from textwarden.util import broadcast_share, materialise, scratch_dir, settle
 
 MAX_LITERAL_WORDS = 5_000
 """Vocabulary up to which weights travel inside the query; larger ones are joined."""
@@ -64,14 +64,17 @@ def score_by_join(
     """Scores by joining tokens with a weight table of any size: ``key, score_<label>``.
 
     Weights are turned to one row per word first, and written out, so that their size is known
-    (:func:`weighted_sums` picks the join by it). Texts without any weighted token have a score too.
+    (:func:`weighted_sums` picks the join by it). ``weights`` may have a column ``seen`` that tells how often a
+    token was seen. Texts without any weighted token have a score too.
     """
     labels = list(bias)
+    seen = [F.max("seen").alias("seen")] if "seen" in weights.columns else []
     wide = weights.groupBy("tok").agg(
         *[
             F.sum(F.when(F.col("label") == label, F.col("w_milli"))).alias(f"_w_{label}")
             for label in labels
-        ]
+        ],
+        *seen,
     )
     values = {f"_x_{label}": F.col(f"_w_{label}") for label in labels}
     sums = weighted_sums(df, materialise(wide), values, [key], text, max_tokens)
@@ -95,20 +98,49 @@ def weighted_sums(
     """Sums over each text's tokens of ``values``, which read the columns of ``wide(tok, ...)`` and of ``keys``.
 
     A table small enough by its measured bytes is broadcast: sums are then formed where the texts lie, and one
-    row per text is shuffled. A larger one meets the tokens by a shuffle, a text's equal tokens counted before;
-    Spark splits a word that most texts share. Missing weights count as 0; texts without tokens have sums of 0.
+    row per text is shuffled. Of a larger one the most used words are broadcast, as many as the session's limit
+    takes, and only a text's rarer words, equal ones counted before, meet their weights by a shuffle; Spark
+    splits a word that most texts share. How often a word is used tells the column ``seen``; without it
+    the words of the texts are counted. Missing weights count as 0; texts without tokens have sums of 0.
     """
-    tokens = F.explode_outer(X.tokens(F.col(text), max_tokens)).alias("tok")
-    rows = df.select(*keys, tokens)
-    times = F.lit(1)
-    if fits_broadcast(wide):
-        wide = F.broadcast(wide)
-    else:
-        rows = rows.groupBy(*keys, "tok").agg(F.count("*").alias("_n"))
-        times = F.col("_n")
+    words = X.tokens(F.col(text), max_tokens)
+    rows = df.select(*keys, F.explode_outer(words).alias("tok"))
     zero = F.lit(0).cast("bigint")
-    sums = [F.sum(times * F.coalesce(value, zero)).alias(name) for name, value in values.items()]
-    return rows.join(wide, "tok", "left").groupBy(*keys).agg(*sums)
+    weighed = {name: F.coalesce(value, zero) for name, value in values.items()}
+    if broadcast_share(wide) >= 1:
+        sums = [F.sum(value).alias(name) for name, value in weighed.items()]
+        return rows.join(F.broadcast(wide), "tok", "left").groupBy(*keys).agg(*sums)
+    if "seen" not in wide.columns:
+        counts = df.select(F.explode(words).alias("tok")).groupBy("tok").agg(F.count("*").alias("seen"))
+        wide = materialise(wide.join(counts, "tok"))
+    common = F.col("seen") >= _least_use(wide)
+    # one row per text with the sums of its common words, and one for each of its rarer words
+    met = rows.join(F.broadcast(wide.where(common).withColumn("_met", F.lit(True))), "tok", "left")
+    rarer = F.when(F.col("_met").isNull(), F.col("tok")).alias("tok")
+    part = met.groupBy(*keys, rarer).agg(
+        F.count("*").alias("_n"), *[F.sum(value).alias(f"_part_{name}") for name, value in weighed.items()]
+    )
+    # rows without a word get one that no text holds, many of them, or they would all meet in one task
+    nothing = F.concat(F.lit(" "), F.pmod(F.xxhash64(*keys), F.lit(10_007)).cast("string"))
+    part = part.withColumn("tok", F.coalesce("tok", nothing))
+    sums = [F.sum(F.col(f"_part_{name}") + F.col("_n") * value).alias(name) for name, value in weighed.items()]
+    return part.join(wide.where(~common), "tok", "left").groupBy(*keys).agg(*sums)
+
+
+def _least_use(wide: DataFrame) -> int:
+    """The least ``seen`` of the words of a written table that are broadcast together: those used most, no more
+    than the session's limit takes. Words are counted by the logarithm of their use, some hundred rows."""
+    step = F.ceil(F.log2(F.greatest("seen", F.lit(1))) * 8).alias("step")
+    steps = wide.groupBy(step).agg(F.count("*").alias("n"), F.min("seen").alias("least"), F.max("seen").alias("most"))
+    found = sorted(steps.collect(), key=lambda row: -row["step"])
+    room = broadcast_share(wide) * sum(row["n"] for row in found)
+    least = found[0]["most"] + 1 if found else 1
+    for row in found:
+        room -= row["n"]
+        if room < 0:
+            break
+        least = row["least"]
+    return least
 
 
 def token_stats(df: DataFrame, by: str, text: str = "text") -> DataFrame:
@@ -171,12 +203,13 @@ def learn_weights(
 
 
 def _both_labels(weights: DataFrame) -> DataFrame:
-    """``tok, w_milli`` of the toxic label -> ``label, tok, w_milli`` of it and its opposite."""
+    """``tok, w_milli, ...`` of the toxic label -> ``label, tok, w_milli, ...`` of it and its opposite."""
     pair = F.array(
         F.struct(F.lit("toxic").alias("label"), F.col("w_milli")),
         F.struct(F.lit("not_toxic").alias("label"), (-F.col("w_milli")).alias("w_milli")),
     )
-    return weights.select("tok", F.inline(pair)).select("label", "tok", "w_milli")
+    more = [name for name in weights.columns if name not in ("tok", "w_milli")]
+    return weights.select("tok", *more, F.inline(pair)).select("label", "tok", "w_milli", *more)
 
 
 def naive_bayes(
@@ -185,19 +218,20 @@ def naive_bayes(
     """Multinomial naive Bayes in closed form: ``(weights, bias)`` for :func:`score_by_join`.
 
     A token's weight is the logarithm of the ratio of its smoothed shares of all toxic and all clean
-    tokens, in thousandths; all tokens have one. The bias is the logarithm of the ratio of
+    tokens, in thousandths; all tokens have one, and ``seen`` tells how often the texts hold it. The bias is the logarithm of the ratio of
     the classes' texts (each counted once more than it is), and the only thing collected.
     Tokens that no training text has do not count.
     """
     toxic, clean = F.count_if(F.col(truth) == 1), F.count_if(F.col(truth) == 0)
     tokens = df.select(truth, F.explode(X.tokens(F.col(text))).alias("tok"))
-    counted = tokens.groupBy("tok").agg(toxic.alias("n_toxic"), clean.alias("n_clean"))
+    counted = materialise(tokens.groupBy("tok").agg(toxic.alias("n_toxic"), clean.alias("n_clean")))
     totals = counted.agg(F.sum("n_toxic").alias("toxic"), F.sum("n_clean").alias("clean"), F.count("*").alias("size"))
     total = totals.select(F.struct("toxic", "clean", "size")).scalar()
     shares = ((F.col("n_toxic") + 1.0) / (total["toxic"] + total["size"])) / (
         (F.col("n_clean") + 1.0) / (total["clean"] + total["size"])
     )
-    weights = counted.select("tok", F.round(F.ln(shares) * 1000).cast("bigint").alias("w_milli"))
+    seen = (F.col("n_toxic") + F.col("n_clean")).alias("seen")
+    weights = counted.select("tok", F.round(F.ln(shares) * 1000).cast("bigint").alias("w_milli"), seen)
     row = df.agg(F.round(F.ln((toxic + 1.0) / (clean + 1.0)) * 1000).cast("bigint").alias("bias")).first()
     return _both_labels(weights), {"toxic": int(row["bias"]), "not_toxic": -int(row["bias"])}
 
@@ -205,8 +239,8 @@ def naive_bayes(
 def naive_bayes_folds(
     df: DataFrame, fold: str, folds: int, text: str = "text", truth: str = "expected"
 ) -> tuple[DataFrame, list[int]]:
-    """:func:`naive_bayes` without each fold in turn: ``(tok, w_milli)`` with an array of one weight per fold,
-    and the biases.
+    """:func:`naive_bayes` without each fold in turn: ``(tok, w_milli, seen)`` with an array of one weight per fold
+    and how often all texts hold the token, and the biases.
 
     Tokens are counted once, by fold; what a fold is not fitted on is the total less its own counts. A weight
     is null where only the fold itself has the token. One row of totals is collected.
@@ -249,7 +283,9 @@ def naive_bayes_folds(
         for i, mine in enumerate(own)
     ]
     row = df.agg(*texts).first()
-    return counted.select("tok", F.array(*weights).alias("w_milli")), [int(row[f"b{i}"]) for i in range(folds)]
+    add = lambda name: F.aggregate(name, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    seen = (add("_pos") + add("_neg")).alias("seen")
+    return counted.select("tok", F.array(*weights).alias("w_milli"), seen), [int(row[f"b{i}"]) for i in range(folds)]
 
 
 def oof_scores(

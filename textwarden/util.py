@@ -37,10 +37,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_share(df: DataFrame) -> float:
+    """The share of a written table, by the size of its files, that the session's broadcast joins take: 1 or more
+    when all of it fits, 0 when they are off."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return max(limit, 0) / max(size, 1)
+
+
 def fits_broadcast(df: DataFrame) -> bool:
     """Whether a written table is, by the size of its files, small enough for the session's broadcast joins."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return size <= df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return broadcast_share(df) >= 1
 
 
 def is_folder(spark: SparkSession, path: str) -> bool:
