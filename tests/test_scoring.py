@@ -184,3 +184,26 @@ def test_least_use_keeps_to_the_limit(spark):
         assert kept == len(rows) or kept <= 100
     empty = materialise(spark.createDataFrame([], "tok string, seen bigint"))
     assert scoring._least_use(empty) == 1
+
+
+def test_own_model_frees_its_batches(spark):
+    """A series that was asked for ``.str`` is in a cycle; the batches of a task must not pile up for that."""
+
+    def counting():
+        import weakref
+
+        given = []
+
+        def predict(texts: pd.Series) -> pd.DataFrame:
+            alive = sum(ref() is not None for ref in given)
+            given.append(weakref.ref(texts))
+            return pd.DataFrame({"toxic": texts.str.len() * 0.0 + alive})
+
+        return predict
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    df = spark.range(100).select("id", F.concat(F.lit("text "), "id").alias("text")).coalesce(1)
+    found = scoring.model_scores(df, counting, ["toxic"]).agg(F.max("score_toxic")).first()[0]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == 0
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20

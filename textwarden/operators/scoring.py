@@ -14,7 +14,7 @@ from textwarden import config
 from textwarden.functions import score as S
 from textwarden.functions import text as X
 from textwarden.functions.language import keep
-from textwarden.util import broadcast_share, materialise, scratch_dir, settle
+from textwarden.util import bounded_batches, broadcast_share, materialise, scratch_dir, settle
 
 MAX_LITERAL_WORDS = 5_000
 """Vocabulary up to which weights travel inside the query; larger ones are joined."""
@@ -370,8 +370,11 @@ def model_scores(
 
     ``factory`` runs once per task and returns a function from a series of texts to a frame
     with one column per label. Only the text travels to Python and only the scores come back;
-    blank and missing texts are never sent to the model and get null scores.
+    blank and missing texts are never sent to the model and get null scores. A batch has some megabytes of
+    texts (a longer text has one to itself) and is freed before the next one, so what a worker holds does not grow
+    with the rows of its task.
     """
+    bounded_batches(df.sparkSession)
     labels = list(labels)
     schema = T.StructType(
         [T.StructField(label, T.DoubleType()) for label in labels]
@@ -393,6 +396,8 @@ def model_scores(
 
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        import gc
+
         predict = factory()
         for texts in batches:
             result = pd.DataFrame(index=texts.index, columns=[*labels, "error"], dtype=object)
@@ -406,6 +411,10 @@ def model_scores(
             result[labels] = result[labels].astype("float64")
             result["error"] = result["error"].where(result["error"].notna(), None)
             yield result
+            # a series that was asked for ``.str`` refers to itself: it stays until the cycles are looked for, which
+            # so few objects do not bring about
+            del texts, chosen, result
+            gc.collect()
 
     out = settle(df.withColumn("_model", run(F.col(text))), "_model")
     columns = {

@@ -50,6 +50,17 @@ def fits_broadcast(df: DataFrame) -> bool:
     return broadcast_share(df) >= 1
 
 
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the batches that go to Python by bytes: 10,000 whole texts may be any size."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(name).rstrip("b"))  # without a default of ours, which would hide Spark's own
+    if now > BATCH_BYTES or now <= 0:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def is_folder(spark: SparkSession, path: str) -> bool:
     """Whether a path is a folder, in whatever store it lies."""
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
