@@ -131,3 +131,33 @@ def test_query(spark, data, plain):
 
     rows = duckdb.connect().execute(f"SELECT doc_id, text FROM '{data}/documents.parquet'").fetchall()
     assert got(queries.registry()["op13_alignment"](spark, data)) == brute(rows, plain)
+
+
+def test_words_are_encoded_once():
+    """Ids of words between safe cuts are those of the whole text, and a repeated word is not encoded again."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    with open(vocabulary(A), encoding="utf-8") as file:
+        a = alignment.ByteLevel(file.read())
+    rng = random.Random(4)
+    parts = [" ", " ", " ", "\n", "\t", "\x1c", "\x85", "\xa0", "　", "​", "a", "b'", "'s", "é", "12", "!", "\r",
+             "<|endoftext|>", "x" * 70, "\U0001f600"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(3000)]
+    plain = Tokenizer.from_file(vocabulary(A))
+    plain.encode_special_tokens = True
+    assert [ids.tolist() for ids in a.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+    seen = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **settings):
+            seen.extend(texts)
+            return plain.encode_batch_fast(texts, **settings)
+
+    a.tokenizer = Counted()
+    text = " the swiftest bird of all" + " and the swiftest bird again" * 500
+    (ids,) = a.encode([text])
+    assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert sum(map(len, seen)) < 100

@@ -17,7 +17,9 @@ that a third of all links repeat is one bitmap per block.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +41,10 @@ TEXT_AT_ONCE = 200_000
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 """A single blank between two characters that are none: a byte-level pre-token always begins there."""
 
+WORDS_KNOWN = 1 << 19
+LONGEST_KNOWN = 64
+"""Tokenizer A remembers the ids of about so many words, none of more characters."""
+
 
 class ByteLevel:
     """Tokenizer A: a byte-level BPE file of the tokenizers library, special tokens as plain text."""
@@ -59,8 +65,51 @@ class ByteLevel:
         for piece, number in vocabulary.items():
             known = all(char in byte_of for char in piece)
             self.pieces[number] = bytes(byte_of[c] for c in piece) if known else piece.encode()
+        # what may act beyond a word: other steps before the model, tokens that are matched in the plain text
+        given = json.loads(definition)
+        before = given.get("pre_tokenizer") or {}
+        self.by_words = (
+            given.get("normalizer") is None
+            and (before.get("type"), before.get("use_regex", True)) == ("ByteLevel", True)
+            and not before.get("add_prefix_space")
+            and all(token["special"] for token in given.get("added_tokens") or ())
+        )
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of every text. Words between safe cuts are encoded once and remembered."""
+        if not self.by_words:
+            return self.encode_whole(texts)
+        heads, words = [], []
+        for text in texts:
+            found = SAFE_CUT.split(text)
+            head = found[0]
+            if len(head) > 1 and head[0] == " " and not head[1].isspace():
+                found[0], head = head[1:], ""  # like the others, which have lost their blank
+            else:
+                del found[0]
+            heads.append(head)
+            words.append(found)
+        if len(self.known) > WORDS_KNOWN:
+            self.known.clear()
+        fresh = list(set().union(*words).difference(self.known))
+        self.known.update(zip(fresh, self.encode_words([" " + word for word in fresh])))
+        ids = [
+            np.frombuffer(head + b"".join(map(self.known.__getitem__, found)), np.int32).astype(np.int64)
+            for head, found in zip(self.encode_words(heads), words)
+        ]
+        for word in fresh:
+            if len(word) > LONGEST_KNOWN:
+                del self.known[word]
+        return ids
+
+    def encode_words(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of every word as 32-bit numbers."""
+        for some in slices(words):
+            for encoding in self.tokenizer.encode_batch_fast(words[some], add_special_tokens=False):
+                yield array("i", encoding.ids).tobytes()
+
+    def encode_whole(self, texts: list[str]) -> list[np.ndarray]:
         parts, owner = [], []
         for i, text in enumerate(texts):
             at = 0
