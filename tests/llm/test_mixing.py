@@ -88,3 +88,26 @@ def test_empty_tables(docs_of):
 def test_no_python_in_the_plan(docs_of, odd_rows):
     plan = mixing.take_mix(docs_of(odd_rows))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_texts_are_shuffled_once(docs_of, odd_rows):
+    """Dropping repeated rows and joining their copies share one shuffle."""
+    docs = docs_of(odd_rows)
+    conf = docs.sparkSession.conf
+    names = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: conf.get(name) for name in names}
+    try:
+        for name, value in names.items():
+            conf.set(name, value)
+        plan = mixing.take_mix(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            conf.set(name, value)
+    # the join's side that has the texts: their aggregates and sorts over one exchange
+    assert "Join [_tw_id" in plan
+    side = plan[plan.index("Join [_tw_id") :]
+    side = side[side.index("first(text") :]
+    side = side[: side.index("Scan ExistingRDD")]
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning(_tw_id" in line]
+    assert len(shuffles) == 2  # texts, copies
+    assert side.count("Exchange hashpartitioning(") == 1

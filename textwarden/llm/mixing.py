@@ -183,16 +183,19 @@ def take_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     Documents without words are not in the mix. Other columns may have any name that does not start
     with ``_tw_``. Of rows that repeat id, source and text any one stands for all of them.
     """
+    # the same keys for both, and none that may be null: the texts are shuffled once
+    same = ["_tw_id", "_tw_none", "_tw_key"]
+    doc_id = F.col("doc_id").cast("bigint")
+    of_id = {"_tw_id": F.coalesce(doc_id, F.lit(0).cast("bigint")), "_tw_none": doc_id.isNull()}
     copies = (
         mix(docs, weights, most)
         .where("copies > 0")
-        .groupBy(F.col("doc_id").alias("_tw_doc_id"), F.col("key").alias("_tw_key"))
+        .withColumns({**of_id, "_tw_key": F.col("key")})
+        .groupBy(*same)
         .agg(F.sum("copies").alias("_tw_copies"))
     )
     names = docs.columns
-    keyed = docs.withColumn("_tw_row_key", F.xxhash64("doc_id", "source", "text"))
-    joined = keyed.dropDuplicates(["doc_id", "_tw_row_key"]).join(
-        copies, (F.col("_tw_row_key") == F.col("_tw_key")) & F.col("doc_id").eqNullSafe(F.col("_tw_doc_id"))
-    )
+    keyed = docs.withColumns({**of_id, "_tw_key": F.xxhash64("doc_id", "source", "text")})
+    joined = keyed.dropDuplicates(same).join(copies, same)
     times = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_tw_copies")))
     return joined.select(*names, times.alias("_tw_time")).drop("_tw_time")

@@ -265,8 +265,8 @@ def missed(
 
     Only clouds that ``held`` leaves in several groups are searched. Of two texts of the similarity each
     holds one of the other's rarest shingles among its own rarest (as many as may differ, and one), with
-    shingles in one order throughout the cloud; these are the join keys. As in :func:`links`, members
-    of a key are first compared with leaders, four for each text; then all pairs of a key that are
+    shingles in one order throughout the cloud; these are the join keys. Their positions bound how much two
+    texts can share, which ends most comparisons at frequent shingles. Members of a key are first compared with leaders, four for each text; then all pairs of a key that are
     still in different groups are, but for those within the key's most frequent group.
     """
     clouds = rooted(texts.select("fp", F.col("first").alias("doc_id")), far, "fp", "cloud")
@@ -286,9 +286,11 @@ def missed(
     )
     # the shingles of one text alone are its rarest, and no keys
     keys = F.size("common") + 1 - F.ceil(F.lit(similarity) * F.col("size") - 1e-6).cast("int")
+    first = F.slice("common", F.lit(1), F.col("keys"))["shingle"]
     entries = common.withColumn("keys", keys).where("keys > 0").select(
-        "cloud", "doc_id", "size", F.explode(F.slice("common", F.lit(1), F.col("keys"))["shingle"]).alias("shingle")
+        "cloud", "doc_id", "size", (F.col("size") - F.size("common")).alias("alone"), F.posexplode(first).alias("at", "shingle")
     )
+    entries = entries.select("cloud", "doc_id", "size", (F.col("alone") + F.col("at")).alias("pos"), "shingle")
     entries = stored(entries, "entries")
     key = ["cloud", "shingle"]
 
@@ -305,18 +307,20 @@ def missed(
         )
         return stored(now.join(open_, key), "open")
 
-    def fit(x: str, y: str):
-        return F.least(x, y) >= F.lit(similarity) * F.greatest(x, y) - 1e-6
+    def fit(x: str, before_x: str, y: str, before_y: str):
+        """Whether sets of ``x`` and ``y`` shingles can be similar if the first they share has so many before it."""
+        most = F.least(F.col(x) - F.col(before_x), F.col(y) - F.col(before_y))
+        return most >= F.lit(similarity / (1 + similarity)) * (F.col(x) + F.col(y)) - 1e-6
 
     members = crossing(held)
     chance = F.xxhash64("doc_id", "shingle")
-    leader = F.struct(F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"))
+    leader = F.struct(F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"), F.col("pos").alias("pb"))
     led = members.groupBy(*key).agg(F.array(F.min_by(leader, chance), F.max_by(leader, chance)).alias("leaders"))
     tried = (
         members.join(led, key)
-        .select(F.col("doc_id").alias("a"), "root", "size", F.inline("leaders"))
+        .select(F.col("doc_id").alias("a"), "root", "size", "pos", F.inline("leaders"))
         .where(F.col("root") != F.col("rb"))
-        .where(fit("size", "sb"))
+        .where(fit("size", "pos", "sb", "pb"))
         .groupBy("a", "b")
         .agg(F.count("*").alias("n"))
     )
@@ -326,15 +330,17 @@ def missed(
 
     members = crossing(held)
     minor = members.where("root <> major").select(
-        *key, F.col("doc_id").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"), "major"
+        *key, F.col("doc_id").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"), F.col("pos").alias("pa"), "major"
+    )
+    other = members.select(
+        *key, F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"), F.col("pos").alias("pb")
     )
-    other = members.select(*key, F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"))
     # a pair of two minor members is met from both sides
     rest = (
         minor.join(other, key)
         .where(F.col("ra") != F.col("rb"))
         .where((F.col("rb") == F.col("major")) | (F.col("a") < F.col("b")))
-        .where(fit("sa", "sb"))
+        .where(fit("sa", "pa", "sb", "pb"))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
