@@ -179,3 +179,15 @@ def test_keep_first(docs_of, odd_rows):
 def test_empty_table(docs_of):
     docs = docs_of([])
     assert simhash.near_duplicates(docs).count() == 0 and simhash.keep_first(docs).count() == 0
+
+
+def test_near_copies_are_joined_by_whole_segments(spark):
+    """A group of near-copies is one component before the wildcard keys are looked at: few links for each of them."""
+    rng = random.Random(6)
+    base = rng.getrandbits(62)
+    values = {base} | {base ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(i) if i < 63}
+    nodes = spark.createDataFrame([(v,) for v in values], "fp bigint")
+    links = simhash.links(nodes)
+    found = links.count()
+    assert len({r["root"] for r in simhash.components(links).collect()}) == 1
+    assert found <= 4 * len(values)

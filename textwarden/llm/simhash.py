@@ -7,13 +7,15 @@ a key, so an equality join finds all of them, and the join condition verifies th
 
 Most keys hold two or three fingerprints; all their pairs are told from the key's smallest, largest
 and exclusive-or, without a join. Groups of near-copies make fuller keys, and all pairs of those would
-grow with the square of the group. Two steps avoid that without losing a link between components:
+grow with the square of the group. Three steps avoid that without losing a link between components:
 
-1. Every fingerprint of a full key is compared with up to four leaders of the key, picked by a hash,
-   and gives a link to the first that is close. Verified links are contracted to components.
-2. Full keys all of whose fingerprints are in one component are done. The others are split: close fingerprints
+1. Fingerprints with a whole segment in common, three keys each, are compared with up to four leaders of the
+   key, picked by a hash, and give a link to the first that is close. Verified links are contracted to components,
+   which join most near-copies. Only wildcard keys that hold several components are looked at from here on.
+2. Every fingerprint of a full key is compared with the key's leaders in other components in the same way.
+3. Full keys all of whose fingerprints are in one component now are done. The others are split: close fingerprints
    also agree in one of a few blocks of the bits outside the segment, so key and block are a finer key.
-   The first step is repeated on these, and in those that still hold several components, members outside
+   The second step is repeated on these, and in those that still hold several components, members outside
    the most frequent one are joined with the members of other components.
 """
 
@@ -103,6 +105,15 @@ def index(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode(F.array(*keys)).alias("key"), "*")
 
 
+def whole_segments(nodes: DataFrame) -> DataFrame:
+    """``nodes(fp)`` -> ``(key, fp, root)`` under each of the whole segments, every fingerprint a component."""
+    keys = []
+    for first, length in SEGMENTS:
+        part = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << length) - 1))
+        keys.append(part.bitwiseOR(F.lit(first << 22)))
+    return nodes.select(F.explode(F.array(*keys)).alias("key"), "fp", F.col("fp").alias("root"))
+
+
 def close(a: str, b: str, max_bits: int):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_bits
 
@@ -112,13 +123,19 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     at ``max_bits`` bits or fewer."""
     if not 0 <= max_bits <= MOST_BITS:
         raise ValueError(f"the segments find distances up to {MOST_BITS}")
-    entries = index(nodes.select("fp"))
+    nodes = nodes.select("fp")
+    stars = stored(led_links(whole_segments(nodes), max_bits).distinct(), "stars")
+    entries = index(stored(rooted(nodes, stars, "fp", "root"), "rooted"))
     keys = stored(
         entries.groupBy("key")
-        .agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_xor("fp").alias("x"))
-        .where("n > 1"),
+        .agg(
+            F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_xor("fp").alias("x"),
+            F.min("root").alias("first"), F.max("root").alias("last"),
+        )
+        .where("first <> last")
+        .drop("first", "last"),
         "keys",
-    )
+    )
     # with three members, the exclusive-or of all and the outer two is the middle one
     middle = F.col("x").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
     two = [F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"))]
@@ -128,7 +145,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     few = keys.where("n < 4").select(pairs.alias("p")).where(F.size("p") > 0).select(F.inline("p"))
 
     full = stored(entries.join(keys.where("n > 3").select("key"), "key"), "full")
-    stars = stored(few.union(led_links(full, max_bits)).distinct(), "stars")
+    stars = stored(stars.union(few).union(led_links(full, max_bits)).distinct(), "stars")
     finer = stored(finer_keys(mixed_members(full, stars), max_bits), "finer")
     stars = stored(stars.union(led_links(finer, max_bits)).distinct(), "stars")
     open_ = stored(mixed_members(finer, stars), "open")
@@ -147,23 +164,25 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def led_links(full: DataFrame, max_bits: int) -> DataFrame:
-    """``full(key, fp)`` -> links ``(a, b)`` of every member to the first of its key's leaders that is close."""
+    """``full(key, fp, root)`` -> links ``(a, b)`` of every member to the first of its key's leaders that is close
+    and in another component."""
     chance = F.xxhash64("fp", "key")
+    member = F.struct("fp", "root")
     led = full.groupBy("key").agg(
-        F.array(F.min_by("fp", chance), F.max_by("fp", chance), F.min("fp"), F.max("fp")).alias("leaders")
+        F.array(F.min_by(member, chance), F.max_by(member, chance), F.min(member), F.max(member)).alias("leaders"),
+        F.min("root").alias("first"),
+        F.max("root").alias("last"),
     )
-    linked = F.filter("leaders", lambda x: (x != F.col("fp")) & (F.bit_count(x.bitwiseXOR(F.col("fp"))) <= max_bits))
-    return full.join(led, "key").select(F.col("fp").alias("a"), F.get(linked, 0).alias("b")).where("b is not null")
+    led = led.where("first <> last").select("key", "leaders")
+    other = lambda x: (x["root"] != F.col("root")) & (F.bit_count(x["fp"].bitwiseXOR(F.col("fp"))) <= max_bits)
+    linked = F.get(F.filter("leaders", other), 0)["fp"]
+    return full.join(led, "key").select(F.col("fp").alias("a"), linked.alias("b")).where("b is not null")
 
 
 def mixed_members(full: DataFrame, found: DataFrame) -> DataFrame:
-    """``full(key, fp)`` of the keys whose members the links ``found`` leave in several components, with each
+    """``full(key, fp, ...)`` of the keys whose members the links ``found`` leave in several components, with each
     member's ``root`` and the key's most frequent one, ``major``."""
-    roots = components(found)
-    members = full.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "key", "fp", F.coalesce("root", "fp").alias("root")
-    )
-    members = stored(members, "members")
+    members = stored(rooted(full.select("key", "fp"), found, "fp", "root"), "members")
     mixed = (
         members.groupBy("key", "root")
         .agg(F.count("*").alias("n"))
@@ -176,7 +195,7 @@ def mixed_members(full: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def finer_keys(members: DataFrame, max_bits: int) -> DataFrame:
-    """``members(key, fp, ...)`` -> ``(key, fp)`` under finer keys: the key and one of ``max_bits + 1`` blocks of the
+    """``members(key, fp, root, ...)`` -> ``(key, fp, root)`` under finer keys: the key and one of ``max_bits + 1`` blocks of the
     bits outside its segment. Fingerprints at ``max_bits`` or fewer agree in one of the blocks."""
     place = F.shiftrightunsigned("key", 22)
     blocks = F.when(F.lit(False), F.array(F.lit(0).cast("bigint")))
@@ -190,8 +209,8 @@ def finer_keys(members: DataFrame, max_bits: int) -> DataFrame:
             F.shiftrightunsigned(turned, i).bitwiseAND(F.lit((1 << (j - i)) - 1)) for i, j in zip(cuts, cuts[1:])
         ]
         blocks = blocks.when(place < first + length, F.array(*values))
-    return members.select("key", "fp", F.posexplode(blocks).alias("block", "bits")).select(
-        F.struct("key", "block", "bits").alias("key"), "fp"
+    return members.select("key", "fp", "root", F.posexplode(blocks).alias("block", "bits")).select(
+        F.struct("key", "block", "bits").alias("key"), "fp", "root"
     )
 
 
