@@ -191,3 +191,15 @@ def test_near_copies_are_joined_by_whole_segments(spark):
     found = links.count()
     assert len({r["root"] for r in simhash.components(links).collect()}) == 1
     assert found <= 4 * len(values)
+
+
+def test_stored_keeps_no_shuffle_files(spark):
+    from pyspark.sql import functions as F
+
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    kept = lambda: {f for f in (files().apply(i).getName() for i in range(files().size())) if f.startswith("shuffle_")}
+    before = kept()
+    found = simhash.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert found.count() == 7
+    # the count itself may leave files of its own
+    assert len({f.split("_")[1] for f in kept() - before}) <= 1

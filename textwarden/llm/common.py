@@ -28,6 +28,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 BATCH_BYTES = 8 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+"""Spark deletes a query's shuffle files as soon as the query has ended, not when the driver collects garbage."""
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -40,9 +42,15 @@ def bounded_batches(spark: SparkSession) -> None:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a result to the shared folder and read it back: a cut in the lineage that survives
-    lost executors and is computed once however often it is read."""
+    lost executors and is computed once however often it is read. Its shuffle files go when it is written."""
     path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
