@@ -193,6 +193,23 @@ def test_near_copies_are_joined_by_whole_segments(spark):
     assert found <= 4 * len(values)
 
 
+def test_components_of_linked_fingerprints(spark):
+    """A wide group of near-copies and strangers: components as by brute force, and few links."""
+    rng = random.Random(9)
+    base = rng.getrandbits(63)
+    values = {base} | {rng.getrandbits(63) for _ in range(100)}
+    for _ in range(500):
+        at = base
+        for bit in rng.sample(range(63), rng.choice([2, 3, 3, 5, 6])):
+            at ^= 1 << bit
+        values.add(at)
+    nodes = spark.createDataFrame([(v,) for v in values], "fp bigint")
+    links, roots = simhash.linked(nodes)
+    found = {r["fp"]: r["root"] for r in roots.collect()}
+    assert found == slow_components(values)
+    assert links.count() <= 20 * len(values)
+
+
 def test_stored_keeps_no_shuffle_files(spark):
     from pyspark.sql import functions as F
 

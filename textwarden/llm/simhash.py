@@ -5,18 +5,18 @@ segment in which they differ by one bit at most. Every fingerprint is therefore
 three segments with each bit in turn wiped out (a wildcard): 64 keys. Fingerprints that link share
 a key, so an equality join finds all of them, and the join condition verifies the distance.
 
-Most keys hold two or three fingerprints; all their pairs are told from the key's smallest, largest
-and exclusive-or, without a join. Groups of near-copies make fuller keys, and all pairs of those would
-grow with the square of the group. Three steps avoid that without losing a link between components:
+The rows of all keys are sorted once by key and fingerprint, in one shuffle. Most keys hold two or three fingerprints;
+all their pairs are those of a row with the two before it. Groups of near-copies make fuller keys, and all
+pairs of those would grow with the square of the group. Three steps avoid that without losing a link between components:
 
 1. Fingerprints with a whole segment in common, three keys each, are compared with up to four leaders of the
    key, picked by a hash, and give a link to the first that is close. Verified links are contracted to components,
    which join most near-copies. Only wildcard keys that hold several components are looked at from here on.
-2. Every fingerprint of a full key is compared with the key's leaders in other components in the same way.
+2. Every fingerprint of such a key is compared with the two before it, and in full keys with the key's leaders, in
+   other components. The links are contracted as links between the components so far.
 3. Full keys all of whose fingerprints are in one component now are done. The others are split: close fingerprints
-   also agree in one of a few blocks of the bits outside the segment, so key and block are a finer key.
-   The second step is repeated on these, and in those that still hold several components, members outside
-   the most frequent one are joined with the members of other components.
+   also agree in one of a few blocks of the bits outside the segment, so key and block are a finer key. On these,
+   members outside the key's most frequent component are joined with close members of other components.
 """
 
 from __future__ import annotations
@@ -121,51 +121,69 @@ def close(a: str, b: str, max_bits: int):
 def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``nodes(fp)``, all different -> links ``(a, b)`` whose components are those of all pairs
     at ``max_bits`` bits or fewer."""
+    return linked(nodes, max_bits)[0]
+
+
+def linked(nodes: DataFrame, max_bits: int = MAX_BITS) -> tuple[DataFrame, DataFrame]:
+    """``nodes(fp)``, all different -> the links of :func:`links`, and every node's component: ``(fp, root)``."""
     if not 0 <= max_bits <= MOST_BITS:
         raise ValueError(f"the segments find distances up to {MOST_BITS}")
     nodes = nodes.select("fp")
-    stars = stored(led_links(whole_segments(nodes), max_bits).distinct(), "stars")
-    entries = index(stored(rooted(nodes, stars, "fp", "root"), "rooted"))
-    keys = stored(
-        entries.groupBy("key")
-        .agg(
-            F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_xor("fp").alias("x"),
-            F.min("root").alias("first"), F.max("root").alias("last"),
-        )
-        .where("first <> last")
-        .drop("first", "last"),
-        "keys",
-    )
-    # with three members, the exclusive-or of all and the outer two is the middle one
-    middle = F.col("x").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
-    two = [F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"))]
-    three = [*two, F.struct(F.col("lo").alias("a"), middle.alias("b")), F.struct(middle.alias("a"), F.col("hi").alias("b"))]
-    near = lambda p: F.bit_count(p["a"].bitwiseXOR(p["b"])) <= max_bits
-    pairs = F.filter(F.when(F.col("n") == 2, F.array(*two)).otherwise(F.array(*three)), near)
-    few = keys.where("n < 4").select(pairs.alias("p")).where(F.size("p") > 0).select(F.inline("p"))
-
-    full = stored(entries.join(keys.where("n > 3").select("key"), "key"), "full")
-    stars = stored(stars.union(few).union(led_links(full, max_bits)).distinct(), "stars")
-    finer = stored(finer_keys(mixed_members(full, stars), max_bits), "finer")
-    stars = stored(stars.union(led_links(finer, max_bits)).distinct(), "stars")
-    open_ = stored(mixed_members(finer, stars), "open")
-    minor = open_.where("root <> major").select("key", F.col("fp").alias("a"), F.col("root").alias("ra"), "major")
-    other = open_.select("key", F.col("fp").alias("b"), F.col("root").alias("rb"))
+    stars = stored(led_links(whole_segments(nodes), max_bits).distinct(), "stars").select("a", "b")
+    roots = stored(rooted(nodes, stars, "fp", "root"), "rooted")
+
+    met = stored(neighbours(index(roots), max_bits), "met")
+    full = met.where("n > 3").select("key", "fp", "root")
+    near = met.select(F.col("fp").alias("a"), F.col("root").alias("ra"), F.inline("near")).select("a", "b", "ra", "rb")
+    first = stored(near.union(led_links(full, max_bits)).distinct(), "first")
+    roots = contracted(roots, first)
+
+    finer = finer_keys(mixed_members(full, roots), max_bits)
+    minor = finer.where("root <> major").select("key", F.col("fp").alias("a"), F.col("root").alias("ra"), "major")
+    other = finer.select("key", F.col("fp").alias("b"), F.col("root").alias("rb"))
     # a pair of two minor members is met from both sides
     rest = (
         minor.join(other, "key")
         .where(F.col("ra") != F.col("rb"))
         .where((F.col("rb") == F.col("major")) | (F.col("a") < F.col("b")))
         .where(close("a", "b", max_bits))
-        .select("a", "b")
+        .select("a", "b", "ra", "rb")
         .distinct()
     )
-    return stars.union(stored(rest, "rest"))
+    rest = stored(rest, "rest")
+    return stars.union(first.select("a", "b")).union(rest.select("a", "b")), contracted(roots, rest)
+
+
+def neighbours(entries: DataFrame, max_bits: int) -> DataFrame:
+    """``entries(key, fp, root)`` -> ``(key, fp, root, n, near)`` of the keys that hold several components: the number
+    of the key's members, and which of the two before the row are close and in another component."""
+    by_key = Window.partitionBy("key").orderBy("fp")
+    whole = by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = [
+        F.struct(F.lag("fp", i).over(by_key).alias("b"), F.lag("root", i).over(by_key).alias("rb")) for i in (1, 2)
+    ]
+    other = lambda x: (x["rb"] != F.col("root")) & (F.bit_count(x["b"].bitwiseXOR(F.col("fp"))) <= max_bits)
+    return (
+        entries.select(
+            "key", "fp", "root", F.array(*before).alias("before"), F.count("*").over(whole).alias("n"),
+            F.min("root").over(whole).alias("lo"), F.max("root").over(whole).alias("hi"),
+        )
+        .where("lo <> hi")
+        .select("key", "fp", "root", "n", F.filter("before", other).alias("near"))
+    )
+
+
+def contracted(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """``roots(fp, root)`` after the links ``found(ra, rb, ...)`` between components."""
+    if found.isEmpty():
+        return roots
+    joined = rooted(roots, found.select(F.col("ra").alias("a"), F.col("rb").alias("b")), "root", "joined")
+    return stored(joined.select("fp", F.col("joined").alias("root")), "rooted")
 
 
 def led_links(full: DataFrame, max_bits: int) -> DataFrame:
-    """``full(key, fp, root)`` -> links ``(a, b)`` of every member to the first of its key's leaders that is close
-    and in another component."""
+    """``full(key, fp, root)`` -> links ``(a, b, ra, rb)`` of every member to the first of its key's leaders that is
+    close and in another component, with both components."""
     chance = F.xxhash64("fp", "key")
     member = F.struct("fp", "root")
     led = full.groupBy("key").agg(
@@ -175,27 +193,33 @@ def led_links(full: DataFrame, max_bits: int) -> DataFrame:
     )
     led = led.where("first <> last").select("key", "leaders")
     other = lambda x: (x["root"] != F.col("root")) & (F.bit_count(x["fp"].bitwiseXOR(F.col("fp"))) <= max_bits)
-    linked = F.get(F.filter("leaders", other), 0)["fp"]
-    return full.join(led, "key").select(F.col("fp").alias("a"), linked.alias("b")).where("b is not null")
+    found = full.join(led, "key").select("fp", "root", F.get(F.filter("leaders", other), 0).alias("leader"))
+    return found.where("leader is not null").select(
+        F.col("fp").alias("a"), F.col("leader.fp").alias("b"), F.col("root").alias("ra"), F.col("leader.root").alias("rb")
+    )
 
 
-def mixed_members(full: DataFrame, found: DataFrame) -> DataFrame:
-    """``full(key, fp, ...)`` of the keys whose members the links ``found`` leave in several components, with each
-    member's ``root`` and the key's most frequent one, ``major``."""
-    members = stored(rooted(full.select("key", "fp"), found, "fp", "root"), "members")
-    mixed = (
-        members.groupBy("key", "root")
-        .agg(F.count("*").alias("n"))
-        .groupBy("key")
-        .agg(F.count("*").alias("parts"), F.max(F.struct("n", "root"))["root"].alias("major"))
-        .where("parts > 1")
-        .select("key", "major")
-    )
-    return members.join(mixed, "key")
+def mixed_members(full: DataFrame, roots: DataFrame) -> DataFrame:
+    """``full(key, fp, ...)`` of the keys whose members are in several of the components ``roots(fp, root)``, with
+    each member's ``root`` and the key's most frequent one, ``major``."""
+    of_root = F.count("*").over(Window.partitionBy("key", "root"))
+    by_key = Window.partitionBy("key")
+    return (
+        full.select("key", "fp")
+        .join(roots, "fp")
+        .repartition("key")
+        .withColumn("n", of_root)
+        .select(
+            "key", "fp", "root", F.max(F.struct("n", "root")).over(by_key)["root"].alias("major"),
+            F.min("root").over(by_key).alias("lo"), F.max("root").over(by_key).alias("hi"),
+        )
+        .where("lo <> hi")
+        .drop("lo", "hi")
+    )
 
 
 def finer_keys(members: DataFrame, max_bits: int) -> DataFrame:
-    """``members(key, fp, root, ...)`` -> ``(key, fp, root)`` under finer keys: the key and one of ``max_bits + 1`` blocks of the
+    """``members(key, fp, root, major)`` -> the same under finer keys: the key and one of ``max_bits + 1`` blocks of the
     bits outside its segment. Fingerprints at ``max_bits`` or fewer agree in one of the blocks."""
     place = F.shiftrightunsigned("key", 22)
     blocks = F.when(F.lit(False), F.array(F.lit(0).cast("bigint")))
@@ -209,8 +233,8 @@ def finer_keys(members: DataFrame, max_bits: int) -> DataFrame:
             F.shiftrightunsigned(turned, i).bitwiseAND(F.lit((1 << (j - i)) - 1)) for i, j in zip(cuts, cuts[1:])
         ]
         blocks = blocks.when(place < first + length, F.array(*values))
-    return members.select("key", "fp", "root", F.posexplode(blocks).alias("block", "bits")).select(
-        F.struct("key", "block", "bits").alias("key"), "fp", "root"
+    return members.select("key", "fp", "root", "major", F.posexplode(blocks).alias("block", "bits")).select(
+        F.struct("key", "block", "bits").alias("key"), "fp", "root", "major"
     )
 
 
@@ -224,10 +248,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """
     rows = stored(fingerprints(docs, width), "fingerprints")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(links(nodes))
-    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
+    _, roots = linked(nodes)
+    named = nodes.join(roots, "fp").select("fp", "first", "root")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(named.join(least, "root").select("fp", "component_id"), "fp").select(
         "doc_id", "fp", "component_id"
@@ -272,15 +294,16 @@ def similar(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) ->
 
 def rooted(nodes: DataFrame, found: DataFrame, node: str, root: str) -> DataFrame:
     """``nodes`` with a column ``root``: the component of the column ``node`` by the links ``found``."""
-    roots = components(found).withColumnsRenamed({"node": node, "root": root})
+    roots = components(found).select(F.col("node").alias(node), F.col("root").alias(root))
     return nodes.join(roots, node, "left").withColumn(root, F.coalesce(root, node))
 
 
 def missed(
-    texts: DataFrame, far: DataFrame, held: DataFrame, docs: DataFrame, words: int, similarity: float
-) -> DataFrame:
+    texts: DataFrame, far: DataFrame, held: DataFrame, docs: DataFrame, words: int, similarity: float,
+    roots: DataFrame | None = None,
+) -> DataFrame:
     """``held`` and further links, so that texts of one candidate component (a cloud of fingerprints) are in
-    one group if any chain of pairs of that similarity joins them.
+    one group if any chain of pairs of that similarity joins them. ``roots(fp, root)`` are the components of ``far``, if known.
 
     Only clouds that ``held`` leaves in several groups are searched. Of two texts of the similarity each
     holds one of the other's rarest shingles among its own rarest (as many as may differ, and one), with
@@ -288,7 +311,11 @@ def missed(
     texts can share, which ends most comparisons at frequent shingles. Members of a key are first compared with leaders, four for each text; then all pairs of a key that are
     still in different groups are, but for those within the key's most frequent group.
     """
-    clouds = rooted(texts.select("fp", F.col("first").alias("doc_id")), far, "fp", "cloud")
+    members = texts.select("fp", F.col("first").alias("doc_id"))
+    if roots is None:
+        clouds = rooted(members, far, "fp", "cloud")
+    else:
+        clouds = members.join(roots.withColumnRenamed("root", "cloud"), "fp")
     groups = stored(rooted(clouds.select("cloud", "doc_id").distinct(), held, "doc_id", "root"), "groups")
     split = groups.groupBy("cloud").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     apart = stored(groups.join(split.select("cloud"), "cloud"), "apart")
@@ -387,13 +414,14 @@ def verified_groups(
     nodes = stored(texts.groupBy("fp").agg(F.min("first").alias("first")), "nodes")
     named = nodes.withColumnRenamed("first", "b")
     same = texts.join(named, "fp").where("first <> b").select(F.col("first").alias("a"), "b")
-    far = stored(links(nodes, max_bits), "far")
+    found, roots = linked(nodes, max_bits)
+    far = stored(found.distinct(), "far")
     ends = far.join(nodes.select(F.col("fp").alias("a"), F.col("first").alias("i")), "a").join(
         nodes.select(F.col("fp").alias("b"), F.col("first").alias("j")), "b"
     )
     pairs = stored(same.union(ends.select("i", "j")).distinct(), "pairs")
     held = stored(similar(pairs, known, words, similarity), "similar")
-    roots = components(missed(texts, far, held, known, words, similarity))
+    roots = components(missed(texts, far, held, known, words, similarity, roots))
     least = texts.join(roots, F.col("first") == F.col("node"), "left").select(
         "fp", "text_key", F.coalesce("root", "first").alias("component_id")
     )
