@@ -161,3 +161,24 @@ def test_words_are_encoded_once():
     (ids,) = a.encode([text])
     assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
     assert sum(map(len, seen)) < 100
+
+
+def test_words_are_aligned_once(monkeypatch):
+    """Texts put together from remembered words are those aligned as a whole, whatever stands between the words."""
+    with open(vocabulary(A), encoding="utf-8") as file, open(vocabulary(B), "rb") as other:
+        aligner = alignment.Aligner(file.read(), other.read())
+    assert aligner.by_words
+    texts = ["one two  three", " one two ", "\tone　two\n three", "one ▁two", "▁ one", "á b c​ d", "<s> one</s>", " ", None, "", "x\ud800"]
+    found = []
+    for text, pair in zip(texts, aligner.tokens(texts)):
+        if pair is None:
+            found.append(None)
+            continue
+        last_a, last_b = aligner.groups(*pair)
+        links = ((pair[0][last_a] << 32) | pair[1][last_b]).tolist()
+        found.append((len(pair[0]), len(pair[1]), hashlib.sha256(aligner.written(*pair, last_a, last_b)).hexdigest(), links))
+    plain = lambda rows: [row and (*row[:3], row[3].tolist()) for row in rows]
+    assert plain(aligner.aligned(texts)) == found
+    once = plain(aligner.aligned(["one two"]))
+    monkeypatch.setattr(aligner, "learn", lambda words: pytest.fail(f"again: {words}"))
+    assert plain(aligner.aligned(["one two"] * 3)) == once * 3

@@ -21,6 +21,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,9 @@ SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 WORDS_KNOWN = 1 << 19
 LONGEST_KNOWN = 64
-"""Tokenizer A remembers the ids of about so many words, none of more characters."""
+"""About so many words are remembered, none of more characters."""
+
+WORDS_AT_ONCE = 200
 
 
 class ByteLevel:
@@ -137,12 +140,32 @@ class Pieces:
         import sentencepiece
 
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.by_words = self.splits(model)
         self.pieces = []
         for number in range(self.processor.get_piece_size()):
             piece = self.processor.id_to_piece(number)
             single = self.processor.is_byte(number)
             self.pieces.append(bytes([int(piece[3:5], 16)]) if single else piece.replace("▁", " ").encode())
 
+    @staticmethod
+    def splits(model: bytes) -> bool:
+        """Whether a text's pieces are those of its words, each behind a blank: merges that change no character,
+        and no piece that goes on behind a blank."""
+        from sentencepiece import sentencepiece_model_pb2
+
+        given = sentencepiece_model_pb2.ModelProto.FromString(model)
+        trained, normal = given.trainer_spec, given.normalizer_spec
+        return (
+            trained.model_type == trained.BPE
+            and not trained.treat_whitespace_as_suffix
+            and not normal.precompiled_charsmap
+            and normal.add_dummy_prefix
+            and normal.escape_whitespaces
+            and not normal.remove_extra_whitespaces
+            and not any("▁" in piece.piece.lstrip("▁") for piece in given.pieces)
+            and all(piece.type not in (piece.USER_DEFINED, piece.UNUSED) for piece in given.pieces)
+        )
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         found = []
         for some in slices(texts):
@@ -178,7 +201,96 @@ class Aligner:
         self.size_a, self.size_b = (np.array([len(p) for p in t.pieces], np.int64) for t in (self.a, self.b))
         width = max(len(self.size_a), len(self.size_b))
         table = digits(width)
+        self.long = (table != 0).sum(axis=1)
         self.digits_a, self.digits_b = table[: len(self.size_a)], table[: len(self.size_b)]
+        self.by_words = self.a.by_words and self.b.by_words
+        self.known: dict[str, tuple[bytes, bytes, int, int] | None] = {}
+
+    def aligned(self, texts: list[str | None]) -> list[tuple[int, int, str, np.ndarray] | None]:
+        """Numbers of tokens of A and of B, the digest of the groups and the links ``a << 32 | b`` of every text that has
+        tokens.
+
+        Both tokenizers begin a token at a safe cut, so a group ends there: the groups of a text are those of its words,
+        which are aligned once and remembered. A text with a word that is not its tokens' bytes is aligned as a whole.
+        """
+        out: list = [None] * len(texts)
+        split: dict[int, list[str]] = {}
+        whole = []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            try:
+                text.encode()
+            except UnicodeEncodeError:
+                continue
+            if self.by_words:
+                split[i] = SAFE_CUT.split(text)
+            else:
+                whole.append(i)
+        if len(self.known) > WORDS_KNOWN:
+            self.known.clear()
+        fresh = list(set().union(*split.values()).difference(self.known))
+        edges = [word for word in fresh if word[0].isspace() or word[-1].isspace()]
+        inner = list(set(fresh).difference(edges))
+        for some in slices(inner):
+            self.learn(inner[some])
+        for word in edges:
+            self.learn([word])
+        for i, words in split.items():
+            found = [self.known[word] for word in words]
+            if None in found:
+                whole.append(i)
+                continue
+            links, written, n_a, n_b = zip(*found)
+            digest = hashlib.sha256(b";".join(written)).hexdigest()
+            out[i] = sum(n_a), sum(n_b), digest, np.frombuffer(b"".join(links), np.int64)
+        for word in fresh:
+            if len(word) > LONGEST_KNOWN:
+                del self.known[word]
+        for i, pair in zip(whole, self.tokens([texts[i] for i in whole])):
+            if pair is not None:
+                last = self.groups(*pair)
+                digest = hashlib.sha256(self.written(*pair, *last)).hexdigest()
+                out[i] = len(pair[0]), len(pair[1]), digest, (pair[0][last[0]] << 32) | pair[1][last[1]]
+        return out
+
+    def learn(self, words: list[str]) -> None:
+        """Remember the links, the written groups and the numbers of tokens of words, aligned as one sequence of tokens;
+        None where the bytes of either's tokens are not those of a blank and the word. Several words are given to
+        the tokenizers as texts, with the safe cuts between them; these have no blank at either end."""
+        texts = [" ".join(words[i : i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)]
+        ids_a = [e.ids for e in self.a.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        ids_b = self.b.processor.encode(texts, num_threads=1)
+        a, b = (np.array(list(chain.from_iterable(ids)), np.int64) for ids in (ids_a, ids_b))
+        data = (" " + " ".join(words)).encode()
+        ends = np.cumsum([len(word.encode()) + 1 for word in words])
+        size_a, size_b = self.size_a[a], self.size_b[b]
+        ends_a, ends_b = np.cumsum(size_a), np.cumsum(size_b)
+        upto_a, upto_b = (np.searchsorted(of, ends) + 1 for of in (ends_a, ends_b))
+        right = (
+            size_a.all() and size_b.all()
+            and b"".join(self.bytes_a[a]) == data == b"".join(self.bytes_b[b])
+            and np.array_equal(ends_a[upto_a - 1], ends) and np.array_equal(ends_b[upto_b - 1], ends)
+        )
+        if not right:
+            if len(words) == 1:
+                self.known[words[0]] = None
+            else:
+                self.learn(words[: len(words) // 2])
+                self.learn(words[len(words) // 2 :])
+            return
+        last_a, last_b = self.groups(a, b)
+        groups = np.searchsorted(last_a, upto_a - 1) + 1
+        n_a, n_b = np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0)
+        links = ((a[last_a] << 32) | b[last_b]).tobytes()
+        written = self.written(a, b, last_a, last_b)
+        # every token is written with one separator
+        long_a, long_b = np.cumsum(self.long[a] + 1), np.cumsum(self.long[b] + 1)
+        upto = (long_a[upto_a - 1] + long_b[upto_b - 1]).tolist()
+        at = begin = 0
+        for word, group, to, tokens_a, tokens_b in zip(words, (8 * groups).tolist(), upto, n_a.tolist(), n_b.tolist()):
+            self.known[word] = links[at:group], written[begin : to - 1], tokens_a, tokens_b
+            at, begin = group, to
 
     def tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of both for every text; none where the text is null or empty, where it can't be written as
@@ -323,13 +435,12 @@ def encoded(docs: DataFrame, a: str, b: str, block_docs: int = BLOCK_DOCS, block
                     columns = dict(zip(["block", *OF_DOCUMENT], zip(*rows)))
                     return batch_of(len(rows), **columns)
 
-                for doc_id, pair in zip(ids[some.start : some.stop], aligner.tokens(texts[some])):
+                for doc_id, pair in zip(ids[some.start : some.stop], aligner.aligned(texts[some])):
                     row = (0, 0, 0, 0, "")
                     if pair is not None:
-                        last_a, last_b = aligner.groups(*pair)
-                        digest = hashlib.sha256(aligner.written(*pair, last_a, last_b)).hexdigest()
-                        row = (len(pair[0]), len(pair[1]), len(last_a), len(last_a), digest)
-                        keys, times = np.unique((pair[0][last_a] << 32) | pair[1][last_b], return_counts=True)
+                        n_a, n_b, digest, linked = pair
+                        row = (n_a, n_b, len(linked), len(linked), digest)
+                        keys, times = np.unique(linked, return_counts=True)
                         found.append((keys, np.full(len(keys), size, np.uint16), times.astype(np.int32)))
                         n_links += len(keys)
                     rows.append((block, size, doc_id.as_py(), *row))
