@@ -220,3 +220,25 @@ def test_stored_keeps_no_shuffle_files(spark):
     assert found.count() == 7
     # the count itself may leave files of its own
     assert len({f.split("_")[1] for f in kept() - before}) <= 1
+
+
+def test_finer_keys_are_few_and_complete(spark, monkeypatch):
+    """Fingerprints at the distance share a key, whatever bits differ; a node has so many keys, in however many it was met."""
+    rng = random.Random(12)
+    pairs = []
+    for bits in (0, 4, 5):
+        for _ in range(60):
+            a = rng.getrandbits(64)
+            b = a
+            for at in rng.sample(range(64), bits):
+                b ^= 1 << at
+            pairs.append((bits, a - 2**63, (b - 2**63)))
+    nodes = spark.createDataFrame([(v,) for _, a, b in pairs for v in (a, b)], "fp bigint").distinct()
+    for few, keys in ((1 << 17, {4: 15, 5: 21}), (0, {4: 35, 5: 56})):
+        monkeypatch.setattr(simhash, "FEW_NODES", few)
+        for most, number in keys.items():
+            found = {}
+            for row in simhash.finer_keys(nodes, most).collect():
+                found.setdefault(row["fp"], set()).add(tuple(row["key"]))
+            assert {len(k) for k in found.values()} == {number}
+            assert all(found[a] & found[b] for bits, a, b in pairs if bits <= most)

@@ -14,14 +14,15 @@ pairs of those would grow with the square of the group. Three steps avoid that w
    which join most near-copies. Only wildcard keys that hold several components are looked at from here on.
 2. Every fingerprint of such a key is compared with the two before it, and in full keys with the key's leaders, in
    other components. The links are contracted as links between the components so far.
-3. Full keys all of whose fingerprints are in one component now are done. The others are split: close fingerprints
-   also agree in one of a few blocks of the bits outside the segment, so key and block are a finer key. On these,
-   members outside the key's most frequent component are joined with close members of other components.
+3. Full keys all of whose fingerprints are in one component now are done. The fingerprints of the others, once each,
+   go under finer keys: close fingerprints agree in two of ``max_bits + 2`` segments, and in three of ``max_bits + 3``.
+   Members outside a key's most frequent component are joined with close members of other components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 fingerprints at a distance of up to five bits."""
 
 MOST_BITS = 2 * len(SEGMENTS) - 1
+FEW_NODES = 1 << 17
+"""Up to so many fingerprints share two segments, some 20 bits, only with a few strangers."""
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BITS_AT_ONCE = 1 << 16
@@ -138,7 +141,9 @@ def linked(nodes: DataFrame, max_bits: int = MAX_BITS) -> tuple[DataFrame, DataF
     first = stored(near.union(led_links(full, max_bits)).distinct(), "first")
     roots = contracted(roots, first)
 
-    finer = finer_keys(mixed_members(full, roots), max_bits)
+    now = full.select("key", "fp").join(roots, "fp")
+    apart = stored(mixed_members(now).select("fp", "root").distinct(), "apart")
+    finer = stored(mixed_members(finer_keys(apart, max_bits)), "finer")
     minor = finer.where("root <> major").select("key", F.col("fp").alias("a"), F.col("root").alias("ra"), "major")
     other = finer.select("key", F.col("fp").alias("b"), F.col("root").alias("rb"))
     # a pair of two minor members is met from both sides
@@ -199,15 +204,13 @@ def led_links(full: DataFrame, max_bits: int) -> DataFrame:
     )
 
 
-def mixed_members(full: DataFrame, roots: DataFrame) -> DataFrame:
-    """``full(key, fp, ...)`` of the keys whose members are in several of the components ``roots(fp, root)``, with
-    each member's ``root`` and the key's most frequent one, ``major``."""
+def mixed_members(members: DataFrame) -> DataFrame:
+    """``members(key, fp, root)`` of the keys whose members are in several components, with the key's most frequent
+    one, ``major``."""
     of_root = F.count("*").over(Window.partitionBy("key", "root"))
     by_key = Window.partitionBy("key")
     return (
-        full.select("key", "fp")
-        .join(roots, "fp")
-        .repartition("key")
+        members.repartition("key")
         .withColumn("n", of_root)
         .select(
             "key", "fp", "root", F.max(F.struct("n", "root")).over(by_key)["root"].alias("major"),
@@ -218,24 +221,19 @@ def mixed_members(full: DataFrame, roots: DataFrame) -> DataFrame:
     )
 
 
-def finer_keys(members: DataFrame, max_bits: int) -> DataFrame:
-    """``members(key, fp, root, major)`` -> the same under finer keys: the key and one of ``max_bits + 1`` blocks of the
-    bits outside its segment. Fingerprints at ``max_bits`` or fewer agree in one of the blocks."""
-    place = F.shiftrightunsigned("key", 22)
-    blocks = F.when(F.lit(False), F.array(F.lit(0).cast("bigint")))
-    for first, length in SEGMENTS:
-        # turned so that the other bits are the lowest ones
-        turned = F.shiftrightunsigned("fp", (first + length) % 64)
-        if first + length < 64:
-            turned = turned.bitwiseOR(F.shiftleft("fp", 64 - first - length))
-        cuts = [(64 - length) * i // (max_bits + 1) for i in range(max_bits + 2)]
-        values = [
-            F.shiftrightunsigned(turned, i).bitwiseAND(F.lit((1 << (j - i)) - 1)) for i, j in zip(cuts, cuts[1:])
-        ]
-        blocks = blocks.when(place < first + length, F.array(*values))
-    return members.select("key", "fp", "root", "major", F.posexplode(blocks).alias("block", "bits")).select(
-        F.struct("key", "block", "bits").alias("key"), "fp", "root", "major"
-    )
+def finer_keys(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """``nodes(fp, ...)`` -> ``(key, fp, ...)`` for every choice of some of the segments of equal length that a fingerprint is cut
+    into, as many as ``max_bits`` bits cannot touch at least: two fingerprints at ``max_bits`` or fewer agree in all
+    segments of one choice. Two segments for few nodes, three, which is more selective, for many."""
+    agree = 2 if nodes.count() <= FEW_NODES else 3
+    cuts = [64 * i // (max_bits + agree) for i in range(max_bits + agree + 1)]
+    segments = [(1 << j) - (1 << i) for i, j in zip(cuts, cuts[1:])]
+    keys = []
+    for n, chosen in enumerate(combinations(segments, agree)):
+        mask = sum(chosen)
+        bits = F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+        keys.append(F.struct(F.lit(n).alias("choice"), bits.alias("bits")))
+    return nodes.select(F.explode(F.array(*keys)).alias("key"), "*")
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
