@@ -116,3 +116,20 @@ def test_word_hashes(monkeypatch):
         found = ngram_join.word_hashes(data).tolist()
         assert len(found) == len(words)
         assert len(set(zip(words, found))) == len(set(words)) == len(set(found))
+
+
+def test_frequent_tokens_stand_last(spark, docs_of):
+    """A shingle that one text in twelve holds is told from those of one text, though it adds a fifth to its slot only."""
+    rng = random.Random(4)
+    shared = "a shared phrase"
+    rows = [
+        (i, " ".join([f"w{rng.randrange(10**9)}" for _ in range(400)] + [shared] * (i % 12 == 0))) for i in range(1000)
+    ]
+    before = ngram_join.SLOT_BITS, ngram_join.SLOTS
+    ngram_join.SLOT_BITS, ngram_join.SLOTS = 10, 1 << 10  # some 400 tokens a slot
+    try:
+        classes = ngram_join.slot_classes(docs_of(rows), 3)
+        slots = [int(t) >> 54 for t in ngram_join.shingle_set(shared, 3)]
+    finally:
+        ngram_join.SLOT_BITS, ngram_join.SLOTS = before
+    assert all(classes[s] > 0 for s in slots) and (classes > 0).mean() < 0.1
