@@ -242,3 +242,20 @@ def test_finer_keys_are_few_and_complete(spark, monkeypatch):
                 found.setdefault(row["fp"], set()).add(tuple(row["key"]))
             assert {len(k) for k in found.values()} == {number}
             assert all(found[a] & found[b] for bits, a, b in pairs if bits <= most)
+
+
+def test_reading_a_stored_table_leaves_no_direct_buffers(spark):
+    from pyspark.sql import functions as F
+
+    factory = spark._jvm.java.lang.management.ManagementFactory
+    kind = spark._jvm.java.lang.Class.forName("java.lang.management.BufferPoolMXBean")
+
+    def direct():
+        return next(p.getMemoryUsed() for p in factory.getPlatformMXBeans(kind) if p.getName() == "direct")
+
+    wide = spark.range(0, 20_000, 1, 1).select(F.transform(F.sequence(F.lit(1), F.lit(100)), lambda x: F.xxhash64("id", x)).alias("x"))
+    found = simhash.stored(wide, "wide")  # 16 MB
+    before = direct()
+    assert found.agg(F.sum(F.aggregate("x", F.lit(0).cast("bigint"), lambda a, b: a.bitwiseXOR(b)))).count() == 1
+    assert found.agg(F.max(F.xxhash64("x"))).first()[0] is not None
+    assert direct() - before < 4 << 20

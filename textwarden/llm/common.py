@@ -31,13 +31,16 @@ BATCH_BYTES = 8 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 """Spark deletes a query's shuffle files as soon as the query has ended, not when the driver collects garbage."""
 
+VECTORED = "parquet.hadoop.vectored.io.enabled"
+"""Vectored reads of local files leave every reading thread a direct buffer as large as its largest read."""
 
-def bounded_batches(spark: SparkSession) -> None:
+
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     """Bound the batches that go to Python by bytes: 10,000 whole texts may be any size."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(str(spark.conf.get(name, str(BATCH_BYTES))).rstrip("b") or BATCH_BYTES)
-    if now > BATCH_BYTES or now <= 0:
-        spark.conf.set(name, str(BATCH_BYTES))
+    now = int(str(spark.conf.get(name, str(most))).rstrip("b") or most)
+    if now > most or now <= 0:
+        spark.conf.set(name, str(most))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -51,7 +54,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).option(VECTORED, "false").parquet(path)
 
 
 def discard(df: DataFrame) -> None:

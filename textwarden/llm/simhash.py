@@ -45,6 +45,8 @@ FEW_NODES = 1 << 17
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BITS_AT_ONCE = 1 << 16
+TEXT_BYTES = 2 << 20
+"""A batch of texts comes back as longer lists of hashes, which lie in both processes several times."""
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -88,7 +90,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
             columns = [batch.column("doc_id"), fp, batch.column("text_key")]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "text_key"])
 
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, TEXT_BYTES)
     return docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(
         run, "doc_id bigint, fp bigint, text_key bigint"
     )
