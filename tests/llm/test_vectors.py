@@ -61,6 +61,55 @@ def test_topk_large_numbers_stay_exact():
     assert topk.products(x, x).tolist() == [[(2**30 + 1) ** 2 + 9]]
 
 
+def test_topk_pairs_of_any_size_stay_exact():
+    rng = np.random.default_rng(5)
+    for most, kind in ((100, np.int16), (2**17, np.int32), (2**29, np.int32), (2**31, np.int64)):
+        x, y = rng.integers(-most, most, (2, 50, 3))
+        x[0] = most
+        x[1] = -most
+        y //= 4  # the sums fit in 64 bits
+        want = [[sum(int(a) * int(b) for a, b in zip(u, v)) for v in y] for u in x]
+        assert topk.narrow(x).dtype == kind and topk.narrow(x).tolist() == x.tolist()
+        assert topk.products(topk.narrow(x), topk.narrow(y)).tolist() == want
+        i, j = np.divmod(np.arange(2500), 50)
+        assert topk.dots(topk.narrow(x), topk.narrow(y), i, j).reshape(50, 50).tolist() == want
+
+
+def test_topk_blocks_are_not_broadcast(spark):
+    """A small table of packed queries is a large one when each block is repeated for every block of candidates."""
+    rows = spark.createDataFrame([(i, [i, -i, 2]) for i in range(500)], "rep bigint, v array<bigint>")
+    asked, held = (topk.stored(topk.pack(rows, {3: n}, 2), "packed") for n in (2, 20))
+    for only, n in (((), 120), ((0,), 40), ((2,), 40)):
+        pairs = topk.paired(asked, held, {3: 2}, {3: 20}, *only)
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        assert pairs.count() == n
+
+
+def test_topk_names_entries_by_block(spark):
+    """The second phase gives a row per pair of blocks, however many entries are at the cutoff."""
+    rows = spark.createDataFrame(
+        [(i, [i, 1], [5, 0, -(2**63)]) for i in range(64)], "rep bigint, v array<bigint>, cut array<bigint>"
+    )
+    asked, held = (topk.stored(topk.pack(t, {2: n}, 2), "packed") for t, n in ((rows, 2), (rows.drop("cut"), 4)))
+    named = [topk.second_phase(topk.paired(asked, held, {2: 2}, {2: 4}, i)) for i in range(2)]
+    assert [t.count() for t in named] == [8, 8]
+    found = topk.third_phase(topk.paired(asked, held, {2: 2}, {2: 4}, 2), named, 64).collect()
+    assert {(r["q"], r["c"], r["score"]) for r in found} == {(i, j, i * j + 1) for i in range(64) for j in range(64)}
+    assert len(found) == 64 * 64
+
+
+def test_topk_outliers_and_long_vectors(spark):
+    """Lists whose least scores lie far off name nearly everything; seeds that come from one block or from many."""
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=6) + 2).round(2).tolist()) for i in range(200)]
+    rows += [(300, [-500.0] * 3 + [0.0] * 3), (301, [3000.0] * 6), (302, [-(2.0**21)] * 6)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(4)
+    want = slow(rows, 5, 20, lambda x: np.floor(256 * x).astype(np.int64), True)
+    for sizes in ({"query_block": 3, "block": 20, "seeds": 2}, {"lists": 3, "seeds": 1}):
+        assert lists(topk.search(df, 5, 20, **sizes).collect()) == want
+
+
 def test_ann_visits_everything_when_asked_to(table):
     """With the whole probability as target, the search is exact."""
     rows, df = table

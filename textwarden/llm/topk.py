@@ -13,7 +13,10 @@ tasks that hold nothing but that slice.
 3. The remaining candidates are scored exactly.
 
 Everything is integer arithmetic. Queries and candidates are packed into blocks, and a task holds
-one slice of one block of queries and one of candidates.
+one slice of one block of queries and one of candidates. Entries of the second phase travel as
+positions within two blocks, and meet the whole vectors as blocks: a vector is sent once for each
+block it meets, not once for each entry. The blocks are met by sorted joins: once each is repeated
+for all the others, a side is far larger than its plan tells, and must not be broadcast.
 """
 
 from __future__ import annotations
@@ -35,7 +38,9 @@ SEEDS = 24
 """Entries that each list gives in the first phase, for each query."""
 
 QUERY_BLOCK, BLOCK = 1024, 4096
-SAFE = 1 << 52
+SAFE, SAFE_SINGLE = 1 << 52, 1 << 24
+ROWS = 1 << 16
+"""Pairs whose components a task sets beside each other at once."""
 
 
 def quantised(vectors: DataFrame, scale: int, id_column: str, vector_column: str) -> DataFrame:
@@ -45,23 +50,48 @@ def quantised(vectors: DataFrame, scale: int, id_column: str, vector_column: str
     return rows.select("vec_id", whole.alias("v")).distinct()
 
 
-def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Exact ``x @ y.T``: in doubles where no sum can reach 2^52, else in 64-bit integers."""
+def exact_kind(x: np.ndarray, y: np.ndarray) -> type:
+    """The numbers in which no sum of ``x``'s and ``y``'s products is rounded: single ones where none can
+    reach 2^24, doubles below 2^52, else 64-bit integers."""
     if not x.size or not y.size:
-        return np.zeros((len(x), len(y)), np.int64)
-    bound = float(np.abs(x).max()) * float(np.abs(y).max()) * x.shape[1]
-    if bound < SAFE:
-        return (x.astype(np.float64) @ y.T.astype(np.float64)).astype(np.int64)
-    return x @ y.T
+        return np.int64
+    most = [max(float(z.max()), -float(z.min())) for z in (x, y)]
+    bound = most[0] * most[1] * x.shape[1]
+    return np.float32 if bound < SAFE_SINGLE else np.float64 if bound < SAFE else np.int64
+
+
+def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Exact ``x @ y.T`` as integers, of 32 bits where they suffice."""
+    kind = exact_kind(x, y)
+    return (x.astype(kind) @ y.T.astype(kind)).astype(np.int32 if kind is np.float32 else np.int64, copy=False)
+
+
+def dots(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Exact products of the rows ``x[i]`` and ``y[j]``, pair by pair."""
+    kind = exact_kind(x, y)
+    x, y, out = x.astype(kind), y.astype(kind), np.zeros(len(i), np.int64)
+    for at in range(0, len(i), ROWS):
+        part = slice(at, at + ROWS)
+        out[part] = np.einsum("ij,ij->i", x[i[part]], y[j[part]])
+    return out
 
 
-PACKED = "dims int, list int, block int, ids binary, data binary, low binary"
+def narrow(x: np.ndarray) -> np.ndarray:
+    """``x`` as the shortest integers that hold it."""
+    for kind in (np.int16, np.int32):
+        if not x.size or np.iinfo(kind).min <= x.min() and x.max() <= np.iinfo(kind).max:
+            return x.astype(kind)
+    return x.astype(np.int64)
+
+
+PACKED = "dims int, list int, block int, width int, ids binary, data binary, low binary"
 
 
 def pack(rows: DataFrame, blocks: dict[int, int], lists: int) -> DataFrame:
-    """``rows(rep, v[, cut])`` -> one row per block and slice, ids and numbers as bytes.
+    """``rows(rep, v[, cut])`` -> one row per block and slice, ids and numbers as bytes, and one with
+    the whole vectors, under the number that follows the lists'.
 
-    ``cut`` holds a query's cutoff for every list."""
+    ``cut`` holds a query's cutoff for every list, then its ``tau``; the whole vectors get all of it."""
     names = [name.split()[0] for name in PACKED.split(", ")]
     number = F.lit(1)
     for dims, n in blocks.items():
@@ -77,19 +107,21 @@ def pack(rows: DataFrame, blocks: dict[int, int], lists: int) -> DataFrame:
         low = matrix(table.column("cut")) if table.column("cut").null_count == 0 else None
         ids = table.column("rep").to_numpy().astype(np.int64).tobytes()
         out = []
-        for i, part in enumerate(np.array_split(np.arange(dims), lists)):
-            data = np.ascontiguousarray(x[:, part]).astype(np.int64).tobytes()
-            cuts = None if low is None else np.ascontiguousarray(low[:, i]).astype(np.int64).tobytes()
-            out.append((dims, i, block, ids, data, cuts))
-        types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        for i, part in enumerate([*np.array_split(np.arange(dims), lists), np.arange(dims)]):
+            data = narrow(x[:, part]).tobytes()
+            cuts = None if low is None else (low[:, i] if i < lists else low).astype(np.int64).tobytes()
+            out.append((dims, i, block, len(part), ids, data, cuts))
+        types = (*[pa.int32()] * 4, *[pa.binary()] * 3)
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     return dealt.groupBy("dims", "block").applyInArrow(run, PACKED)
 
 
-def paired(asked: DataFrame, held: DataFrame, asked_blocks: dict[int, int], held_blocks: dict[int, int]) -> DataFrame:
-    """Every block of queries with every block of candidates, slice by slice, each pair a row of
-    its own key."""
+def paired(
+    asked: DataFrame, held: DataFrame, asked_blocks: dict[int, int], held_blocks: dict[int, int], only: int | None = None
+) -> DataFrame:
+    """Every block of queries with every block of candidates, slice by slice (or the slice ``only``),
+    each pair a row of its own key."""
 
     def others(blocks: dict[int, int]):
         number = F.lit(1)
@@ -97,63 +129,143 @@ def paired(asked: DataFrame, held: DataFrame, asked_blocks: dict[int, int], held
             number = F.when(F.col("dims") == dims, F.lit(n)).otherwise(number)
         return F.explode(F.sequence(F.lit(0), number - 1))
 
-    left = asked.select("dims", "list", F.col("block").alias("qb"), others(held_blocks).alias("cb"),
+    if only is not None:
+        asked, held = asked.where(F.col("list") == only), held.where(F.col("list") == only)
+    left = asked.select("dims", "list", F.col("block").alias("qb"), others(held_blocks).alias("cb"), "width",
                         F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "low")
     right = held.select("dims", "list", F.col("block").alias("cb"), others(asked_blocks).alias("qb"),
                         F.col("ids").alias("c_ids"), F.col("data").alias("c_data"))
-    return left.join(right, ["dims", "list", "qb", "cb"])
+    if only is None:
+        return left.hint("merge").join(right, ["dims", "list", "qb", "cb"])
+    return left.hint("merge").join(right.drop("list"), ["dims", "qb", "cb"])
 
 
 ENTRIES = "q bigint, c bigint, list int, partial bigint"
+NAMED = "dims int, qb int, cb int, at binary, partial binary"
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
 
 
-def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _numbers(data: bytes, rows: int, width: int) -> np.ndarray:
+    if not rows * width:
+        return np.zeros((rows, width), np.int64)
+    return np.frombuffer(data, f"i{len(data) // (rows * width)}").reshape(rows, width)
+
+
+def _blocks(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of the queries and candidates, and their numbers."""
     q, c = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["c_ids"], np.int64)
-    width = len(row["q_data"]) // 8 // len(q)
-    x = np.frombuffer(row["q_data"], np.int64).reshape(len(q), width)
-    y = np.frombuffer(row["c_data"], np.int64).reshape(len(c), width)
-    return q, c, products(x, y)
+    return q, c, _numbers(row["q_data"], len(q), row["width"]), _numbers(row["c_data"], len(c), row["width"])
 
 
 def _entries(q: np.ndarray, c, of: int, partial: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(q), c, pa.array(np.full(len(q), of, np.int32)), pa.array(partial)], ["q", "c", "list", "partial"]
+        [pa.array(q), c, pa.array(np.full(len(q), of, np.int32)), pa.array(partial, pa.int64())],
+        ["q", "c", "list", "partial"],
     )
 
 
+def _best_of(partial: np.ndarray, c: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``n`` highest entries of each row, and their candidates."""
+    n = min(n, partial.shape[1])
+    at = np.argpartition(partial, partial.shape[1] - n, axis=1)[:, partial.shape[1] - n :]
+    return np.take_along_axis(partial, at, 1).astype(np.int64), c[at] if c.ndim == 1 else np.take_along_axis(c, at, 1)
+
+
 def first_phase(pairs: DataFrame, seeds: int) -> DataFrame:
-    """Best entries of every list within a block, and its least partial score (``c`` null)."""
+    """Best entries of every list within a task, and its least partial score (``c`` null).
+
+    Blocks of candidates that follow each other for one block of queries are merged; the joins sort
+    them so."""
+
+    def told(of: int, q: np.ndarray, least: np.ndarray, partial: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield _entries(q, pa.nulls(len(q), pa.int64()), of, least)
+        yield _entries(np.repeat(q, c.shape[1]), pa.array(c.ravel()), of, partial.ravel())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                q, c, scores = _scores(row)
-                yield _entries(q, pa.nulls(len(q), pa.int64()), row["list"], scores.min(axis=1))
-                n = min(seeds, len(c))
-                best = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-                partial = np.take_along_axis(scores, best, 1).ravel()
-                yield _entries(np.repeat(q, n), pa.array(c[best].ravel()), row["list"], partial)
+        key = held = None
+        for row in _rows(batches):
+            q, c, x, y = _blocks(row)
+            scores = products(x, y)
+            least, (partial, c) = scores.min(axis=1).astype(np.int64), _best_of(scores, c, seeds)
+            now = (row["dims"], row["list"], row["qb"], row["q_ids"])
+            if key == now:
+                least = np.minimum(held[2], least)
+                partial, c = _best_of(np.hstack([held[3], partial]), np.hstack([held[4], c]), seeds)
+            elif held is not None:
+                yield from told(*held)
+            key, held = now, (row["list"], q, least, partial, c)
+        if held is not None:
+            yield from told(*held)
 
     return pairs.drop("low").mapInArrow(run, ENTRIES)
 
 
 def second_phase(pairs: DataFrame) -> DataFrame:
-    """All entries at or above the query's cutoff for the list."""
+    """All entries at or above the query's cutoff for the list: a row per pair of blocks, with their
+    places in the matrix of its queries and candidates, row by row, and their partial scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                q, c, scores = _scores(row)
-                i, j = np.nonzero(scores >= np.frombuffer(row["low"], np.int64)[:, None])
-                yield _entries(q[i], pa.array(c[j]), row["list"], scores[i, j])
+        for row in _rows(batches):
+            _, _, x, y = _blocks(row)
+            scores = products(x, y)
+            whole = np.iinfo(scores.dtype)
+            low = np.clip(np.frombuffer(row["low"], np.int64), whole.min, whole.max).astype(scores.dtype)
+            at = np.flatnonzero(scores >= low[:, None])
+            partial = scores.ravel()[at]
+            out = [[row["dims"]], [row["qb"]], [row["cb"]], [at.astype(np.uint32).tobytes()], [partial.tobytes()]]
+            types = (*[pa.int32()] * 3, *[pa.binary()] * 2)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], [n.split()[0] for n in NAMED.split(", ")])
+
+    return pairs.mapInArrow(run, NAMED)
+
+
+def third_phase(pairs: DataFrame, named: list[DataFrame], n: int) -> DataFrame:
+    """Whole ``pairs`` of blocks and every list's entries -> ``(q, c, score)``: the pairs that may
+    reach ``tau``, scored exactly, and of those that do each query's ``n`` best in a block."""
+    for i, entries in enumerate(named):
+        entries = entries.withColumnsRenamed({"at": f"at{i}", "partial": f"partial{i}"})
+        pairs = pairs.join(entries.hint("merge"), ["dims", "qb", "cb"])
+    lists = len(named)
 
-    return pairs.mapInArrow(run, ENTRIES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            q, c, x, y = _blocks(row)
+            low = np.frombuffer(row["low"], np.int64).reshape(len(q), lists + 1)
+            cut, tau = low[:, :lists], low[:, lists]
+            given = []
+            for k in range(lists):
+                at = np.frombuffer(row[f"at{k}"], np.uint32)
+                given.append((at, np.frombuffer(row[f"partial{k}"], f"i{len(row[f'partial{k}']) // max(1, len(at)) or 8}")))
+            at = np.unique(np.concatenate([places for places, _ in given]))
+            i, j = np.divmod(at.astype(np.int64), len(c))
+            # the most that the lists can add which did not name the candidate
+            bound = (cut - 1).sum(axis=1)[i]
+            for k, (places, partial) in enumerate(given):
+                where = np.searchsorted(at, places)
+                bound[where] += partial - (cut[i[where], k] - 1)
+            possible = bound >= tau[i]
+            i, j = i[possible], j[possible]
+            score = dots(x, y, i, j)
+            reached = score >= tau[i]
+            i, j, score = i[reached], j[reached], score[reached]
+            order = np.lexsort((c[j], -score, i))
+            i, j, score = i[order], j[order], score[order]
+            top = np.arange(len(i)) - np.searchsorted(i, i) < n
+            yield pa.RecordBatch.from_arrays([pa.array(q[i[top]]), pa.array(c[j[top]]), pa.array(score[top])], ["q", "c", "score"])
+
+    return pairs.mapInArrow(run, "q bigint, c bigint, score bigint")
 
 
 def exact(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """``pairs(q, c)`` -> ``(q, c, score)``, from the whole vectors."""
-    joined = pairs.join(reps.select(F.col("rep").alias("q"), F.col("v").alias("x")), "q").join(
-        reps.select(F.col("rep").alias("c"), F.col("v").alias("y")), "c"
+    """``pairs(q, c)`` -> ``(q, c, score)``, from the whole vectors. Files tell little of the vectors'
+    size in memory, so that they are joined by sorting as well."""
+    joined = pairs.join(reps.select(F.col("rep").alias("q"), F.col("v").alias("x")).hint("merge"), "q").join(
+        reps.select(F.col("rep").alias("c"), F.col("v").alias("y")).hint("merge"), "c"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +318,7 @@ def search(
     held_blocks, asked_blocks = _block_counts(reps, block), _block_counts(asked, query_block)
     held = stored(pack(reps, held_blocks, lists), "candidates")
 
-    pairs = paired(pack(asked, asked_blocks, lists), held, asked_blocks, held_blocks)
+    pairs = paired(pack(asked, asked_blocks, lists), held, asked_blocks, held_blocks).where(F.col("list") < lists)
     first = stored(first_phase(pairs, seeds), "first")
     least = first.where("c is null").groupBy("q", "list").agg(F.min("partial").alias("least"))
     rank = F.row_number().over(Window.partitionBy("q", "list").orderBy(F.col("partial").desc(), "c"))
@@ -217,25 +329,24 @@ def search(
         .agg(F.min("score").alias("tau"), F.count("*").alias("n"))
         .where(F.col("n") == k + 1)
     )
-    # cutoff of a list: least + ceil((tau - sum of leasts) / lists); without tau, all entries
+    # cutoff of a list: least + ceil((tau - sum of leasts) / lists); without tau, all entries and any score
     leasts = least.groupBy("q").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("list", "least"))), lambda x: x["least"]).alias("leasts")
     )
     total = F.aggregate("leasts", F.lit(0).cast("bigint"), lambda a, x: a + x)
     gap = F.coalesce(F.ceil((F.col("tau") - total) / F.lit(lists)), F.lit(0)).cast("bigint")
+    none = F.lit(-(1 << 63)).cast("bigint")
     cuts = stored(
         leasts.join(tau, "q", "left").select(
-            "q", "tau", F.transform("leasts", lambda x: x + F.greatest(gap, F.lit(0))).alias("cut")
+            F.col("q").alias("rep"),
+            F.concat(
+                F.transform("leasts", lambda x: x + F.greatest(gap, F.lit(0))), F.array(F.coalesce("tau", none))
+            ).alias("cut"),
         ),
         "cutoffs",
     )
-    cut_asked = asked.join(cuts.select(F.col("q").alias("rep"), "cut"), "rep")
-    pairs = paired(pack(cut_asked, asked_blocks, lists), held, asked_blocks, held_blocks)
-    named = second_phase(pairs).groupBy("q", "c").agg(
-        F.sum("partial").alias("known"), F.bit_or(F.expr("shiftleft(1, list)")).alias("named")
-    )
-    # the most that the lists can add which did not name the candidate
-    unseen = [F.when(F.col("named").bitwiseAND(F.lit(1 << i)) == 0, F.col("cut")[i] - 1).otherwise(0) for i in range(lists)]
-    bound = F.col("known") + sum(unseen, F.lit(0))
-    possible = named.join(cuts, "q").where(F.col("tau").isNull() | (bound >= F.col("tau")))
-    return top_rows(best(exact(possible.select("q", "c"), reps), k + 1), reps, queries, k)
+    # stored, since the lists' entries tell a query by its place in the block
+    cut_asked = stored(pack(asked.join(cuts, "rep"), asked_blocks, lists), "queries")
+    named = [second_phase(paired(cut_asked, held, asked_blocks, held_blocks, i)) for i in range(lists)]
+    found = third_phase(paired(cut_asked, held, asked_blocks, held_blocks, lists), named, k + 1)
+    return top_rows(best(found, k + 1), reps, queries, k)
